@@ -104,7 +104,8 @@ def mix(docs: DataFrame, weights: Sequence[int] = (5, 2, 1), share: float = 1.0,
     parts = rows.where("size > 0").withColumn("block", F.explode(F.sequence(F.floor(F.col("begin") / length), F.floor((F.col("begin") + F.col("size") - 1) / length))))
     inside = F.col("block") * length
     parts = parts.withColumn("low", F.greatest(F.col("begin") - inside, F.lit(0).cast("long"))).withColumn("high", F.least(F.col("begin") + F.col("size") - inside, length.cast("long")))
-    spans = parts.join(slots, ["src", "block"]).withColumn("words", F.least("high", "limit") - F.col("low")).where("words > 0")
+    # slots are made after their shuffle, whose size says nothing about theirs: no broadcast
+    spans = parts.join(slots.hint("merge"), ["src", "block"]).withColumn("words", F.least("high", "limit") - F.col("low")).where("words > 0")
     spans = spans.select("shard", "src", "slot", "block", "row", "doc_id", (inside + F.col("low") - F.col("begin")).alias("start"), "words")
     return Mix(sources, rows.select("row", "doc_id", "src", "size", "source_size", "target"), spans)
 
