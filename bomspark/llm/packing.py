@@ -12,6 +12,7 @@ null id is packed like any other. An empty table gives an empty result.
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -27,39 +28,67 @@ PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 UNSURE = ("\x1c", "\x1d", "\x1e", "\x1f", "<|")
 
 
+#: One run of letters, then perhaps one run of marks: two words of the tokenizer at most.
+PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,!?;:|#$%&*]*)")
+
+
+def _letters_as_bytes() -> dict[int, str]:
+    """Letters beyond ASCII as byte-level tokenizers spell them: a visible byte stands for
+    itself, the others count up from 256."""
+    visible = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    hidden = iter(range(256, 512))
+    spelled = [chr(b) if b in visible else chr(next(hidden)) for b in range(256)]
+    return {c: "".join(spelled[b] for b in chr(c).encode()) for c in range(0xC0, 0x100)}
+
+
 class WordTokenizer:
-    """Ids of whole texts as little-endian uint32 bytes; ids of a word are kept, because the
-    tokenizer's words never span white space. Texts with special-token marks go to it whole."""
+    """Ids of whole texts as little-endian uint32 bytes. The tokenizer's words never span white
+    space, so a word's ids are kept; plain words go to its merge model at once, others through
+    all its steps. Texts with special-token marks go to it whole."""
 
-    def __init__(self, path: str, keep: int = 400_000):
+    def __init__(self, path: str, keep: int = 300_000):
         from tokenizers import Tokenizer
 
         self.full = Tokenizer.from_file(path)
+        self.model = self.full.model
+        self.spelled = _letters_as_bytes()
         self.known: dict[str, bytes] = {}
+        self.marks: dict[str, bytes] = {"": b""}
         self.keep = keep
 
-    def learn(self, words: list[str]) -> None:
-        if len(self.known) + len(words) > self.keep:
-            self.known.clear()
-        for at in range(0, len(words), 20_000):
-            some = words[at : at + 20_000]
-            self.known.update((w, np.array(e.ids, "<u4").tobytes()) for w, e in zip(some, self.full.encode_batch_fast(some, add_special_tokens=False), strict=True))
+    def whole(self, text: str) -> bytes:
+        return np.array(self.full.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def word(self, word: str) -> bytes:
+        plain = PLAIN.fullmatch(word)
+        if plain is None:
+            ids = self.whole(word)
+        else:
+            stem, marks = plain[1].lower(), plain[2]
+            ids = self.known.get(stem)
+            if ids is None:
+                letters = stem if stem.isascii() else stem.translate(self.spelled)
+                self.known[stem] = ids = np.array([t.id for t in self.model.tokenize(letters)], "<u4").tobytes()
+            if marks:
+                tail = self.marks.get(marks)
+                if tail is None:
+                    tail = self.whole(marks)
+                    if len(self.marks) < 10_000:
+                        self.marks[marks] = tail
+                ids += tail
+        self.known[word] = ids
+        return ids
 
     def encode(self, text: str) -> bytes:
         if any(mark in text for mark in UNSURE):
-            return np.array(self.full.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-        words = text.split()
-        known = self.known
+            return self.whole(text)
+        words, known = text.split(), self.known
+        if len(known) > self.keep:
+            known.clear()
         try:
             return b"".join([known[w] for w in words])
         except KeyError:
-            distinct = set(words)
-            if len(distinct) > self.keep:
-                return np.array(self.full.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-            self.learn([w for w in distinct if w not in known])
-            if any(w not in self.known for w in distinct):  # the store was emptied
-                self.learn(list(distinct))
-            return b"".join([self.known[w] for w in words])
+            return b"".join([known.get(w) or self.word(w) for w in words])
 
 
 def tokenized_pieces(docs: DataFrame, tokenizer_path: str, window: int = 4096, eos: int = 2, id_col: str = "doc_id", text: str = "text", with_ids: bool = False) -> DataFrame:

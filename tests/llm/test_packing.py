@@ -63,12 +63,14 @@ def test_pieces_equal_the_plain_tokenizer_and_pack_without_loss(spark):
     assert np.concatenate([r.ids for r in real]).tolist() == ids[6].tolist()
 
 
-def test_word_store_is_bounded():
-    t = WordTokenizer(tokenizer_path(), keep=3)
-    full = Tokenizer.from_file(tokenizer_path())
-    for text in ("one two", "three four", "five six seven eight", "one four"):
-        assert np.frombuffer(t.encode(text), "<u4").tolist() == full.encode(text, add_special_tokens=False).ids
-        assert len(t.known) <= 3
+def test_word_by_word_equals_the_whole_text():
+    full, rng = Tokenizer.from_file(tokenizer_path()), np.random.default_rng(4)
+    alphabet = list("abcXYZ'.,!|#$%&*0129-_éÉßÿÀ×ªµσΣİ\u0301日\u00ad😀") + [" ", "\n", "\u3000", "\x85"] * 3
+    t = WordTokenizer(tokenizer_path(), keep=50)
+    for _ in range(400):
+        text = "".join(rng.choice(alphabet, 60))
+        assert np.frombuffer(t.encode(text), "<u4").tolist() == full.encode(text, add_special_tokens=False).ids, text
+        assert len(t.known) < 300
 
 
 def test_empty_table(spark):
