@@ -134,29 +134,52 @@ def profiles(docs: DataFrame, frequent: np.ndarray, words: int, num: int, den: i
     return docs.mapInPandas(profile, PROFILE)
 
 
-def _differing(a: str, b: str) -> Column:
-    return reduce(lambda x, y: x + y, [F.bit_count(F.col(f"{a}.{c}").bitwiseXOR(F.col(f"{b}.{c}"))) for c in BITMAP])
+def _differing(a: str, b: str, longs: int) -> Column:
+    return reduce(lambda x, y: x + y, [F.bit_count(F.col(f"{a}.{c}").bitwiseXOR(F.col(f"{b}.{c}"))) for c in BITMAP[:longs]])
 
 
-def _possible(a: str, b: str, num: int, den: int) -> Column:
-    """Size and bitmap bounds allow the two sets to reach the threshold."""
+def _possible(a: str, b: str, num: int, den: int, longs: int = LONGS) -> Column:
+    """Size and bitmap bounds allow the two sets to reach the threshold. A bitmap whose halves
+    are folded by exclusive or is the parity bitmap of half the length."""
     small, large = F.least(f"{a}.n", f"{b}.n").cast("long"), F.greatest(f"{a}.n", f"{b}.n").cast("long")
-    return (small * den >= large * num) & (_differing(a, b) * (den + num) <= (small + large) * (den - num))
+    return (small * den >= large * num) & (_differing(a, b, longs) * (den + num) <= (small + large) * (den - num))
 
 
-class _Join:
-    def __init__(self, nodes: DataFrame, sets: DataFrame, num: int, den: int):
-        self.light = nodes.select("nid", "n", *BITMAP)
-        self.sets, self.num, self.den = sets, num, den
+class _Verifier:
+    """Tests candidate pairs: bounds from sizes and bitmaps first, then the full sets, which are
+    made anew from the texts of only those documents that pass."""
+
+    def __init__(self, docs: DataFrame, nodes: DataFrame, words: int, num: int, den: int):
+        self.docs, self.nodes, self.words, self.num, self.den = docs, nodes, words, num, den
 
     def screened(self, pairs: DataFrame) -> DataFrame:
-        a, b = (self.light.select(F.col("nid").alias(k), F.struct("n", *BITMAP).alias(f"{k}x")) for k in ("a", "b"))
+        light = self.nodes.select("nid", "n", *BITMAP)
+        a, b = (light.select(F.col("nid").alias(k), F.struct("n", *BITMAP).alias(f"{k}x")) for k in ("a", "b"))
         return pairs.join(a, "a").join(b, "b").where(_possible("ax", "bx", self.num, self.den)).select("a", "b")
 
+    def _sets(self, pairs: DataFrame) -> DataFrame:
+        words = self.words
+        ids = pairs.select(F.col("a").alias("nid")).unionByName(pairs.select(F.col("b").alias("nid"))).distinct()
+        needed = small_side(materialize(self.nodes.join(ids, "nid").select("nid", "node", F.col("least_doc").alias("doc_id")).where("doc_id is not null"), "needed"))
+
+        def sets_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for batch in batches:
+                rows = []
+                for node, nid, text in zip(batch["node"], batch["nid"], batch["text"], strict=True):
+                    tokens = shingle_set(text, words).tobytes()
+                    if hashlib.blake2b(tokens, digest_size=16).digest() == bytes(node):  # not another row of the same id
+                        rows.append((nid, tokens))
+                yield pd.DataFrame(rows, columns=["nid", "tokens"])
+
+        texts = self.docs.where("doc_id is not null").join(needed, "doc_id").select("node", "nid", "text")
+        # repeated rows of one id give one set more than once: links are made distinct later
+        return materialize(texts.mapInPandas(sets_of, "nid long, tokens binary"), "sets")
+
     def links(self, pairs: DataFrame) -> DataFrame:
         """The pairs whose full sets reach the threshold."""
-        a, b = (self.sets.select(F.col("nid").alias(k), F.col("tokens").alias(f"{k}t")) for k in ("a", "b"))
-        num, den = self.num, self.den
+        pairs = materialize(pairs, "pairs")
+        sets, num, den = self._sets(pairs), self.num, self.den
+        a, b = (sets.select(F.col("nid").alias(k), F.col("tokens").alias(f"{k}t")) for k in ("a", "b"))
 
         def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for batch in batches:
@@ -165,9 +188,9 @@ class _Join:
                     x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
                     both = len(np.intersect1d(x, y, assume_unique=True))
                     keep.append(den * both >= num * (len(x) + len(y) - both))
-                yield batch.loc[keep, ["a", "b"]]
+                yield batch.loc[np.array(keep, bool), ["a", "b"]]
 
-        return materialize(pairs.join(a, "a").join(b, "b").mapInPandas(verify, "a long, b long"), "links")
+        return materialize(pairs.join(b, "b").join(a, "a").mapInPandas(verify, "a long, b long"), "links")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -198,42 +221,29 @@ def similar_components(docs: DataFrame, words: int = 3, threshold: tuple[int, in
     first = [F.first(c).alias(c) for c in ("n", "rare", "sigs", *BITMAP)]
     nodes = materialize(profile.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("least_doc"), *first).withColumn("nid", F.monotonically_increasing_id()), "nodes")
 
-    entries = nodes.select(F.explode("sigs").alias("sig"), "nid", "rare")
+    entries = nodes.select(F.explode("sigs").alias("sig"), "nid", "n", "rare")
     shared = entries.groupBy("sig").agg(F.count("*").alias("c")).where("c > 1").select("sig")
     active = materialize(entries.join(shared, "sig"), "index")
-    needed = small_side(nodes.join(active.select("nid").distinct(), "nid").select("nid", "node", F.col("least_doc").alias("doc_id")))
-
-    def sets_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows = []
-            for node, nid, text_ in zip(batch["node"], batch["nid"], batch["text"], strict=True):
-                tokens = shingle_set(text_, words).tobytes()
-                if hashlib.blake2b(tokens, digest_size=16).digest() == bytes(node):  # not another row of the same id
-                    rows.append((nid, tokens))
-            yield pd.DataFrame(rows, columns=["nid", "tokens"])
-
-    texts = docs.where("doc_id is not null").join(needed.where("doc_id is not null"), "doc_id").select("node", "nid", "text")
-    sets = materialize(texts.mapInPandas(sets_of, "nid long, tokens binary").dropDuplicates(["nid"]), "sets")
-    join = _Join(nodes, sets, num, den)
+    verifier = _Verifier(docs, nodes, words, num, den)
 
     links = None
     for turn in range(leader_rounds + 1):
         if links is None:
             here = active.withColumn("comp", F.col("nid"))
         else:
-            labels = components(links)
-            here = active.join(labels, "nid", "left").withColumn("comp", F.coalesce("comp", "nid"))
-        order = F.col("rare") if turn == 0 else F.xxhash64(F.lit(turn), "nid")
-        lists = here.groupBy("sig").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min(F.struct(order.alias("o"), "nid", "comp")).alias("leader")).where("lo < hi")
+            here = active.join(components(links), "nid", "left").withColumn("comp", F.coalesce("comp", "nid"))
+        lists = here.groupBy("sig").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min(F.struct((F.col("rare") if turn == 0 else F.xxhash64(F.lit(turn), "nid")).alias("o"), "nid", "n", "comp")).alias("leader")).where("lo < hi")
         if turn < leader_rounds:
-            met = here.join(lists, "sig").where("comp <> leader.comp")
-            pairs = met.select(F.least("nid", "leader.nid").alias("a"), F.greatest("nid", "leader.nid").alias("b")).distinct()
-            found = join.links(join.screened(materialize(pairs, "candidates")))
+            sizes = (F.least("n", "leader.n") * den >= F.greatest("n", "leader.n") * num) & (F.col("comp") != F.col("leader.comp"))
+            met = verifier.screened(materialize(here.join(lists, "sig").where(sizes).select(F.col("nid").alias("a"), F.col("leader.nid").alias("b")).distinct(), "candidates"))
+            # one leader for each follower: later rounds and the last one see to the others
+            found = verifier.links(met.groupBy("a").agg(F.min_by("b", F.xxhash64(F.lit(turn), "b")).alias("b")))
         else:
-            rest = materialize(here.join(lists.select("sig"), "sig").join(join.light, "nid"), "rest")
-            a, b = (rest.select("sig", F.struct("nid", "comp", "n", *BITMAP).alias(k)) for k in ("x", "y"))
-            pairs = a.join(b, "sig").where((F.col("x.comp") < F.col("y.comp")) & _possible("x", "y", num, den))
-            found = join.links(pairs.select(F.col("x.nid").alias("a"), F.col("y.nid").alias("b")).distinct())
+            folded = [F.col(BITMAP[i]).bitwiseXOR(F.col(BITMAP[i + LONGS // 2])).alias(BITMAP[i]) for i in range(LONGS // 2)]
+            rest = materialize(here.join(lists.select("sig"), "sig").select("sig", "nid", "comp").join(nodes.select("nid", "n", *folded), "nid"), "rest")
+            a, b = (rest.select("sig", F.struct("nid", "comp", "n", *BITMAP[: LONGS // 2]).alias(k)) for k in ("x", "y"))
+            pairs = a.join(b, "sig").where((F.col("x.comp") < F.col("y.comp")) & _possible("x", "y", num, den, LONGS // 2))
+            found = verifier.links(verifier.screened(pairs.select(F.col("x.nid").alias("a"), F.col("y.nid").alias("b")).distinct()))
         links = found if links is None else links.unionByName(found)
     labels = components(links)
     named = nodes.select("nid", "node", "least_doc").join(labels, "nid", "left").withColumn("comp", F.coalesce("comp", "nid"))
