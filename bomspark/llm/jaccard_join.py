@@ -37,7 +37,9 @@ from .common import materialize, small_side
 BITS = 512
 LONGS = BITS // 64
 BITMAP = [f"b{i}" for i in range(LONGS)]
-PROFILE = "doc_id long, node binary, n int, rare int, sigs array<long>, " + ", ".join(f"{b} long" for b in BITMAP)
+#: Sets above this size also carry a bitmap as long as their size asks for.
+WIDE_ABOVE = 800
+PROFILE = "doc_id long, node binary, n int, rare int, sigs array<long>, wide binary, " + ", ".join(f"{b} long" for b in BITMAP)
 #: Odd multipliers for the words of a shingle.
 ODD = np.random.default_rng(7).integers(0, 1 << 62, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -113,6 +115,24 @@ def signatures(tokens: np.ndarray, frequent: np.ndarray, num: int, den: int) ->
     return np.concatenate(keys), len(rare)
 
 
+def wide_bitmap(tokens: np.ndarray, num: int, den: int) -> bytes | None:
+    """Parity bitmap of at least eight times the bits in which similar sets may differ, the
+    number of bits a power of two, so that longer ones fold onto shorter ones."""
+    n = len(tokens)
+    if n <= WIDE_ABOVE:
+        return None
+    bits = 1 << (16 * n * (den - num) // (den + num)).bit_length()
+    at = (tokens & np.uint64(bits - 1)).astype(np.int64)
+    return np.packbits((np.bincount(at, minlength=bits) & 1).astype(bool)).tobytes()
+
+
+def differing_bits(x: bytes, y: bytes) -> int:
+    a, b = sorted((np.frombuffer(v, np.uint64) for v in (x, y)), key=len)
+    while len(b) > len(a):
+        b = b[: len(b) // 2] ^ b[len(b) // 2 :]
+    return int(np.bitwise_count(a ^ b).sum())
+
+
 def profiles(docs: DataFrame, frequent: np.ndarray, words: int, num: int, den: int) -> DataFrame:
     spread = docs.sparkSession.sparkContext.broadcast(frequent)
 
@@ -122,9 +142,9 @@ def profiles(docs: DataFrame, frequent: np.ndarray, words: int, num: int, den: i
             for doc, text in zip(batch.iloc[:, 0], batch.iloc[:, 1], strict=True):
                 tokens = shingle_set(text, words)
                 keys, rare = signatures(tokens, spread.value, num, den)
-                rows.append((doc, hashlib.blake2b(tokens.tobytes(), digest_size=16).digest(), len(tokens), rare, keys.view(np.int64)))
+                rows.append((doc, hashlib.blake2b(tokens.tobytes(), digest_size=16).digest(), len(tokens), rare, keys.view(np.int64), wide_bitmap(tokens, num, den)))
                 bitmaps.append(np.packbits((np.bincount((tokens & np.uint64(BITS - 1)).astype(np.int64), minlength=BITS) & 1).astype(bool)))
-            out = pd.DataFrame(rows, columns=["doc_id", "node", "n", "rare", "sigs"])
+            out = pd.DataFrame(rows, columns=["doc_id", "node", "n", "rare", "sigs", "wide"])
             out["doc_id"] = out["doc_id"].astype("Int64")
             longs = np.array(bitmaps, np.uint8).reshape(len(rows), BITS // 8).view(np.int64)
             for i, name in enumerate(BITMAP):
@@ -155,7 +175,17 @@ class _Verifier:
     def screened(self, pairs: DataFrame) -> DataFrame:
         light = self.nodes.select("nid", "n", *BITMAP)
         a, b = (light.select(F.col("nid").alias(k), F.struct("n", *BITMAP).alias(f"{k}x")) for k in ("a", "b"))
-        return pairs.join(a, "a").join(b, "b").where(_possible("ax", "bx", self.num, self.den)).select("a", "b")
+        passed = materialize(pairs.join(a, "a").join(b, "b").where(_possible("ax", "bx", self.num, self.den)).select("a", "b", F.least("ax.n", "bx.n").alias("n"), (F.col("ax.n") + F.col("bx.n")).alias("both")), "screened")
+        num, den = self.num, self.den
+        wide = self.nodes.where(F.col("n") > WIDE_ABOVE).select("nid", "wide")
+        large = passed.where(F.col("n") > WIDE_ABOVE).join(wide.toDF("a", "aw"), "a").join(wide.toDF("b", "bw"), "b")
+
+        def differ_little(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for batch in batches:
+                keep = [differing_bits(x, y) * (den + num) <= both * (den - num) for x, y, both in zip(batch["aw"], batch["bw"], batch["both"], strict=True)]
+                yield batch.loc[np.array(keep, bool), ["a", "b"]]
+
+        return passed.where(F.col("n") <= WIDE_ABOVE).select("a", "b").unionByName(large.mapInPandas(differ_little, "a long, b long"))
 
     def _sets(self, pairs: DataFrame) -> DataFrame:
         words = self.words
@@ -218,7 +248,7 @@ def similar_components(docs: DataFrame, words: int = 3, threshold: tuple[int, in
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).alias("text"))
     frequent = frequent_tokens(local_repeats(docs.select("text"), words))
     profile = materialize(profiles(docs, frequent, words, num, den), "profiles")
-    first = [F.first(c).alias(c) for c in ("n", "rare", "sigs", *BITMAP)]
+    first = [F.first(c).alias(c) for c in ("n", "rare", "sigs", "wide", *BITMAP)]
     nodes = materialize(profile.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("least_doc"), *first).withColumn("nid", F.monotonically_increasing_id()), "nodes")
 
     entries = nodes.select(F.explode("sigs").alias("sig"), "nid", "n", "rare")

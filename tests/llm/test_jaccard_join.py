@@ -4,7 +4,7 @@ from fractions import Fraction
 import numpy as np
 import pytest
 
-from bomspark.llm.jaccard_join import signatures, similar_components
+from bomspark.llm.jaccard_join import differing_bits, signatures, similar_components, wide_bitmap
 
 
 def brute(rows, words, threshold):
@@ -42,7 +42,7 @@ def near_copies(rng, first, n, length, edits):
 @pytest.mark.parametrize("words, threshold, rounds", [(3, (90, 100), 2), (5, (80, 100), 1), (3, (90, 100), 0)])
 def test_components_equal_brute_force(spark, words, threshold, rounds):
     rng = np.random.default_rng(words)
-    rows = [*near_copies(rng, 1000, 90, 120, 5), *near_copies(rng, 2000, 40, 60, 3), *near_copies(rng, 3000, 12, 900, 30), *near_copies(rng, 4000, 30, 30, 1)]
+    rows = [*near_copies(rng, 1000, 90, 120, 5), *near_copies(rng, 2000, 40, 60, 3), *near_copies(rng, 3000, 12, 900, 30), *near_copies(rng, 4000, 30, 30, 1), *near_copies(rng, 5000, 8, 2500, 60)]
     rows += [(i, " ".join(f"w{v}" for v in rng.integers(0, 500, 80))) for i in range(60)]
     rows += [(7000, None), (7001, ""), (7002, " \n"), (7003, "One"), (7004, "one"), (7005, "one two"), (7006, "ONE\ttwo"), (7007, "é É x"), (7008, "é é x"), (7009, rows[0][1].upper())]
     docs = spark.createDataFrame([(i, t, 0) for i, t in rows], "doc_id long, text string, node int").repartition(3)
@@ -62,6 +62,20 @@ def test_similar_sets_share_a_key(seed):
     assert a & b
 
 
+@pytest.mark.parametrize("num, den", [(90, 100), (80, 100)])
+def test_wide_bitmaps_never_differ_more_than_the_sets(num, den):
+    rng = np.random.default_rng(num)
+    for n in (801, 1000, 1023, 5000):
+        x = np.unique(rng.integers(0, 1 << 62, n).astype(np.uint64))
+        y = np.union1d(rng.permutation(x)[: len(x) * num // den], rng.integers(0, 1 << 62, n // 20).astype(np.uint64))
+        z = np.unique(rng.integers(0, 1 << 62, n).astype(np.uint64))
+        a, b, c = (wide_bitmap(s, num, den) for s in (x, y, z))
+        if b is not None:
+            assert differing_bits(a, b) <= len(np.setxor1d(x, y))
+        assert differing_bits(a, c) * (den + num) > 2 * n * (den - num)  # unrelated sets are told apart
+    assert wide_bitmap(x[:800], num, den) is None
+
+
 def test_repeated_rows_null_ids_and_empty_tables(spark):
     docs = spark.createDataFrame([(1, "a b c d"), (1, "a b c d"), (1, "q r s t"), (None, "a b c d"), (None, "u v w"), (None, None)], "doc_id long, text string")
     got = sorted((r.doc_id or 0, r.n_shingles, r.component_id or 0) for r in similar_components(docs).collect())
