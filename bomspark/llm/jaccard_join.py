@@ -154,15 +154,14 @@ def profiles(docs: DataFrame, frequent: np.ndarray, words: int, num: int, den: i
     return docs.mapInPandas(profile, PROFILE)
 
 
-def _differing(a: str, b: str, longs: int) -> Column:
-    return reduce(lambda x, y: x + y, [F.bit_count(F.col(f"{a}.{c}").bitwiseXOR(F.col(f"{b}.{c}"))) for c in BITMAP[:longs]])
+def _differing(a: str, b: str) -> Column:
+    return reduce(lambda x, y: x + y, [F.bit_count(F.col(f"{a}.{c}").bitwiseXOR(F.col(f"{b}.{c}"))) for c in BITMAP])
 
 
-def _possible(a: str, b: str, num: int, den: int, longs: int = LONGS) -> Column:
-    """Size and bitmap bounds allow the two sets to reach the threshold. A bitmap whose halves
-    are folded by exclusive or is the parity bitmap of half the length."""
+def _possible(a: str, b: str, num: int, den: int) -> Column:
+    """Size and bitmap bounds allow the two sets to reach the threshold."""
     small, large = F.least(f"{a}.n", f"{b}.n").cast("long"), F.greatest(f"{a}.n", f"{b}.n").cast("long")
-    return (small * den >= large * num) & (_differing(a, b, longs) * (den + num) <= (small + large) * (den - num))
+    return (small * den >= large * num) & (_differing(a, b) * (den + num) <= (small + large) * (den - num))
 
 
 class _Verifier:
@@ -269,10 +268,9 @@ def similar_components(docs: DataFrame, words: int = 3, threshold: tuple[int, in
             # one leader for each follower: later rounds and the last one see to the others
             found = verifier.links(met.groupBy("a").agg(F.min_by("b", F.xxhash64(F.lit(turn), "b")).alias("b")))
         else:
-            folded = [F.col(BITMAP[i]).bitwiseXOR(F.col(BITMAP[i + LONGS // 2])).alias(BITMAP[i]) for i in range(LONGS // 2)]
-            rest = materialize(here.join(lists.select("sig"), "sig").select("sig", "nid", "comp").join(nodes.select("nid", "n", *folded), "nid"), "rest")
-            a, b = (rest.select("sig", F.struct("nid", "comp", "n", *BITMAP[: LONGS // 2]).alias(k)) for k in ("x", "y"))
-            pairs = a.join(b, "sig").where((F.col("x.comp") < F.col("y.comp")) & _possible("x", "y", num, den, LONGS // 2))
+            rest = materialize(here.join(lists.select("sig"), "sig").select("sig", "nid", "comp").join(nodes.select("nid", "n", *BITMAP), "nid"), "rest")
+            a, b = (rest.select("sig", F.struct("nid", "comp", "n", *BITMAP).alias(k)) for k in ("x", "y"))
+            pairs = a.join(b, "sig").where((F.col("x.comp") < F.col("y.comp")) & _possible("x", "y", num, den))
             found = verifier.links(verifier.screened(pairs.select(F.col("x.nid").alias("a"), F.col("y.nid").alias("b")).distinct()))
         links = found if links is None else links.unionByName(found)
     labels = components(links)
