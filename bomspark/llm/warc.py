@@ -158,7 +158,8 @@ def read_archives(archives: DataFrame, folder: str, payloads: bool = False) -> D
                 if rows:
                     yield _frame(rows)
 
-    return archives.select("archive").repartition("archive").mapInPandas(read, RECORDS + (", payload binary" if payloads else ""))
+    # a fixed number of partitions: a short list of names says nothing of the work behind it
+    return archives.select("archive").repartition(max(1, min(archives.count(), 100_000)), "archive").mapInPandas(read, RECORDS + (", payload binary" if payloads else ""))
 
 
 def _frame(rows: list[dict]) -> pd.DataFrame:
