@@ -63,7 +63,7 @@ def shingle_set(text: str | None, words: int) -> np.ndarray:
     return np.unique(_scatter(total))
 
 
-def local_repeats(docs: DataFrame, words: int, flush: int = 4_000_000) -> DataFrame:
+def local_repeats(docs: DataFrame, words: int, flush: int = 1_000_000) -> DataFrame:
     """(token, n) of shingles that several documents of one task hold."""
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -138,18 +138,19 @@ def profiles(docs: DataFrame, frequent: np.ndarray, words: int, num: int, den: i
 
     def profile(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows, bitmaps = [], []
-            for doc, text in zip(batch.iloc[:, 0], batch.iloc[:, 1], strict=True):
-                tokens = shingle_set(text, words)
-                keys, rare = signatures(tokens, spread.value, num, den)
-                rows.append((doc, hashlib.blake2b(tokens.tobytes(), digest_size=16).digest(), len(tokens), rare, keys.view(np.int64), wide_bitmap(tokens, num, den)))
-                bitmaps.append(np.packbits((np.bincount((tokens & np.uint64(BITS - 1)).astype(np.int64), minlength=BITS) & 1).astype(bool)))
-            out = pd.DataFrame(rows, columns=["doc_id", "node", "n", "rare", "sigs", "wide"])
-            out["doc_id"] = out["doc_id"].astype("Int64")
-            longs = np.array(bitmaps, np.uint8).reshape(len(rows), BITS // 8).view(np.int64)
-            for i, name in enumerate(BITMAP):
-                out[name] = longs[:, i]
-            yield out
+            for at in range(0, len(batch), 1000):  # keys are many: a bounded number of rows in memory
+                part, rows, bitmaps = batch.iloc[at : at + 1000], [], []
+                for doc, text in zip(part.iloc[:, 0], part.iloc[:, 1], strict=True):
+                    tokens = shingle_set(text, words)
+                    keys, rare = signatures(tokens, spread.value, num, den)
+                    rows.append((doc, hashlib.blake2b(tokens.tobytes(), digest_size=16).digest(), len(tokens), rare, keys.view(np.int64), wide_bitmap(tokens, num, den)))
+                    bitmaps.append(np.packbits((np.bincount((tokens & np.uint64(BITS - 1)).astype(np.int64), minlength=BITS) & 1).astype(bool)))
+                out = pd.DataFrame(rows, columns=["doc_id", "node", "n", "rare", "sigs", "wide"])
+                out["doc_id"] = out["doc_id"].astype("Int64")
+                longs = np.array(bitmaps, np.uint8).reshape(len(rows), BITS // 8).view(np.int64)
+                for i, name in enumerate(BITMAP):
+                    out[name] = longs[:, i]
+                yield out
 
     return docs.mapInPandas(profile, PROFILE)
 

@@ -46,7 +46,7 @@ class WordTokenizer:
     space, so a word's ids are kept; plain words go to its merge model at once, others through
     all its steps. Texts with special-token marks go to it whole."""
 
-    def __init__(self, path: str, keep: int = 300_000):
+    def __init__(self, path: str, keep: int = 200_000):
         from tokenizers import Tokenizer
 
         self.full = Tokenizer.from_file(path)
