@@ -99,6 +99,11 @@ def collisions(comps: DataFrame) -> DataFrame:
     return names.unionByName(hashes.join(names, "id", "left_anti").withColumn("reason", F.lit("hash_mismatch")))
 
 
+def both_collisions(before: DataFrame, after: DataFrame) -> DataFrame:
+    """Collisions of either side, each (id, reason) once."""
+    return collisions(before).unionByName(collisions(after)).distinct()
+
+
 def samples_by_type(comps: DataFrame, most: int = 5) -> DataFrame:
     """type, total and the first ``most`` ids, in id order."""
     t = comps.withColumn("type", fn.effective_type(F.col("purl"), F.col("id")))

@@ -14,6 +14,11 @@ def search(comps: DataFrame, query: str, kind: str = "") -> DataFrame:
     return found.where(F.contains(F.lower(fn.pkg_type(F.col("purl"))), F.lit(kind.lower()))) if kind else found
 
 
+def tree_matches(comps: DataFrame, query: str) -> DataFrame:
+    """Components whose name, version, type or id holds the query, whatever its case."""
+    return comps.where(F.contains(F.lower(F.concat_ws(" ", "name", "version", "type", "id")), F.lit(query.lower())))
+
+
 def lookup(comps: DataFrame, id_: str) -> DataFrame:
     """The last component with this id."""
     return comps.where(F.col("id") == id_).orderBy(F.desc("ordinal")).limit(1)

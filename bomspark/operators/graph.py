@@ -70,3 +70,25 @@ def tree(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     e = e.join(known, "dst_id", "left_semi").select("src_id", "dst_id")
     first = roots(nodes, edges).select(F.col("id").alias("root")).join(e.select(F.col("src_id").alias("root"), F.col("dst_id").alias("child")), "root", "left")
     return first.join(e.select(F.col("src_id").alias("child"), F.col("dst_id").alias("grandchild")), "child", "left").select("root", "child", "grandchild")
+
+
+def resolve_refs(nodes: DataFrame, refs: DataFrame) -> DataFrame:
+    """src_id, dst_id, adj_ordinal of references between components; the last component of a
+    reference counts, unresolved ones go. ``nodes``: ref, id, ordinal."""
+    known = nodes.where("ref <> ''").groupBy("ref").agg(F.max_by("id", "ordinal").alias("id"))
+    end = lambda name: known.select(F.col("ref").alias(f"{name}_ref"), F.col("id").alias(f"{name}_id"))
+    return refs.join(end("src"), "src_ref").join(end("dst"), "dst_ref").select("src_id", "dst_id", "adj_ordinal")
+
+
+def with_ancestors(matches: DataFrame, edges: DataFrame, most: int = 1000) -> DataFrame:
+    """The matching ids and everything above them, one level up per round."""
+    up = settle(edges.select("src_id", "dst_id").distinct(), "up")
+    level = settle(matches.select("id").distinct(), "level")
+    found = level
+    for _ in range(most):
+        step = level.join(up, F.col("id") == F.col("dst_id")).select(F.col("src_id").alias("id")).distinct().join(found, "id", "left_anti")
+        level = settle(step, "level")
+        if level.isEmpty():
+            break
+        found = settle(found.unionByName(level), "found")
+    return found

@@ -48,6 +48,19 @@ def edges(comps: DataFrame) -> DataFrame:
     return wanted.join(known, (F.col("side") == F.col("side2")) & (F.col("target") == F.col("target2"))).select("side", "src_id", "dst_id", F.col("adj_ordinal").cast("long").alias("adj_ordinal"))
 
 
+def files(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Catalogued files, and relations of component ordinals to paths."""
+    k = F.col("p_partkey")
+    p = read(spark, sf_dir, "part").select("p_partkey", "p_brand", F.col("p_size").cast("long").alias("p_size"))
+    of = lambda *values: F.element_at(F.array(*map(F.lit, values)), (k % len(values) + 1).cast("int"))
+    lib, share = F.concat(F.lit("/usr/lib/"), "p_brand", F.lit("/"), k.cast("string")), F.concat(F.lit("/usr/share/"), "p_brand", F.lit("/"), k.cast("string"), of(".so", ".txt", ""))
+    kind = F.when(k % 9 == 0, "SymbolicLink").otherwise("RegularFile")
+    row = lambda path, layer, size: [path.alias("path"), F.concat(F.lit("layer-"), (k % layer).cast("string")).alias("layer"), size.alias("size"), kind.alias("file_type"), of("", "text/plain", "application/x-sharedlib", "text/plain").alias("mime")]
+    listed = p.where(k % 2 == 0).select(*row(lib, 3, F.col("p_size") * 100)).unionByName(p.select(*row(share, 2, F.col("p_size"))))
+    rel = lambda df, path, name: df.select(k.alias("ordinal"), path.alias("path"), F.lit(name).alias("relation"))
+    return listed, rel(p.where(k % 3 == 0), share, "contains").unionByName(rel(p.where(k % 4 == 0), lib, "evident-by")).unionByName(rel(p.where(k % 8 == 0), lib, "contains"))
+
+
 #: The same tables for DuckDB: ``comp`` (licence and hash as scalars, '' when absent) and ``edge``.
 SQL = """
 WITH RECURSIVE comp AS (
@@ -83,3 +96,18 @@ REACH = """, reach(side, root, node, depth) AS (
   SELECT t.side, t.root, e.dst_id, t.depth + 1 FROM reach t JOIN edge e ON e.side = t.side AND e.src_id = t.node WHERE t.depth < 40
 ), far AS (SELECT side, root, node, min(depth) AS depth FROM reach WHERE node <> root GROUP BY ALL)
 """
+#: The file catalogue of the after side: ``file`` and ``rel``.
+FILES = SQL + """, listed AS (
+  SELECT '/usr/lib/' || p_brand || '/' || p_partkey AS path, 'layer-' || (p_partkey % 3) AS layer, CAST(p_size AS BIGINT) * 100 AS size, p_partkey AS k FROM part WHERE p_partkey % 2 = 0
+  UNION ALL SELECT '/usr/share/' || p_brand || '/' || p_partkey || (CASE p_partkey % 3 WHEN 0 THEN '.so' WHEN 1 THEN '.txt' ELSE '' END), 'layer-' || (p_partkey % 2), CAST(p_size AS BIGINT), p_partkey FROM part
+), file AS (
+  SELECT path, layer, size, CASE WHEN k % 9 = 0 THEN 'SymbolicLink' ELSE 'RegularFile' END AS file_type, CASE k % 4 WHEN 0 THEN '' WHEN 2 THEN 'application/x-sharedlib' ELSE 'text/plain' END AS mime FROM listed
+  UNION ALL SELECT DISTINCT location, '', CAST(0 AS BIGINT), '', '' FROM a WHERE location NOT IN (SELECT path FROM listed)
+), rel AS (
+  SELECT ordinal, path, arg_min(relation, r) AS relation FROM (
+    SELECT p_partkey AS ordinal, '/usr/share/' || p_brand || '/' || p_partkey || '.so' AS path, 'contains' AS relation, 1 AS r FROM part WHERE p_partkey % 3 = 0
+    UNION ALL SELECT p_partkey, '/usr/lib/' || p_brand || '/' || p_partkey, 'contains', 1 FROM part WHERE p_partkey % 8 = 0
+    UNION ALL SELECT p_partkey, '/usr/lib/' || p_brand || '/' || p_partkey, 'evident-by', 2 FROM part WHERE p_partkey % 4 = 0
+    UNION ALL SELECT ordinal, location, 'location', 3 FROM a) WHERE ordinal IN (SELECT ordinal FROM a) AND path IN (SELECT path FROM file) GROUP BY ALL
+)
+"""

@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 
 from .functions import scalars as fn
 from .operators import diff as df_
-from .operators import explore, graph, profile, rules
-from .plans.adaptor import INFO, REACH, SQL, components, edges
+from .operators import explore, files, findings, graph, profile, rules
+from .plans.adaptor import FILES, INFO, REACH, SQL, components, edges
+from .plans.adaptor import files as file_tables
 from .tables import read, settle
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -238,3 +239,52 @@ snap("fnd_surface", "SELECT (SELECT count(*) FROM b) AS before, (SELECT count(*)
 snap("fnd_license_shift", "SELECT side, count(*) FILTER (regexp_matches(lic, 'GPL')) AS copyleft, count(*) FILTER (lic <> '' AND NOT regexp_matches(lic, 'GPL')) AS permissive FROM comp GROUP BY side")(lambda s: profile.profile(s.all, "side").select("side", C("lic_copyleft").alias("copyleft"), C("lic_permissive").alias("permissive")))
 snap("fnd_license_profile", "SELECT count(*) FILTER (regexp_matches(lic, 'GPL')) AS copyleft, count(*) FILTER (lic <> '' AND NOT regexp_matches(lic, 'GPL')) AS permissive, count(*) FILTER (lic = '') AS unknown FROM a")(lambda s: profile.profile(s.after).select(C("lic_copyleft").alias("copyleft"), C("lic_permissive").alias("permissive"), C("lic_unknown").alias("unknown")))
 snap("fnd_removal_hotspots", "SELECT regexp_extract(location, '^(/[^/]*/[^/]*/[^/]*)', 1) AS key, count(*) AS count FROM removed GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 4")(lambda s: profile.top(profile.by_prefix(s.diff.removed), 4))
+
+# Files.
+
+
+def catalogue(key: str, sql: str):
+    """A query of the after side's files, components and relations."""
+
+    def register(f: Callable[[DataFrame, DataFrame, DataFrame], DataFrame]):
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            after = Snapshots(spark, sf_dir).after
+            listed, relations = file_tables(spark, sf_dir)
+            return f(files.catalogue(listed, after), after, relations)
+
+        query(key, sql, FILES)(run)
+        return f
+
+    return register
+
+
+catalogue("jn_file_owners", "SELECT path, ordinal, relation FROM rel")(lambda f, c, r: files.owners(f, c, r))
+catalogue("jn_comp_files", "SELECT ordinal, path FROM rel")(lambda f, c, r: files.component_files(f, c, r))
+catalogue("agg_layers", "SELECT layer, count(*) AS files, CAST(sum(size) AS BIGINT) AS size, min(path) AS first_path FROM file WHERE layer <> '' GROUP BY 1")(lambda f, c, r: files.layers(f))
+catalogue(
+    "agg_file_stats",
+    "SELECT 'files' AS metric, '' AS key, count(*) AS value FROM file UNION ALL SELECT 'size', '', CAST(sum(size) AS BIGINT) FROM file UNION ALL SELECT 'unowned', '', count(*) FROM file WHERE path NOT IN (SELECT path FROM rel) "
+    "UNION ALL SELECT 'file_type', file_type, count(*) FROM file WHERE file_type <> '' GROUP BY 2 UNION ALL SELECT 'mime', mime, count(*) FROM file WHERE mime <> '' GROUP BY 2 UNION ALL SELECT 'extension', ext, count(*) FROM (SELECT regexp_extract(path, '(\\.[^./]*)$', 1) AS ext FROM file) WHERE ext <> '' GROUP BY 2",
+)(lambda f, c, r: files.statistics(f, c, r))
+KEYED = "CASE WHEN {t}.ordinal % 4 = 0 THEN {t}.name || '|' || {t}.version ELSE {t}.purl END"
+snap("jn_artifact_key", f"SELECT a.ordinal AS artifact, min(2 * c.ordinal + CASE c.side WHEN 'after' THEN 1 ELSE 0 END) AS ordinal FROM a JOIN comp c ON {KEYED.format(t='c')} = {KEYED.format(t='a')} GROUP BY 1")(
+    lambda s: (lambda bare: files.match_artifacts(bare.where("side = 'after'").withColumn("artifact", C("ordinal")), bare.withColumn("ordinal", 2 * C("ordinal") + (C("side") == "after").cast("long"))))(s.all.withColumn("purl", F.when(C("ordinal") % 4 == 0, "").otherwise(C("purl"))))
+)
+snap("jn_resolve_refs", "SELECT src_id, dst_id FROM edge WHERE side = 'after'")(
+    lambda s: (lambda k: graph.resolve_refs(s.after.select(k.cast("string").alias("ref"), "id", "ordinal"), s.after.select(k.cast("string").alias("src_ref"), F.posexplode(F.concat(F.array(3 * k + 1, 3 * k + 2, 3 * k + 3), F.when(k % 50 == 0, F.array(k + 5)).otherwise(F.array().cast("array<bigint>")))).alias("adj_ordinal", "dst")).withColumn("dst_ref", C("dst").cast("string"))))(C("ordinal")).select("src_id", "dst_id").distinct()
+)
+query("flt_tree", SQL + ", up(id) AS (SELECT id FROM a WHERE contains(lower(name || ' ' || version || ' library ' || id), '77') UNION SELECT e.src_id FROM up JOIN edge e ON e.side = 'after' AND e.dst_id = up.id) SELECT id FROM up", "")(lambda spark, d: (lambda s: graph.with_ancestors(explore.tree_matches(s.after, "77"), s.edges_of("after")))(Snapshots(spark, d)))
+_side = lambda cond: f"SELECT id, 'name_mismatch' AS reason FROM i WHERE {cond} GROUP BY id HAVING count(DISTINCT name) > 1 UNION SELECT id, 'hash_mismatch' FROM i WHERE {cond} AND id NOT IN (SELECT id FROM i WHERE {cond} GROUP BY id HAVING count(DISTINCT name) > 1) GROUP BY id, version HAVING count(DISTINCT hash) > 1"
+query("set_collisions", f"{_side('early')} UNION {_side('NOT early')}", ITEMS)(lambda spark, d: df_.both_collisions(items(spark, d).where("early"), items(spark, d).where("not early")))
+
+# Findings as messages.
+query("fnd_os", "SELECT 'OS/Distro: Alpine Linux v3.19' AS message", "")(lambda spark, d: findings.operating_system(spark, INFO["after"]).select("message"))
+query("fnd_files", "SELECT '1,500 files tracked on filesystem' AS message", "")(lambda spark, d: findings.files(spark, INFO["after"]).select("message"))
+query("fnd_context", "SELECT unnest(['Warning: scan scope changed (Squashed → AllLayers) — diff may reflect scan depth, not system changes', 'Warning: schema version changed (16.0.1 → 16.0.4) — PURL format may differ']) AS message", "")(lambda spark, d: findings.context(spark, INFO["before"], INFO["after"]).select("message"))
+query("fnd_os_change", "SELECT 'OS changed: Alpine Linux v3.18 → Alpine Linux v3.19' AS message", "")(lambda spark, d: findings.os_change(spark, INFO["before"], INFO["after"]).select("message"))
+query("fnd_relationships", "SELECT 'Relationships: ' || format('{:,}', (SELECT count(*) FROM rel WHERE relation = 'contains')) || ' containment + ' || format('{:,}', (SELECT count(*) FROM edge WHERE side = 'after')) || ' dependency' AS message", FILES)(
+    lambda spark, d: (lambda s, t: findings.relationships(files.owners(files.catalogue(t[0], s.after), s.after, t[1]).groupBy(C("relation").alias("key")).count().unionByName(s.edges_of("after").select("src_id", "dst_id").distinct().groupBy(F.lit("dependency-of").alias("key")).count())))(Snapshots(spark, d), file_tables(spark, d)).select("message")
+)
+snap("fnd_quality", "SELECT 'Low ' || what || ' coverage: ' || printf('%.1f', (total - missing) * 100.0 / total) || '% (' || missing || ' of ' || total || ' missing)' AS message FROM (SELECT unnest(['license', 'hash']) AS what, unnest([lic, hash]) AS missing, total FROM (SELECT count(*) AS total, count(*) FILTER (lic = '') AS lic, count(*) FILTER (hash = '') AS hash FROM a WHERE ordinal % 24 = 12 OR ordinal % 90 = 0)) WHERE (total - missing) * 100.0 / total < 50")(lambda s: findings.quality(profile.profile(s.after.where("ordinal % 24 = 12 or ordinal % 90 = 0"))).select("message"))
+query("fnd_duplicates", "SELECT count(*) || ' duplicate component groups detected' AS message FROM d HAVING count(*) > 0", ITEMS)(lambda spark, d: findings.duplicate_groups(items(spark, d)).select("message"))
+snap("fnd_dominant_path", "SELECT printf('%.1f', n * 100.0 / total) || '% of added packages are ' || ptype || ', concentrated in /usr/lib/Brand#13' AS message FROM (SELECT ptype, count(*) AS n, sum(count(*)) OVER () AS total FROM a WHERE location LIKE '/usr/lib/Brand#13/%' AND (ordinal % 5 = 0 OR ordinal % 10 = 1) GROUP BY 1) WHERE total >= 20 AND n >= 10 AND n * 100.0 / total >= 50 ORDER BY n DESC, ptype DESC LIMIT 1")(lambda s: findings.dominant_path(s.after.where(F.get("locations", F.lit(0)).startswith("/usr/lib/Brand#13/") & ((C("ordinal") % 5 == 0) | (C("ordinal") % 10 == 1))), "added").select("message"))
