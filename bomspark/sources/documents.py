@@ -1,4 +1,4 @@
-"""Inventory documents (CycloneDX JSON, SPDX JSON, Syft JSON) as component rows.
+"""Inventory documents (CycloneDX JSON and XML, SPDX JSON, Syft JSON) as component rows.
 
 One row per document in, one row per component out: dialect by ordered detection, typed
 ``from_json``, position kept as ordinal, identity computed from the row. Documents of no
@@ -11,10 +11,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scalars as fn
+from . import xml
 
 CYCLONEDX = "components array<struct<type:string,name:string,version:string,purl:string,cpe:string,group:string,`bom-ref`:string,licenses:array<struct<license:struct<id:string,name:string>,expression:string>>,hashes:array<struct<alg:string,content:string>>,supplier:struct<name:string>,publisher:string>>"
 SPDX = "packages array<struct<SPDXID:string,name:string,versionInfo:string,licenseConcluded:string,licenseDeclared:string,supplier:string,originator:string,externalRefs:array<struct<referenceCategory:string,referenceType:string,referenceLocator:string>>,checksums:array<struct<algorithm:string,checksumValue:string>>>>"
-SYFT = "artifacts array<struct<id:string,name:string,version:string,purl:string,type:string,language:string,foundBy:string,locations:array<struct<path:string>>,licenses:array<struct<value:string,spdxExpression:string>>,cpes:array<struct<cpe:string>>>>"
+SYFT = "id string, name string, version string, purl string, type string, language string, foundBy string, metadataType string, metadata string, locations array<struct<path:string>>, licenses array<struct<value:string,spdxExpression:string>>, cpes array<struct<cpe:string>>"
+SYFT_STRINGS, SYFT_LISTS = ("id", "name", "version", "purl", "type", "language", "foundBy", "metadataType"), ("locations", "licenses", "cpes")
+DIGEST = "struct<algorithm:string,value:string>"
 STRINGS = "array<string>"
 
 
@@ -28,7 +31,7 @@ def dialect(text: Column) -> Column:
     has = lambda k: F.coalesce(F.array_contains(keys, k), F.lit(False))
     field = lambda k: fn.text(F.get_json_object(text, f"$.{k}"))
     cdx = (field("bomFormat") == "CycloneDX") | F.contains(F.lower(field("$schema")), F.lit("cyclonedx"))
-    return F.when(cdx, "cyclonedx").when(field("spdxVersion").startswith("SPDX-"), "spdx").when(has("artifacts") & (has("source") | has("distro") | has("descriptor")), "syft").otherwise("unknown")
+    return F.when(cdx, "cyclonedx").when(xml.is_cyclonedx(text), "cyclonedx-xml").when(field("spdxVersion").startswith("SPDX-"), "spdx").when(has("artifacts") & (has("source") | has("distro") | has("descriptor")), "syft").otherwise("unknown")
 
 
 def _strings(c: Column) -> Column:
@@ -44,7 +47,7 @@ def _pairs(c: Column, key: str, value: str) -> Column:
 
 def _component(c: Column, **fields: Column) -> DataFrame:
     none, empty = F.lit(""), F.array().cast(STRINGS)
-    f = {"cpes": empty, "bom_ref": none, "spdxid": none, "namespace": none, "language": none, "found_by": none, "type": none, "locations": empty} | fields
+    f = {"cpes": empty, "bom_ref": none, "spdxid": none, "namespace": none, "language": none, "found_by": none, "type": none, "syft_id": none, "locations": empty} | fields
     f |= {k: fn.text(v) for k, v in f.items() if k not in ("licenses", "cpes", "locations", "hashes")}
     f["id"] = fn.compute_id(f["purl"], f["cpes"], f["bom_ref"], f["spdxid"], f["namespace"], f["name"])
     return F.struct(*[v.alias(k) for k, v in f.items()])
@@ -64,16 +67,49 @@ def _spdx(c: Column) -> Column:
 
 def _syft(c: Column) -> Column:
     licenses = F.transform(c["licenses"], lambda x: F.coalesce(F.nullif(x["spdxExpression"], F.lit("")), x["value"]))
-    return _component(c, name=c["name"], version=c["version"], purl=c["purl"], licenses=_strings(licenses), cpes=_strings(F.transform(c["cpes"], lambda x: x["cpe"])), hashes=F.create_map().cast("map<string,string>"), supplier=F.lit(""), language=c["language"], found_by=c["foundBy"], type=c["type"], locations=_strings(F.transform(c["locations"], lambda x: x["path"])))
+    return _component(c, name=c["name"], version=c["version"], purl=c["purl"], licenses=_strings(licenses), cpes=_strings(F.transform(c["cpes"], lambda x: x["cpe"])), hashes=_syft_hashes(c), supplier=fn.trim(F.get_json_object(c["metadata"], "$.maintainer")), syft_id=c["id"], language=c["language"], found_by=c["foundBy"], type=c["type"], locations=_strings(F.transform(c["locations"], lambda x: x["path"])))
+
+
+def _syft_hashes(c: Column) -> Column:
+    """Digests by kind of metadata: all of an archive, a lock entry's, the first of a package's files."""
+    md, kind = c["metadata"], c["metadataType"]
+    upper = lambda ds: F.transform(F.filter(ds, lambda d: (fn.text(d["algorithm"]) != "") & (fn.text(d["value"]) != "")), lambda d: F.struct(F.upper(d["algorithm"]).alias("alg"), d["value"].alias("content")))
+    archive = upper(F.from_json(md, f"digest array<{DIGEST}>")["digest"])
+    files = F.slice(upper(F.from_json(md, f"files array<struct<digest:{DIGEST}>>")["files"]["digest"]), 1, 1)
+    lock = F.get_json_object(md, "$.integrity")
+    split = F.contains(lock, F.lit("-"))
+    entry = F.when(fn.text(lock) != "", F.array(F.struct(F.when(split, F.upper(F.substring_index(lock, "-", 1))).otherwise("INTEGRITY").alias("alg"), F.when(split, F.regexp_replace(lock, "(?s)^[^-]*-", "")).otherwise(lock).alias("content"))))
+    return _pairs(F.when(kind == "java-archive", archive).when(kind == "javascript-npm-package-lock-entry", entry).when(kind.isin("rpm-db-entry", "rpm-archive", "python-package"), files), "alg", "content")
+
+
+def _syft_valid(raw: Column) -> Column:
+    """An object whose typed fields have the right JSON types; other artifacts are skipped."""
+    v = F.try_parse_json(raw)
+    kind = lambda k: F.coalesce(F.schema_of_variant(F.try_variant_get(v, f"$.{k}", "variant")), F.lit("VOID"))
+    ok = fn.text(raw).startswith("{") & v.isNotNull()
+    for k in SYFT_STRINGS:
+        ok = ok & kind(k).isin("STRING", "VOID")
+    for k in SYFT_LISTS:
+        ok = ok & ((kind(k) == "VOID") | kind(k).startswith("ARRAY<"))
+    return ok
+
+
+def _rows(typed: DataFrame, name: str) -> DataFrame:
+    """sbom_id, ordinal, c: the raw components of one dialect."""
+    docs = typed.where(F.col("dialect") == name)
+    if name == "syft":
+        raw = docs.select("sbom_id", F.posexplode(F.from_json("text", f"artifacts {STRINGS}")["artifacts"]).alias("ordinal", "raw"))
+        return raw.where(_syft_valid(F.col("raw"))).select("sbom_id", "ordinal", F.from_json("raw", SYFT).alias("c"))
+    found = {"cyclonedx": lambda: F.from_json("text", CYCLONEDX)["components"], "cyclonedx-xml": lambda: xml.components(xml.bom(F.col("text"))), "spdx": lambda: F.from_json("text", SPDX)["packages"]}[name]()
+    return docs.select("sbom_id", F.posexplode(found).alias("ordinal", "c")).where("c is not null")
 
 
 def components(documents: DataFrame) -> DataFrame:
     """sbom_id, ordinal and the fields of every component of every document."""
     typed = documents.select("sbom_id", "text", dialect(F.col("text")).alias("dialect"))
     out = None
-    for name, schema, key, build in (("cyclonedx", CYCLONEDX, "components", _cyclonedx), ("spdx", SPDX, "packages", _spdx), ("syft", SYFT, "artifacts", _syft)):
-        rows = typed.where(F.col("dialect") == name).select("sbom_id", F.posexplode(F.from_json("text", schema)[key]).alias("ordinal", "c")).where("c is not null")
-        made = rows.select("sbom_id", F.col("ordinal").cast("long").alias("ordinal"), build(F.col("c")).alias("r")).select("sbom_id", "ordinal", "r.*")
+    for name, build in (("cyclonedx", _cyclonedx), ("cyclonedx-xml", _cyclonedx), ("spdx", _spdx), ("syft", _syft)):
+        made = _rows(typed, name).select("sbom_id", F.col("ordinal").cast("long").alias("ordinal"), build(F.col("c")).alias("r")).select("sbom_id", "ordinal", "r.*")
         out = made if out is None else out.unionByName(made)
     return out
 

@@ -1,6 +1,7 @@
 import json
 
 from bomspark.operators.diff import diff
+from bomspark.sources import info
 from bomspark.sources.documents import components, parse_warnings, read_documents
 
 CDX = {"bomFormat": "CycloneDX", "components": [{"type": "library", "name": "Lib", "version": "1", "purl": "pkg:npm/lib@1", "licenses": [{"license": {"id": "MIT"}}, {"expression": "A OR B"}, {"license": {"name": "x"}}], "hashes": [{"alg": "SHA-256", "content": "a"}, {"alg": "SHA-256", "content": "b"}], "publisher": "P"}, {"name": "two", "bom-ref": "r2", "cpe": "cpe:/a:v:p:1"}]}
@@ -29,3 +30,52 @@ def test_diff_of_two_documents(spark):
     comps = components(docs)
     got = {r.id: (r.status, r.drift) for r in diff(comps.where("sbom_id = 'b'"), comps.where("sbom_id = 'a'")).rows.collect()}
     assert got == {"pkg:npm/lib": ("changed", "version"), "cpe:v:p": ("removed", None), "three": ("added", None)}
+
+
+XML = """<?xml version="1.0"?>
+<bom xmlns="http://cyclonedx.org/schema/bom/1.5"><metadata><timestamp>T</timestamp><tools><tool><name>t</name><version>9</version></tool></tools><component type="operating-system"><name>os</name><version>1</version></component><properties><property name="image:tag">img</property></properties></metadata>
+<components><component type="library" bom-ref="x"><group>g</group><name>lib</name><version>1</version><hashes><hash alg="SHA-1">aa</hash></hashes><licenses><license><id>MIT</id></license></licenses><purl>pkg:npm/lib@1</purl></component><component type="library" bom-ref="y"><name>dep</name></component></components>
+<dependencies><dependency ref="x"><dependency ref="y"/><dependency ref="gone"/></dependency></dependencies></bom>"""
+
+
+def frame(spark, **docs):
+    return spark.createDataFrame([(k, v if isinstance(v, str) else json.dumps(v)) for k, v in docs.items()], "sbom_id string, text string")
+
+
+def test_xml_document(spark):
+    docs = frame(spark, x="\ufeff " + XML, other="<bom xmlns='urn:other'/>")
+    got = {r.id: r for r in components(docs).collect()}
+    assert set(got) == {"pkg:npm/lib", "ref:y"} and got["pkg:npm/lib"].hashes == {"SHA-1": "aa"} and got["pkg:npm/lib"].licenses == ["MIT"]
+    assert [(r.src_id, r.dst_id) for r in info.edges(docs).collect()] == [("pkg:npm/lib", "ref:y")]
+    fact = info.document_info(docs).collect()
+    assert [(f.sbom_id, f.tool_name, f.tool_version, f.os_name, f.source_name, f.sbom_timestamp) for f in fact] == [("x", "t", "9", "os", "img", "T")]
+    assert [r.file for r in parse_warnings(docs).collect()] == ["other"]
+
+
+def test_syft_hashes_skips_edges_and_facts(spark):
+    art = lambda i, kind, md: {"id": i, "name": i, "version": "1", "metadataType": kind, "metadata": md}
+    doc = {
+        "artifacts": [art("j", "java-archive", {"digest": [{"algorithm": "sha1", "value": "a"}, {"algorithm": "md5", "value": "b"}]}), "junk", {"id": "n", "name": 5}, art("l", "javascript-npm-package-lock-entry", {"integrity": "sha512-x-y"}), art("r", "rpm-db-entry", {"files": [{"digest": {}}, {"digest": {"algorithm": "sha256", "value": "c"}}, {"digest": {"algorithm": "md5", "value": "d"}}], "maintainer": " M "})],
+        "artifactRelationships": [{"parent": "j", "child": "l", "type": "dependency-of"}, {"parent": "j", "child": "f", "type": "contains"}],
+        "files": [{"location": {"path": "/a", "layerID": "L"}, "metadata": {"size": 3, "type": "RegularFile"}}, {"location": {"path": ""}}],
+        "source": {"id": "s", "type": "image", "target": {"userInput": "alpine"}}, "distro": [{"id": "alpine", "prettyName": "A"}], "descriptor": {"name": "scan", "version": "2", "configuration": {"search": {"scope": "Squashed"}}}, "schema": {"version": "16"},
+    }
+    docs = frame(spark, s=doc)
+    got = {r.id: r for r in components(docs).collect()}
+    assert {k: r.hashes for k, r in got.items()} == {"j": {"SHA1": "a", "MD5": "b"}, "l": {"SHA512": "x-y"}, "r": {"SHA256": "c"}}
+    assert got["r"].supplier == "M"
+    assert [(r.src_id, r.dst_id) for r in info.edges(docs).collect()] == [("j", "l")]
+    f = info.document_info(docs).first()
+    assert (f.os_name, f.os_pretty_name, f.source_name, f.search_scope, f.schema_version, f.files_count) == ("alpine", "A", "alpine", "Squashed", "16", 2)
+    assert {r.key: r["count"] for r in info.relationship_counts(docs).collect()} == {"dependency-of": 1, "contains": 1}
+    assert [(r.path, r.layer, r.size) for r in info.files(docs).collect()] == [("/a", "L", 3)]
+
+
+def test_json_facts_and_edges(spark):
+    cdx = CDX | {"metadata": {"authors": [{"name": ""}, {"name": "me"}], "tools": {"components": [{"name": "t", "version": "3"}]}, "component": {"type": "application", "name": "app"}}, "dependencies": [{"ref": "r2", "dependsOn": ["r2", "none"]}]}
+    old = CDX | {"metadata": {"supplier": {"name": "S"}, "tools": [{"name": "u", "version": "4"}]}}
+    spdx = SPDX | {"creationInfo": {"created": "now", "creators": ["Organization: O", "Tool: x-1.2"]}, "relationships": [{"spdxElementId": "SPDXRef-a", "relatedSpdxElement": "SPDXRef-b", "relationshipType": "DEPENDENCY_OF"}, {"spdxElementId": "SPDXRef-a", "relatedSpdxElement": "NONE", "relationshipType": "DEPENDS_ON"}]}
+    docs = frame(spark, c=cdx, o=old, p=spdx)
+    got = {r.sbom_id: (r.tool_name, r.tool_version, r.sbom_author, r.source_name) for r in info.document_info(docs).collect()}
+    assert got == {"c": ("t", "3", "me", "app"), "o": ("u", "4", "S", ""), "p": ("x", "1.2", "O", "")}
+    assert {(r.sbom_id, r.src_id, r.dst_id) for r in info.edges(docs).collect()} == {("c", "cpe:v:p", "cpe:v:p"), ("p", "ref:b", "pkg:deb/a")}
