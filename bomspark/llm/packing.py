@@ -15,6 +15,7 @@ from __future__ import annotations
 import re
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -91,11 +92,17 @@ class WordTokenizer:
             return b"".join([known.get(w) or self.word(w) for w in words])
 
 
+@lru_cache(maxsize=1)
+def worker_tokenizer(path: str) -> WordTokenizer:
+    """One tokenizer, with the words it has met, for all tasks of a Python worker."""
+    return WordTokenizer(path)
+
+
 def tokenized_pieces(docs: DataFrame, tokenizer_path: str, window: int = 4096, eos: int = 2, id_col: str = "doc_id", text: str = "text", with_ids: bool = False) -> DataFrame:
     """Pieces of at most ``window`` ids of every document, with a checksum and, if asked, the ids."""
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        tokenizer, end = WordTokenizer(tokenizer_path), np.array([eos], "<u4").tobytes()
+        tokenizer, end = worker_tokenizer(tokenizer_path), np.array([eos], "<u4").tobytes()
         for batch in batches:
             rows = []
             for doc, value in zip(batch.iloc[:, 0], batch.iloc[:, 1], strict=True):
