@@ -63,8 +63,9 @@ def shingle_set(text: str | None, words: int) -> np.ndarray:
     return np.unique(_scatter(total))
 
 
-def local_repeats(docs: DataFrame, words: int, flush: int = 1_000_000) -> DataFrame:
-    """(token, n) of shingles that several documents of one task hold."""
+def local_repeats(docs: DataFrame, words: int, flush: int = 4_000_000) -> DataFrame:
+    """(token, n) of shingles that several documents of one task hold, counted in windows of
+    ``flush`` shingles; a shorter window takes less memory and misses more of the repeats."""
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         def repeats(parts: list[np.ndarray]) -> pd.DataFrame:
@@ -242,11 +243,13 @@ def components(links: DataFrame) -> DataFrame:
     return edges.select(F.col("u").alias("nid"), F.col("v").alias("comp"))
 
 
-def similar_components(docs: DataFrame, words: int = 3, threshold: tuple[int, int] = (90, 100), id_col: str = "doc_id", text: str = "text", leader_rounds: int = 2) -> DataFrame:
-    """doc_id, n_shingles, component_id of every row; threshold is a fraction (numerator, denominator)."""
+def similar_components(docs: DataFrame, words: int = 3, threshold: tuple[int, int] = (90, 100), id_col: str = "doc_id", text: str = "text", leader_rounds: int = 2, count_window: int = 4_000_000) -> DataFrame:
+    """doc_id, n_shingles, component_id of every row; threshold is a fraction (numerator, denominator).
+
+    ``count_window`` bounds the memory of counting frequent shingles; links don't depend on it."""
     num, den = threshold
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    frequent = frequent_tokens(local_repeats(docs.select("text"), words))
+    frequent = frequent_tokens(local_repeats(docs.select("text"), words, count_window))
     profile = materialize(profiles(docs, frequent, words, num, den), "profiles")
     first = [F.first(c).alias(c) for c in ("n", "rare", "sigs", "wide", *BITMAP)]
     nodes = materialize(profile.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("least_doc"), *first).withColumn("nid", F.monotonically_increasing_id()), "nodes")

@@ -35,7 +35,7 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents linked by similar shingle sets (five words, 0.8) the smallest id stays."""
-    found = similar_components(docs, words=5, threshold=(80, 100))
+    found = similar_components(docs, words=5, threshold=(80, 100), count_window=1_000_000)
     return _without(docs, found.where("component_id <> doc_id").select("doc_id"))
 
 
