@@ -287,4 +287,4 @@ query("fnd_relationships", "SELECT 'Relationships: ' || format('{:,}', (SELECT c
 )
 snap("fnd_quality", "SELECT 'Low ' || what || ' coverage: ' || printf('%.1f', (total - missing) * 100.0 / total) || '% (' || missing || ' of ' || total || ' missing)' AS message FROM (SELECT unnest(['license', 'hash']) AS what, unnest([lic, hash]) AS missing, total FROM (SELECT count(*) AS total, count(*) FILTER (lic = '') AS lic, count(*) FILTER (hash = '') AS hash FROM a WHERE ordinal % 24 = 12 OR ordinal % 90 = 0)) WHERE (total - missing) * 100.0 / total < 50")(lambda s: findings.quality(profile.profile(s.after.where("ordinal % 24 = 12 or ordinal % 90 = 0"))).select("message"))
 query("fnd_duplicates", "SELECT count(*) || ' duplicate component groups detected' AS message FROM d HAVING count(*) > 0", ITEMS)(lambda spark, d: findings.duplicate_groups(items(spark, d)).select("message"))
-snap("fnd_dominant_path", "SELECT printf('%.1f', n * 100.0 / total) || '% of added packages are ' || ptype || ', concentrated in /usr/lib/Brand#13' AS message FROM (SELECT ptype, count(*) AS n, sum(count(*)) OVER () AS total FROM a WHERE location LIKE '/usr/lib/Brand#13/%' AND (ordinal % 5 = 0 OR ordinal % 10 = 1) GROUP BY 1) WHERE total >= 20 AND n >= 10 AND n * 100.0 / total >= 50 ORDER BY n DESC, ptype DESC LIMIT 1")(lambda s: findings.dominant_path(s.after.where(F.get("locations", F.lit(0)).startswith("/usr/lib/Brand#13/") & ((C("ordinal") % 5 == 0) | (C("ordinal") % 10 == 1))), "added").select("message"))
+snap("fnd_dominant_path", "SELECT printf('%.1f', n * 100.0 / total) || '% of added packages are ' || ptype || ', concentrated in /usr/lib/Brand#13' AS message FROM (SELECT ptype, count(*) AS n, sum(count(*)) OVER () AS total FROM comp WHERE location LIKE '/usr/lib/Brand#13/%' AND (ordinal % 5 = 0 OR ordinal % 10 = 1) GROUP BY 1) WHERE total >= 20 AND n >= 10 AND n * 100.0 / total >= 50 ORDER BY n DESC, ptype DESC LIMIT 1")(lambda s: findings.dominant_path(s.all.where(F.get("locations", F.lit(0)).startswith("/usr/lib/Brand#13/") & ((C("ordinal") % 5 == 0) | (C("ordinal") % 10 == 1))), "added").select("message"))
