@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from .functions import scalars as fn
 from .operators import diff as df_
-from .operators import explore, files, findings, graph, profile, rules
+from .operators import explore, files, findings, graph, headlines, profile, rules
 from .plans.adaptor import FILES, INFO, REACH, SQL, components, edges
 from .plans.adaptor import files as file_tables
 from .tables import read, settle
@@ -288,3 +288,60 @@ query("fnd_relationships", "SELECT 'Relationships: ' || format('{:,}', (SELECT c
 snap("fnd_quality", "SELECT 'Low ' || what || ' coverage: ' || printf('%.1f', (total - missing) * 100.0 / total) || '% (' || missing || ' of ' || total || ' missing)' AS message FROM (SELECT unnest(['license', 'hash']) AS what, unnest([lic, hash]) AS missing, total FROM (SELECT count(*) AS total, count(*) FILTER (lic = '') AS lic, count(*) FILTER (hash = '') AS hash FROM a WHERE ordinal % 24 = 12 OR ordinal % 90 = 0)) WHERE (total - missing) * 100.0 / total < 50")(lambda s: findings.quality(profile.profile(s.after.where("ordinal % 24 = 12 or ordinal % 90 = 0"))).select("message"))
 query("fnd_duplicates", "SELECT count(*) || ' duplicate component groups detected' AS message FROM d HAVING count(*) > 0", ITEMS)(lambda spark, d: findings.duplicate_groups(items(spark, d)).select("message"))
 snap("fnd_dominant_path", "SELECT printf('%.1f', n * 100.0 / total) || '% of added packages are ' || ptype || ', concentrated in /usr/lib/Brand#13' AS message FROM (SELECT ptype, count(*) AS n, sum(count(*)) OVER () AS total FROM comp WHERE location LIKE '/usr/lib/Brand#13/%' AND (ordinal % 5 = 0 OR ordinal % 10 = 1) GROUP BY 1) WHERE total >= 20 AND n >= 10 AND n * 100.0 / total >= 50 ORDER BY n DESC, ptype DESC LIMIT 1")(lambda s: findings.dominant_path(s.all.where(F.get("locations", F.lit(0)).startswith("/usr/lib/Brand#13/") & ((C("ordinal") % 5 == 0) | (C("ordinal") % 10 == 1))), "added").select("message"))
+
+
+# The findings over counts, as messages.
+def _listing(rows: str, limit: int, prefix: str, more: bool) -> str:
+    rest = f" || CASE WHEN count(*) > {limit} THEN ' + ' || (count(*) - {limit}) || ' more' ELSE '' END" if more else ""
+    return f"SELECT '{prefix}: ' || string_agg(key || ' (' || format('{{:,}}', n) || ')', ', ' ORDER BY n DESC, key) FILTER (r <= {limit}){rest} AS message FROM (SELECT *, row_number() OVER (ORDER BY n DESC, key) AS r FROM (SELECT key, count(*) AS n FROM ({rows}) GROUP BY 1)) HAVING sum(n) >= {1 if more else 20}"
+
+
+PREFIX = "SELECT regexp_extract(location, '^(/[^/]*/[^/]*/[^/]*)', 1) AS key FROM "
+DELTA = "CASE WHEN a <> b THEN printf('%+d', a - b) || ' {what} (' || printf('%.1f', (a - b) * 100.0 / b) || '%)' END"
+UPDOWN = "list_transform(string_split(version_{}, '.'), lambda x: CAST(x AS BIGINT))"
+
+
+def message(key: str, sql: str):
+    """Messages of a finding over the two snapshots."""
+
+    def register(f: Callable[[Snapshots], DataFrame]):
+        snap(key, sql)(lambda s: f(s).select("message"))
+        return f
+
+    return register
+
+
+message(
+    "msg_dominant_type",
+    _listing("SELECT ptype AS key FROM a", 3, "Top ecosystems", True) + " UNION ALL SELECT 'Dominated by npm: ' || format('{:,}', n) || ' of ' || format('{:,}', t) || ' packages (' || printf('%.1f', n * 100.0 / t) || '%)' FROM (SELECT count(*) FILTER (ptype = 'npm') AS n, count(*) AS t FROM b WHERE ordinal % 5 = 0 OR ordinal % 25 = 1)",
+)(lambda s: headlines.dominant_type(s.after).unionByName(headlines.dominant_type(s.before.where("ordinal % 5 = 0 or ordinal % 25 = 1"))))
+message("msg_hotspots", _listing(PREFIX + "a", 4, "Top directories", False))(lambda s: headlines.hotspots(s.after))
+message("msg_change_hotspots", f"SELECT * FROM ({_listing(PREFIX + 'removed', 4, 'Top removal areas', False)}) UNION ALL SELECT * FROM ({_listing(PREFIX + 'added', 4, 'Top addition areas', False)})")(lambda s: headlines.change_hotspots(s.diff))
+message("msg_catalogers", _listing("SELECT found_by AS key FROM b WHERE found_by <> ''", 3, "Top catalogers", True))(lambda s: headlines.top_catalogers(s.before))
+message("msg_license_profile", "SELECT 'License profile: ' || printf('%.0f', p * 100.0 / t) || '% permissive, ' || printf('%.0f', c * 100.0 / t) || '% copyleft' || CASE WHEN u * 100.0 / t > 10 THEN ', ' || printf('%.0f', u * 100.0 / t) || '% unknown' ELSE '' END AS message FROM (SELECT count(*) AS t, count(*) FILTER (lic = '') AS u, count(*) FILTER (contains(lic, 'GPL')) AS c, count(*) FILTER (lic <> '' AND NOT contains(lic, 'GPL')) AS p FROM a)")(lambda s: headlines.license_profile(s.after))
+message(
+    "msg_surface",
+    f"SELECT 'Attack surface: ' || concat_ws(', ', {DELTA.format(what='packages')}, '+300 files (25.0%)') AS message FROM (SELECT (SELECT count(*) FROM b) AS b, (SELECT count(*) FROM a WHERE ordinal % 7 > 0) AS a)",
+)(lambda s: headlines.surface(s.all.where("side = 'before' or ordinal % 7 > 0"), INFO["before"], INFO["after"]))
+message(
+    "msg_ecosystems",
+    "SELECT 'npm ecosystem entirely removed (' || format('{:,}', count(*)) || ' → 0 packages)' AS message FROM b WHERE ptype = 'npm' UNION ALL SELECT 'New ecosystem: rpm (' || count(*) || ' packages)' FROM a WHERE ptype = 'rpm'",
+)(lambda s: headlines.ecosystems(s.before.where("ordinal % 5 <> 1"), s.after.where("ordinal % 5 <> 0")))
+message(
+    "msg_versions",
+    f""", moved AS (SELECT id, name, version_from, version_to, CASE WHEN {UPDOWN.format('from')} > {UPDOWN.format('to')} THEN 'down' WHEN split_part(version_from, '.', 1) <> split_part(version_to, '.', 1) THEN 'major'
+    WHEN split_part(version_from, '.', 2) <> split_part(version_to, '.', 2) THEN 'minor' ELSE 'patch' END AS kind, row_number() OVER (PARTITION BY {UPDOWN.format('from')} > {UPDOWN.format('to')} ORDER BY id) AS r FROM ch WHERE drift = 'version')
+    SELECT count(*) || ' version downgrades detected: ' || string_agg(name || ' ' || version_from || '→' || version_to, ', ' ORDER BY id) FILTER (r <= 5) || CASE WHEN count(*) > 5 THEN ' + ' || (count(*) - 5) || ' more' ELSE '' END AS message FROM moved WHERE kind = 'down'
+    UNION ALL SELECT count(*) || ' version upgrades (' || concat_ws(', ', CASE WHEN count(*) FILTER (kind = 'major') > 0 THEN count(*) FILTER (kind = 'major') || ' major' END, CASE WHEN count(*) FILTER (kind = 'minor') > 0 THEN count(*) FILTER (kind = 'minor') || ' minor' END,
+      CASE WHEN count(*) FILTER (kind = 'patch') > 0 THEN count(*) FILTER (kind = 'patch') || ' patch' END) || ') among ' || format('{{:,}}', (SELECT count(*) FROM b) - (SELECT count(*) FROM removed)) || ' shared packages' FROM moved WHERE kind <> 'down'""",
+)(lambda s: headlines.version_changes(s.before, s.diff))
+message("msg_integrity", "SELECT 'Integrity drift (' || CAST(sum(n) AS BIGINT) || ' total): ' || string_agg(n || ' ' || ptype || CASE ptype WHEN 'rpm' THEN ' (expected for rebuilds)' ELSE ' (review recommended)' END, ', ' ORDER BY n DESC, ptype) AS message FROM (SELECT ptype, count(*) AS n FROM ch WHERE drift = 'integrity' GROUP BY 1) HAVING count(*) > 0")(lambda s: headlines.integrity(s.diff))
+message(
+    "msg_stable_types",
+    "SELECT 'Core system packages stable: ' || string_agg(k || ' (' || format('{:,}', n) || ')', ', ' ORDER BY n DESC, k) || ' unchanged' AS message FROM (SELECT ptype AS k, count(*) AS n FROM b GROUP BY 1 INTERSECT SELECT ptype, count(*) FROM a GROUP BY 1) WHERE n > 10 HAVING count(*) > 0",
+)(lambda s: headlines.stable_types(s.before, s.after))
+message(
+    "msg_license_shift",
+    "SELECT 'License shift: ' || concat_ws(', ', CASE WHEN c <> 0 THEN 'copyleft ' || printf('%+d', c) END, CASE WHEN p <> 0 THEN 'permissive ' || printf('%+d', p) END) AS message FROM (SELECT sum(s) FILTER (contains(lic, 'GPL'))::BIGINT AS c, sum(s) FILTER (lic <> '' AND NOT contains(lic, 'GPL'))::BIGINT AS p FROM (SELECT lic, CASE side WHEN 'after' THEN 1 ELSE -1 END AS s FROM comp)) WHERE c <> 0 OR p <> 0",
+)(lambda s: headlines.license_shift(s.all))
+message("msg_cataloger_gaps", "SELECT found_by || ' found ' || format('{:,}', count(*)) || ' packages in Before but none in After' AS message FROM b WHERE found_by <> '' AND found_by NOT IN (SELECT found_by FROM a) GROUP BY found_by")(lambda s: headlines.cataloger_gaps(s.before, s.after))
