@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import sys
 from dataclasses import dataclass, replace
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .operators import findings, graph, profile, rules
+from .operators import findings, graph, headlines, profile, rules
 from .operators.diff import diff
 from .sinks.reports import Report
 from .sources import documents, info
@@ -34,7 +35,8 @@ def load(spark: SparkSession, path: str, strict: bool = False) -> Document:
         raise ValueError("; ".join(warnings))
     facts = info.document_info(raw).first()
     comps = settle(documents.components(raw), "components")
-    return Document(comps, settle(info.edges(raw), "edges"), facts.asDict() if facts else {}, warnings)
+    known = facts.asDict() | {"relationship_counts": {r["key"]: r["count"] for r in info.relationship_counts(raw).toLocalIterator()}} if facts else {}
+    return Document(comps, settle(info.edges(raw), "edges"), known, warnings)
 
 
 def compare(before: Document, after: Document, policy: rules.Policy | None = None) -> Report:
@@ -44,12 +46,13 @@ def compare(before: Document, after: Document, policy: rules.Policy | None = Non
     result = replace(result, rows=settle(result.rows, "diff"))
     new = settle(graph.transitive_changes(a, after.edges, b, before.edges), "transitive")
     scores = profile.framework_scores(a, after.edges, after.facts)
-    found = findings.context(spark, before.facts, after.facts).unionByName(findings.os_change(spark, before.facts, after.facts))
-    for rows, direction in ((result.removed, "removed"), (result.added, "added")):
-        found = found.unionByName(findings.dominant_path(rows, direction))
-    overview = profile.profile(b).withColumn("side", F.lit("before")).unionByName(profile.profile(a).withColumn("side", F.lit("after")))
+    sides = b.withColumn("side", F.lit("before")).unionByName(a.withColumn("side", F.lit("after")))
+    found = [findings.context(spark, before.facts, after.facts), headlines.surface(sides, before.facts, after.facts), headlines.ecosystems(b, a), findings.os_change(spark, before.facts, after.facts), headlines.version_changes(b, result), headlines.integrity(result)]
+    found += [findings.dominant_path(rows, direction) for rows, direction in ((result.removed, "removed"), (result.added, "added"))]
+    found += [headlines.change_hotspots(result), headlines.stable_types(b, a), headlines.license_shift(sides), headlines.cataloger_gaps(b, a)]
+    overview = profile.profile(sides, "side")
     violations = rules.evaluate(policy, result, a, new, scores) if policy else None
-    return Report(result, violations, new, found, overview)
+    return Report(result, violations, new, reduce(DataFrame.unionByName, found), overview)
 
 
 def failed(report: Report) -> bool:
@@ -63,5 +66,7 @@ def summarize(document: Document) -> tuple[DataFrame, DataFrame, DataFrame]:
     """The statistics, findings and framework scores of one document."""
     c, spark = document.components, document.components.sparkSession
     stats = profile.profile(c)
-    found = findings.operating_system(spark, document.facts).unionByName(findings.files(spark, document.facts)).unionByName(findings.quality(stats)).unionByName(findings.duplicate_groups(c))
-    return stats, found, profile.framework_scores(c, document.edges, document.facts)
+    pk, counts = profile.packages(c), [(k, n) for k, n in (document.facts.get("relationship_counts") or {}).items()]
+    found = [findings.operating_system(spark, document.facts), headlines.dominant_type(pk), findings.files(spark, document.facts), findings.relationships(spark.createDataFrame(counts, "key string, count long")), headlines.hotspots(c)]
+    found += [headlines.license_profile(pk), findings.quality(profile.profile(pk)), findings.duplicate_groups(c), headlines.top_catalogers(c)]
+    return stats, reduce(DataFrame.unionByName, found).orderBy("finding_ordinal"), profile.framework_scores(c, document.edges, document.facts)

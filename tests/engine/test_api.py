@@ -22,9 +22,15 @@ def test_diff_status_and_report(spark, paths):
     assert main(["diff", paths["old"], paths["new"], "-f", "json", "--policy", paths["policy"], "-o", paths["out"]], spark) == 1
     got = json.loads(open(paths["out"]).read())
     assert [c["id"] for c in got["added"]] == ["c"] and got["violations"] == [] and len(got["overview"]) == 2
+    assert [f if isinstance(f, str) else f["message"] for f in got["findings"]] == ["1 version upgrades (1 major) among 1 shared packages"]
     assert main(["diff", paths["old"], paths["old"], "-o", paths["out"]], spark) == 0
 
 
+def test_findings_of_one_document(spark, paths):
+    _, found, _ = api.summarize(api.load(spark, paths["old"]))
+    assert [r.message for r in found.collect()] == ["Top ecosystems: npm (1), unknown (1)", "License profile: 100% unknown", "Low license coverage: 0.0% (2 of 2 missing)", "Low hash coverage: 0.0% (2 of 2 missing)", "Low PURL coverage: 50.0% (1 of 2 missing)"]
+
+
 def test_unknown_documents(spark, paths):
     document = api.load(spark, paths["bad"])
     assert document.components.isEmpty() and document.facts == {} and len(document.warnings) == 1
