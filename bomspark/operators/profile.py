@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as fn
+from ..functions.licenses import valid_spdx
 
 
 def packages(comps: DataFrame) -> DataFrame:
@@ -80,17 +81,6 @@ def compliance_counts(comps: DataFrame, edges: DataFrame) -> DataFrame:
     return counts.crossJoin(covered)  # one row each
 
 
-#: Common public licence identifiers, fixed values.
-SPDX_IDS = ("0BSD", "AGPL-3.0-only", "AGPL-3.0-or-later", "Apache-2.0", "Artistic-2.0", "BSD-2-Clause", "BSD-3-Clause", "BSL-1.0", "CC0-1.0", "CDDL-1.0", "EPL-1.0", "EPL-2.0", "EUPL-1.2", "GPL-2.0", "GPL-2.0-only", "GPL-2.0-or-later", "GPL-3.0", "GPL-3.0-only", "GPL-3.0-or-later", "ISC", "LGPL-2.1", "LGPL-2.1-only", "LGPL-2.1-or-later", "LGPL-3.0-only", "LGPL-3.0-or-later", "MIT", "MPL-1.1", "MPL-2.0", "OpenSSL", "PostgreSQL", "Python-2.0", "Unlicense", "WTFPL", "X11", "Zlib")
-
-
-def valid_spdx(licenses: Column) -> Column:
-    """At least one licence, and each a known id or known ids joined by AND, OR, WITH."""
-    known = F.array(*map(F.lit, SPDX_IDS))
-    ids = lambda x: F.split(F.regexp_replace(x, r"[()]", ""), r"\s+(?:AND|OR|WITH)\s+")
-    return (F.size(licenses) > 0) & F.forall(licenses, lambda x: F.size(F.array_except(ids(x), known)) == 0)
-
-
 def checks(comps: DataFrame, edges: DataFrame, info: dict, standard: str) -> DataFrame:
     """check, passed: component checks pass when all packages do, document checks by ``info``."""
     rows = COMPONENT_CHECKS[standard]

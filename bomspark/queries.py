@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import scalars as fn
+from .functions.licenses import valid_expression, valid_spdx
 from .operators import diff as df_
 from .operators import explore, files, findings, graph, headlines, profile, rules
 from .plans.adaptor import FILES, INFO, REACH, SQL, components, edges
@@ -70,7 +71,8 @@ scalar("fn_pct", lambda: C("ordinal") * 100 / 7, "CAST(ordinal * 100 AS DOUBLE)
 scalar("fn_multiset_eq", lambda: fn.multiset_eq(F.array("name", "supplier"), F.array("supplier", F.when(C("ordinal") % 2 == 0, C("name")).otherwise("x"))), "ordinal % 2 = 0")
 scalar("fn_has_contact", lambda: fn.has_contact(F.when(C("ordinal") % 3 == 0, "a@b").when(C("ordinal") % 3 == 1, "https://x").otherwise("http:/x")), "ordinal % 3 < 2")
 scalar("fn_has_lookup_id", lambda: fn.has_lookup_id(F.when(C("ordinal") % 2 == 0, C("purl")).otherwise(""), C("cpes")), "ordinal % 2 = 0")
-scalar("fn_valid_spdx", lambda: profile.valid_spdx(C("licenses")), "lic NOT IN ('', 'NOASSERTION')")
+scalar("fn_valid_spdx", lambda: valid_spdx(C("licenses")), "lic NOT IN ('', 'NOASSERTION')")
+scalar("fn_valid_expression", lambda: valid_expression(F.concat(F.when(C("ordinal") % 3 == 0, "((").otherwise("("), F.coalesce(F.get("licenses", F.lit(0)), F.lit("")), F.lit(") AND gpl-2.0+ WITH Classpath-exception-2.0"), F.when(C("ordinal") % 3 == 0, " OR LicenseRef-x)").when(C("ordinal") % 3 == 1, " OR no-such-id").otherwise(""))), "lic <> '' AND ordinal % 3 <> 1")
 scalar("fn_hash_alg", lambda: F.concat_ws("|", *[fn.hash_alg(F.when(C("ordinal") % 2 == 0, "sha-256").otherwise("blake3"), t) for t in ("cyclonedx", "spdx")]), "CASE ordinal % 2 WHEN 0 THEN 'SHA-256|SHA256' ELSE 'BLAKE3|BLAKE3' END")
 scalar("fn_cdx_type", lambda: fn.cdx_type(F.when(C("ordinal") % 2 == 0, "Firmware").otherwise("npm")), "CASE ordinal % 2 WHEN 0 THEN 'firmware' ELSE 'library' END")
 scalar("fn_bom_ref", lambda: fn.bom_ref(F.lit(""), F.when(C("ordinal") % 2 == 0, C("purl")).otherwise(""), C("name"), C("version"), C("id")), "CASE ordinal % 2 WHEN 0 THEN purl ELSE name || '@' || version END")
