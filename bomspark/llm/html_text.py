@@ -4,7 +4,10 @@ Each page's html becomes a tree of elements. Elements that never hold article te
 off first. For every node the density is its characters per tag, adjusted for link
 characters; a node's density sum adds up its children's densities. From the body down, a
 node above the threshold (the least density on the path from the body to the node of
-maximum density sum) yields its maximum-sum subtree as content.
+maximum density sum) yields its maximum-sum subtree as content, and so does every child
+beside that subtree, all the way down. The subtrees are joined in page order, with the
+headings right before them and with what stands between two of them in one parent, unless
+links hold most of it.
 
 Defined results: null, empty or text-free html gives an empty text. Markup may be cut off
 anywhere; unclosed elements end with their parent. Texts are never cut. Repeated rows are
@@ -31,6 +34,7 @@ RAW = frozenset({"script", "style", "textarea", "title", "iframe", "noembed", "n
 VOID = frozenset({"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"})
 DROPPED = frozenset({"script", "style", "title", "head", "iframe", "textarea", "noscript", "template", "nav", "header", "footer", "aside", "form", "button", "select", "dialog", "menu", "svg", "canvas", "object", "noembed", "noframes", "xmp", "audio", "video", "datalist"})
 BLOCK = frozenset({"address", "article", "blockquote", "body", "center", "dd", "details", "dir", "div", "dl", "dt", "fieldset", "figcaption", "figure", "h1", "h2", "h3", "h4", "h5", "h6", "hr", "html", "li", "main", "ol", "p", "pre", "section", "summary", "table", "tbody", "td", "tfoot", "th", "thead", "tr", "ul", "header", "footer", "nav", "aside", "form", "hgroup", "caption"})
+HEADINGS = frozenset({"h1", "h2", "h3", "h4", "h5", "h6"})
 #: Words in class, id or role that mark what is not the article.
 BOILERPLATE = frozenset(
     "ad ads adv advert adverts advertisement advertising adsense sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices alert comment comments commentlist disqus reply replies respond sidebar sidebars widget widgets related recommended share sharing social menu menus nav navbar navigation breadcrumb breadcrumbs pagination pager footer header masthead topbar newsletter subscribe subscription signup login popup modal overlay paywall toolbar search contentinfo complementary form".split()
@@ -41,7 +45,7 @@ SCOPES = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"
 
 
 class Node:
-    __slots__ = ("name", "parent", "items", "off", "kids", "chars", "tags", "link_chars", "link_tags", "density", "total")
+    __slots__ = ("name", "parent", "items", "off", "kids", "chars", "tags", "link_chars", "link_tags", "density", "total", "top", "marked", "holds")
 
     def __init__(self, name: str, parent: Node | None, off: bool = False):
         self.name, self.parent, self.off = name, parent, off
@@ -125,40 +129,46 @@ def _measure(root: Node) -> list[Node]:
             base = math.log(c * lc / max(c - lc, 1) + ratio * c + math.e)
             node.density = max(c / t * math.log(max(c / max(lc, 1) * t / lt, 1.0)) / math.log(base) if base > 1.0001 else c / t, 0.0)
         node.total = sum(k.density for k in node.kids)
+        node.marked = node.holds = False
+        node.top = max((node, *(k.top for k in node.kids)), key=lambda n: n.total)
     return order
 
 
-def _contents(body: Node, order: list[Node]) -> list[Node]:
-    best = max((n for n in order if n is body or _below(n, body)), key=lambda n: n.total)
-    threshold, node = best.density, best
+def _mark(body: Node) -> None:
+    """Marks the content's subtrees and, with ``holds``, all nodes above them up to the body."""
+    threshold, node = body.top.density, body.top
     while node is not body:
         node = node.parent
         threshold = min(threshold, node.density)
-    found, stack = [], [body]
+    stack = [body]
     while stack:
         node = stack.pop()
-        if node.density < threshold:
+        if node.density >= threshold and not node.marked and node.chars:
+            top = node.top if node.top.total > 0 else node
+            top.marked = True
+            while top is not body and not top.holds:
+                top.holds = True
+                top = top.parent
+            top.holds = True
+        if not node.marked:
             stack.extend(reversed(node.kids))
-            continue
-        inner, inside = [node], [node]
-        while inside:
-            kids = inside.pop().kids
-            inner.extend(kids)
-            inside.extend(kids)
-        top = max(inner, key=lambda n: n.total)
-        found.append(top if top.total > 0 else node)
-    return found
-
-
-def _below(node: Node, top: Node) -> bool:
-    while node.parent is not None:
-        node = node.parent
-        if node is top:
-            return True
-    return False
 
 
-def _text(tops: list[Node]) -> str:
+def _chosen(node: Node) -> Iterator[tuple[Node | str, bool]]:
+    """The items of a node above marked ones that may hold content, and whether they are content as a whole."""
+    items = [x for x in node.items if isinstance(x, str) or not x.off]
+    held = [i for i, x in enumerate(items) if isinstance(x, Node) and x.holds]
+    first, last = held[0], held[-1]
+    while first and (items[first - 1].name in HEADINGS if isinstance(items[first - 1], Node) else not items[first - 1].strip()):
+        first -= 1
+    for x in items[first : last + 1]:
+        if isinstance(x, Node) and x.holds:
+            yield x, x.marked
+        elif isinstance(x, str) or 2 * x.link_chars <= x.chars:
+            yield x, True
+
+
+def _text(body: Node) -> str:
     blocks: list[str] = []
     line: list[str] = []
 
@@ -168,22 +178,21 @@ def _text(tops: list[Node]) -> str:
         if words:
             blocks.append(words)
 
-    for top in tops:
-        stack: list[Node | str | None] = [top]
-        while stack:
-            item = stack.pop()
-            if item is None:
+    stack: list[tuple[Node | str | None, bool]] = [(body, body.marked)]
+    while stack:
+        item, whole = stack.pop()
+        if item is None:
+            end_block()
+        elif isinstance(item, str):
+            line.append(item)
+        elif not item.off:
+            if item.name in BLOCK:
                 end_block()
-            elif isinstance(item, str):
-                line.append(item)
-            elif not item.off:
-                if item.name in BLOCK:
-                    end_block()
-                    stack.append(None)
-                elif item.name == "br":
-                    line.append(" ")
-                stack.extend(reversed(item.items))
-        end_block()
+                stack.append((None, False))
+            elif item.name == "br":
+                line.append(" ")
+            stack.extend(reversed([(x, True) for x in item.items] if whole else [*_chosen(item)]))
+    end_block()
     return "\n".join(blocks)
 
 
@@ -194,7 +203,10 @@ def extract(page: str | None) -> str:
     root = parse(page)
     order = _measure(root)
     body = next((n for n in order if n.name == "body"), root)
-    return _text(_contents(body, order)) if body.chars else ""
+    if not body.chars:
+        return ""
+    _mark(body)
+    return _text(body)
 
 
 def extract_pages(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:

@@ -33,3 +33,16 @@ def test_query_keeps_every_page(spark):
     got = sorted((r.page_id or 0, r.url, r.text, r.n_chars) for r in extract_pages(pages).collect())
     assert got[0] == (0, "v", "x", 1) and got[2:] == [(2, None, "", 0)] * 2 and got[1][3] == len(extract(PAGE))
     assert extract_pages(pages.limit(0)).count() == 0
+
+
+def paragraphs(key, n=3, chars=300):
+    return [f"{key}{i} ".ljust(chars, "x") for i in range(n)]
+
+
+def test_article_split_over_siblings_is_whole():
+    a, b, c = paragraphs("a"), paragraphs("b"), paragraphs("c", 8, 200)
+    tags = lambda texts, name="p": "".join(f"<{name}>{t}</{name}>" for t in texts)
+    nav = "<div>" + "<a href=x>some link</a> " * 5 + "</div>"
+    assert extract(f"<body>{nav}<article><section>{tags(a)}</section><section>{tags(b)}</section></article>{nav}</body>") == "\n".join(a + b)
+    assert extract(f"<article><h1>Title</h1><section>{tags(a)}</section>{nav}<h2>Next</h2>loose <i>text</i><p>Short.</p><section>{tags(b)}</section></article>") == "\n".join(["Title", *a, "Next", "loose text", "Short.", *b])
+    assert extract(f"<article>{tags(a)}<ul>{tags(c, 'li')}</ul>{tags(b)}</article>") == "\n".join(a + c + b)
