@@ -1,7 +1,11 @@
 """Main-text extraction by composite text density.
 
-Each page's html becomes a tree of elements. Elements that never hold article text are cut
-off first. For every node the density is its characters per tag, adjusted for link
+Each page's html becomes a tree of elements. Elements that never hold article text (scripts,
+hidden parts) are cut off first. Elements that seldom do, by their tag or by a whole word of
+class, id or role, are cut unless they hold the main element or nearly all of the page's text
+outside links. Where only a part of a hyphenated word says so, or for a form, the element is
+cut if it is mostly links and holds neither an article nor most of that text. A header within
+an article stays if it has a heading. For every node the density is its characters per tag, adjusted for link
 characters; a node's density sum adds up its children's densities. From the body down, a
 node above the threshold (the least density on the path from the body to the node of
 maximum density sum) yields its maximum-sum subtree as content, and so does every child
@@ -32,34 +36,44 @@ MARK = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]
 HIDDEN = re.compile(r"""\s(?:hidden(?=[\s=/]|$)|aria-hidden\s*=\s*["']?true|style\s*=\s*["'][^"']*display\s*:\s*none)""", re.I)
 RAW = frozenset({"script", "style", "textarea", "title", "iframe", "noembed", "noframes", "xmp"})
 VOID = frozenset({"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"})
-DROPPED = frozenset({"script", "style", "title", "head", "iframe", "textarea", "noscript", "template", "nav", "header", "footer", "aside", "form", "button", "select", "dialog", "menu", "svg", "canvas", "object", "noembed", "noframes", "xmp", "audio", "video", "datalist"})
+DROPPED = frozenset({"script", "style", "title", "head", "iframe", "textarea", "noscript", "template", "button", "select", "svg", "canvas", "object", "noembed", "noframes", "xmp", "audio", "video", "datalist"})
+#: Elements that are cut by their text.
+SELDOM = frozenset({"nav", "header", "footer", "aside", "dialog", "menu"})
 BLOCK = frozenset({"address", "article", "blockquote", "body", "center", "dd", "details", "dir", "div", "dl", "dt", "fieldset", "figcaption", "figure", "h1", "h2", "h3", "h4", "h5", "h6", "hr", "html", "li", "main", "ol", "p", "pre", "section", "summary", "table", "tbody", "td", "tfoot", "th", "thead", "tr", "ul", "header", "footer", "nav", "aside", "form", "hgroup", "caption"})
 HEADINGS = frozenset({"h1", "h2", "h3", "h4", "h5", "h6"})
 #: Words in class, id or role that mark what is not the article.
 BOILERPLATE = frozenset(
     "ad ads adv advert adverts advertisement advertising adsense sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices alert comment comments commentlist disqus reply replies respond sidebar sidebars widget widgets related recommended share sharing social menu menus nav navbar navigation breadcrumb breadcrumbs pagination pager footer header masthead topbar newsletter subscribe subscription signup login popup modal overlay paywall toolbar search contentinfo complementary form".split()
 )
+#: Characters outside links that an element needs to stay for its share of the page's text.
+LEAST = 200
 #: An open element of the key ends where an element of the value starts.
 CLOSES = {"p": BLOCK - {"td", "th", "tr", "tbody", "thead", "tfoot", "caption"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "tbody", "tfoot"}, "td": {"td", "th", "tr"}, "th": {"td", "th", "tr"}, "option": {"option"}, "h1": {"h2", "p"}, "h2": {"h1", "h2", "h3", "p"}, "h3": {"h2", "h3", "h4", "p"}}
 SCOPES = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"table"}, "th": {"table"}, "p": {"td", "th", "li", "div", "article", "section", "blockquote", "body", "main"}, "option": {"select"}}
 
 
 class Node:
-    __slots__ = ("name", "parent", "items", "off", "kids", "chars", "tags", "link_chars", "link_tags", "density", "total", "top", "marked", "holds")
+    __slots__ = ("name", "parent", "items", "off", "doubt", "kids", "chars", "tags", "link_chars", "link_tags", "density", "total", "top", "marked", "holds")
 
-    def __init__(self, name: str, parent: Node | None, off: bool = False):
-        self.name, self.parent, self.off = name, parent, off
+    def __init__(self, name: str, parent: Node | None, off: bool = False, doubt: int = 0):
+        self.name, self.parent, self.off, self.doubt = name, parent, off, doubt
         self.items: list[Node | str] = []
         self.kids: list[Node] = []
 
 
-def _is_off(name: str, attrs: str) -> bool:
+def _signs(name: str, attrs: str) -> tuple[bool, int]:
+    """Whether an element is off whatever it holds, and how much speaks against it: 2 its tag or a whole word, 1 a part of one."""
     if name in DROPPED:
-        return True
+        return True, 0
+    doubt = 2 if name in SELDOM else name == "form"
     if not attrs or name in ("html", "body", "main", "article"):
-        return False
-    words = {w for m in MARK.finditer(attrs) for w in re.split(r"[^a-z0-9]+", (m[1] or m[2] or m[3] or "").lower())}
-    return not words.isdisjoint(BOILERPLATE) or HIDDEN.search(attrs) is not None
+        return False, doubt
+    words = {w for m in MARK.finditer(attrs) for w in (m[1] or m[2] or m[3] or "").lower().split()}
+    if not words.isdisjoint(BOILERPLATE - {"form"}):
+        doubt = 2
+    elif not doubt:
+        doubt = any(not BOILERPLATE.isdisjoint(re.split(r"[^a-z0-9]+", w)) for w in words)
+    return HIDDEN.search(attrs) is not None, int(doubt)
 
 
 def parse(page: str) -> Node:
@@ -94,7 +108,7 @@ def parse(page: str) -> Node:
             elif node.name in BLOCK and node.name not in CLOSES or node.name in SCOPES.get(name, ()):
                 break
             node = node.parent
-        child = Node(name, here, _is_off(name, m["attrs"]))
+        child = Node(name, here, *_signs(name, m["attrs"]))
         here.items.append(child)
         if name in RAW:
             close = re.compile(rf"</{re.escape(name)}(?=[\s/>])[^>]*>", re.I).search(page, at)
@@ -104,8 +118,8 @@ def parse(page: str) -> Node:
     return root
 
 
-def _measure(root: Node) -> list[Node]:
-    """Counts, densities and density sums bottom-up; returns nodes in page order."""
+def _count(root: Node) -> list[Node]:
+    """Characters, of all and in links, bottom-up; returns nodes in page order."""
     order, stack = [], [root]
     while stack:
         node = stack.pop()
@@ -115,9 +129,39 @@ def _measure(root: Node) -> list[Node]:
     for node in reversed(order):
         own = sum(len(" ".join(x.split())) for x in node.items if isinstance(x, str))
         node.chars = own + sum(k.chars for k in node.kids)
+        node.link_chars = node.chars if node.name == "a" else sum(k.link_chars for k in node.kids)
+    return order
+
+
+def _cut(root: Node) -> None:
+    """Cuts off the doubtful elements that their text doesn't speak for."""
+    order = _count(root)
+    inside: dict[Node, set[str]] = {}
+    for node in reversed(order):  # which of these names stand below
+        names = {n for k in node.kids for n in (k.name, *inside.get(k, ())) if n in HEADINGS or n in ("main", "article")}
+        if names:
+            inside[node] = names
+    page = root.chars - root.link_chars
+    articles = {root: False}
+    for node in order:
+        above = articles.setdefault(node, node.parent is not None and (articles[node.parent] or node.parent.name in ("main", "article")))
+        if not node.doubt:
+            continue
+        text, names = node.chars - node.link_chars, inside.get(node, set())
+        if node.name == "header" and above and text > 0 and not names.isdisjoint(HEADINGS):
+            continue
+        share = text / page if page and text >= LEAST else 0.0
+        if node.doubt > 1:
+            node.off = "main" not in names and share < 0.8
+        else:
+            node.off = 2 * node.link_chars > node.chars and names.isdisjoint({"main", "article"}) and share <= 0.5
+
+
+def _measure(root: Node) -> list[Node]:
+    """Counts, densities and density sums bottom-up; returns nodes in page order."""
+    order = _count(root)
+    for node in reversed(order):
         node.tags = sum(k.tags + 1 for k in node.kids)
-        link = node.name == "a"
-        node.link_chars = node.chars if link else sum(k.link_chars for k in node.kids)
         node.link_tags = sum(k.link_tags + (k.name == "a") for k in node.kids)
     body = next((n for n in order if n.name == "body"), root)
     ratio = body.link_chars / body.chars if body.chars else 0.0
@@ -201,6 +245,7 @@ def extract(page: str | None) -> str:
     if not page:
         return ""
     root = parse(page)
+    _cut(root)
     order = _measure(root)
     body = next((n for n in order if n.name == "body"), root)
     if not body.chars:

@@ -46,3 +46,20 @@ def test_article_split_over_siblings_is_whole():
     assert extract(f"<body>{nav}<article><section>{tags(a)}</section><section>{tags(b)}</section></article>{nav}</body>") == "\n".join(a + b)
     assert extract(f"<article><h1>Title</h1><section>{tags(a)}</section>{nav}<h2>Next</h2>loose <i>text</i><p>Short.</p><section>{tags(b)}</section></article>") == "\n".join(["Title", *a, "Next", "loose text", "Short.", *b])
     assert extract(f"<article>{tags(a)}<ul>{tags(c, 'li')}</ul>{tags(b)}</article>") == "\n".join(a + c + b)
+
+
+@pytest.mark.parametrize("head, tail", [("<div class='content no-sidebar'>", "</div>"), ("<div id=post class=with-sidebar>", "</div>"), ("<div class='post comments-enabled'>", "</div>"), ("<div class=search-result>", "</div>"), ("<form action=x><div>", "</div></form>"), ("<div class=sidebar>", "</div>"), ("<form><article>", "</article></form>")])
+def test_names_alone_do_not_cut_the_article(head, tail):
+    texts = paragraphs("t", 4)
+    body = "".join(f"<p>{t}</p>" for t in texts)
+    assert extract(f"<body><nav><a href=a>Home</a></nav>{head}{body}{tail}<footer>the owner</footer></body>") == "\n".join(texts)
+
+
+def test_elements_by_name_parts_are_cut_by_their_links():
+    texts = paragraphs("t", 4)
+    body = "".join(f"<p>{t}</p>" for t in texts)
+    links = "".join(f"<a href={i}>another story</a> " for i in range(9))
+    page = f"<article><header><h1>Title</h1></header>{body}<div class=related-posts>{links}</div><div class=post-related>More.</div><div class=comments><p>{texts[0]}</p></div></article>"
+    assert extract(page) == "\n".join(["Title", *texts, "More."])
+    posts = "".join(f"<div class='post comments-enabled'><p>{t}</p></div>" for t in texts)
+    assert extract(f"<body><header><h1>Site</h1></header>{posts}</body>") == "\n".join(texts)
