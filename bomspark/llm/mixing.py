@@ -10,8 +10,8 @@ by index. The last slot is cut to the words still missing, so totals hold to the
 
 Defined results: null texts have no words and are never taken; null sources form a source
 of their own, ordered last; a source without words has target 0. Repeated rows with one id
-are separate documents in the stream, and their taken words are reported per row when their
-sizes agree. An empty table gives an empty result. Extra columns are ignored.
+are separate documents in the stream, and so are rows without an id; taken words are reported
+and texts are cut row by row. An empty table gives an empty result. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 from .common import WORD, materialize
 
 ROUNDS = 24
+ROW = "__row"
 
 
 @dataclass(frozen=True)
@@ -32,6 +33,7 @@ class Mix:
     sources: DataFrame  #: src, source_size, target, blocks, passes, need, slots
     docs: DataFrame  #: row, doc_id, src, size, source_size, target
     spans: DataFrame  #: shard, src, slot, block, row, doc_id, start, words: what the mix takes
+    texts: DataFrame | None  #: row and all columns of the documents, if texts are wanted
 
 
 def targets(sources: DataFrame, weights: Sequence[int], most: float) -> DataFrame:
@@ -64,10 +66,13 @@ def permuted(x: Column, n: Column, seed: int, *key: Column, back: bool = False)
     return F.aggregate(F.array(*[F.lit(r) for r in rounds]), x.cast("long"), step)
 
 
-def mix(docs: DataFrame, weights: Sequence[int] = (5, 2, 1), share: float = 1.0, most: float = 3.0, block_words: int = 512, shard_slots: int = 4096, seed: int = 17, id_col: str = "doc_id", text: str = "text", source: str = "source") -> Mix:
+def mix(docs: DataFrame, weights: Sequence[int] = (5, 2, 1), share: float = 1.0, most: float = 3.0, block_words: int = 512, shard_slots: int = 4096, seed: int = 17, id_col: str = "doc_id", text: str = "text", source: str = "source", with_texts: bool = True) -> Mix:
+    """The mix of ``docs``; ``with_texts`` writes them once under their row keys, as mixed_texts needs them."""
     src = F.coalesce(F.concat(F.lit("+"), F.col(source)), F.lit("~"))  # null sorts last
     size = F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long")
-    slim = materialize(docs.select(F.col(id_col).cast("long").alias("doc_id"), src.alias("src"), size.alias("size"), F.monotonically_increasing_id().alias("row")), "sizes")
+    texts = materialize(docs.withColumn(ROW, F.monotonically_increasing_id()), "texts") if with_texts else None
+    row = F.monotonically_increasing_id() if texts is None else F.col(ROW)
+    slim = materialize((docs if texts is None else texts).select(F.col(id_col).cast("long").alias("doc_id"), src.alias("src"), size.alias("size"), row.alias("row")), "sizes")
     # Two levels of running sums: within buckets of about the square root of all rows, then over buckets.
     n = slim.count()
     buckets = max(1, round(n / max(512, n**0.5)))
@@ -107,7 +112,7 @@ def mix(docs: DataFrame, weights: Sequence[int] = (5, 2, 1), share: float = 1.0,
     # slots are made after their shuffle, whose size says nothing about theirs: no broadcast
     spans = parts.join(slots.hint("merge"), ["src", "block"]).withColumn("words", F.least("high", "limit") - F.col("low")).where("words > 0")
     spans = spans.select("shard", "src", "slot", "block", "row", "doc_id", (inside + F.col("low") - F.col("begin")).alias("start"), "words")
-    return Mix(sources, rows.select("row", "doc_id", "src", "size", "source_size", "target"), spans)
+    return Mix(sources, rows.select("row", "doc_id", "src", "size", "source_size", "target"), spans, texts)
 
 
 def taken_words(m: Mix) -> DataFrame:
@@ -116,14 +121,14 @@ def taken_words(m: Mix) -> DataFrame:
     return m.docs.join(taken, "row", "left").select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
 
 
-def mixed_texts(docs: DataFrame, m: Mix, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+def mixed_texts(docs: DataFrame, m: Mix, text: str = "text") -> DataFrame:
     """``docs`` as the mix takes them: the taken words of each pass over a document on a line of
     its own (a whole pass is the text as it is); documents of which nothing is taken go."""
     passes = m.spans.join(m.sources.select("src", "blocks"), "src").withColumn("pass", F.floor(F.col("slot") / F.col("blocks")))
-    takes = passes.groupBy("doc_id", "row", "pass").agg(F.sort_array(F.collect_list(F.struct("start", "words"))).alias("parts"), F.sum("words").alias("words"))
-    takes = takes.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("row", "pass", "words", "parts"))).alias("__takes"))
-    joined = docs.join(takes.withColumnRenamed("doc_id", id_col), id_col)
+    takes = passes.groupBy("row", "pass").agg(F.sort_array(F.collect_list(F.struct("start", "words"))).alias("parts"), F.sum("words").alias("words"))
+    takes = takes.groupBy(F.col("row").alias(ROW)).agg(F.sort_array(F.collect_list(F.struct("pass", "words", "parts"))).alias("__takes"))
+    joined = m.texts.join(takes, ROW)
     words = F.regexp_extract_all(F.col(text), F.lit(WORD), F.lit(0))
     joined = joined.withColumn("__words", words)
     pieces = F.transform("__takes", lambda t: F.when(t["words"] == F.size("__words"), F.col(text)).otherwise(F.array_join(F.flatten(F.transform(t["parts"], lambda p: F.slice("__words", p["start"].cast("int") + 1, p["words"].cast("int")))), " ")))
-    return joined.withColumn(text, F.array_join(pieces, "\n")).drop("__takes", "__words")
+    return joined.withColumn(text, F.array_join(pieces, "\n")).select(*docs.columns)

@@ -52,7 +52,7 @@ def op5_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return taken_words(mix(table(spark, sf_dir, "documents", "doc_id", "text", "source"), WEIGHTS))
+    return taken_words(mix(table(spark, sf_dir, "documents", "doc_id", "text", "source"), WEIGHTS, with_texts=False))
 
 
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -82,3 +82,19 @@ def test_empty_tables(spark):
     assert taken_words(mix(spark.createDataFrame([], "doc_id long, text string, source string"))).count() == 0
     only = taken_words(mix(spark.createDataFrame([(1, None, "a")], "doc_id long, text string, source string"))).collect()
     assert [(r.doc_id, r.size, r.target, r.taken) for r in only] == [(1, 0, 0.0, 0)]
+
+
+def test_repeated_and_missing_ids_are_mixed_row_by_row(spark):
+    texts = [" ".join(f"w{i}.{j}" for j in range(150 + i)) for i in range(40)]
+    ids = [7] * 10 + [None] * 10 + list(range(100, 115)) + [7] * 5
+    rows = [(i, t, ["hot", "a"][k % 3 == 0]) for k, (i, t) in enumerate(zip(ids, texts, strict=True))] + [(7, "same text here", "a")] * 3
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    m = mix(docs, (1, 3), block_words=64)
+    got = mixed_texts(docs, m).collect()
+    target = sum(r.target for r in m.sources.collect())
+    assert abs(sum(len(r.text.split()) for r in got) - target) <= len(m.sources.collect())
+    assert sum(r.doc_id is None for r in got) and len(got) <= len(rows)
+    for r in got:  # every row holds words of one text of its id, each three times at most
+        words = r.text.split()
+        assert max(map(words.count, words[:3])) <= 3
+        assert any(set(words) <= set(t.split()) for i, t, _ in rows if i == r.doc_id)
