@@ -70,7 +70,7 @@ def mix(docs: DataFrame, weights: Sequence[int] = (5, 2, 1), share: float = 1.0,
     """The mix of ``docs``; ``with_texts`` writes them once under their row keys, as mixed_texts needs them."""
     src = F.coalesce(F.concat(F.lit("+"), F.col(source)), F.lit("~"))  # null sorts last
     size = F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long")
-    texts = materialize(docs.withColumn(ROW, F.monotonically_increasing_id()), "texts") if with_texts else None
+    texts = materialize(docs.withColumn(ROW, F.monotonically_increasing_id()), "texts", "zstd") if with_texts else None
     row = F.monotonically_increasing_id() if texts is None else F.col(ROW)
     slim = materialize((docs if texts is None else texts).select(F.col(id_col).cast("long").alias("doc_id"), src.alias("src"), size.alias("size"), row.alias("row")), "sizes")
     # Two levels of running sums: within buckets of about the square root of all rows, then over buckets.

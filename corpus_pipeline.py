@@ -6,7 +6,7 @@ for the last, returns the columns of ``documents``.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from bomspark.llm.common import materialize, small_side, table
@@ -18,8 +18,21 @@ from bomspark.llm.registry import EOS, THRESHOLD, WEIGHTS, WINDOW, tokenizer_pat
 from bomspark.llm.stream_dedup import exact_duplicates
 
 
-def _without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
-    return docs.join(small_side(materialize(dropped, "dropped")), "doc_id", "left_anti").select(*docs.columns)
+ROW, CHARS = "__row", "__chars"
+
+
+def _keyed(docs: DataFrame) -> DataFrame:
+    """``docs`` written once with a key of its own for each row and the length of its text."""
+    return materialize(docs.withColumn(ROW, F.monotonically_increasing_id()).withColumn(CHARS, F.length(F.coalesce("text", F.lit("")))), "keyed", "zstd")
+
+
+def _firsts(keyed: DataFrame, classes: DataFrame, *order: Column) -> DataFrame:
+    """Of each class (row key, class) exactly the first row stays: by ``order``, id (null last), row key."""
+    rows = classes.join(keyed.select(ROW, CHARS, "doc_id"), ROW)
+    best = F.min(F.struct(*[c.alias(f"o{i}") for i, c in enumerate([*order, F.col("doc_id").isNull(), F.col("doc_id")])], ROW))
+    first = rows.groupBy("class").agg(best.alias("best")).select(F.col(f"best.{ROW}").alias(ROW))
+    dropped = materialize(classes.select(ROW).join(first, ROW, "left_anti"), "dropped")
+    return keyed.join(small_side(dropped), ROW, "left_anti").drop(ROW, CHARS)
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -29,14 +42,17 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts one document stays."""
-    return _without(docs, exact_duplicates(docs).where("not kept").select("doc_id"))
+    """Of equal texts exactly one row stays: the longest, then the smallest id."""
+    keyed = _keyed(docs)
+    equal = exact_duplicates(keyed, id_col=ROW).where("group_size > 1")
+    return _firsts(keyed, materialize(equal.select(F.col("doc_id").alias(ROW), F.col("keep_id").alias("class")), "equal"), -F.col(CHARS))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents linked by similar shingle sets (five words, 0.8) the smallest id stays."""
-    found = similar_components(docs, words=5, threshold=(80, 100), count_window=1_000_000)
-    return _without(docs, found.where("component_id <> doc_id").select("doc_id"))
+    """Of documents linked by similar shingle sets (five words, 0.8) exactly one row stays: the smallest id."""
+    keyed = _keyed(docs)
+    found = similar_components(keyed, words=5, threshold=(80, 100), id_col=ROW, count_window=1_000_000)
+    return _firsts(keyed, materialize(found.select(F.col("doc_id").alias(ROW), F.col("component_id").alias("class")), "linked"))
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -65,3 +65,19 @@ def test_mixing_takes_what_packing_packs(steps):
 
 def test_run_gives_the_rows_of_the_last_stage(steps, spark):
     assert sorted(map(tuple, corpus_pipeline.run(spark, SF).collect())) == sorted(map(tuple, steps[5]))
+
+
+def test_dedup_decides_row_by_row(spark):
+    text = lambda k, n=60: " ".join(f"{k}{j}" for j in range(n))
+    rows = [(None, text("a")), (3, text("a")), (None, text("b")), (None, text("b")), (5, text("c")), (5, text("c")), (5, text("d")), (4, text("d")), (6, "e  " + text("e")), (2, "e " + text("e"))]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars int").repartition(3)
+    key = lambda r: (r.doc_id is None, r.doc_id or 0, r.text or "")
+    got = corpus_pipeline.exact_dedup(spark, docs, SF)
+    assert got.columns == docs.columns
+    assert sorted(((r.doc_id, r.text) for r in got.collect()), key=str) == sorted([(3, text("a")), (None, text("b")), (5, text("c")), (4, text("d")), (6, "e  " + text("e"))], key=str)
+    near = [(None, text("a")), (3, text("a", 58)), (None, text("b")), (None, text("b", 59)), (5, text("c")), (5, text("c", 59)), (5, text("d")), (4, text("d", 59)), (5, text("f")), (7, ""), (7, None)]
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in near], docs.schema).repartition(3)
+    got = sorted(corpus_pipeline.near_dedup(spark, docs, SF).collect(), key=key)
+    assert [(r.doc_id, (r.text or "-")[0]) for r in got if r.text != ""] == [(3, "a"), (4, "d"), (5, "c"), (5, "f"), (7, "-"), (None, "b")] and len(got) == 7
+    mixed = corpus_pipeline.mixing(spark, docs, SF).collect()
+    assert abs(sum(len(r.text.split()) for r in mixed) - sum(len((t or "").split()) for _, t in near)) <= 1
