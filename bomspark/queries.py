@@ -130,6 +130,7 @@ snap("agg_samples_by_type", "SELECT * FROM (SELECT ptype AS type, id, count(*) O
 snap("topk_by_value", "SELECT lic AS key, count(*) AS count FROM a WHERE lic <> '' GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 3")(lambda s: profile.top(profile.by_license(s.after), 3))
 snap("topk_licenses", "SELECT side, key, count FROM (SELECT *, row_number() OVER (PARTITION BY side ORDER BY count DESC, key) AS r FROM (SELECT side, lic AS key, count(*) AS count FROM comp WHERE lic <> '' GROUP BY ALL)) WHERE r <= 10")(lambda s: profile.top(profile.by_license(s.all, "side"), 10, "side"))
 snap("sort_by_name", "SELECT name, ordinal FROM b ORDER BY name, ordinal LIMIT 50")(lambda s: s.before.orderBy("name", "ordinal").select("name", "ordinal").limit(50))
+snap("sort_by_name_all", "SELECT name, ordinal FROM b ORDER BY name, ordinal")(lambda s: s.before.orderBy("name", "ordinal").select("name", "ordinal"))
 snap("page_components", "SELECT ordinal, id FROM b ORDER BY ordinal LIMIT 20 OFFSET 40")(lambda s: explore.page(s.before, 40, 20).select("ordinal", "id"))
 snap("page_directory", "SELECT split_part(location, '/', 4) AS name, true AS is_dir, count(*) AS files FROM b GROUP BY 1")(lambda s: explore.directory(s.before.select(F.explode("locations").alias("path")), "/usr/lib"))
 snap("flt_search", "SELECT ordinal FROM a WHERE contains(lower(name || ' ' || version || ' ' || purl || ' ' || id || ' ' || supplier || '  ' || lic), 'gpl')")(lambda s: explore.search(s.after, "GPL").select("ordinal"))

@@ -38,3 +38,8 @@ def test_diff_laws(spark):
     assert diff(s.after, s.after).rows.where("status <> 'same'").isEmpty()
     there, back = diff(s.before, s.after), diff(s.after, s.before)
     assert {r.id for r in there.added.collect()} == {r.id for r in back.removed.collect()}
+
+
+def test_list_by_name_is_whole_and_in_order(spark, oracle):
+    rows = [tuple(r) for r in QUERIES["sort_by_name_all"](spark, SF).collect()]
+    assert rows == oracle.execute(ORACLES["sort_by_name_all"]).fetchall() == sorted(rows) and len(rows) > 50
