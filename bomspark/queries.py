@@ -318,6 +318,13 @@ message(
     "msg_dominant_type",
     _listing("SELECT ptype AS key FROM a", 3, "Top ecosystems", True) + " UNION ALL SELECT 'Dominated by npm: ' || format('{:,}', n) || ' of ' || format('{:,}', t) || ' packages (' || printf('%.1f', n * 100.0 / t) || '%)' FROM (SELECT count(*) FILTER (ptype = 'npm') AS n, count(*) AS t FROM b WHERE ordinal % 5 = 0 OR ordinal % 25 = 1)",
 )(lambda s: headlines.dominant_type(s.after).unionByName(headlines.dominant_type(s.before.where("ordinal % 5 = 0 or ordinal % 25 = 1"))))
+WHOLE_TYPES = "SELECT CASE WHEN max(n) * 100.0 / sum(n) >= 60 THEN 'Dominated by ' || max(key) FILTER (r = 1) || ': ' || format('{{:,}}', max(n)) || ' of ' || format('{{:,}}', CAST(sum(n) AS BIGINT)) || ' packages (' || printf('%.1f', max(n) * 100.0 / sum(n)) || '%)' ELSE 'Top ecosystems: ' || string_agg(key || ' (' || format('{{:,}}', n) || ')', ', ' ORDER BY n DESC, key) FILTER (r <= 3) || CASE WHEN count(*) > 3 THEN ' + ' || (count(*) - 3) || ' more' ELSE '' END END AS message FROM (SELECT *, row_number() OVER (ORDER BY n DESC, key) AS r FROM (SELECT ptype AS key, count(*) AS n FROM {} GROUP BY 1))"
+WHOLE_PATH = "SELECT * FROM (SELECT printf('%.1f', n * 100.0 / total) || '% of {0} packages are ' || ptype || ', concentrated in ' || path AS message FROM (SELECT ptype, regexp_extract(location, '^(/[^/]*/[^/]*/[^/]*)', 1) AS path, count(*) AS n, sum(count(*)) OVER () AS total FROM {0} GROUP BY 1, 2) WHERE path <> '' AND total >= 20 AND n >= 10 AND n * 100.0 / total >= 50 ORDER BY n DESC, ptype DESC, path DESC LIMIT 1)"
+# The same findings over all rows of the snapshots and their diff; no row where a rule doesn't fire.
+message("fnd_dominant_path_all", WHOLE_PATH.format("removed") + " UNION ALL " + WHOLE_PATH.format("added"))(lambda s: findings.dominant_path(s.diff.removed, "removed").unionByName(findings.dominant_path(s.diff.added, "added")))
+message("msg_dominant_type_all", WHOLE_TYPES.format("a") + " UNION ALL " + WHOLE_TYPES.format("b"))(lambda s: headlines.dominant_type(s.after).unionByName(headlines.dominant_type(s.before)))
+message("msg_surface_all", f"SELECT 'Attack surface: ' || concat_ws(', ', {DELTA.format(what='packages')}, '+300 files (25.0%)') AS message FROM (SELECT (SELECT count(*) FROM b) AS b, (SELECT count(*) FROM a) AS a)")(lambda s: headlines.surface(s.all, INFO["before"], INFO["after"]))
+message("msg_ecosystems_all", "SELECT ptype || ' ecosystem entirely removed (' || format('{:,}', count(*)) || ' → 0 packages)' AS message FROM b WHERE ptype NOT IN (SELECT ptype FROM a) GROUP BY ptype UNION ALL SELECT 'New ecosystem: ' || ptype || ' (' || count(*) || ' packages)' FROM a WHERE ptype NOT IN (SELECT ptype FROM b) GROUP BY ptype")(lambda s: headlines.ecosystems(s.before, s.after))
 message("msg_hotspots", _listing(PREFIX + "a", 4, "Top directories", False))(lambda s: headlines.hotspots(s.after))
 message("msg_change_hotspots", f"SELECT * FROM ({_listing(PREFIX + 'removed', 4, 'Top removal areas', False)}) UNION ALL SELECT * FROM ({_listing(PREFIX + 'added', 4, 'Top addition areas', False)})")(lambda s: headlines.change_hotspots(s.diff))
 message("msg_catalogers", _listing("SELECT found_by AS key FROM b WHERE found_by <> ''", 3, "Top catalogers", True))(lambda s: headlines.top_catalogers(s.before))

@@ -43,3 +43,13 @@ def test_diff_laws(spark):
 def test_list_by_name_is_whole_and_in_order(spark, oracle):
     rows = [tuple(r) for r in QUERIES["sort_by_name_all"](spark, SF).collect()]
     assert rows == oracle.execute(ORACLES["sort_by_name_all"]).fetchall() == sorted(rows) and len(rows) > 50
+
+
+def test_whole_findings_cover_every_row(spark):
+    from bomspark.queries import Snapshots
+
+    s = Snapshots(spark, SF)
+    total = s.after.count() - s.before.count()
+    assert {"fnd_dominant_path_all", "msg_dominant_type_all", "msg_ecosystems_all"} <= set(QUERIES)
+    text = QUERIES["msg_surface_all"](spark, SF).first().message
+    assert (f"{total:+d} packages" in text) == (total != 0)
