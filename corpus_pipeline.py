@@ -51,7 +51,7 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents linked by similar shingle sets (five words, 0.8) exactly one row stays: the smallest id."""
     keyed = _keyed(docs)
-    found = similar_components(keyed, words=5, threshold=(80, 100), id_col=ROW, count_window=1_000_000)
+    found = similar_components(keyed, words=5, threshold=(80, 100), id_col=ROW)
     return _firsts(keyed, materialize(found.select(F.col("doc_id").alias(ROW), F.col("component_id").alias("class")), "linked"))
 
 
