@@ -1,12 +1,19 @@
 """Exact Jaccard self-join of documents on word shingles, reported as components.
 
-Token-combination prefixes: shingles fall into two classes, rare and frequent. In the order
-(rare before frequent, then by hash) two sets whose Jaccard similarity reaches the threshold
-share at least two shingles within prefixes that are one longer than usual. So they share a
-rare shingle there, indexed singly, or two frequent ones, indexed as a pair. Any division
-into classes gives the same links; it only decides how many candidates there are. Sets too
+Token-combination prefixes, rarest first: the document frequency of every shingle is counted
+over all distinct sets, and each set is ordered by it. Two sets whose Jaccard similarity
+reaches the threshold share at least two shingles within prefixes that are one longer than
+usual. Shingles of one set alone can't be shared, so only the rest of the prefix is indexed,
+and a set with fewer than two shared shingles in its prefix has no partner at all. Two sets
+share a rare shingle there, indexed singly, or two frequent ones, indexed as a pair. Sets too
 large for pairs index frequent shingles singly (sets within reach of the limit do both).
 
+Frequencies are counted in packed form: tasks deal their shingles out over buckets by hash,
+a bucket's task counts its shingles and deals those of several sets out over parts by set,
+and a part's task selects the prefixes. A bucket holds about ``unit`` shingles whatever the
+size of the corpus; the unit grows with its square root, so that what one task sends to one
+bucket stays worth a row. Exact copies count once there.
+
 Equal sets are one node from the start. Candidates of an index entry are met in rounds: all
 against one leader first, again against another leader for what is still in different
 components, and last every remaining pair of different components. Each candidate is
@@ -16,9 +23,10 @@ left out, and pairs within one component need no test.
 
 Defined results: null, empty and white-space-only texts have no shingles and are their own
 component. Texts shorter than a shingle are one shingle of all their words. Rows with a null
-id have a null component unless their set equals another row's. Repeated rows are equal
-sets. An empty table gives an empty result. Shingles are compared by 64-bit hashes, sets by
-128-bit digests. Extra columns are ignored.
+id link other rows like any, but have a null component unless a row with an id is in it.
+Repeated rows are equal sets. An empty table gives an empty result. Shingles are compared by
+64-bit hashes, sets by 128-bit digests; frequencies go by fewer bits, which can only make
+more candidates. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -26,6 +34,7 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator
 from functools import reduce
+from math import isqrt
 
 import numpy as np
 import pandas as pd
@@ -37,11 +46,13 @@ from .common import materialize, small_side
 BITS = 512
 LONGS = BITS // 64
 BITMAP = [f"b{i}" for i in range(LONGS)]
-#: Sets above this size also carry a bitmap as long as their size asks for.
-WIDE_ABOVE = 800
-PROFILE = "doc_id long, node binary, n int, rare int, sigs array<long>, wide binary, " + ", ".join(f"{b} long" for b in BITMAP)
+#: Bits of a shingle hash that stand in a bucket; those above them choose the bucket.
+LOW = 40
 #: Odd multipliers for the words of a shingle.
 ODD = np.random.default_rng(7).integers(0, 1 << 62, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+PACKED = "grp int, bucket int, nodes binary, sizes binary, runs binary, tokens binary, classes binary"
+#: Frequency class (eighths of a power of two) from which shingles are frequent: 32 sets.
+FREQUENT = 40
 
 
 def _scatter(x: np.ndarray) -> np.ndarray:
@@ -63,49 +74,103 @@ def shingle_set(text: str | None, words: int) -> np.ndarray:
     return np.unique(_scatter(total))
 
 
-def local_repeats(docs: DataFrame, words: int, flush: int = 4_000_000) -> DataFrame:
-    """(token, n) of shingles that several documents of one task hold, counted in windows of
-    ``flush`` shingles; a shorter window takes less memory and misses more of the repeats."""
+def digest(tokens: np.ndarray) -> bytes:
+    return hashlib.blake2b(tokens.tobytes(), digest_size=16).digest()
+
 
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        def repeats(parts: list[np.ndarray]) -> pd.DataFrame:
-            token, n = np.unique(np.concatenate(parts), return_counts=True)
-            return pd.DataFrame({"token": token[n > 1].view(np.int64), "n": n[n > 1]})
+def profiles(docs: DataFrame, words: int) -> DataFrame:
+    """doc_id, key, digest and size of every row's set."""
 
-        parts, size = [], 0
+    def profile(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for text in batch.iloc[:, 0]:
-                parts.append(shingle_set(text, words))
-                size += len(parts[-1])
-                if size > flush:
-                    yield repeats(parts)
-                    parts, size = [], 0
-        if parts:
-            yield repeats(parts)
-
-    return docs.mapInPandas(count, "token long, n long")
-
-
-def frequent_tokens(repeats: DataFrame, least: int = 32, most: int = 400_000) -> np.ndarray:
-    """Sorted shingles counted at least F times, F the least power of two from ``least`` on that
-    leaves at most ``most`` of them; so what is sent to the tasks is bounded."""
-    counts = materialize(repeats.groupBy("token").agg(F.sum("n").alias("n")).where(F.col("n") >= least), "frequent")
-    sizes = {r["level"]: r["count"] for r in counts.groupBy(F.floor(F.log2("n")).alias("level")).count().collect()}
-    level = int(np.log2(least))
-    while sum(v for k, v in sizes.items() if k >= level) > most:
-        level += 1
-    rows = counts.where(F.col("n") >= 2**level).select("token").toPandas()
-    return np.sort(rows["token"].to_numpy(np.int64).view(np.uint64))
-
-
-def signatures(tokens: np.ndarray, frequent: np.ndarray, num: int, den: int) -> tuple[np.ndarray, int]:
-    """Index keys of a sorted set and how many rare shingles its prefix has."""
-    n = len(tokens)
-    length = n + num * -n // den + 2  # n - ceil(n num / den) + 1, and one more for the pairs
-    at = np.searchsorted(frequent, tokens)
-    known = np.zeros(n, bool) if not len(frequent) else frequent[np.minimum(at, len(frequent) - 1)] == tokens
-    rare = tokens[~known][:length]
-    common = tokens[known][: length - len(rare)]
+            sets = [shingle_set(t, words) for t in batch["text"]]
+            out = pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64"), "key": batch["key"]})
+            out["node"], out["n"] = [digest(s) for s in sets], [len(s) for s in sets]
+            yield out
+
+    return docs.mapInPandas(profile, "doc_id long, key long, node binary, n int")
+
+
+# Packed rows: nodes holds 16 bytes a set, sizes and runs 4 (its size, its shingles here),
+# tokens 5 bytes a shingle, set after set, and classes 1.
+
+
+def _five(tokens: np.ndarray) -> bytes:
+    return tokens.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5].tobytes()
+
+
+def _eight(packed: bytes) -> np.ndarray:
+    out = np.zeros((len(packed) // 5, 8), np.uint8)
+    out[:, :5] = np.frombuffer(packed, np.uint8).reshape(-1, 5)
+    return out.reshape(-1).view("<u8")
+
+
+def _unpacked(rows: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Digests (two longs a set), sizes, runs and shingles of all ``rows``."""
+    nodes = np.frombuffer(b"".join(rows["nodes"]), "<u8").reshape(-1, 2)
+    sizes, runs = (np.frombuffer(b"".join(rows[c]), "<u4").astype(np.int64) for c in ("sizes", "runs"))
+    return nodes, sizes, runs, _eight(b"".join(rows["tokens"]))
+
+
+def _dealt(groups: np.ndarray, nodes: np.ndarray, sizes: np.ndarray, runs: np.ndarray, tokens: np.ndarray, classes: np.ndarray | None, bucket: int) -> list[tuple]:
+    """A packed row for each group of runs; runs come sorted by group."""
+    ends = np.concatenate(([0], np.cumsum(runs)))
+    borders = np.flatnonzero(np.concatenate(([True], groups[1:] != groups[:-1], [True]))) if len(groups) else [0]
+    return [
+        (int(groups[i]), bucket, nodes[i:j].tobytes(), sizes[i:j].astype("<u4").tobytes(), runs[i:j].astype("<u4").tobytes(), _five(tokens[ends[i] : ends[j]]), b"" if classes is None else classes[ends[i] : ends[j]].tobytes())
+        for i, j in zip(borders[:-1], borders[1:], strict=True)
+    ]
+
+
+def _frame(rows: list[tuple]) -> pd.DataFrame:
+    return pd.DataFrame(rows, columns=["grp", "bucket", "nodes", "sizes", "runs", "tokens", "classes"])
+
+
+def _bucketed(sets: dict[bytes, np.ndarray], buckets: int) -> pd.DataFrame:
+    """Shingles of different sets dealt out over buckets."""
+    tokens, lengths = np.concatenate(list(sets.values())), np.array([len(s) for s in sets.values()])
+    bucket = ((tokens >> np.uint64(LOW)) * np.uint64(buckets) >> np.uint64(64 - LOW)).astype(np.uint16 if buckets < 1 << 16 else np.uint32)
+    order = np.argsort(bucket, kind="stable")
+    bucket, owner = bucket[order], np.repeat(np.arange(len(sets)), lengths)[order]
+    first = np.flatnonzero(np.concatenate(([True], (bucket[1:] != bucket[:-1]) | (owner[1:] != owner[:-1]))))
+    nodes = np.frombuffer(b"".join(sets), "<u8").reshape(-1, 2)[owner[first]]
+    return _frame(_dealt(bucket[first], nodes, lengths[owner[first]], np.diff(np.append(first, len(tokens))), (tokens & np.uint64((1 << LOW) - 1))[order], None, 0))
+
+
+def _shared(rows: pd.DataFrame, bucket: int, parts: int) -> pd.DataFrame:
+    """The shingles of a bucket that several sets hold, with their classes, dealt out by set."""
+    nodes, sizes, runs, tokens = _unpacked(rows)
+    order = np.argsort(nodes[:, 0], kind="stable")
+    copy = np.zeros(len(nodes), bool)  # sets that several tasks sent
+    copy[order[1:]] = (nodes[order[1:]] == nodes[order[:-1]]).all(axis=1)
+    tokens, nodes, sizes, runs = tokens[np.repeat(~copy, runs)], nodes[~copy], sizes[~copy], runs[~copy]
+    by_token = np.argsort(tokens)
+    first = np.flatnonzero(np.concatenate(([True], np.diff(tokens[by_token]) != 0)))
+    counts = np.diff(np.append(first, len(tokens)))
+    classes = np.empty(len(tokens), np.uint8)
+    classes[by_token] = np.repeat(np.floor(8 * np.log2(counts)), counts)
+    owner = np.repeat(np.arange(len(runs)), runs)[classes > 0]
+    tokens, classes = tokens[classes > 0], classes[classes > 0]
+    part = (nodes[:, 0] % np.uint64(parts)).astype(np.int64)
+    order = np.lexsort((owner, part[owner]))
+    runs = np.bincount(owner, minlength=len(runs))
+    chosen = np.argsort(part, kind="stable")
+    chosen = chosen[runs[chosen] > 0]
+    return _frame(_dealt(part[chosen], nodes[chosen], sizes[chosen], runs[chosen], tokens[order], classes[order], bucket))
+
+
+def prefix_length(n: np.ndarray | int, num: int, den: int) -> np.ndarray | int:
+    """Shingles in the prefix of a set of ``n``: n - ceil(n num / den) + 1, and one more for the pairs."""
+    return n + num * -n // den + 2
+
+
+def signatures(tokens: np.ndarray, classes: np.ndarray, n: int, num: int, den: int) -> tuple[np.ndarray, int]:
+    """Index keys of a set of ``n`` shingles, given those that other sets hold too, and how
+    many of its prefix are rare."""
+    alone = n - len(tokens)
+    order = np.lexsort((tokens, classes))[: max(0, min(n, prefix_length(n, num, den)) - alone)]
+    frequent = classes[order] >= FREQUENT
+    rare, common = tokens[order][~frequent], tokens[order][frequent]
     largest = 64 * den // (den - num)
     keys = [rare]
     if n <= largest and len(common) > 1:
@@ -113,47 +178,82 @@ def signatures(tokens: np.ndarray, frequent: np.ndarray, num: int, den: int) ->
         keys.append(_scatter(common[i] * ODD[-2] + common[j] * ODD[-3]))
     if n * den > num * largest:
         keys.append(common)
-    return np.concatenate(keys), len(rare)
-
-
-def wide_bitmap(tokens: np.ndarray, num: int, den: int) -> bytes | None:
-    """Parity bitmap of at least eight times the bits in which similar sets may differ, the
-    number of bits a power of two, so that longer ones fold onto shorter ones."""
-    n = len(tokens)
-    if n <= WIDE_ABOVE:
-        return None
-    bits = 1 << (16 * n * (den - num) // (den + num)).bit_length()
-    at = (tokens & np.uint64(bits - 1)).astype(np.int64)
-    return np.packbits((np.bincount(at, minlength=bits) & 1).astype(bool)).tobytes()
-
-
-def differing_bits(x: bytes, y: bytes) -> int:
-    a, b = sorted((np.frombuffer(v, np.uint64) for v in (x, y)), key=len)
-    while len(b) > len(a):
-        b = b[: len(b) // 2] ^ b[len(b) // 2 :]
-    return int(np.bitwise_count(a ^ b).sum())
-
-
-def profiles(docs: DataFrame, frequent: np.ndarray, words: int, num: int, den: int) -> DataFrame:
-    spread = docs.sparkSession.sparkContext.broadcast(frequent)
-
-    def profile(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    return np.concatenate(keys), alone + len(rare)
+
+
+def _selected(rows: pd.DataFrame, num: int, den: int) -> pd.DataFrame:
+    """node, n, rare, sigs of the sets of a part that can have a partner."""
+    nodes, sizes, runs, tokens = _unpacked(rows)
+    each = [len(t) // 5 for t in rows["tokens"]]
+    tokens |= np.repeat(rows["bucket"].to_numpy(np.uint64), each) << np.uint64(LOW)
+    classes = np.frombuffer(b"".join(rows["classes"]), np.uint8)
+    ends = np.concatenate(([0], np.cumsum(runs)))
+    order = np.lexsort((nodes[:, 1], nodes[:, 0]))
+    first = np.flatnonzero(np.concatenate(([True], (nodes[order[1:]] != nodes[order[:-1]]).any(axis=1))))
+    n, held = sizes[order[first]], np.add.reduceat(runs[order], first)
+    found = []
+    for at in np.flatnonzero(np.minimum(n, prefix_length(n, num, den)) - (n - held) >= 2):
+        own = order[first[at] : first[at + 1] if at + 1 < len(first) else len(order)]
+        where = np.concatenate([np.arange(ends[i], ends[i + 1]) for i in own])
+        keys, rare = signatures(tokens[where], classes[where], int(n[at]), num, den)
+        found.append((nodes[own[0]].tobytes(), int(n[at]), rare, keys.view(np.int64)))
+    return pd.DataFrame(found, columns=["node", "n", "rare", "sigs"])
+
+
+def prefixes(docs: DataFrame, total: int, words: int, num: int, den: int, least_unit: int = 1 << 20, least_buckets: int = 128) -> DataFrame:
+    """node, n, rare, sigs of every set that can have a partner; ``total`` counts all shingles."""
+    unit = max(least_unit, isqrt(8 * total))
+    buckets = max(least_buckets, -(-total // unit))
+    parts = max(least_buckets // 2, buckets // 4)
+
+    def spread(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sets, size = {}, 0
+        for batch in batches:
+            for text in batch["text"]:
+                tokens = shingle_set(text, words)
+                node = digest(tokens)
+                if len(tokens) and node not in sets:
+                    sets[node], size = tokens, size + len(tokens)
+                if size >= unit:
+                    yield _bucketed(sets, buckets)
+                    sets, size = {}, 0
+        if sets:
+            yield _bucketed(sets, buckets)
+
+    dealt = docs.select("text").mapInPandas(spread, PACKED)
+    shared = dealt.groupBy("grp").applyInPandas(lambda key, rows: _shared(rows, int(key[0]), parts), PACKED)
+    return shared.groupBy("grp").applyInPandas(lambda rows: _selected(rows, num, den), "node binary, n int, rare int, sigs array<long>")
+
+
+def full_sets(docs: DataFrame, nodes: DataFrame, words: int) -> DataFrame:
+    """nid, n, tokens and bitmap of ``nodes`` (nid, node, key), made anew from one of the rows of each."""
+
+    def sets_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        seen: set[int] = set()
         for batch in batches:
-            for at in range(0, len(batch), 1000):  # keys are many: a bounded number of rows in memory
-                part, rows, bitmaps = batch.iloc[at : at + 1000], [], []
-                for doc, text in zip(part.iloc[:, 0], part.iloc[:, 1], strict=True):
+            for at in range(0, len(batch), 500):  # a bounded number of sets in memory
+                part, rows, bitmaps = batch.iloc[at : at + 500], [], []
+                for nid, node, text in zip(part["nid"], part["node"], part["text"], strict=True):
                     tokens = shingle_set(text, words)
-                    keys, rare = signatures(tokens, spread.value, num, den)
-                    rows.append((doc, hashlib.blake2b(tokens.tobytes(), digest_size=16).digest(), len(tokens), rare, keys.view(np.int64), wide_bitmap(tokens, num, den)))
-                    bitmaps.append(np.packbits((np.bincount((tokens & np.uint64(BITS - 1)).astype(np.int64), minlength=BITS) & 1).astype(bool)))
-                out = pd.DataFrame(rows, columns=["doc_id", "node", "n", "rare", "sigs", "wide"])
-                out["doc_id"] = out["doc_id"].astype("Int64")
+                    if nid not in seen and digest(tokens) == bytes(node):
+                        seen.add(nid)
+                        rows.append((nid, len(tokens), tokens.tobytes()))
+                        bitmaps.append(np.packbits((np.bincount((tokens & np.uint64(BITS - 1)).astype(np.int64), minlength=BITS) & 1).astype(bool)))
+                out = pd.DataFrame(rows, columns=["nid", "n", "tokens"])
                 longs = np.array(bitmaps, np.uint8).reshape(len(rows), BITS // 8).view(np.int64)
                 for i, name in enumerate(BITMAP):
                     out[name] = longs[:, i]
                 yield out
 
-    return docs.mapInPandas(profile, PROFILE)
+    schema = "nid long, n int, tokens binary, " + ", ".join(f"{b} long" for b in BITMAP)
+    found = materialize(docs.join(small_side(nodes), "key").select("nid", "node", "text").mapInPandas(sets_of, schema), "sets")
+    made, wanted = found.count(), nodes.count()
+    if made > wanted:  # repeated rows, met by several tasks
+        found = materialize(found.dropDuplicates(["nid"]), "distinct-sets")
+        made = found.count()
+    if made != wanted:
+        raise RuntimeError(f"{wanted - made} texts changed between two passes over them")
+    return found
 
 
 def _differing(a: str, b: str) -> Column:
@@ -166,70 +266,29 @@ def _possible(a: str, b: str, num: int, den: int) -> Column:
     return (small * den >= large * num) & (_differing(a, b) * (den + num) <= (small + large) * (den - num))
 
 
-class _Verifier:
-    """Tests candidate pairs: bounds from sizes and bitmaps first, then the full sets, which are
-    made anew from the texts of only those documents that pass."""
-
-    def __init__(self, docs: DataFrame, nodes: DataFrame, words: int, num: int, den: int):
-        self.docs, self.nodes, self.words, self.num, self.den = docs, nodes, words, num, den
-
-    def screened(self, pairs: DataFrame) -> DataFrame:
-        light = self.nodes.select("nid", "n", *BITMAP)
-        a, b = (light.select(F.col("nid").alias(k), F.struct("n", *BITMAP).alias(f"{k}x")) for k in ("a", "b"))
-        passed = materialize(pairs.join(a, "a").join(b, "b").where(_possible("ax", "bx", self.num, self.den)).select("a", "b", F.least("ax.n", "bx.n").alias("n"), (F.col("ax.n") + F.col("bx.n")).alias("both")), "screened")
-        num, den = self.num, self.den
-        wide = self.nodes.where(F.col("n") > WIDE_ABOVE).select("nid", "wide")
-        large = passed.where(F.col("n") > WIDE_ABOVE).join(wide.toDF("a", "aw"), "a").join(wide.toDF("b", "bw"), "b")
-
-        def differ_little(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for batch in batches:
-                keep = [differing_bits(x, y) * (den + num) <= both * (den - num) for x, y, both in zip(batch["aw"], batch["bw"], batch["both"], strict=True)]
-                yield batch.loc[np.array(keep, bool), ["a", "b"]]
-
-        return passed.where(F.col("n") <= WIDE_ABOVE).select("a", "b").unionByName(large.mapInPandas(differ_little, "a long, b long"))
-
-    def _sets(self, pairs: DataFrame) -> DataFrame:
-        words = self.words
-        ids = pairs.select(F.col("a").alias("nid")).unionByName(pairs.select(F.col("b").alias("nid"))).distinct()
-        needed = small_side(materialize(self.nodes.join(ids, "nid").select("nid", "node", F.col("least_doc").alias("doc_id")).where("doc_id is not null"), "needed"))
-
-        def sets_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for batch in batches:
-                rows = []
-                for node, nid, text in zip(batch["node"], batch["nid"], batch["text"], strict=True):
-                    tokens = shingle_set(text, words).tobytes()
-                    if hashlib.blake2b(tokens, digest_size=16).digest() == bytes(node):  # not another row of the same id
-                        rows.append((nid, tokens))
-                yield pd.DataFrame(rows, columns=["nid", "tokens"])
-
-        texts = self.docs.where("doc_id is not null").join(needed, "doc_id").select("node", "nid", "text")
-        # repeated rows of one id give one set more than once: links are made distinct later
-        return materialize(texts.mapInPandas(sets_of, "nid long, tokens binary"), "sets")
-
-    def links(self, pairs: DataFrame) -> DataFrame:
-        """The pairs whose full sets reach the threshold."""
-        pairs = materialize(pairs, "pairs")
-        sets, num, den = self._sets(pairs), self.num, self.den
-        a, b = (sets.select(F.col("nid").alias(k), F.col("tokens").alias(f"{k}t")) for k in ("a", "b"))
-
-        def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for batch in batches:
-                keep = []
-                for x, y in zip(batch["at"], batch["bt"], strict=True):
-                    x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                    both = len(np.intersect1d(x, y, assume_unique=True))
-                    keep.append(den * both >= num * (len(x) + len(y) - both))
-                yield batch.loc[np.array(keep, bool), ["a", "b"]]
-
-        return materialize(pairs.join(b, "b").join(a, "a").mapInPandas(verify, "a long, b long"), "links")
-
-
-def components(links: DataFrame) -> DataFrame:
+def verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """The pairs whose full sets reach the threshold."""
+    a, b = (sets.select(F.col("nid").alias(k), F.col("tokens").alias(f"{k}t")) for k in ("a", "b"))
+
+    def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            keep = []
+            for x, y in zip(batch["at"], batch["bt"], strict=True):
+                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+                both = len(x) + len(y) - len(np.union1d(x, y))
+                keep.append(den * both >= num * (len(x) + len(y) - both))
+            yield batch.loc[np.array(keep, bool), ["a", "b"]]
+
+    return materialize(materialize(pairs, "pairs").join(b, "b").join(a, "a").mapInPandas(verify, "a long, b long"), "links")
+
+
+def components(links: DataFrame, most_rounds: int = 200) -> DataFrame:
     """(nid, comp) of every linked node, comp the least node of its component: large-star and
-    small-star steps in turn, until every node points at its component's least."""
+    small-star steps in turn, until every node points at its component's least. Their number
+    grows with the logarithm of a component's size; an error says so if they don't end."""
     edges = links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct()
     before = None
-    for _ in range(60):
+    for _ in range(most_rounds):
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
@@ -238,26 +297,25 @@ def components(links: DataFrame) -> DataFrame:
         edges = materialize(small, "stars")
         now = tuple(edges.agg(F.count("*"), F.sum(F.pmod(F.xxhash64("u", "v"), F.lit(1 << 31)))).first())
         if now == before:
-            break
+            return edges.select(F.col("u").alias("nid"), F.col("v").alias("comp"))
         before = now
-    return edges.select(F.col("u").alias("nid"), F.col("v").alias("comp"))
+    raise RuntimeError(f"components are not settled after {most_rounds} rounds")
 
 
-def similar_components(docs: DataFrame, words: int = 3, threshold: tuple[int, int] = (90, 100), id_col: str = "doc_id", text: str = "text", leader_rounds: int = 2, count_window: int = 4_000_000) -> DataFrame:
-    """doc_id, n_shingles, component_id of every row; threshold is a fraction (numerator, denominator).
-
-    ``count_window`` bounds the memory of counting frequent shingles; links don't depend on it."""
+def similar_components(docs: DataFrame, words: int = 3, threshold: tuple[int, int] = (90, 100), id_col: str = "doc_id", text: str = "text", leader_rounds: int = 2) -> DataFrame:
+    """doc_id, n_shingles, component_id of every row; threshold is a fraction (numerator, denominator)."""
     num, den = threshold
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    frequent = frequent_tokens(local_repeats(docs.select("text"), words, count_window))
-    profile = materialize(profiles(docs, frequent, words, num, den), "profiles")
-    first = [F.first(c).alias(c) for c in ("n", "rare", "sigs", "wide", *BITMAP)]
-    nodes = materialize(profile.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("least_doc"), *first).withColumn("nid", F.monotonically_increasing_id()), "nodes")
-
-    entries = nodes.select(F.explode("sigs").alias("sig"), "nid", "n", "rare")
-    shared = entries.groupBy("sig").agg(F.count("*").alias("c")).where("c > 1").select("sig")
-    active = materialize(entries.join(shared, "sig"), "index")
-    verifier = _Verifier(docs, nodes, words, num, den)
+    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).alias("text")).withColumn("key", F.xxhash64("doc_id", "text"))
+    profile = materialize(profiles(docs, words), "profiles")
+    nodes = materialize(profile.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("least_doc"), F.min("key").alias("key"), F.first("n").alias("n")).withColumn("nid", F.monotonically_increasing_id()), "nodes")
+    total = nodes.agg(F.sum(F.col("n").cast("long"))).first()[0] or 0
+
+    able = materialize(prefixes(docs, total, words, num, den).join(nodes.select("node", "nid", "key"), "node"), "prefixes")
+    sets = full_sets(docs, able.select("nid", "node", "key"), words)
+    light = sets.select("nid", "n", *BITMAP)
+    entries = able.select(F.explode("sigs").alias("sig"), "nid", "n", "rare")
+    listed = entries.groupBy("sig").agg(F.count("*").alias("c")).where("c > 1").select("sig")
+    active = materialize(entries.join(listed, "sig"), "index")
 
     links = None
     for turn in range(leader_rounds + 1):
@@ -268,17 +326,18 @@ def similar_components(docs: DataFrame, words: int = 3, threshold: tuple[int, in
         lists = here.groupBy("sig").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min(F.struct((F.col("rare") if turn == 0 else F.xxhash64(F.lit(turn), "nid")).alias("o"), "nid", "n", "comp")).alias("leader")).where("lo < hi")
         if turn < leader_rounds:
             sizes = (F.least("n", "leader.n") * den >= F.greatest("n", "leader.n") * num) & (F.col("comp") != F.col("leader.comp"))
-            met = verifier.screened(materialize(here.join(lists, "sig").where(sizes).select(F.col("nid").alias("a"), F.col("leader.nid").alias("b")).distinct(), "candidates"))
+            pairs = materialize(here.join(lists, "sig").where(sizes).select(F.col("nid").alias("a"), F.col("leader.nid").alias("b")).distinct(), "candidates")
+            x, y = (light.select(F.col("nid").alias(k), F.struct("n", *BITMAP).alias(f"{k}x")) for k in ("a", "b"))
+            met = pairs.join(x, "a").join(y, "b").where(_possible("ax", "bx", num, den))
             # one leader for each follower: later rounds and the last one see to the others
-            found = verifier.links(met.groupBy("a").agg(F.min_by("b", F.xxhash64(F.lit(turn), "b")).alias("b")))
+            found = verified(met.groupBy("a").agg(F.min_by("b", F.xxhash64(F.lit(turn), "b")).alias("b")), sets, num, den)
         else:
-            rest = materialize(here.join(lists.select("sig"), "sig").select("sig", "nid", "comp").join(nodes.select("nid", "n", *BITMAP), "nid"), "rest")
+            rest = materialize(here.join(lists.select("sig"), "sig").select("sig", "nid", "comp").join(light, "nid"), "rest")
             a, b = (rest.select("sig", F.struct("nid", "comp", "n", *BITMAP).alias(k)) for k in ("x", "y"))
             pairs = a.join(b, "sig").where((F.col("x.comp") < F.col("y.comp")) & _possible("x", "y", num, den))
-            found = verifier.links(verifier.screened(pairs.select(F.col("x.nid").alias("a"), F.col("y.nid").alias("b")).distinct()))
+            found = verified(pairs.select(F.col("x.nid").alias("a"), F.col("y.nid").alias("b")).distinct(), sets, num, den)
         links = found if links is None else links.unionByName(found)
-    labels = components(links)
-    named = nodes.select("nid", "node", "least_doc").join(labels, "nid", "left").withColumn("comp", F.coalesce("comp", "nid"))
+    named = nodes.select("nid", "node", "least_doc").join(components(links), "nid", "left").withColumn("comp", F.coalesce("comp", "nid"))
     least = named.groupBy("comp").agg(F.min("least_doc").alias("component_id"))
     by_node = materialize(named.join(least, "comp").select("node", "component_id"), "components")
     out = profile.where("n > 0").join(by_node, "node").select("doc_id", F.col("n").cast("long").alias("n_shingles"), "component_id")

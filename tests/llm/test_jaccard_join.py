@@ -2,9 +2,10 @@ import re
 from fractions import Fraction
 
 import numpy as np
+import pandas as pd
 import pytest
 
-from bomspark.llm.jaccard_join import differing_bits, signatures, similar_components, wide_bitmap
+from bomspark.llm.jaccard_join import _bucketed, _selected, _shared, components, digest, prefix_length, signatures, similar_components
 
 
 def brute(rows, words, threshold):
@@ -54,26 +55,45 @@ def test_components_equal_brute_force(spark, words, threshold, rounds):
 def test_similar_sets_share_a_key(seed):
     rng = np.random.default_rng(seed)
     n = int(rng.integers(2, 900))
-    x = np.unique(rng.integers(0, 1 << 62, n).astype(np.uint64))
+    x = np.unique(rng.integers(0, 1 << 46, n).astype(np.uint64))
     keep = -(-len(x) * 9 // 10)
     y = np.sort(rng.permutation(x)[:keep])  # the least similar that still counts
-    frequent = np.sort(rng.permutation(x)[: int(len(x) * rng.random())])
-    a, b = (set(signatures(s, frequent, 90, 100)[0].tolist()) for s in (x, y))
-    assert a & b
-
-
-@pytest.mark.parametrize("num, den", [(90, 100), (80, 100)])
-def test_wide_bitmaps_never_differ_more_than_the_sets(num, den):
-    rng = np.random.default_rng(num)
-    for n in (801, 1000, 1023, 5000):
-        x = np.unique(rng.integers(0, 1 << 62, n).astype(np.uint64))
-        y = np.union1d(rng.permutation(x)[: len(x) * num // den], rng.integers(0, 1 << 62, n // 20).astype(np.uint64))
-        z = np.unique(rng.integers(0, 1 << 62, n).astype(np.uint64))
-        a, b, c = (wide_bitmap(s, num, den) for s in (x, y, z))
-        if b is not None:
-            assert differing_bits(a, b) <= len(np.setxor1d(x, y))
-        assert differing_bits(a, c) * (den + num) > 2 * n * (den - num)  # unrelated sets are told apart
-    assert wide_bitmap(x[:800], num, den) is None
+    classes = rng.integers(8, 80, len(x)).astype(np.uint8)
+    alone = ~np.isin(x, y) & (rng.random(len(x)) < 0.5)
+    a, _ = signatures(x[~alone], classes[~alone], len(x), 90, 100)
+    b, _ = signatures(y, classes[np.isin(x, y)], len(y), 90, 100)
+    assert set(a.tolist()) & set(b.tolist())
+
+
+def test_buckets_and_parts_give_each_set_its_shared_shingles():
+    rng = np.random.default_rng(3)
+    common = rng.integers(0, 1 << 63, 400).astype(np.uint64)
+    sets = [np.unique(np.concatenate((rng.choice(common, 60), rng.integers(0, 1 << 63, 5).astype(np.uint64)))) for _ in range(50)]
+    sets.append(np.unique(rng.integers(0, 1 << 63, 30).astype(np.uint64)))
+    tasks = [sets[:20], sets[15:40], sets[38:]]  # some sets are sent twice
+    dealt = pd.concat([_bucketed({digest(s): s for s in task}, 16) for task in tasks])
+    shared = pd.concat([_shared(rows, bucket, 5) for bucket, rows in dealt.groupby("grp")])
+    got = {r.node: r for _, rows in shared.groupby("grp") for r in _selected(rows, 80, 100).itertuples()}
+    token, counts = np.unique(np.concatenate(list({digest(s): s for s in sets}.values())), return_counts=True)
+    for s in sets:
+        held = np.isin(s, token[counts > 1]).sum()
+        able = min(len(s), prefix_length(len(s), 80, 100)) - (len(s) - held) >= 2
+        assert (digest(s) in got) == able
+        assert not able or got[digest(s)].n == len(s)
+    assert digest(sets[-1]) not in got and got
+
+
+def test_components_of_a_long_chain_and_a_limit(spark):
+    chain = spark.range(300).selectExpr("id AS a", "id + 1 AS b")
+    assert {r.comp for r in components(chain).collect()} == {0}
+    with pytest.raises(RuntimeError):
+        components(chain, most_rounds=2)
+
+
+def test_a_row_without_id_links_others(spark):
+    base = [f"w{i}" for i in range(200)]
+    docs = spark.createDataFrame([(1, " ".join(base)), (None, " ".join(base[6:])), (2, " ".join(base[12:]))], "doc_id long, text string")
+    assert [r.component_id for r in similar_components(docs, 3, (95, 100)).collect()] == [1, 1, 1]
 
 
 def test_repeated_rows_null_ids_and_empty_tables(spark):
