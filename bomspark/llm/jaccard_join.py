@@ -200,7 +200,7 @@ def _selected(rows: pd.DataFrame, num: int, den: int) -> pd.DataFrame:
     return pd.DataFrame(found, columns=["node", "n", "rare", "sigs"])
 
 
-def prefixes(docs: DataFrame, total: int, words: int, num: int, den: int, least_unit: int = 1 << 20, least_buckets: int = 128) -> DataFrame:
+def prefixes(docs: DataFrame, total: int, words: int, num: int, den: int, least_unit: int = 3 << 20, least_buckets: int = 32) -> DataFrame:
     """node, n, rare, sigs of every set that can have a partner; ``total`` counts all shingles."""
     unit = max(least_unit, isqrt(8 * total))
     buckets = max(least_buckets, -(-total // unit))

@@ -1,9 +1,10 @@
 """Mixing sources to target weights, with DataFrame functions only.
 
 Each source's documents form one stream of words, cut into blocks of fixed length. A source
-gets as many block slots as its target needs. The slots of a source are drawn over the
-output shards with equal chances, so a source's counts over the shards are one multinomial
-draw, conditioned on exact totals. Slot ``t`` of a source is position ``t mod n`` of pass
+gets as many block slots as its target needs. Every output shard draws its counts of slots
+per source from one multinomial distribution, in which a source weighs as much as all its
+slots; running sums over the shards number each source's slots. So that totals hold, slots
+drawn beyond a source's need are void, and slots still missing go to shards at random. Slot ``t`` of a source is position ``t mod n`` of pass
 ``t div n`` over its ``n`` blocks; a pseudorandom permutation of the block indexes per source
 and pass (swap-or-not rounds, no state) maps positions to blocks, and blocks join documents
 by index. The last slot is cut to the words still missing, so totals hold to the word.
@@ -18,6 +19,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
+from math import isqrt
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -31,6 +33,7 @@ ROW = "__row"
 @dataclass(frozen=True)
 class Mix:
     sources: DataFrame  #: src, source_size, target, blocks, passes, need, slots
+    shards: DataFrame  #: shard, src, first, count: slots first to first + count - 1 of the source
     docs: DataFrame  #: row, doc_id, src, size, source_size, target
     spans: DataFrame  #: shard, src, slot, block, row, doc_id, start, words: what the mix takes
     texts: DataFrame | None  #: row and all columns of the documents, if texts are wanted
@@ -66,6 +69,27 @@ def permuted(x: Column, n: Column, seed: int, *key: Column, back: bool = False)
     return F.aggregate(F.array(*[F.lit(r) for r in rounds]), x.cast("long"), step)
 
 
+def shard_counts(sources: DataFrame, n_slots: int, per_shard: int, seed: int, cells: int = 4096) -> DataFrame:
+    """shard, src, first, count. Each shard draws ``per_shard`` slots, each of which is a source's
+    with the chance of its share of all ``n_slots``; draws find their source through cells of
+    equal width, of which a source's range covers some."""
+    n_shards, width = max(1, -(-n_slots // per_shard)), max(1, -(-n_slots // cells))
+    upto = Window.orderBy("src").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ranges = sources.where("slots > 0").select("src", "slots", F.sum("slots").over(upto).alias("high")).withColumn("low", F.col("high") - F.col("slots"))
+    cell = lambda x: F.floor(x / F.lit(width))
+    ranges = ranges.select("src", "low", "high", F.explode(F.sequence(cell(F.col("low")), cell(F.col("high") - 1))).alias("cell"))
+    draws = sources.sparkSession.range(0, n_shards, 1, max(1, min(20_000, n_shards // 4))).select(F.col("id").alias("shard"), F.explode(F.sequence(F.lit(0), F.lit(per_shard - 1))).alias("draw"))
+    draws = draws.withColumn("at", F.pmod(F.xxhash64(F.lit(seed), "shard", "draw"), F.lit(max(1, n_slots)))).withColumn("cell", cell(F.col("at")))
+    drawn = draws.join(ranges, "cell").where("low <= at AND at < high").groupBy("shard", "src").agg(F.count("*").alias("count"))
+    before = Window.partitionBy("src").orderBy("shard").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    drawn = materialize(drawn.withColumn("first", F.sum("count").over(before) - F.col("count")), "drawn")
+    wanted = sources.select("src", "slots")
+    used = drawn.join(wanted, "src").withColumn("count", F.least("count", F.col("slots") - F.col("first"))).where("count > 0")
+    missing = wanted.join(drawn.groupBy("src").agg(F.sum("count").alias("had")), "src", "left").withColumn("had", F.coalesce("had", F.lit(0))).where("slots > had")
+    missing = missing.select("src", F.explode(F.sequence("had", F.col("slots") - 1)).alias("first")).select(F.pmod(F.xxhash64(F.lit(seed + 1), "src", "first"), F.lit(n_shards)).alias("shard"), "src", "first", F.lit(1).cast("long").alias("count"))
+    return used.select("shard", "src", "first", "count").unionByName(missing)
+
+
 def mix(docs: DataFrame, weights: Sequence[int] = (5, 2, 1), share: float = 1.0, most: float = 3.0, block_words: int = 512, shard_slots: int = 4096, seed: int = 17, id_col: str = "doc_id", text: str = "text", source: str = "source", with_texts: bool = True) -> Mix:
     """The mix of ``docs``; ``with_texts`` writes them once under their row keys, as mixed_texts needs them."""
     src = F.coalesce(F.concat(F.lit("+"), F.col(source)), F.lit("~"))  # null sorts last
@@ -96,15 +120,16 @@ def mix(docs: DataFrame, weights: Sequence[int] = (5, 2, 1), share: float = 1.0,
     within = Window.partitionBy("src", "bucket").orderBy("doc_id", "size", "row").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     rows = materialize(slim.join(placed, ["src", "bucket"]).withColumn("begin", F.col("base") + F.sum("size").over(within) - F.col("size")).drop("base", "bucket"), "placed")
 
-    shards = max(1, -(-(sources.agg(F.sum("slots")).first()[0] or 0) // shard_slots))
-    chunk = 1024
-    slots = sources.where("slots > 0").withColumn("first", F.explode(F.sequence(F.lit(0).cast("long"), F.col("slots") - 1, F.lit(chunk).cast("long")))).repartition("src", "first")
-    slots = slots.withColumn("slot", F.explode(F.sequence("first", F.least(F.col("first") + chunk, "slots") - 1)))
+    n_slots = sources.agg(F.sum("slots")).first()[0] or 0
+    shards = materialize(shard_counts(sources, n_slots, max(shard_slots, isqrt(n_slots)), seed + 2), "shards")
+    # slots are many times the rows that they come from: a fixed number of partitions
+    slots = shards.join(sources, "src").repartition(max(1, min(20_000, -(-n_slots // 16_384))), "shard", "src", "first")
+    slots = slots.withColumn("slot", F.explode(F.sequence("first", F.col("first") + F.col("count") - 1)))
     slots = slots.withColumn("pass", F.floor(F.col("slot") / F.col("blocks"))).withColumn("at", F.col("slot") - F.col("pass") * F.col("blocks"))
     slots = slots.withColumn("block", permuted(F.col("at"), F.col("blocks"), seed, F.col("src"), F.col("pass")))
     ahead = F.col("at") * length - F.when(F.col("at") > F.col("short"), F.col("lacks")).otherwise(0)
     slots = slots.withColumn("limit", F.when(F.col("pass") < F.col("passes"), length).otherwise(F.least(F.col("need") - ahead, length)).cast("long"))
-    slots = slots.withColumn("shard", F.pmod(F.xxhash64(F.lit(seed + 2), "src", "slot"), F.lit(shards))).select("shard", "src", "slot", "block", "limit")
+    slots = slots.select("shard", "src", "slot", "block", "limit")
 
     parts = rows.where("size > 0").withColumn("block", F.explode(F.sequence(F.floor(F.col("begin") / length), F.floor((F.col("begin") + F.col("size") - 1) / length))))
     inside = F.col("block") * length
@@ -112,7 +137,7 @@ def mix(docs: DataFrame, weights: Sequence[int] = (5, 2, 1), share: float = 1.0,
     # slots are made after their shuffle, whose size says nothing about theirs: no broadcast
     spans = parts.join(slots.hint("merge"), ["src", "block"]).withColumn("words", F.least("high", "limit") - F.col("low")).where("words > 0")
     spans = spans.select("shard", "src", "slot", "block", "row", "doc_id", (inside + F.col("low") - F.col("begin")).alias("start"), "words")
-    return Mix(sources, rows.select("row", "doc_id", "src", "size", "source_size", "target"), spans, texts)
+    return Mix(sources, shards, rows.select("row", "doc_id", "src", "size", "source_size", "target"), spans, texts)
 
 
 def taken_words(m: Mix) -> DataFrame:

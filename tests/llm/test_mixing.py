@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from bomspark.llm.mixing import mix, mixed_texts, permuted, taken_words, targets
+from bomspark.llm.mixing import mix, mixed_texts, permuted, shard_counts, taken_words, targets
 
 
 def filled(sizes, weights, most=3.0):
@@ -98,3 +98,23 @@ def test_repeated_and_missing_ids_are_mixed_row_by_row(spark):
         words = r.text.split()
         assert max(map(words.count, words[:3])) <= 3
         assert any(set(words) <= set(t.split()) for i, t, _ in rows if i == r.doc_id)
+
+
+def test_shards_draw_multinomial_counts(spark):
+    wanted = {"a": 50_000, "b": 30_000, "c": 19_900, "d": 100, "none": 0}
+    sources = spark.createDataFrame(list(wanted.items()), "src string, slots long")
+    rows = shard_counts(sources, 100_000, 250, seed=3).collect()
+    slots = {s: sorted((r.first, r["count"]) for r in rows if r.src == s) for s in wanted}
+    for s, n in wanted.items():  # each slot once
+        assert [f for f, _ in slots[s]] == list(np.cumsum([0, *[c for _, c in slots[s]]])[: len(slots[s])]) and sum(c for _, c in slots[s]) == n
+    counts = np.zeros((400, 4))
+    for r in rows:
+        counts[r.shard, "abcd".index(r.src)] += r["count"]
+    counts, p = counts[:380], np.array([0.5, 0.3, 0.199, 0.001])  # the last shards may be cut
+    assert np.allclose(counts.mean(0), 250 * p, atol=4 * np.sqrt(250 * p / 380) + 0.1)
+    cov = np.cov(counts[:, :3].T)
+    assert np.allclose(cov, 250 * (np.diag(p[:3]) - np.outer(p[:3], p[:3])), atol=12)
+    chi = ((counts - 250 * p) ** 2 / (250 * p)).sum(1)
+    assert 2.5 < chi.mean() < 3.6  # three degrees of freedom
+    again = shard_counts(sources.repartition(3), 100_000, 250, seed=3).collect()
+    assert sorted(map(tuple, again)) == sorted(map(tuple, rows))

@@ -59,3 +59,13 @@ def test_no_usable_labels(spark, labels, want):
     forest = train(docs, spark.createDataFrame(labels, "doc_id long, quality int"))
     assert [r[0] for r in docs.select(quality_score(forest, F.col("text"))).collect()] == [want] * 4
     assert docs.limit(0).select(quality_score(forest, F.col("text"))).count() == 0
+
+
+def test_an_id_of_many_texts_is_learnt_from_once(spark):
+    docs = spark.createDataFrame([(i, "plain words here " * (1 + i % 5) if i % 2 else "### $$$ " * (1 + i % 7)) for i in range(200)], "doc_id long, text string")
+    labels = docs.selectExpr("doc_id", "cast(doc_id % 2 as int) as quality")
+    known = next(i for i in range(200) if not held_out(i))
+    more = docs.unionByName(spark.range(500).select(F.lit(known).cast("long").alias("doc_id"), F.concat(F.lit("other text "), "id").alias("text")))
+    one = more.groupBy("doc_id").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
+    a, b, c = train(more, labels), train(one, labels), train(more.repartition(7), labels)
+    assert np.array_equal(a.value, b.value) and np.array_equal(a.threshold, b.threshold) and np.array_equal(a.value, c.value)

@@ -42,3 +42,24 @@ def test_empty_table_and_null_ids(spark):
     assert exact_duplicates(spark.createDataFrame([], "doc_id long, text string")).count() == 0
     got = exact_duplicates(spark.createDataFrame([(None, "t"), (5, "t"), (None, "u")], "doc_id long, text string")).collect()
     assert sorted((r.doc_id or 0, r.keep_id or 0, r.group_size, r.kept) for r in got) == [(0, 0, 1, True), (0, 5, 2, False), (5, 5, 2, True)]
+
+
+def test_smallest_and_largest_ids(spark):
+    low, high = -(1 << 63), (1 << 63) - 1
+    docs = spark.createDataFrame([(low, "t"), (high, "t"), (high, "u"), (None, "u")], "doc_id long, text string")
+    got = exact_duplicates(docs).collect()
+    assert sorted((r.keep_id, r.doc_id or 0, r.kept) for r in got) == [(low, low, True), (low, high, False), (high, 0, False), (high, high, True)]
+
+
+@pytest.mark.parametrize("chars", [64, 1])
+def test_files_are_read_by_locator_without_a_copy(spark, tmp_path, chars):
+    spark.createDataFrame(ROWS, "doc_id long, text string").repartition(3).write.parquet(f"{tmp_path}/docs")
+    docs = spark.read.parquet(f"{tmp_path}/docs").select("doc_id", "text")
+    dedup = StreamingDedup(spark, f"file://{tmp_path}/state", digest_chars=chars)
+    dedup.add(docs)
+    assert sorted(map(tuple, dedup.decisions(docs).collect())) == brute(ROWS)
+    assert not (tmp_path / "state/texts").exists()
+    at = {r.keep_id: (r.keep_file, r.keep_row) for r in dedup.state().where("n > 1").collect()}
+    rows = {(r.f, r.i): r.doc_id for r in docs.selectExpr("doc_id", "_metadata.file_path AS f", "_metadata.row_index AS i").collect()}
+    assert at and all(rows[where] == keep for keep, where in at.items())
+    assert spark.conf.get("spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB", None) is None
