@@ -1,7 +1,12 @@
 """From raw documents to packed training sequences, as five stages over whole tables.
 
 Each stage takes (spark, docs, sf_dir), works on all rows that its predecessor kept and, but
-for the last, returns the columns of ``documents``.
+for the last, returns the columns of ``documents``; columns beyond these pass through.
+
+Defined results: rows, not ids, are kept or dropped, so repeated and null ids lose no unique
+text. A null text is judged, compared and packed as an empty one, and stays null until mixing;
+mixing takes nothing of texts without words, so they end there. Ties go to the smallest id,
+null last, then to one row. Texts are read whole. An empty table gives an empty result.
 """
 
 from __future__ import annotations
