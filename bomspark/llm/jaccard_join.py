@@ -84,11 +84,13 @@ def profiles(docs: DataFrame, words: int) -> DataFrame:
     def profile(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             sets = [shingle_set(t, words) for t in batch["text"]]
-            out = pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64"), "key": batch["key"]})
+            out = pd.DataFrame({"doc_id": batch["doc_id"], "key": batch["key"]})
             out["node"], out["n"] = [digest(s) for s in sets], [len(s) for s in sets]
             yield out
 
-    return docs.mapInPandas(profile, "doc_id long, key long, node binary, n int")
+    # ids go through pandas as strings: longs beside nulls would become floats
+    found = docs.withColumn("doc_id", F.col("doc_id").cast("string")).mapInPandas(profile, "doc_id string, key long, node binary, n int")
+    return found.withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
 # Packed rows: nodes holds 16 bytes a set, sizes and runs 4 (its size, its shingles here),

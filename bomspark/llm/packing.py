@@ -7,7 +7,9 @@ bounded shares of the documents (by hash), each packed by one task from lengths
 
 Defined results: null and empty texts are the end-of-document id alone. Repeated rows are
 packed as often as they occur (told apart by nothing but their sequence and offset). A
-null id is packed like any other. An empty table gives an empty result.
+null id, or any 64-bit one, is packed like any other. Texts are tokenised whole, however
+long. Pieces of equal length go by id, start and checksum; any of equally tight windows may
+be taken. Extra columns are ignored. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -24,7 +26,7 @@ from pyspark.sql import functions as F
 
 from .common import materialize
 
-PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
+PIECES = "doc_id string, start long, length long, ids_crc32 long, doc_tokens long"
 #: Where str.split and the tokenizer's white space differ, or ids depend on more than a word.
 UNSURE = ("\x1c", "\x1d", "\x1e", "\x1f", "<|")
 
@@ -112,11 +114,11 @@ def tokenized_pieces(docs: DataFrame, tokenizer_path: str, window: int = 4096, e
                     piece = ids[4 * start : 4 * (start + window)]
                     row = (doc, start, len(piece) // 4, zlib.crc32(piece), total)
                     rows.append((*row, np.frombuffer(piece, "<u4").astype(np.int32)) if with_ids else row)
-            out = pd.DataFrame(rows, columns=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "ids"][: 5 + with_ids])
-            out["doc_id"] = out["doc_id"].astype("Int64")
-            yield out
+            yield pd.DataFrame(rows, columns=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "ids"][: 5 + with_ids])
 
-    return docs.select(F.col(id_col).cast("long"), F.col(text)).mapInPandas(cut, PIECES + (", ids array<int>" if with_ids else ""))
+    # ids go through pandas as strings: longs beside nulls would become floats
+    cut_rows = docs.select(F.col(id_col).cast("long").cast("string"), F.col(text)).mapInPandas(cut, PIECES + (", ids array<int>" if with_ids else ""))
+    return cut_rows.withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
 def best_fit_decreasing(lengths: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
@@ -177,9 +179,9 @@ def pack(pieces: DataFrame, window: int = 4096, group_pieces: int = 50_000) -> D
         return rows[[*columns, "sequence_id", "offset", "sequence_length"]]
 
     columns = pieces.columns
-    grouped = pieces.withColumn("grp", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(groups)))
-    schema = ", ".join(f"{c} {t}" for c, t in pieces.dtypes) + ", sequence_id long, offset long, sequence_length long"
-    return grouped.groupBy("grp").applyInPandas(place, schema)
+    grouped = pieces.withColumn("grp", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(groups))).withColumn("doc_id", F.col("doc_id").cast("string"))
+    schema = ", ".join(f"{c} {'string' if c == 'doc_id' else t}" for c, t in pieces.dtypes) + ", sequence_id long, offset long, sequence_length long"
+    return grouped.groupBy("grp").applyInPandas(place, schema).withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
 def pack_documents(docs: DataFrame, tokenizer_path: str, window: int = 4096, eos: int = 2, group_pieces: int = 50_000, id_col: str = "doc_id", text: str = "text") -> DataFrame:

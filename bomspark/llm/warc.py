@@ -133,6 +133,7 @@ def write_archives(pages: DataFrame, folder: str, page_id: str = "page_id", url:
             done.append((path.rpartition("/")[2], count, size))
         yield pd.DataFrame(done, columns=["archive", "records", "bytes"])
 
+    marked = marked.withColumns({c: F.col(c).cast("string") for c in ("page_id", "refers_to")})  # longs beside nulls would become floats in pandas
     return materialize(marked.mapInPandas(write, "archive string, records long, bytes long"), "archive-list")
 
 
@@ -163,7 +164,8 @@ def read_archives(archives: DataFrame, folder: str, payloads: bool = False) -> D
 
 
 def _frame(rows: list[dict]) -> pd.DataFrame:
-    return pd.DataFrame(rows).astype({"page_id": "Int64", "refers_to": "Int64"})
+    # longs beside nulls would become floats
+    return pd.DataFrame({k: pd.array([r[k] for r in rows], "Int64") if k in ("page_id", "refers_to") else [r[k] for r in rows] for k in rows[0]})
 
 
 def archive_round_trip(spark: SparkSession, pages: DataFrame, min_revisit_bytes: int = 0) -> DataFrame:

@@ -101,3 +101,9 @@ def test_repeated_rows_null_ids_and_empty_tables(spark):
     got = sorted((r.doc_id or 0, r.n_shingles, r.component_id or 0) for r in similar_components(docs).collect())
     assert got == [(0, 0, 0), (0, 1, 0), (0, 2, 1), (1, 2, 1), (1, 2, 1), (1, 2, 1)]
     assert similar_components(docs.limit(0)).count() == 0
+
+
+def test_large_ids_beside_null_ones_stay_exact(spark):
+    big = (1 << 63) - 1
+    docs = spark.createDataFrame([(big, "a b c d"), (None, "e f g h"), (big - 1, "i j k l"), (-(1 << 63), "m n o p")], "doc_id long, text string").coalesce(1)
+    assert {r.doc_id: r.component_id for r in similar_components(docs).collect()} == {i: i for i in (big, None, big - 1, -(1 << 63))}

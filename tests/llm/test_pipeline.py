@@ -81,3 +81,35 @@ def test_dedup_decides_row_by_row(spark):
     assert [(r.doc_id, (r.text or "-")[0]) for r in got if r.text != ""] == [(3, "a"), (4, "d"), (5, "c"), (5, "f"), (7, "-"), (None, "b")] and len(got) == 7
     mixed = corpus_pipeline.mixing(spark, docs, SF).collect()
     assert abs(sum(len(r.text.split()) for r in mixed) - sum(len((t or "").split()) for _, t in near)) <= 1
+
+
+EXTRA = ("row", "class", "size", "src", "node", "key", "digest", "n")
+
+
+def odd_table(spark):
+    long = " ".join(f"long{j} words" for j in range(60_000))
+    rows = [(1, "good text of a document about rivers and towns", "en", "a"), (None, None, None, None), (2, "", "en", "a"), (3, " \n\t", "en", None), (4, long, "en", "b"), (4, long, "en", "b"), (5, "x", "en", ""), (None, "alone without an id here", "de", "a"), (-(1 << 63), "smallest id of all documents", "en", "c"), ((1 << 63) - 1, "largest id of all documents", "en", "c")]
+    schema = "doc_id long, text string, lang string, source string, n_chars int, " + ", ".join(f"{c} string" for c in EXTRA)
+    return rows, spark.createDataFrame([(*r, len(r[1] or ""), *EXTRA) for r in rows], schema).repartition(3)
+
+
+def test_odd_rows_pass_every_stage(spark):
+    rows, docs = odd_table(spark)
+    assert corpus_pipeline.quality(spark, docs, SF).columns == docs.columns
+    exact = corpus_pipeline.exact_dedup(spark, docs, SF)
+    assert exact.columns == docs.columns and {tuple(r[c] for c in EXTRA) for r in exact.collect()} == {EXTRA}
+    key = lambda t: "".join((t or "").split())
+    assert sorted(key(r.text) for r in exact.collect()) == sorted({key(t) for _, t, _, _ in rows})
+    near = corpus_pipeline.near_dedup(spark, docs, SF)
+    assert near.columns == docs.columns and near.count() == len(rows) - 1  # texts without words are linked with nothing
+    mixed = corpus_pipeline.mixing(spark, docs, SF)
+    assert mixed.columns == docs.columns and all(r.text.split() for r in mixed.collect())
+    packed = corpus_pipeline.packing(spark, docs, SF).collect()
+    assert sum(r.start == 0 for r in packed) == len(rows) and max(r.doc_tokens for r in packed) > 60_000
+
+
+def test_empty_tables_pass_every_stage(spark):
+    docs = odd_table(spark)[1].limit(0)
+    for _, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, SF)
+        assert out.count() == 0

@@ -48,3 +48,10 @@ def test_reader_checks_members_frames_and_digests():
 
 def test_empty_table(spark):
     assert archive_round_trip(spark, spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+
+
+def test_large_ids_beside_null_ones_stay_exact(spark):
+    big = (1 << 63) - 1
+    pages = spark.createDataFrame([(big, "http://a/", "x"), (big - 1, "http://b/", "x"), (None, "http://c/", "y"), (-(1 << 63), "http://d/", "z")], "page_id long, url string, html string").coalesce(1)
+    got = {r.page_id: r.refers_to for r in archive_round_trip(spark, pages).collect()}
+    assert got == {big: None, big - 1: big, None: None, -(1 << 63): None}
