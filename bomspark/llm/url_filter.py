@@ -2,11 +2,14 @@
 
 Trust spreads from allowed hosts along links (personalised PageRank); distrust spreads
 from blocked hosts against links (who links to a blocked host is distrusted). A host is
-blocked when its distrust reaches a threshold and exceeds its trust.
+blocked when its distrust reaches a threshold and exceeds its trust. Scores are carried on
+until no host's changes by the tolerance; as each round shrinks changes by the damping, their
+number doesn't depend on the graph, and an error says so if they don't settle.
 
 Defined results: a null url, or one without ``://``, has an empty host and path, no rule
 and the default verdict. Null html has no links. Repeated rows are judged alike. Hosts
-nobody links to keep their own seed score. Extra columns are ignored.
+nobody links to keep their own seed score. Of rules of one length the last given wins. Urls
+and pages may be of any length. Empty tables give empty results. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -53,28 +56,28 @@ def host_edges(pages: DataFrame, url: str = "url", html: str = "html") -> DataFr
     return edges.join(out, "src").join(into, "dst")
 
 
-def propagate(seeds: DataFrame, edges: DataFrame, damping: float = 0.85, iterations: int = 20, tolerance: float = 1e-6, every: int = 4) -> DataFrame:
+def propagate(seeds: DataFrame, edges: DataFrame, damping: float = 0.85, iterations: int = 300, tolerance: float = 1e-6, every: int = 8) -> DataFrame:
     """(host, trust, distrust) at the fixed point; seeds is (host, good, bad), scaled so that
     an unlinked seed of weight w scores w. Lineage is cut every few steps, where the largest
-    change of any host decides whether to go on."""
+    change of any host since then decides whether to go on."""
     if edges.isEmpty():
         return seeds.select("host", F.col("good").alias("trust"), F.col("bad").alias("distrust"))
-    edges = materialize(edges, "weighted-edges")
-    last = scores = seeds.select("host", F.col("good").alias("trust"), F.col("bad").alias("distrust"))
+    ahead = edges.select(F.col("src").alias("host"), F.col("dst").alias("to"), (F.col("w_out") * damping).alias("t"), F.lit(0.0).alias("d"))
+    back = edges.select(F.col("dst").alias("host"), F.col("src").alias("to"), F.lit(0.0).alias("t"), (F.col("w_in") * damping).alias("d"))
+    ways = materialize(ahead.unionByName(back), "weighted-edges")
+    last = scores = given = seeds.select("host", F.col("good").alias("trust"), F.col("bad").alias("distrust"))
     for step in range(1, iterations + 1):
-        ahead = edges.join(scores.select(F.col("host").alias("src"), "trust"), "src").select(F.col("dst").alias("host"), (F.col("trust") * F.col("w_out") * damping).alias("trust"), F.lit(0.0).alias("distrust"))
-        back = edges.join(scores.select(F.col("host").alias("dst"), "distrust"), "dst").select(F.col("src").alias("host"), F.lit(0.0).alias("trust"), (F.col("distrust") * F.col("w_in") * damping).alias("distrust"))
-        given = seeds.select("host", F.col("good").alias("trust"), F.col("bad").alias("distrust"))
-        scores = given.unionByName(ahead).unionByName(back).groupBy("host").agg(F.sum("trust").alias("trust"), F.sum("distrust").alias("distrust"))
+        moved = ways.join(scores, "host").select(F.col("to").alias("host"), (F.col("t") * F.col("trust")).alias("trust"), (F.col("d") * F.col("distrust")).alias("distrust"))
+        scores = given.unionByName(moved).groupBy("host").agg(F.sum("trust").alias("trust"), F.sum("distrust").alias("distrust"))
         if step % every == 0 or step == iterations:
             scores = materialize(scores, "ranks")
             change = scores.alias("a").join(last.alias("b"), "host", "full").agg(
                 F.max(F.abs(F.coalesce("a.trust", F.lit(0.0)) - F.coalesce("b.trust", F.lit(0.0))) + F.abs(F.coalesce("a.distrust", F.lit(0.0)) - F.coalesce("b.distrust", F.lit(0.0))))
             ).first()[0]
             last = scores
-            if (change or 0.0) < tolerance:
-                break
-    return scores
+            if (change or 0.0) <= tolerance:
+                return scores
+    raise RuntimeError(f"scores still change by {change} after {iterations} rounds")
 
 
 def filter_urls(pages: DataFrame, rules: Sequence[Rule], page_id: str = "page_id", url: str = "url", html: str = "html", block_at: float = 0.5, default: str = "allow") -> DataFrame:

@@ -1,3 +1,4 @@
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -30,26 +31,40 @@ def test_distrust_spreads_to_hosts_that_link_to_blocked_ones(spark):
 
 
 def test_propagation_equals_dense_iteration(spark):
-    import numpy as np
-
     names = list("abcdef")
     links = [(0, 1), (1, 2), (2, 0), (3, 1), (4, 5), (1, 5), (0, 2)]
     pages = spark.createDataFrame([(f"http://{names[a]}/", f'<a href="http://{names[b]}/p">') for a, b in links], "url string, html string")
     seeds = spark.createDataFrame([("a", 1.0, 0.0), ("f", 0.0, 1.0), ("d", 0.5, 0.25)], "host string, good double, bad double")
-    got = {r.host: (r.trust, r.distrust) for r in propagate(seeds, host_edges(pages), iterations=40, tolerance=0).collect()}
+    got = {r.host: (r.trust, r.distrust) for r in propagate(seeds, host_edges(pages)).collect()}
     m = np.zeros((6, 6))
     for a, b in links:
         m[a, b] = 1
     good, bad = np.array([1, 0, 0, 0.5, 0, 0]), np.array([0, 0, 0, 0.25, 0, 1])
     t, d = good.copy(), bad.copy()
     out, into = np.maximum(m.sum(1), 1), np.maximum(m.sum(0), 1)
-    for _ in range(40):
+    for _ in range(400):
         t, d = good + 0.85 * (t / out) @ m, bad + 0.85 * m @ (d / into)
     for i, name in enumerate(names):
-        assert got.get(name, (0, 0)) == (pytest.approx(t[i], abs=1e-9), pytest.approx(d[i], abs=1e-9))
+        assert got.get(name, (0, 0)) == (pytest.approx(t[i], abs=1e-5), pytest.approx(d[i], abs=1e-5))
 
 
 def test_empty_table(spark):
     pages = spark.createDataFrame([], "page_id long, url string, html string")
     assert filter_urls(pages, URL_RULES).count() == 0
     assert host_edges(pages).agg(F.count("*")).first()[0] == 0
+
+
+def test_a_cycle_is_carried_on_to_its_fixed_point(spark):
+    pages = spark.createDataFrame([("http://a/", '<a href="http://b/">'), ("http://b/", '<a href="http://a/">')], "url string, html string")
+    seeds = spark.createDataFrame([("a", 0.0, 0.14)], "host string, good double, bad double")
+    got = {r.host: r.distrust for r in propagate(seeds, host_edges(pages)).collect()}
+    assert got == {"a": pytest.approx(0.14 / (1 - 0.85**2), abs=1e-5), "b": pytest.approx(0.14 * 0.85 / (1 - 0.85**2), abs=1e-5)}
+    with pytest.raises(RuntimeError):
+        propagate(seeds, host_edges(pages), iterations=8)
+
+
+def test_a_long_chain_is_followed_to_its_end(spark):
+    pages = spark.createDataFrame([(f"http://h{i}/", f'<a href="http://h{i + 1}/">') for i in range(25)], "url string, html string")
+    seeds = spark.createDataFrame([("h25", 0.0, 1.0)], "host string, good double, bad double")
+    got = {r.host: r.distrust for r in propagate(seeds, host_edges(pages)).collect()}
+    assert got == {f"h{i}": pytest.approx(0.85 ** (25 - i), abs=1e-5) for i in range(26)}
