@@ -1,13 +1,16 @@
 """Substring dedup by content-defined chunking.
 
 A gear rolling hash over the UTF-8 bytes sets chunk borders from content alone, so an
-insertion shifts borders only near itself. Chunks are deduplicated by a 64-bit digest with
-their length; neighbouring repeated chunks of a document are joined into spans.
-
-Defined results: null and empty texts have no chunks. Repeated rows with one id count as
-separate copies when their texts differ in place only by the row; spans carry the id, so
-such rows merge. Spans shorter than ``min_words`` words are not reported. The first
-occurrence (smallest id, then position) of a span's chunks has ``first`` true.
+insertion shifts borders only near itself. Chunks are deduplicated by a 128-bit digest;
+neighbouring repeated chunks of a document are joined into spans. The table of repeated
+chunks is written first, so that a chunk which many documents share meets them in a join
+of two shuffles, which Spark splits where it is skewed.
+
+Defined results: null and empty texts have no chunks. Rows count one by one: rows that share
+an id, or have none, each get spans of their own, with that id or null. Spans shorter than
+``min_words`` words, a parameter, are not reported. A span is ``first`` if each of its chunks
+is the first occurrence (smallest id, null last, then row, then position). Texts are cut
+whole, however long. An empty table gives an empty result. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -59,14 +62,14 @@ def borders(data: np.ndarray, least: int = 16, bits: int = 5, most: int = 160) -
 
 
 def chunks(texts: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, idx, digest, start and length in characters, words: every chunk of every text."""
+    """row, doc_id (0 if no_id), idx, digest, digest2, start and length in characters, words: every chunk of every text."""
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = ("doc_id", "idx", "digest", "start", "length", "words")
+        names = ("row", "no_id", "doc_id", "idx", "digest", "digest2", "start", "length", "words")
         for batch in batches:
             parts: list[tuple[np.ndarray, ...]] = []
             size = 0
-            for doc, value in zip(batch.iloc[:, 0], batch.iloc[:, 1], strict=True):
+            for row, no_id, doc, value in zip(batch["row"], batch["no_id"], batch["doc_id"], batch["text"], strict=True):
                 raw = (value or "").encode("utf-8", "surrogatepass")
                 data = np.frombuffer(raw, np.uint8)
                 if not len(data):
@@ -76,26 +79,32 @@ def chunks(texts: DataFrame, id_col: str = "doc_id", text: str = "text") -> Data
                 chars = np.concatenate(([0], np.cumsum((data & 0xC0) != 0x80)))
                 space = SPACE[data]
                 heads = np.concatenate(([0], np.cumsum(~space & np.concatenate(([True], space[:-1])))))
-                digest = np.frombuffer(b"".join([hashlib.blake2b(raw[a:b], digest_size=8).digest() for a, b in zip(begins.tolist(), ends.tolist(), strict=True)]), np.int64)
-                parts.append((np.full(len(ends), doc), np.arange(len(ends)), digest, chars[begins], chars[ends] - chars[begins], heads[ends] - heads[begins]))
-                size += len(ends)
+                digest = np.frombuffer(b"".join([hashlib.blake2b(raw[a:b], digest_size=16).digest() for a, b in zip(begins.tolist(), ends.tolist(), strict=True)]), np.int64).reshape(-1, 2)
+                n = len(ends)
+                parts.append((np.full(n, row), np.full(n, no_id), np.full(n, doc), np.arange(n), digest[:, 0], digest[:, 1], chars[begins], chars[ends] - chars[begins], heads[ends] - heads[begins]))
+                size += n
                 if size > 100_000:
                     yield pd.DataFrame(dict(zip(names, map(np.concatenate, zip(*parts, strict=True)), strict=True)))
                     parts, size = [], 0
             if parts:
                 yield pd.DataFrame(dict(zip(names, map(np.concatenate, zip(*parts, strict=True)), strict=True)))
 
-    return texts.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text)).where("doc_id is not null").mapInPandas(cut, "doc_id long, idx int, digest long, start int, length int, words int")
+    doc = F.col(id_col).cast("long")
+    keyed = texts.select(F.monotonically_increasing_id().alias("row"), doc.isNull().alias("no_id"), F.coalesce(doc, F.lit(0)).alias("doc_id"), F.col(text).alias("text"))
+    return keyed.mapInPandas(cut, "row long, no_id boolean, doc_id long, idx int, digest long, digest2 long, start int, length int, words int")
 
 
 def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text: str = "text", min_words: int = 12) -> DataFrame:
     """doc_id, start, length (characters), words, n_chunks, first, first_doc_id: spans that stand elsewhere too."""
+    key = ["digest", "digest2"]
     all_chunks = materialize(chunks(docs, id_col, text), "chunks")
-    repeated = all_chunks.groupBy("digest", "length").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "idx")).alias("one")).where("n > 1").select("digest", "length", "one")
-    hits = all_chunks.join(repeated, ["digest", "length"])
-    run = Window.partitionBy("doc_id").orderBy("idx")
-    hits = hits.withColumn("island", F.col("idx") - F.dense_rank().over(run)).withColumn("first", (F.col("one.doc_id") == F.col("doc_id")) & (F.col("one.idx") == F.col("idx")))
-    spans = hits.groupBy("doc_id", "island").agg(
-        F.min("start").cast("long").alias("start"), (F.max(F.col("start") + F.col("length")) - F.min("start")).cast("long").alias("length"), F.sum("words").alias("words"), F.count("*").alias("n_chunks"), F.min("first").alias("first"), F.min("one.doc_id").alias("first_doc_id")
+    counted = all_chunks.groupBy(*key).agg(F.count("*").alias("n"), F.min(F.struct("no_id", "doc_id", "row", "idx")).alias("one")).where("n > 1")
+    repeated = materialize(counted.select(*key, "one"), "repeated")
+    hits = all_chunks.join(repeated, key)
+    first = (F.col("one.row") == F.col("row")) & (F.col("one.idx") == F.col("idx"))
+    hits = hits.select("row", F.when(~F.col("no_id"), F.col("doc_id")).alias("doc_id"), "idx", "start", "length", "words", first.alias("first"), F.when(~F.col("one.no_id"), F.col("one.doc_id")).alias("first_doc_id"))
+    hits = hits.withColumn("island", F.col("idx") - F.row_number().over(Window.partitionBy("row").orderBy("idx")))
+    spans = hits.groupBy("row", "doc_id", "island").agg(
+        F.min("start").cast("long").alias("start"), (F.max(F.col("start") + F.col("length")) - F.min("start")).cast("long").alias("length"), F.sum("words").alias("words"), F.count("*").alias("n_chunks"), F.min("first").alias("first"), F.min("first_doc_id").alias("first_doc_id")
     )
-    return spans.where(F.col("words") >= min_words).drop("island")
+    return spans.where(F.col("words") >= min_words).drop("row", "island")

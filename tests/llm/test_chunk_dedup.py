@@ -36,10 +36,49 @@ def test_planted_passages_are_found_and_others_left(spark):
     rows = [(i, words(rng, 150), "x") for i in range(40)] + [(100 + i, f"{words(rng, 80)} {passage} {words(rng, 50)}", "x") for i in range(4)]
     rows += [(200, None, "x"), (201, "", "x"), (202, "  \n", "x"), (None, passage, "x"), (203, "a" * 5000, "x")]
     got = repeated_spans(spark.createDataFrame(rows, "doc_id long, text string, digest string")).collect()
-    assert {r.doc_id for r in got if r.doc_id != 203} == {100, 101, 102, 103}
+    assert {r.doc_id for r in got if r.doc_id != 203} == {100, 101, 102, 103, None}
     text = dict((r[0], r[1]) for r in rows)
     assert all(text[r.doc_id][r.start : r.start + r.length] in passage for r in got if r.doc_id != 203)
-    assert {r.doc_id for r in got if r.first and r.doc_id != 203} == {100}
+    assert {r.doc_id for r in got if r.first and r.doc_id != 203} == {100} and {r.first_doc_id for r in got if r.doc_id is None} == {100}
+
+
+def brute(rows, min_words):
+    """Spans by a plain count of all chunks, for rows in table order."""
+    where, cut = {}, []
+    for row, (doc, text) in enumerate(rows):
+        raw, at, mine = (text or "").encode(), 0, []
+        for end in borders(np.frombuffer(raw, np.uint8)).tolist():
+            where.setdefault(raw[at:end], []).append((doc is None, doc or 0, row, len(mine)))
+            mine.append((at, end))
+            at = end
+        cut.append((doc, raw, mine))
+    out = []
+    for row, (doc, raw, mine) in enumerate(cut):
+        run = []
+        for i, (a, b) in enumerate([*mine, (0, 0)]):
+            if b and len(where[raw[a:b]]) > 1:
+                run.append(i)
+            elif run:
+                a, b = mine[run[0]][0], mine[run[-1]][1]
+                words = sum(not bytes([raw[j]]).isspace() and (j == 0 or bytes([raw[j - 1]]).isspace()) for j in range(a, b))
+                ones = [min(where[raw[slice(*mine[j])]]) for j in run]
+                if words >= min_words:
+                    start = len(raw[:a].decode())
+                    firsts = [o[1] for o in ones if not o[0]]
+                    out.append((doc, start, len(raw[:b].decode()) - start, words, len(run), all(o[2:] == (row, j) for o, j in zip(ones, run)), min(firsts, default=None)))
+                run = []
+    return sorted(out, key=str)
+
+
+def test_spans_equal_brute_force(spark):
+    rng = np.random.default_rng(11)
+    passages = [words(rng, 40) for _ in range(3)]
+    rows = [(int(rng.integers(-20, 20)), f"{words(rng, 30)} {passages[rng.integers(0, 3)]}\n{words(rng, 20)}") for _ in range(40)]
+    rows += [(None, rows[0][1]), (None, rows[1][1]), (rows[2][0], rows[2][1]), (rows[2][0], rows[2][1]), (1 << 62, passages[0]), (-(1 << 63), passages[1] * 3), (7, None), (8, ""), (9, "z" * 3000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    got = repeated_spans(docs, min_words=5)
+    assert got.columns == ["doc_id", "start", "length", "words", "n_chunks", "first", "first_doc_id"]
+    assert sorted(map(tuple, got.collect()), key=str) == brute(rows, 5)
 
 
 def test_empty_table(spark):
