@@ -14,8 +14,10 @@ headings right before them and with what stands between two of them in one paren
 links hold most of it.
 
 Defined results: null, empty or text-free html gives an empty text. Markup may be cut off
-anywhere; unclosed elements end with their parent. Texts are never cut. Repeated rows are
-extracted alike. A page without a body element is its own body.
+anywhere; unclosed elements end with their parent; once a tag's quotes run to the end of the
+page, tags end at the next sign that closes them. Texts are never cut, and pages of any
+length take time in proportion to it. Of subtrees that tie the first counts. Repeated rows
+are extracted alike. A page without a body element is its own body. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -23,15 +25,14 @@ from __future__ import annotations
 import html as entities
 import math
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-TOKEN = re.compile(
-    r"""<!--(?:.*?-->|.*\Z)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>|<(?P<end>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<attrs>(?>[^>"']+|"[^"]*"|'[^']*'|["'])*+)>""", re.S
-)
+TAG = re.compile(r"<(?P<end>/?)(?P<name>[a-zA-Z][^\s/>]*)")
+ATTRS = re.compile(r"""(?>[^>"']+|"[^"]*"|'[^']*'|["'])*+(?=>)""")
 MARK = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 HIDDEN = re.compile(r"""\s(?:hidden(?=[\s=/]|$)|aria-hidden\s*=\s*["']?true|style\s*=\s*["'][^"']*display\s*:\s*none)""", re.I)
 RAW = frozenset({"script", "style", "textarea", "title", "iframe", "noembed", "noframes", "xmp"})
@@ -50,6 +51,8 @@ LEAST = 200
 #: An open element of the key ends where an element of the value starts.
 CLOSES = {"p": BLOCK - {"td", "th", "tr", "tbody", "thead", "tfoot", "caption"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "tbody", "tfoot"}, "td": {"td", "th", "tr"}, "th": {"td", "th", "tr"}, "option": {"option"}, "h1": {"h2", "p"}, "h2": {"h1", "h2", "h3", "p"}, "h3": {"h2", "h3", "h4", "p"}}
 SCOPES = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"table"}, "th": {"table"}, "p": {"td", "th", "li", "div", "article", "section", "blockquote", "body", "main"}, "option": {"select"}}
+#: Per name, the elements that its start may end.
+ENDS = {name: [k for k, v in CLOSES.items() if name in v] for name in frozenset().union(*CLOSES.values())}
 
 
 class Node:
@@ -76,46 +79,81 @@ def _signs(name: str, attrs: str) -> tuple[bool, int]:
     return HIDDEN.search(attrs) is not None, int(doubt)
 
 
+class _Open:
+    """The open elements, with their places by name, so that each start or end takes constant time."""
+
+    def __init__(self) -> None:
+        self.stack, self.places, self.barriers = [Node("#root", None)], {}, [0]
+
+    def push(self, node: Node) -> None:
+        self.places.setdefault(node.name, []).append(len(self.stack))
+        if node.name in BLOCK and node.name not in CLOSES:
+            self.barriers.append(len(self.stack))
+        self.stack.append(node)
+
+    def cut(self, to: int) -> None:
+        while len(self.stack) > to:
+            self.places[self.stack.pop().name].pop()
+            if self.barriers[-1] == len(self.stack):
+                self.barriers.pop()
+
+    def last(self, names: Iterable[str]) -> int:
+        return max((self.places[n][-1] for n in names if self.places.get(n)), default=0)
+
+    def imply_ends(self, name: str) -> None:
+        """Closes what a start of ``name`` ends, within the nearest block or scope."""
+        while (at := self.last(ENDS.get(name, ()))) > max(self.barriers[-1], self.last(SCOPES.get(name, ()))):
+            closed = self.stack[at].name
+            self.cut(at)
+            if closed not in ("tr", "td", "th"):
+                break
+
+
 def parse(page: str) -> Node:
-    """The element tree; text directly in a node stands among its items."""
-    root = here = Node("#root", None)
-    at, end = 0, len(page)
-    while at < end:
-        m = TOKEN.search(page, at)
+    """The element tree, by one scan ahead; text directly in a node stands among its items."""
+    open_ = _Open()
+    at = text_from = 0
+    end, last_end = len(page), page.rfind(">")
+    sections = quoted = True  # until a section's end, or a tag's beside quotes, isn't found
+    while (start := page.find("<", at)) >= 0 and (start <= last_end or page.startswith("<!--", start)):
+        at, m = start + 1, None
+        if page.startswith("<!--", start):
+            close = page.find("-->", start + 4)
+            at = close + 3 if close >= 0 else end
+        elif sections and page.startswith("<![CDATA[", start):
+            close = page.find("]]>", start + 9)
+            sections = close >= 0
+            at = close + 3 if sections else page.index(">", start) + 1
+        elif page.startswith(("<!", "<?"), start):
+            at = page.index(">", start) + 1
+        elif m := TAG.match(page, start):
+            attrs = ATTRS.match(page, m.end()) if quoted else None
+            quoted = attrs is not None
+            at = (attrs.end() if attrs else page.index(">", m.end())) + 1
+        else:
+            continue  # a bare sign, part of the text
+        if start > text_from:
+            open_.stack[-1].items.append(page[text_from:start])
+        text_from = at
         if m is None:
-            here.items.append(page[at:])
-            break
-        if m.start() > at:
-            here.items.append(page[at : m.start()])
-        at = m.end()
-        name = m["name"]
-        if not name:
             continue
-        name = name.lower()
+        name, attrs = m["name"].lower(), page[m.end() : at - 1]
         if m["end"]:
-            node = here
-            while node is not root and node.name != name:
-                node = node.parent
-            if node is not root:
-                here = node.parent
+            if open_.places.get(name):
+                open_.cut(open_.last([name]))
             continue
-        node = here
-        while node is not root:  # implied ends
-            if name in CLOSES.get(node.name, ()):
-                here = node.parent
-                if node.name not in ("tr", "td", "th"):
-                    break
-            elif node.name in BLOCK and node.name not in CLOSES or node.name in SCOPES.get(name, ()):
-                break
-            node = node.parent
-        child = Node(name, here, *_signs(name, m["attrs"]))
+        open_.imply_ends(name)
+        here = open_.stack[-1]
+        child = Node(name, here, *_signs(name, attrs))
         here.items.append(child)
         if name in RAW:
             close = re.compile(rf"</{re.escape(name)}(?=[\s/>])[^>]*>", re.I).search(page, at)
-            at = close.end() if close else end
-        elif name not in VOID and not m["attrs"].endswith("/"):
-            here = child
-    return root
+            at = text_from = close.end() if close else end
+        elif name not in VOID and not attrs.endswith("/"):
+            open_.push(child)
+    if text_from < end:
+        open_.stack[-1].items.append(page[text_from:])
+    return open_.stack[0]
 
 
 def _count(root: Node) -> list[Node]:

@@ -1,6 +1,9 @@
+import math
+import time
+
 import pytest
 
-from bomspark.llm.html_text import extract, extract_pages
+from bomspark.llm.html_text import _cut, _measure, extract, extract_pages, parse
 
 LONG = "These are many plain words of an article that goes on for quite some time, with commas and all. " * 3
 PAGE = f"""<!DOCTYPE html><html><head><title>T &amp; t</title><style>p{{}}</style><script>var t="</p>";</script></head><body>
@@ -63,3 +66,53 @@ def test_elements_by_name_parts_are_cut_by_their_links():
     assert extract(page) == "\n".join(["Title", *texts, "More."])
     posts = "".join(f"<div class='post comments-enabled'><p>{t}</p></div>" for t in texts)
     assert extract(f"<body><header><h1>Site</h1></header>{posts}</body>") == "\n".join(texts)
+
+
+def plain_measures(node):
+    """Characters, link characters, tags, link tags of what is shown below a node, counted anew."""
+    shown = [x for x in node.items if isinstance(x, str) or not x.off]
+    chars = sum(len(" ".join(x.split())) for x in shown if isinstance(x, str))
+    inner = [plain_measures(x) for x in shown if not isinstance(x, str)]
+    names = [x.name for x in shown if not isinstance(x, str)]
+    chars += sum(m[0] for m in inner)
+    links = chars if node.name == "a" else sum(m[1] for m in inner)
+    return chars, links, sum(m[2] + 1 for m in inner), sum(m[3] + (n == "a") for m, n in zip(inner, names))
+
+
+def test_densities_of_all_pages_equal_a_plain_count(spark):
+    pages = [r.html for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").collect() if r.html]
+    checked = 0
+    for page in pages:
+        root = parse(page)
+        _cut(root)
+        order = _measure(root)
+        body = next((n for n in order if n.name == "body"), root)
+        bc, bl, _, _ = plain_measures(body)
+        for node in order:
+            c, lc, t, lt = plain_measures(node)
+            t, lt = max(t, 1), max(lt, 1)
+            want = 0.0
+            if c:
+                base = math.log(math.log(c * lc / max(c - lc, 1) + (bl / bc if bc else 0) * c + math.e))
+                want = max(c / t * math.log(max(c / max(lc, 1) * t / lt, 1.0)) / base if base > math.log(1.0001) else c / t, 0.0)
+            assert node.density == pytest.approx(want, rel=1e-6)
+            assert node.total == pytest.approx(sum(k.density for k in node.kids))
+            checked += 1
+        inside = [n for n in order if n is body or body in _ancestors(n)]
+        assert not body.chars or body.top.total == max(n.total for n in inside)
+    assert checked > 1000
+
+
+def _ancestors(node):
+    while node.parent is not None:
+        node = node.parent
+        yield node
+
+
+@pytest.mark.parametrize("part", ["<![CDATA[", "<a ", '<a "', "<i>", "</i>", "<div>", "<p>", "<li>", "<td>", "<a<", "<", "<span><li>"])
+def test_time_grows_with_the_page_alone(part):
+    page = part * (200_000 // len(part))
+    began = time.perf_counter()
+    extract(page)
+    extract(page + ">")
+    assert time.perf_counter() - began < 8
