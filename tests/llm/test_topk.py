@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from bomspark.llm.topk import block_top_k, exact_top_k
+from bomspark.llm.topk import SortedBlock, block_top_k, exact_top_k
 
 
 def brute(q, qi, c, ci, k):
@@ -45,3 +45,22 @@ def test_query_against_brute_force_with_odd_rows(spark):
 def test_fewer_than_k(spark):
     df = spark.createDataFrame([(0, [1.0]), (1, [0.5]), (2, [-1.0])], "vec_id long, embedding array<float>")
     assert [tuple(r) for r in exact_top_k(df, F.col("vec_id") == 0).orderBy("rank").collect()] == [(0, 1, 1, 2048), (0, 2, 2, -4096)]
+
+
+@pytest.mark.parametrize("decay, most", [(0.0, 1.0), (1.5, 0.35), (3.0, 0.2)])
+def test_reading_stops_early_where_few_dimensions_carry_the_scores(decay, most):
+    rng = np.random.default_rng(7)
+    scale = 400 * np.arange(1, 17.0) ** -decay
+    c, ids = np.floor(rng.standard_t(3, (3000, 16)) * scale), rng.permutation(9000)[:3000]
+    block = SortedBlock(c, ids)
+    pos, got, score = block.top_k(c[:600], ids[:600], 10)
+    want = {}
+    for i in range(600):
+        s = c @ c[i]
+        s[i] = -np.inf
+        best = np.lexsort((ids, -s))[:10]
+        want[i] = list(zip(ids[best].tolist(), s[best].astype(int).tolist()))
+    found = {}
+    for p, i, v in zip(pos.tolist(), got.tolist(), score.tolist(), strict=True):
+        found.setdefault(p, []).append((i, v))
+    assert found == want and block.read / block.whole <= most
