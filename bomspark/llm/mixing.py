@@ -80,7 +80,8 @@ def shard_counts(sources: DataFrame, n_slots: int, per_shard: int, seed: int, ce
     ranges = ranges.select("src", "low", "high", F.explode(F.sequence(cell(F.col("low")), cell(F.col("high") - 1))).alias("cell"))
     draws = sources.sparkSession.range(0, n_shards, 1, max(1, min(20_000, n_shards // 4))).select(F.col("id").alias("shard"), F.explode(F.sequence(F.lit(0), F.lit(per_shard - 1))).alias("draw"))
     draws = draws.withColumn("at", F.pmod(F.xxhash64(F.lit(seed), "shard", "draw"), F.lit(max(1, n_slots)))).withColumn("cell", cell(F.col("at")))
-    drawn = draws.join(ranges, "cell").where("low <= at AND at < high").groupBy("shard", "src").agg(F.count("*").alias("count"))
+    # draws are made from few rows, whose size says nothing about theirs: no broadcast
+    drawn = draws.hint("merge").join(ranges, "cell").where("low <= at AND at < high").groupBy("shard", "src").agg(F.count("*").alias("count"))
     before = Window.partitionBy("src").orderBy("shard").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     drawn = materialize(drawn.withColumn("first", F.sum("count").over(before) - F.col("count")), "drawn")
     wanted = sources.select("src", "slots")
