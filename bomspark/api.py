@@ -34,7 +34,7 @@ def load(spark: SparkSession, path: str, strict: bool = False) -> Document:
     if strict and warnings:
         raise ValueError("; ".join(warnings))
     facts = info.document_info(raw).first()
-    comps = settle(documents.components(raw), "components")
+    comps = settle(info.with_declared(documents.components(raw), raw), "components")
     known = facts.asDict() | {"relationship_counts": {r["key"]: r["count"] for r in info.relationship_counts(raw).toLocalIterator()}} if facts else {}
     return Document(comps, settle(info.edges(raw), "edges"), known, warnings)
 

@@ -259,3 +259,23 @@ def changed(bv: Column, av: Column, bl: Column, al: Column, bh: Column, ah: Colu
 
 def fmt_count(n: Column) -> Column:
     return F.format_number(n, 0)
+
+
+def percent_text(count: Column, total: Column) -> Column:
+    """``count`` of ``total`` with one decimal, ``0.0%`` of nothing."""
+    return F.when(total == 0, "0.0%").otherwise(F.format_string("%.1f%%", F.bround(F.try_divide(count * 100.0, total), 1)))
+
+
+def file_size(n: Column) -> Column:
+    """Bytes in steps of 1024: whole up to MB, one decimal from GB on."""
+    whole = lambda step, unit: F.format_string(f"%d {unit}", F.rint(n / step).cast("bigint"))
+    return F.when(n >= 1 << 30, F.format_string("%.1f GB", F.bround(n / (1 << 30), 1))).when(n >= 1 << 20, whole(1 << 20, "MB")).when(n >= 1 << 10, whole(1 << 10, "KB")).otherwise(F.format_string("%d B", n.cast("bigint")))
+
+
+def or_none(c: Column) -> Column:
+    return F.when(text(c) == "", "(none)").otherwise(c)
+
+
+def octal_mode(mode: Column) -> Column:
+    """The permission bits of a file mode, as octal digits."""
+    return F.conv(mode.bitwiseAND(F.lit(0o7777)).cast("string"), 10, 8)

@@ -106,6 +106,8 @@ def both_collisions(before: DataFrame, after: DataFrame) -> DataFrame:
 
 def samples_by_type(comps: DataFrame, most: int = 5) -> DataFrame:
     """type, total and the first ``most`` ids, in id order."""
-    t = comps.withColumn("type", fn.effective_type(F.col("purl"), F.col("id")))
-    w = Window.partitionBy("type")
-    return t.select("type", "id", F.count("*").over(w).alias("total"), F.row_number().over(w.orderBy("id")).alias("rank")).where(F.col("rank") <= most)
+    t = comps.select(fn.effective_type(F.col("purl"), F.col("id")).alias("type"), "id")
+    rank = F.row_number().over(Window.partitionBy("type").orderBy("id"))
+    # the rank alone is a group limit, which tasks apply before the shuffle
+    first = t.withColumn("rank", rank).where(F.col("rank") <= most)
+    return first.join(t.groupBy("type").agg(F.count("*").alias("total")), "type").select("type", "id", "total", "rank")

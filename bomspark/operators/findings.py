@@ -2,6 +2,8 @@
 
 Document facts (``info``) are one small mapping per document; everything counted stays a frame.
 Percentages are rounded half to even on their decimal form.
+
+The wording of the messages consists of fixed values.
 """
 
 from __future__ import annotations

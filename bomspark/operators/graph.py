@@ -14,11 +14,18 @@ def roots(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return nodes.select("id") if found.isEmpty() else found
 
 
+def adjacency(comps: DataFrame, edges: DataFrame) -> DataFrame:
+    """``edges`` (src_id, src_ordinal, dst_id) of the last component of each id alone: it
+    replaces the dependencies of those before it, also where it has none."""
+    last = comps.groupBy("id").agg(F.max("ordinal").alias("src_ordinal")).withColumnRenamed("id", "src_id")
+    return edges.join(last, ["src_id", "src_ordinal"], "left_semi")
+
+
 def reachable(starts: DataFrame, edges: DataFrame, most: int = 1000) -> DataFrame:
     """root, node, depth, path: shortest paths, first found in adjacency order.
 
     One level per round for all starts at once; visited pairs are joined away, and each level
-    is a table in the shared folder."""
+    is a table in the shared folder. Paths longer than ``most`` are an error."""
     adjacency = settle(edges.select("src_id", "dst_id", "adj_ordinal"), "adjacency")
     level = settle(starts.select(F.col("id").alias("root"), F.col("id").alias("node"), F.lit(0).alias("depth"), F.array("id").alias("path"), F.array().cast("array<bigint>").alias("ord")), "level")
     levels = [level]
@@ -32,6 +39,8 @@ def reachable(starts: DataFrame, edges: DataFrame, most: int = 1000) -> DataFram
         levels.append(level)
         if len(levels) > 8:  # keep the plan short
             levels = [settle(_union(levels), "visited")]
+    else:
+        raise RuntimeError(f"paths are longer than {most}")
     return _union(levels).where("depth > 0").select("root", "node", "depth", "path")
 
 
@@ -81,7 +90,7 @@ def resolve_refs(nodes: DataFrame, refs: DataFrame) -> DataFrame:
 
 
 def with_ancestors(matches: DataFrame, edges: DataFrame, most: int = 1000) -> DataFrame:
-    """The matching ids and everything above them, one level up per round."""
+    """The matching ids and everything above them, one level up per round; chains longer than ``most`` are an error."""
     up = settle(edges.select("src_id", "dst_id").distinct(), "up")
     level = settle(matches.select("id").distinct(), "level")
     found = level
@@ -89,6 +98,6 @@ def with_ancestors(matches: DataFrame, edges: DataFrame, most: int = 1000) -> Da
         step = level.join(up, F.col("id") == F.col("dst_id")).select(F.col("src_id").alias("id")).distinct().join(found, "id", "left_anti")
         level = settle(step, "level")
         if level.isEmpty():
-            break
+            return found
         found = settle(found.unionByName(level), "found")
-    return found
+    raise RuntimeError(f"chains are longer than {most}")

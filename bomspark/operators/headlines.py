@@ -2,6 +2,8 @@
 
 Every finding is counted by aggregation first; only the few keys a message names are brought
 together. Percentages are rounded half to even on their decimal form.
+
+The wording of the messages consists of fixed values.
 """
 
 from __future__ import annotations

@@ -58,9 +58,21 @@ def top(counts: DataFrame, n: int, *by: str) -> DataFrame:
 
 
 def graph_coverage(comps: DataFrame, edges: DataFrame) -> DataFrame:
-    """Components that have or are a dependency."""
+    """Components that have or are a dependency, or declare that they have none (``deps_declared``, where known)."""
     touched = edges.select(F.col("src_id").alias("id")).unionByName(edges.select(F.col("dst_id").alias("id"))).distinct()
-    return comps.join(touched, "id", "left_semi")
+    if "deps_declared" not in comps.columns:
+        return comps.join(touched, "id", "left_semi")
+    return comps.join(touched.withColumn("__touched", F.lit(True)), "id", "left").where(F.col("deps_declared") | F.col("__touched")).drop("__touched")
+
+
+def dependency_counts(edges: DataFrame, *by: str) -> DataFrame:
+    """with_dependencies, total_dependencies: components that have dependencies, and all of these."""
+    return edges.groupBy(*by).agg(F.count_distinct("src_id").alias("with_dependencies"), F.count("*").alias("total_dependencies"))
+
+
+def bars(counts: DataFrame, n: int) -> DataFrame:
+    """key, count and share of the largest count, for the n largest counts."""
+    return top(counts, n).withColumn("share", F.col("count") / F.max("count").over(Window.partitionBy()))
 
 
 COMPONENT_CHECKS: dict[str, list[tuple[str, str]]] = {
@@ -73,7 +85,7 @@ COMPONENT_CHECKS: dict[str, list[tuple[str, str]]] = {
 def compliance_counts(comps: DataFrame, edges: DataFrame) -> DataFrame:
     """One row with the number of packages that pass each component check."""
     pk = packages(comps)
-    covered = graph_coverage(pk.select("id"), edges).agg(F.count("*").alias("deps"))
+    covered = graph_coverage(pk.select("id", *[c for c in ("deps_declared",) if c in pk.columns]), edges).agg(F.count("*").alias("deps"))
     counts = pk.agg(
         F.count("*").alias("total"), *[F.count_if(F.col(c) != "").alias(c) for c in ("name", "version", "supplier")], F.count_if(fn.has_lookup_id(F.col("purl"), F.col("cpes"))).alias("uid"), F.count_if(F.size("licenses") > 0).alias("license"), F.count_if(F.size("hashes") > 0).alias("hash"),
         F.count_if(fn.has_contact(F.col("supplier"))).alias("contact"), F.count_if(F.map_contains_key("hashes", F.lit("SHA-512")) | F.map_contains_key("hashes", F.lit("SHA512"))).alias("sha512"), F.count_if(valid_spdx(F.col("licenses"))).alias("spdx"),
@@ -81,9 +93,8 @@ def compliance_counts(comps: DataFrame, edges: DataFrame) -> DataFrame:
     return counts.crossJoin(covered)  # one row each
 
 
-def checks(comps: DataFrame, edges: DataFrame, info: dict, standard: str) -> DataFrame:
-    """check, passed: component checks pass when all packages do, document checks by ``info``."""
-    rows = COMPONENT_CHECKS[standard]
+def _made(info: dict, standard: str) -> list[Column]:
+    """A struct (standard, check, passed) of each check, over compliance_counts."""
     has = lambda *keys: any(info.get(k) for k in keys)
     author = info.get("sbom_author") or ""
     document = {
@@ -91,13 +102,21 @@ def checks(comps: DataFrame, edges: DataFrame, info: dict, standard: str) -> Dat
         "cisa": [("tool", has("tool_name")), ("author", has("sbom_author")), ("timestamp", has("sbom_timestamp"))],
         "bsi": [("author", "@" in author or author.startswith(("http://", "https://"))), ("timestamp", has("sbom_timestamp"))],
     }[standard]
-    made = [F.struct(F.lit(f"{standard}-{k}").alias("check"), (F.col(c) == F.col("total")).alias("passed")) for k, c in rows]
-    made += [F.struct(F.lit(f"{standard}-{k}").alias("check"), F.lit(bool(ok)).alias("passed")) for k, ok in document]
+    passed = [(k, F.col(c) == F.col("total")) for k, c in COMPONENT_CHECKS[standard]] + [(k, F.lit(bool(ok))) for k, ok in document]
+    return [F.struct(F.lit(standard).alias("standard"), F.lit(f"{standard}-{k}").alias("check"), ok.alias("passed")) for k, ok in passed]
+
+
+def _checked(comps: DataFrame, edges: DataFrame, info: dict, *standards: str) -> DataFrame:
+    made = [c for s in standards for c in _made(info, s)]
     return compliance_counts(comps, edges).where("total > 0").select(F.explode(F.array(*made)).alias("c")).select("c.*")
 
 
+def checks(comps: DataFrame, edges: DataFrame, info: dict, standard: str) -> DataFrame:
+    """check, passed: component checks pass when all packages do, document checks by ``info``."""
+    return _checked(comps, edges, info, standard).drop("standard")
+
+
 def framework_scores(comps: DataFrame, edges: DataFrame, info: dict) -> DataFrame:
-    """standard, passed, total, score (whole percent) of the standards that apply."""
-    frames = [checks(comps, edges, info, s).agg(F.count_if("passed").alias("passed"), F.count("*").alias("total")).where("total > 0").withColumn("standard", F.lit(s)) for s in COMPONENT_CHECKS]
-    out = frames[0].unionByName(frames[1]).unionByName(frames[2])
+    """standard, passed, total, score (whole percent) of the standards that apply, from one count."""
+    out = _checked(comps, edges, info, *COMPONENT_CHECKS).groupBy("standard").agg(F.count_if("passed").alias("passed"), F.count("*").alias("total"))
     return out.select("standard", "passed", "total", F.floor(F.col("passed") * 100 / F.col("total")).alias("score"))

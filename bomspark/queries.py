@@ -211,8 +211,8 @@ def policy(key: str, knobs: dict, rule: str, message: str, rows: str, severity:
         found = profile.framework_scores(s.after, s.edges_of("after"), INFO["after"]) if scores else None
         return rules.evaluate(rules.Policy(**knobs), s.diff, s.after, new, found).select("rule", "message", "severity")
 
-    sql = None if graph_needed else VIOLATION.format(rule=rule, message=message, severity=severity, rows=rows)
-    snap(key, sql)(run)
+    sql = VIOLATION.format(rule=rule, message=message, severity=severity, rows=rows)
+    query(key, sql, "" if graph_needed else SQL)(lambda spark, d: run(Snapshots(spark, d)))
 
 
 for _w in ("added", "removed", "changed"):
@@ -222,8 +222,9 @@ policy("pol_require_licenses", {"require_licenses": True}, "require_licenses", "
 policy("pol_deny_duplicates", {"deny_duplicates": True}, "deny_duplicates", "n || ' duplicates found'", "(SELECT count(*) AS n FROM (SELECT id FROM a GROUP BY id HAVING count(*) > 1)) WHERE n > 0")
 policy("pol_deny_integrity", {"deny_integrity_drift": True}, "deny_integrity_drift", "name || ': hash changed without version change'", "ch WHERE drift = 'integrity'")
 policy("pol_warn_supplier", {"warn_supplier_change": True}, "warn_supplier_change", "name || ': supplier \"' || supplier_from || '\" -> \"' || supplier_to || '\"'", "ch WHERE supplier_from <> supplier_to", "warning")
-policy("pol_max_depth", {"max_depth": 3}, "max_depth", "", "", graph_needed=True)
-policy("pol_warn_transitive", {"warn_new_transitive": True}, "warn_new_transitive", "", "", graph_needed=True)
+_NEW = _transitive_sql("after")
+policy("pol_max_depth", {"max_depth": 3}, "max_depth", "'transitive deps at depth >= 3: [' || t || ']'", f"(SELECT string_agg(d, ' ' ORDER BY d) AS t FROM (SELECT target || ' (depth ' || depth || ')' AS d FROM ({_NEW}) WHERE depth >= 3)) WHERE t IS NOT NULL", graph_needed=True)
+policy("pol_warn_transitive", {"warn_new_transitive": True}, "warn_new_transitive", "n || ' new transitive deps'", f"(SELECT count(*) AS n FROM ({_NEW})) WHERE n > 0", "warning", graph_needed=True)
 for _n in ("ntia", "cisa", "bsi"):
     policy(f"pol_min_{_n}", {f"min_{_n}_score": 100}, f"min_{_n}_score", f"'{_n} score ' || score || ' < min 100'", f"({_scores}) WHERE standard = '{_n}' AND score < 100", scores=True)
 policy("pol_min_overall", {"min_overall_compliance": 100}, "min_overall_compliance", "'overall score ' || score || ' < min 100'", f"(SELECT CAST(floor(avg(score)) AS BIGINT) AS score FROM ({_scores})) WHERE score < 100", scores=True)
@@ -355,3 +356,22 @@ message(
     "SELECT 'License shift: ' || concat_ws(', ', CASE WHEN c <> 0 THEN 'copyleft ' || printf('%+d', c) END, CASE WHEN p <> 0 THEN 'permissive ' || printf('%+d', p) END) AS message FROM (SELECT sum(s) FILTER (contains(lic, 'GPL'))::BIGINT AS c, sum(s) FILTER (lic <> '' AND NOT contains(lic, 'GPL'))::BIGINT AS p FROM (SELECT lic, CASE side WHEN 'after' THEN 1 ELSE -1 END AS s FROM comp)) WHERE c <> 0 OR p <> 0",
 )(lambda s: headlines.license_shift(s.all))
 message("msg_cataloger_gaps", "SELECT found_by || ' found ' || format('{:,}', count(*)) || ' packages in Before but none in After' AS message FROM b WHERE found_by <> '' AND found_by NOT IN (SELECT found_by FROM a) GROUP BY found_by")(lambda s: headlines.cataloger_gaps(s.before, s.after))
+
+# Declared dependencies, adjacency of repeated ids, and small texts.
+DECLARED = "(SELECT DISTINCT id FROM (SELECT src_id AS id FROM edge WHERE side = 'after' UNION SELECT dst_id FROM edge WHERE side = 'after' UNION SELECT id FROM a WHERE ordinal % 3 = 0))"
+_declared = lambda s, flag: s.after.withColumn("deps_declared", flag)
+snap("gr_coverage_declared", f"SELECT count(*) AS n FROM {DECLARED}")(lambda s: profile.graph_coverage(_declared(s, C("ordinal") % 3 == 0), s.edges_of("after")).agg(F.count("*").alias("n")))
+for _s in _cmp:
+    _sql = _rows[_s].replace(COVER, "true")
+    snap(f"cmp_{_s}_declared", _sql)(lambda s, std=_s: profile.checks(_declared(s, F.lit(True)), s.edges_of("after"), INFO["after"], std))
+snap("agg_dependencies", "SELECT side, count(DISTINCT src_id) AS with_dependencies, count(*) AS total_dependencies FROM edge GROUP BY side")(lambda s: profile.dependency_counts(s.edges, "side"))
+query("gr_adjacency", "SELECT id, ordinal, dst FROM (SELECT l_partkey || '/' || l_suppkey AS id, l_orderkey * 8 + l_linenumber AS ordinal, l_returnflag || l_linestatus AS dst, max(l_orderkey * 8 + l_linenumber) OVER (PARTITION BY l_partkey, l_suppkey) AS last FROM lineitem) WHERE ordinal = last", "")(
+    lambda spark, d: (lambda i: graph.adjacency(i, i.select(C("id").alias("src_id"), C("ordinal").alias("src_ordinal"), C("dst").alias("dst_id"))).select(C("src_id").alias("id"), C("src_ordinal").alias("ordinal"), C("dst_id").alias("dst")))(
+        read(spark, d, "lineitem").select(F.concat_ws("/", C("l_partkey").cast("string"), C("l_suppkey").cast("string")).alias("id"), (C("l_orderkey") * 8 + C("l_linenumber")).alias("ordinal"), F.concat("l_returnflag", "l_linestatus").alias("dst"))
+    )
+)
+scalar("fn_file_size", lambda: fn.file_size(C("ordinal") * C("ordinal") * 512), "CASE WHEN ordinal * ordinal * 512 >= 1073741824 THEN printf('%.1f GB', ordinal * ordinal * 512 / 1073741824.0::DOUBLE) WHEN ordinal * ordinal * 512 >= 1048576 THEN printf('%.0f MB', ordinal * ordinal * 512 / 1048576.0::DOUBLE) WHEN ordinal * ordinal * 512 >= 1024 THEN printf('%.0f KB', ordinal * ordinal * 512 / 1024.0::DOUBLE) ELSE ordinal * ordinal * 512 || ' B' END")
+scalar("fn_percent_text", lambda: fn.percent_text(C("ordinal") % 50, C("ordinal") % 40), "CASE WHEN ordinal % 40 = 0 THEN '0.0%' ELSE printf('%.1f%%', (ordinal % 50) * 100.0::DOUBLE / (ordinal % 40)) END")
+scalar("fn_or_none", lambda: fn.or_none(C("language")), "CASE WHEN language = '' THEN '(none)' ELSE language END")
+scalar("fn_octal_mode", lambda: fn.octal_mode(C("ordinal") * 37), "to_base((ordinal * 37) & 4095, 8)")
+snap("topk_bars", "SELECT key, count, CAST(count AS DOUBLE) / max(count) OVER () AS share FROM (SELECT lic AS key, count(*) AS count FROM a WHERE lic <> '' GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 3)")(lambda s: profile.bars(profile.by_license(s.after), 3))

@@ -107,6 +107,26 @@ def _refs(documents: DataFrame) -> DataFrame:
     return row(json_deps).unionByName(row(xml_deps)).unionByName(row(spdx)).unionByName(row(syft))
 
 
+def declared(documents: DataFrame) -> DataFrame:
+    """sbom_id, ref of components whose dependencies are declared: an entry of their own, also an
+    empty one, in CycloneDX, and a dependency on NONE in SPDX. Syft has no such statement."""
+    typed = documents.select("sbom_id", "text", dialect(F.col("text")).alias("dialect"))
+    of = lambda name: typed.where(F.col("dialect") == name)
+    row = lambda df, ref: df.select("sbom_id", ref.alias("ref"))
+    found = row(of("cyclonedx").select("sbom_id", F.explode(F.from_json("text", DEPENDENCIES)["dependencies"]).alias("d")), F.col("d.ref"))
+    found = found.unionByName(row(of("cyclonedx-xml").select("sbom_id", F.explode(xml.bom(F.col("text"))["dependencies"]["dependency"]).alias("d")), F.col("d._ref")))
+    spdx = of("spdx").select("sbom_id", F.explode(F.from_json("text", RELATIONS)["relationships"]).alias("r")).where("r.relationshipType = 'DEPENDS_ON' AND r.relatedSpdxElement = 'NONE'")
+    return found.unionByName(row(spdx, F.regexp_replace("r.spdxElementId", "^SPDXRef-", ""))).where("ref <> ''").distinct()
+
+
+def with_declared(comps: DataFrame, documents: DataFrame) -> DataFrame:
+    """``comps`` with deps_declared; of components that share a reference the last is meant."""
+    ref = F.coalesce(*[F.nullif(c, F.lit("")) for c in (F.col("bom_ref"), F.col("spdxid"))])
+    meant = comps.select("sbom_id", ref.alias("ref"), "ordinal").where("ref IS NOT NULL").groupBy("sbom_id", "ref").agg(F.max("ordinal").alias("ordinal"))
+    flags = meant.join(declared(documents), ["sbom_id", "ref"], "left_semi").select("sbom_id", "ordinal", F.lit(True).alias("deps_declared")).distinct()
+    return comps.join(flags, ["sbom_id", "ordinal"], "left").withColumn("deps_declared", F.coalesce("deps_declared", F.lit(False))).select(*comps.columns, "deps_declared")
+
+
 def syft_relations() -> Column:
     return F.from_json("text", "artifactRelationships array<struct<parent:string,child:string,type:string>>")["artifactRelationships"]
 

@@ -79,3 +79,21 @@ def test_json_facts_and_edges(spark):
     got = {r.sbom_id: (r.tool_name, r.tool_version, r.sbom_author, r.source_name) for r in info.document_info(docs).collect()}
     assert got == {"c": ("t", "3", "me", "app"), "o": ("u", "4", "S", ""), "p": ("x", "1.2", "O", "")}
     assert {(r.sbom_id, r.src_id, r.dst_id) for r in info.edges(docs).collect()} == {("c", "cpe:v:p", "cpe:v:p"), ("p", "ref:b", "pkg:deb/a")}
+
+
+def test_declared_leaves_count_as_covered(spark):
+    from bomspark.operators.profile import checks
+
+    parts = [{"name": n, "bom-ref": n, "version": "1"} for n in "abc"]
+    cdx = {"bomFormat": "CycloneDX", "components": parts, "dependencies": [{"ref": "a", "dependsOn": []}, {"ref": "b"}, {"ref": "gone"}]}
+    packages = [{"SPDXID": f"SPDXRef-{n}", "name": n} for n in "abcd"]
+    relations = [("a", "DEPENDS_ON", "NONE"), ("b", "DEPENDS_ON", "NOASSERTION"), ("c", "CONTAINS", "NONE")]
+    spdx = {"spdxVersion": "SPDX-2.3", "packages": packages, "relationships": [{"spdxElementId": f"SPDXRef-{a}", "relationshipType": r, "relatedSpdxElement": b} for a, r, b in relations]}
+    docs = frame(spark, c=cdx, p=spdx, x=XML, s=SYFT)
+    flagged = info.with_declared(components(docs), docs)
+    assert flagged.columns == [*components(docs).columns, "deps_declared"] and flagged.count() == components(docs).count()
+    got = {(r.sbom_id, r.name) for r in flagged.where("deps_declared").collect()}
+    assert got == {("c", "a"), ("c", "b"), ("p", "a"), ("x", "lib")}
+    passed = lambda rows: {r.check: r.passed for r in checks(rows, info.edges(docs).limit(0), {}, "ntia").collect()}["ntia-dep-relation"]
+    assert passed(flagged.where("sbom_id = 'c' AND name <> 'c'")) and not passed(flagged.where("sbom_id = 'c'"))
+    assert not passed(components(docs).where("sbom_id = 'c' AND name <> 'c'"))

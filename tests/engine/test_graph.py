@@ -1,4 +1,6 @@
-from bomspark.operators.graph import reachable, roots, transitive_changes
+import pytest
+
+from bomspark.operators.graph import adjacency, reachable, roots, transitive_changes, with_ancestors
 
 
 def frames(spark, adjacency):
@@ -19,3 +21,19 @@ def test_new_transitive_targets(spark):
     got = {r.target: (r.root, r.depth) for r in transitive_changes(*after, *before).collect()}
     assert got == {"b": ("app", 2), "c": ("app", 3)}
     assert transitive_changes(*before, *after).count() == 0
+
+
+def test_the_last_component_of_an_id_replaces_the_others(spark):
+    comps = spark.createDataFrame([("a", 1), ("a", 5), ("b", 2), ("c", 3), ("c", 4)], "id string, ordinal long")
+    edges = spark.createDataFrame([("a", 1, "b"), ("a", 5, "c"), ("b", 2, "c"), ("c", 3, "a")], "src_id string, src_ordinal long, dst_id string")
+    assert sorted((r.src_id, r.dst_id) for r in adjacency(comps, edges).collect()) == [("a", "c"), ("b", "c")]
+
+
+def test_a_limit_on_levels_is_an_error_and_no_silent_cut(spark):
+    nodes, edges = frames(spark, {f"n{i}": [f"n{i + 1}"] for i in range(6)})
+    start = spark.createDataFrame([("n0",)], "id string")
+    with pytest.raises(RuntimeError):
+        reachable(start, edges, most=3)
+    with pytest.raises(RuntimeError):
+        with_ancestors(spark.createDataFrame([("n6",)], "id string"), edges, most=3)
+    assert reachable(start, edges, most=7).count() == 6

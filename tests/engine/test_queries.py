@@ -21,9 +21,6 @@ def oracle():
 @pytest.mark.parametrize("key", sorted(QUERIES))
 def test_query(spark, oracle, key):
     rows = QUERIES[key](spark, SF)
-    if key not in ORACLES:
-        assert rows.count() >= 0
-        return
     cursor = oracle.execute(ORACLES[key])
     columns = [d[0] for d in cursor.description]
     assert sorted(columns) == sorted(rows.columns)
