@@ -30,6 +30,7 @@ def load(spark: SparkSession, path: str, strict: bool = False) -> Document:
     """The document at ``path`` (``-``: standard input). One of no known dialect is an error if
     ``strict``, else empty with a warning."""
     raw = spark.createDataFrame([("-", sys.stdin.read())], "sbom_id string, text string") if path == "-" else documents.read_documents(spark, path)
+    raw = settle(documents.detected(raw), "documents")
     warnings = [f"{r.file}: {r.message}" for r in documents.parse_warnings(raw).collect()]
     if strict and warnings:
         raise ValueError("; ".join(warnings))

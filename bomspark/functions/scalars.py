@@ -240,7 +240,7 @@ def breadcrumbs(p: Column) -> Column:
 
 
 def search_text(c: dict[str, Column]) -> Column:
-    return F.lower(F.concat_ws(" ", *[text(c[k]) for k in ("name", "version", "purl", "id", "supplier")], F.array_join(c["cpes"], " "), F.array_join(c["licenses"], " ")))
+    return F.lower(F.concat_ws(" ", *[text(c[k]) for k in ("name", "version", "purl", "id", "supplier")], F.array_join(c["cpes"], " "), F.array_join(c["licenses"], " "), *[text(c[k]) for k in ("raw",) if k in c]))
 
 
 def change_strings(bv: Column, av: Column, bl: Column, al: Column, bh: Column, ah: Column) -> Column:

@@ -9,7 +9,7 @@ from ..functions import scalars as fn
 
 
 def search(comps: DataFrame, query: str, kind: str = "") -> DataFrame:
-    text = fn.search_text({c: F.col(c) for c in ("name", "version", "purl", "id", "supplier", "cpes", "licenses")})
+    text = fn.search_text({c: F.col(c) for c in ("name", "version", "purl", "id", "supplier", "cpes", "licenses", "raw") if c in comps.columns})
     found = comps.where(F.contains(text, F.lit(query.lower())))
     return found.where(F.contains(F.lower(fn.pkg_type(F.col("purl"))), F.lit(kind.lower()))) if kind else found
 

@@ -135,6 +135,9 @@ def write_document(comps: DataFrame, edges: DataFrame, target: str, path: str, i
 
 
 def export_component(comps: DataFrame, id_: str) -> str:
-    """The last component with this id as JSON text, empty if there is none."""
-    row = comps.where(F.col("id") == id_).orderBy(F.desc("ordinal")).limit(1).select(F.to_json(F.struct(*comps.columns)).alias("j")).first()
+    """The last component with this id as JSON text: its own text where that is JSON, else its
+    fields; empty if there is none."""
+    fields = F.to_json(F.struct(*[c for c in comps.columns if c != "raw"]))
+    own = F.when(F.try_parse_json("raw").isNotNull(), F.col("raw")) if "raw" in comps.columns else F.lit(None)
+    row = comps.where(F.col("id") == id_).orderBy(F.desc("ordinal")).limit(1).select(F.coalesce(own, fields).alias("j")).first()
     return row.j if row else ""

@@ -86,7 +86,7 @@ def _list(parts: Iterator[str]) -> Iterator[str]:
 
 def _json_rows(df: DataFrame, *order: str) -> Iterator[str]:
     ordered = df.orderBy(*order) if order else df
-    return _list(r.j for r in ordered.select(F.to_json(F.struct(*df.columns)).alias("j")).toLocalIterator())
+    return _list(r.j for r in ordered.select(F.to_json(F.struct(*[c for c in df.columns if c != "raw"])).alias("j")).toLocalIterator())
 
 
 def json_lines(report: Report) -> Iterator[str]:

@@ -1,8 +1,10 @@
 """Inventory documents (CycloneDX JSON and XML, SPDX JSON, Syft JSON) as component rows.
 
-One row per document in, one row per component out: dialect by ordered detection, typed
-``from_json``, position kept as ordinal, identity computed from the row. Documents of no
-dialect and malformed ones go to ``parse_warnings``.
+One row per document in, one row per component out, in one scan for all dialects: dialect by
+ordered detection, elements as JSON text, typed ``from_json`` per element, position kept as
+ordinal, identity computed from the row. ``raw`` is the element's own JSON text, empty for XML
+and SPDX. Elements that are no objects are skipped. Documents of no dialect and malformed ones
+go to ``parse_warnings``.
 """
 
 from __future__ import annotations
@@ -13,10 +15,11 @@ from pyspark.sql import functions as F
 from ..functions import scalars as fn
 from . import xml
 
-CYCLONEDX = "components array<struct<type:string,name:string,version:string,purl:string,cpe:string,group:string,`bom-ref`:string,licenses:array<struct<license:struct<id:string,name:string>,expression:string>>,hashes:array<struct<alg:string,content:string>>,supplier:struct<name:string>,publisher:string>>"
-SPDX = "packages array<struct<SPDXID:string,name:string,versionInfo:string,licenseConcluded:string,licenseDeclared:string,supplier:string,originator:string,externalRefs:array<struct<referenceCategory:string,referenceType:string,referenceLocator:string>>,checksums:array<struct<algorithm:string,checksumValue:string>>>>"
+CYCLONEDX = "struct<type:string,name:string,version:string,purl:string,cpe:string,group:string,`bom-ref`:string,licenses:array<struct<license:struct<id:string,name:string>,expression:string>>,hashes:array<struct<alg:string,content:string>>,supplier:struct<name:string>,publisher:string>"
+SPDX = "struct<SPDXID:string,name:string,versionInfo:string,licenseConcluded:string,licenseDeclared:string,supplier:string,originator:string,externalRefs:array<struct<referenceCategory:string,referenceType:string,referenceLocator:string>>,checksums:array<struct<algorithm:string,checksumValue:string>>>"
 SYFT = "id string, name string, version string, purl string, type string, language string, foundBy string, metadataType string, metadata string, locations array<struct<path:string>>, licenses array<struct<value:string,spdxExpression:string>>, cpes array<struct<cpe:string>>"
 SYFT_STRINGS, SYFT_LISTS = ("id", "name", "version", "purl", "type", "language", "foundBy", "metadataType"), ("locations", "licenses", "cpes")
+FIELDS = ("cpes", "bom_ref", "spdxid", "namespace", "language", "found_by", "type", "syft_id", "locations", "name", "version", "purl", "licenses", "hashes", "supplier")
 DIGEST = "struct<algorithm:string,value:string>"
 STRINGS = "array<string>"
 
@@ -45,27 +48,25 @@ def _pairs(c: Column, key: str, value: str) -> Column:
     return F.coalesce(last, F.create_map().cast("map<string,string>"))
 
 
-def _component(c: Column, **fields: Column) -> DataFrame:
+def _component(c: Column, **fields: Column) -> dict[str, Column]:
     none, empty = F.lit(""), F.array().cast(STRINGS)
-    f = {"cpes": empty, "bom_ref": none, "spdxid": none, "namespace": none, "language": none, "found_by": none, "type": none, "syft_id": none, "locations": empty} | fields
-    f |= {k: fn.text(v) for k, v in f.items() if k not in ("licenses", "cpes", "locations", "hashes")}
-    f["id"] = fn.compute_id(f["purl"], f["cpes"], f["bom_ref"], f["spdxid"], f["namespace"], f["name"])
-    return F.struct(*[v.alias(k) for k, v in f.items()])
+    f = dict.fromkeys(FIELDS, none) | {"cpes": empty, "locations": empty} | fields
+    return {k: v if k in ("licenses", "cpes", "locations", "hashes") else fn.text(v) for k, v in f.items()}
 
 
-def _cyclonedx(c: Column) -> Column:
+def _cyclonedx(c: Column) -> dict[str, Column]:
     licenses = F.transform(c["licenses"], lambda x: F.coalesce(F.nullif(x["license"]["id"], F.lit("")), x["expression"]))
     return _component(c, name=c["name"], version=c["version"], purl=c["purl"], licenses=_strings(licenses), cpes=_strings(F.array(c["cpe"])), hashes=_pairs(c["hashes"], "alg", "content"), bom_ref=c["bom-ref"], namespace=c["group"], supplier=F.coalesce(F.nullif(c["supplier"]["name"], F.lit("")), c["publisher"]), type=c["type"])
 
 
-def _spdx(c: Column) -> Column:
+def _spdx(c: Column) -> dict[str, Column]:
     said = lambda x: F.when(~F.upper(fn.trim(x)).isin("", "NONE", "NOASSERTION"), x)
     refs = lambda *kinds: F.transform(F.filter(c["externalRefs"], lambda r: r["referenceType"].isin(*kinds)), lambda r: r["referenceLocator"])
     actor = lambda x: F.regexp_replace(F.when(fn.text(x) != "NOASSERTION", fn.text(x)).otherwise(""), r"^(Organization|Person|Tool):\s*", "")
     return _component(c, name=c["name"], version=c["versionInfo"], purl=F.get(F.reverse(_strings(refs("purl"))), F.lit(0)), licenses=_strings(F.array(F.coalesce(said(c["licenseConcluded"]), said(c["licenseDeclared"])))), cpes=_strings(refs("cpe22Type", "cpe23Type")), hashes=_pairs(c["checksums"], "algorithm", "checksumValue"), spdxid=F.regexp_replace(fn.text(c["SPDXID"]), "^SPDXRef-", ""), supplier=F.coalesce(F.nullif(actor(c["supplier"]), F.lit("")), actor(c["originator"])))
 
 
-def _syft(c: Column) -> Column:
+def _syft(c: Column) -> dict[str, Column]:
     licenses = F.transform(c["licenses"], lambda x: F.coalesce(F.nullif(x["spdxExpression"], F.lit("")), x["value"]))
     return _component(c, name=c["name"], version=c["version"], purl=c["purl"], licenses=_strings(licenses), cpes=_strings(F.transform(c["cpes"], lambda x: x["cpe"])), hashes=_syft_hashes(c), supplier=fn.trim(F.get_json_object(c["metadata"], "$.maintainer")), syft_id=c["id"], language=c["language"], found_by=c["foundBy"], type=c["type"], locations=_strings(F.transform(c["locations"], lambda x: x["path"])))
 
@@ -94,26 +95,31 @@ def _syft_valid(raw: Column) -> Column:
     return ok
 
 
-def _rows(typed: DataFrame, name: str) -> DataFrame:
-    """sbom_id, ordinal, c: the raw components of one dialect."""
-    docs = typed.where(F.col("dialect") == name)
-    if name == "syft":
-        raw = docs.select("sbom_id", F.posexplode(F.from_json("text", f"artifacts {STRINGS}")["artifacts"]).alias("ordinal", "raw"))
-        return raw.where(_syft_valid(F.col("raw"))).select("sbom_id", "ordinal", F.from_json("raw", SYFT).alias("c"))
-    found = {"cyclonedx": lambda: F.from_json("text", CYCLONEDX)["components"], "cyclonedx-xml": lambda: xml.components(xml.bom(F.col("text"))), "spdx": lambda: F.from_json("text", SPDX)["packages"]}[name]()
-    return docs.select("sbom_id", F.posexplode(found).alias("ordinal", "c")).where("c is not null")
+def detected(documents: DataFrame) -> DataFrame:
+    """sbom_id, text, dialect; a dialect found before is kept."""
+    return documents if "dialect" in documents.columns else documents.select("sbom_id", "text", dialect(F.col("text")).alias("dialect"))
+
+
+def _elements(kind: Column, text: Column) -> Column:
+    """The component elements of a document as JSON texts."""
+    listed = lambda name: F.from_json(text, f"{name} {STRINGS}")[name]
+    of_xml = F.transform(xml.components(xml.bom(text)), lambda c: F.to_json(c))
+    return F.when(kind == "cyclonedx", listed("components")).when(kind == "cyclonedx-xml", of_xml).when(kind == "spdx", listed("packages")).when(kind == "syft", listed("artifacts"))
 
 
 def components(documents: DataFrame) -> DataFrame:
-    """sbom_id, ordinal and the fields of every component of every document."""
-    typed = documents.select("sbom_id", "text", dialect(F.col("text")).alias("dialect"))
-    out = None
-    for name, build in (("cyclonedx", _cyclonedx), ("cyclonedx-xml", _cyclonedx), ("spdx", _spdx), ("syft", _syft)):
-        made = _rows(typed, name).select("sbom_id", F.col("ordinal").cast("long").alias("ordinal"), build(F.col("c")).alias("r")).select("sbom_id", "ordinal", "r.*")
-        out = made if out is None else out.unionByName(made)
-    return out
+    """sbom_id, ordinal, the fields and the raw JSON text of every component of every document."""
+    kind, raw = F.col("dialect"), F.col("raw")
+    rows = detected(documents).select("sbom_id", "dialect", F.posexplode(_elements(kind, F.col("text"))).alias("ordinal", "raw")).where(raw.startswith("{"))
+    rows = rows.where(F.when(kind == "syft", _syft_valid(raw)).otherwise(F.lit(True)))
+    parsed = [F.from_json(F.when(kind.isin(*kinds), raw), schema).alias(kinds[0]) for kinds, schema in ((("cyclonedx", "cyclonedx-xml"), CYCLONEDX), (("spdx",), SPDX), (("syft",), SYFT))]
+    rows = rows.select("sbom_id", "ordinal", "dialect", F.when(kind.isin("cyclonedx", "syft"), raw).otherwise("").alias("raw"), *parsed)
+    cdx, spdx, syft = _cyclonedx(F.col("cyclonedx")), _spdx(F.col("spdx")), _syft(F.col("syft"))
+    fields = [F.when(kind == "spdx", spdx[k]).when(kind == "syft", syft[k]).otherwise(cdx[k]).alias(k) for k in FIELDS]
+    rows = rows.select("sbom_id", F.col("ordinal").cast("long").alias("ordinal"), *fields, "raw")
+    return rows.withColumn("id", fn.compute_id(*map(F.col, ("purl", "cpes", "bom_ref", "spdxid", "namespace", "name"))))
 
 
 def parse_warnings(documents: DataFrame) -> DataFrame:
-    unknown = documents.where(dialect(F.col("text")) == "unknown")
+    unknown = detected(documents).where("dialect = 'unknown'")
     return unknown.select(F.col("sbom_id").alias("file"), F.lit("unknown SBOM format").alias("message"))

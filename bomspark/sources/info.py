@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..functions import scalars as fn
 from ..operators.graph import resolve_refs
 from . import xml
-from .documents import components, dialect
+from .documents import components, detected
 
 FACTS = ("tool_name", "tool_version", "os_name", "os_version", "os_pretty_name", "source_name", "source_type", "source_id", "search_scope", "schema_version", "sbom_author", "sbom_timestamp")
 NAMED = "struct<name:string,version:string>"
@@ -85,14 +85,14 @@ def _syft(df: DataFrame) -> DataFrame:
 
 def document_info(documents: DataFrame) -> DataFrame:
     """sbom_id, dialect, the facts and files_count, one row per document of a known dialect."""
-    typed = documents.select("sbom_id", "text", dialect(F.col("text")).alias("dialect"))
+    typed = detected(documents)
     parts = [build(typed.where(F.col("dialect") == name)) for name, build in (("cyclonedx", _cyclonedx_json), ("cyclonedx-xml", _cyclonedx_xml), ("spdx", _spdx), ("syft", _syft))]
     return parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
 
 
 def _refs(documents: DataFrame) -> DataFrame:
     """sbom_id, src_ref, dst_ref, adj_ordinal as written in each document."""
-    typed = documents.select("sbom_id", "text", dialect(F.col("text")).alias("dialect"))
+    typed = detected(documents)
     of = lambda name: typed.where(F.col("dialect") == name)
     row = lambda df: df.select("sbom_id", "src_ref", "dst_ref", F.col("adj_ordinal").cast("long").alias("adj_ordinal"))
     json_deps = of("cyclonedx").select("sbom_id", F.explode(F.from_json("text", DEPENDENCIES)["dependencies"]).alias("d")).select("sbom_id", F.col("d.ref").alias("src_ref"), F.posexplode("d.dependsOn").alias("adj_ordinal", "dst_ref"))
@@ -110,7 +110,7 @@ def _refs(documents: DataFrame) -> DataFrame:
 def declared(documents: DataFrame) -> DataFrame:
     """sbom_id, ref of components whose dependencies are declared: an entry of their own, also an
     empty one, in CycloneDX, and a dependency on NONE in SPDX. Syft has no such statement."""
-    typed = documents.select("sbom_id", "text", dialect(F.col("text")).alias("dialect"))
+    typed = detected(documents)
     of = lambda name: typed.where(F.col("dialect") == name)
     row = lambda df, ref: df.select("sbom_id", ref.alias("ref"))
     found = row(of("cyclonedx").select("sbom_id", F.explode(F.from_json("text", DEPENDENCIES)["dependencies"]).alias("d")), F.col("d.ref"))
@@ -143,12 +143,12 @@ def edges(documents: DataFrame) -> DataFrame:
 
 def relationship_counts(documents: DataFrame) -> DataFrame:
     """sbom_id, key, count of every relation type of Syft documents."""
-    syft = documents.where(dialect(F.col("text")) == "syft")
+    syft = detected(documents).where("dialect = 'syft'")
     return syft.select("sbom_id", F.explode(syft_relations()["type"]).alias("key")).groupBy("sbom_id", "key").count()
 
 
 def files(documents: DataFrame) -> DataFrame:
     """sbom_id, path, layer, size, file_type, mime of the file lists of Syft documents."""
     listed = F.from_json("text", "files array<struct<location:struct<path:string,layerID:string>,metadata:struct<type:string,mimeType:string,size:bigint>>>")["files"]
-    rows = documents.where(dialect(F.col("text")) == "syft").select("sbom_id", F.explode(listed).alias("f")).where("f.location.path <> ''")
+    rows = detected(documents).where("dialect = 'syft'").select("sbom_id", F.explode(listed).alias("f")).where("f.location.path <> ''")
     return rows.select("sbom_id", F.col("f.location.path").alias("path"), fn.text(F.col("f.location.layerID")).alias("layer"), F.coalesce("f.metadata.size", F.lit(0)).alias("size"), fn.text(F.col("f.metadata.type")).alias("file_type"), fn.text(F.col("f.metadata.mimeType")).alias("mime"))

@@ -97,3 +97,17 @@ def test_declared_leaves_count_as_covered(spark):
     passed = lambda rows: {r.check: r.passed for r in checks(rows, info.edges(docs).limit(0), {}, "ntia").collect()}["ntia-dep-relation"]
     assert passed(flagged.where("sbom_id = 'c' AND name <> 'c'")) and not passed(flagged.where("sbom_id = 'c'"))
     assert not passed(components(docs).where("sbom_id = 'c' AND name <> 'c'"))
+
+
+def test_raw_text_is_kept_searched_and_exported(spark):
+    from bomspark.operators.explore import search
+    from bomspark.sinks.convert import export_component
+
+    cdx = {"bomFormat": "CycloneDX", "components": [{"name": "a", "x-note": "Needle <1>"}, 7, None, {"name": "b", "version": "1"}]}
+    comps = components(frame(spark, c=cdx, x=XML, p=SPDX, s=SYFT)).cache()
+    rows = comps.collect()
+    assert {(r.sbom_id, r.raw != "") for r in rows} == {("c", True), ("s", True), ("x", False), ("p", False)}
+    assert [(r.ordinal, json.loads(r.raw)) for r in rows if r.sbom_id == "c"] == [(0, cdx["components"][0]), (3, cdx["components"][3])]
+    assert [r.name for r in search(comps, "needle <1>").collect()] == ["a"]
+    assert json.loads(export_component(comps, "a")) == cdx["components"][0]
+    assert json.loads(export_component(comps, "pkg:npm/lib"))["name"] == "lib"
