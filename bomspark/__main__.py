@@ -9,7 +9,8 @@ from pathlib import Path
 from pyspark.sql import SparkSession
 
 from . import api
-from .operators.rules import Policy
+from .operators.profile import scores_of
+from .operators.rules import Policy, evaluate_scores
 from .sinks import convert, reports
 
 
@@ -19,6 +20,8 @@ def parser() -> argparse.ArgumentParser:
     commands = top.add_subparsers(dest="command", required=True)
     stats = commands.add_parser("stats")
     stats.add_argument("document")
+    stats.add_argument("-f", "--format", choices=sorted(reports.SUMMARY_FORMATS), default="text")
+    stats.add_argument("--policy")
     diff = commands.add_parser("diff")
     diff.add_argument("before")
     diff.add_argument("after")
@@ -27,7 +30,7 @@ def parser() -> argparse.ArgumentParser:
     conv = commands.add_parser("convert")
     conv.add_argument("document")
     conv.add_argument("--to", choices=sorted(convert.ALIASES), required=True)
-    for command in (diff, conv):
+    for command in (stats, diff, conv):
         command.add_argument("-o", "--output", default="/dev/stdout")
     return top
 
@@ -44,12 +47,16 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
     if args.command == "convert":
         convert.write_document(document.components, document.edges, args.to, args.output, document.facts)
     else:
-        for frame in api.summarize(document):
-            for row in frame.toLocalIterator():
-                print("  ".join(f"{k}={v}" for k, v in row.asDict().items()))
+        report = api.summary(document)
+        reports.write_report(report, args.format, args.output)
+        policy = Policy.load(Path(args.policy).read_text()) if args.policy else None
+        broken = evaluate_scores(policy, scores_of(report.compliance)) if policy else None
     for warning in document.warnings:
         print(warning, file=sys.stderr)
-    return 0
+    violations = list(broken.toLocalIterator()) if args.command == "stats" and broken is not None else []  # one row a framework at most
+    for v in violations:
+        print(f"{v.severity}: {v.message}", file=sys.stderr)
+    return int(bool(violations))
 
 
 if __name__ == "__main__":

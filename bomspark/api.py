@@ -10,8 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .operators import findings, graph, headlines, profile, rules
-from .operators.diff import diff
-from .sinks.reports import Report
+from .operators.diff import diff, duplicates
+from .sinks.reports import Report, Summary
 from .sources import documents, info
 from .tables import settle
 
@@ -46,14 +46,15 @@ def compare(before: Document, after: Document, policy: rules.Policy | None = Non
     result = diff(b, a)
     result = replace(result, rows=settle(result.rows, "diff"))
     new = settle(graph.transitive_changes(a, after.edges, b, before.edges), "transitive")
-    scores = profile.framework_scores(a, after.edges, after.facts)
+    checked = settle(profile.compliance(a, after.edges, after.facts), "checks")
+    scores = profile.scores_of(checked)
     sides = b.withColumn("side", F.lit("before")).unionByName(a.withColumn("side", F.lit("after")))
     found = [findings.context(spark, before.facts, after.facts), headlines.surface(sides, before.facts, after.facts), headlines.ecosystems(b, a), findings.os_change(spark, before.facts, after.facts), headlines.version_changes(b, result), headlines.integrity(result)]
     found += [findings.dominant_path(rows, direction) for rows, direction in ((result.removed, "removed"), (result.added, "added"))]
     found += [headlines.change_hotspots(result), headlines.stable_types(b, a), headlines.license_shift(sides), headlines.cataloger_gaps(b, a)]
     overview = profile.profile(sides, "side")
     violations = rules.evaluate(policy, result, a, new, scores) if policy else None
-    return Report(result, violations, new, reduce(DataFrame.unionByName, found), overview)
+    return Report(result, violations, new, reduce(DataFrame.unionByName, found), overview, checked)
 
 
 def failed(report: Report) -> bool:
@@ -71,3 +72,11 @@ def summarize(document: Document) -> tuple[DataFrame, DataFrame, DataFrame]:
     found = [findings.operating_system(spark, document.facts), headlines.dominant_type(pk), findings.files(spark, document.facts), findings.relationships(spark.createDataFrame(counts, "key string, count long")), headlines.hotspots(c)]
     found += [headlines.license_profile(pk), findings.quality(profile.profile(pk)), findings.duplicate_groups(c), headlines.top_catalogers(c)]
     return stats, reduce(DataFrame.unionByName, found).orderBy("finding_ordinal"), profile.framework_scores(c, document.edges, document.facts)
+
+
+def summary(document: Document) -> Summary:
+    """The report on one document: facts, findings, statistics, completeness and warnings."""
+    stats, found, _ = summarize(document)
+    c = document.components
+    checked = settle(profile.compliance(c, document.edges, document.facts), "checks")
+    return Summary(document.facts, settle(found, "findings"), settle(stats, "stats"), profile.by_type(c), settle(profile.by_license(c), "licenses"), duplicates(c), checked, document.warnings)

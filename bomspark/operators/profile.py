@@ -94,7 +94,7 @@ def compliance_counts(comps: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def _made(info: dict, standard: str) -> list[Column]:
-    """A struct (standard, check, passed) of each check, over compliance_counts."""
+    """A struct (standard, check, passed, detail) of each check, over compliance_counts."""
     has = lambda *keys: any(info.get(k) for k in keys)
     author = info.get("sbom_author") or ""
     document = {
@@ -102,8 +102,10 @@ def _made(info: dict, standard: str) -> list[Column]:
         "cisa": [("tool", has("tool_name")), ("author", has("sbom_author")), ("timestamp", has("sbom_timestamp"))],
         "bsi": [("author", "@" in author or author.startswith(("http://", "https://"))), ("timestamp", has("sbom_timestamp"))],
     }[standard]
-    passed = [(k, F.col(c) == F.col("total")) for k, c in COMPONENT_CHECKS[standard]] + [(k, F.lit(bool(ok))) for k, ok in document]
-    return [F.struct(F.lit(standard).alias("standard"), F.lit(f"{standard}-{k}").alias("check"), ok.alias("passed")) for k, ok in passed]
+    whole = lambda c: F.col(c) == F.col("total")
+    share = lambda c: F.when(whole(c), F.format_string("All %d components", "total")).otherwise(F.format_string("%d/%d components", c, "total"))
+    passed = [(k, whole(c), share(c)) for k, c in COMPONENT_CHECKS[standard]] + [(k, F.lit(bool(ok)), F.lit("present" if ok else "missing")) for k, ok in document]
+    return [F.struct(F.lit(standard).alias("standard"), F.lit(f"{standard}-{k}").alias("check"), ok.alias("passed"), detail.alias("detail")) for k, ok, detail in passed]
 
 
 def _checked(comps: DataFrame, edges: DataFrame, info: dict, *standards: str) -> DataFrame:
@@ -113,10 +115,20 @@ def _checked(comps: DataFrame, edges: DataFrame, info: dict, *standards: str) ->
 
 def checks(comps: DataFrame, edges: DataFrame, info: dict, standard: str) -> DataFrame:
     """check, passed: component checks pass when all packages do, document checks by ``info``."""
-    return _checked(comps, edges, info, standard).drop("standard")
+    return _checked(comps, edges, info, standard).select("check", "passed")
+
+
+def compliance(comps: DataFrame, edges: DataFrame, info: dict) -> DataFrame:
+    """standard, check, passed, detail of every check of all frameworks."""
+    return _checked(comps, edges, info, *COMPONENT_CHECKS)
+
+
+def scores_of(checked: DataFrame) -> DataFrame:
+    """standard, passed, total, score (whole percent) of a frame of checks."""
+    out = checked.groupBy("standard").agg(F.count_if("passed").alias("passed"), F.count("*").alias("total"))
+    return out.select("standard", "passed", "total", F.floor(F.col("passed") * 100 / F.col("total")).alias("score"))
 
 
 def framework_scores(comps: DataFrame, edges: DataFrame, info: dict) -> DataFrame:
     """standard, passed, total, score (whole percent) of the standards that apply, from one count."""
-    out = _checked(comps, edges, info, *COMPONENT_CHECKS).groupBy("standard").agg(F.count_if("passed").alias("passed"), F.count("*").alias("total"))
-    return out.select("standard", "passed", "total", F.floor(F.col("passed") * 100 / F.col("total")).alias("score"))
+    return scores_of(compliance(comps, edges, info))

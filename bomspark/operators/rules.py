@@ -68,15 +68,30 @@ def evaluate(policy: Policy, result: DiffResult, after: DataFrame, transitive_ne
         n = transitive_new.agg(F.count("*").alias("n")).where("n > 0")
         out.append(_row(n, 10, "warn_new_transitive", F.format_string("%d new transitive deps", F.col("n")), "warning"))
     if scores is not None:
-        for i, (name, least) in enumerate((("ntia", policy.min_ntia_score), ("cisa", policy.min_cisa_score), ("bsi", policy.min_bsi_score)), 11):
-            if least > 0:
-                got = scores.where(F.col("standard") == name).agg(F.coalesce(F.max("score"), F.lit(0)).alias("score"))  # absent counts as 0
-                out.append(_row(got.where(F.col("score") < least), i, f"min_{name}_score", F.format_string(f"{name} score %d < min {least}", F.col("score").cast("long"))))
-        if policy.min_overall_compliance > 0:
-            got = scores.agg(F.floor(F.coalesce(F.avg("score"), F.lit(0.0))).alias("score"))
-            out.append(_row(got.where(F.col("score") < policy.min_overall_compliance), 14, "min_overall_compliance", F.format_string(f"overall score %d < min {policy.min_overall_compliance}", F.col("score").cast("long"))))
+        out += _score_rows(policy, scores)
+    return _all(out, after)
+
+
+def evaluate_scores(policy: Policy, scores: DataFrame) -> DataFrame:
+    """The broken rules of one document alone: those over framework scores."""
+    return _all(_score_rows(policy, scores), scores)
+
+
+def _score_rows(policy: Policy, scores: DataFrame) -> list[DataFrame]:
+    out: list[DataFrame] = []
+    for i, (name, least) in enumerate((("ntia", policy.min_ntia_score), ("cisa", policy.min_cisa_score), ("bsi", policy.min_bsi_score)), 11):
+        if least > 0:
+            got = scores.where(F.col("standard") == name).agg(F.coalesce(F.max("score"), F.lit(0)).alias("score"))  # absent counts as 0
+            out.append(_row(got.where(F.col("score") < least), i, f"min_{name}_score", F.format_string(f"{name} score %d < min {least}", F.col("score").cast("long"))))
+    if policy.min_overall_compliance > 0:
+        got = scores.agg(F.floor(F.coalesce(F.avg("score"), F.lit(0.0))).alias("score"))
+        out.append(_row(got.where(F.col("score") < policy.min_overall_compliance), 14, "min_overall_compliance", F.format_string(f"overall score %d < min {policy.min_overall_compliance}", F.col("score").cast("long"))))
+    return out
+
+
+def _all(out: list[DataFrame], some: DataFrame) -> DataFrame:
     if not out:
-        return after.sparkSession.createDataFrame([], "rule_ordinal int, rule string, message string, severity string")
+        return some.sparkSession.createDataFrame([], "rule_ordinal int, rule string, message string, severity string")
     return reduce(DataFrame.unionByName, out)
 
 

@@ -11,13 +11,15 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import reduce
 from html import escape as html_escape
+from itertools import chain
 from xml.sax.saxutils import quoteattr
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scalars as fn
-from ..operators.diff import DiffResult
+from ..operators.diff import DiffResult, samples_by_type
+from ..operators.profile import scores_of, top
 
 # Fixed: rule ids and levels of the SARIF form.
 RULES = {"integrity-drift": "error", "deep-dependency": "warning", "component-added": "note", "component-removed": "note", "version-change": "note", "policy-violation": "error"}
@@ -33,6 +35,26 @@ class Report:
     transitive: DataFrame | None = None
     findings: DataFrame | None = None
     overview: DataFrame | None = None
+    compliance: DataFrame | None = None
+
+
+@dataclass(frozen=True)
+class Summary:
+    """All frames of a report on one document."""
+
+    facts: dict
+    findings: DataFrame
+    stats: DataFrame
+    types: DataFrame
+    licenses: DataFrame
+    duplicates: DataFrame
+    compliance: DataFrame
+    warnings: list[str]
+
+
+# Fixed: facts named in the scan context, and labels of the coverage rows.
+CONTEXT = {"tool_name": "Tool", "schema_version": "Schema", "search_scope": "Scan scope", "source_type": "Source type", "source_name": "Source", "os_pretty_name": "OS"}
+COVERAGE = {"with_purl": "PURL coverage", "with_licenses": "License coverage", "with_hashes": "Hash coverage", "with_cpes": "CPE coverage"}
 
 
 def fingerprint(kind: str, identity: Column) -> Column:
@@ -89,11 +111,21 @@ def _json_rows(df: DataFrame, *order: str) -> Iterator[str]:
     return _list(r.j for r in ordered.select(F.to_json(F.struct(*[c for c in df.columns if c != "raw"])).alias("j")).toLocalIterator())
 
 
+def summary_json_lines(summary: Summary) -> Iterator[str]:
+    """Facts, findings, statistics, compliance and warnings of one document as one JSON object."""
+    yield _escaped('{"info":' + json.dumps(summary.facts))
+    for name, frame, order in (("findings", summary.findings, ("finding_ordinal",)), ("stats", summary.stats, ()), ("by_type", summary.types, ("key",)), ("by_license", summary.licenses, ("key",)), ("duplicates", summary.duplicates, ("id",)), ("compliance", summary.compliance, ("standard", "check"))):
+        yield f',"{name}":['
+        yield from map(_escaped, _json_rows(frame, *order))
+        yield "]"
+    yield _escaped(f',"warnings":{json.dumps(summary.warnings)}}}')
+
+
 def json_lines(report: Report) -> Iterator[str]:
     """Overview, findings, diff and violations as one JSON object."""
     d = report.diff
     changed = d.changed.select("id", "name", "drift", F.col("b.version").alias("before"), F.col("a.version").alias("after"), fn.change_strings(*[F.col(f"{s}.{c}") for c in ("version", "licenses", "hashes") for s in ("b", "a")]).alias("changes"))
-    parts = [(name, frame, order) for name, frame, order in (("overview", report.overview, ()), ("findings", report.findings, ("finding_ordinal",)), ("added", d.added, ("id",)), ("removed", d.removed, ("id",)), ("changed", changed, ("id",)), ("violations", report.violations, ("rule_ordinal", "message"))) if frame is not None]
+    parts = [(name, frame, order) for name, frame, order in (("overview", report.overview, ()), ("findings", report.findings, ("finding_ordinal",)), ("added", d.added, ("id",)), ("removed", d.removed, ("id",)), ("changed", changed, ("id",)), ("violations", report.violations, ("rule_ordinal", "message")), ("compliance", report.compliance, ("standard", "check"))) if frame is not None]
     yield "{"
     for i, (name, frame, order) in enumerate(parts):
         yield ("," if i else "") + f'"{name}":['
@@ -126,21 +158,71 @@ def junit_lines(report: Report) -> Iterator[str]:
     yield case(f"summary: {counts.added} added, {counts.removed} removed, {counts.changed} changed", "") + "</testsuite>"
 
 
-def _sections(report: Report) -> Iterator[tuple[str, list[str], Iterator[tuple]]]:
+Section = tuple[str, list[str], Iterator[tuple]]
+
+
+def _tuples(df: DataFrame, *order: str | Column) -> Iterator[tuple]:
+    return (tuple(r) for r in df.orderBy(*order).toLocalIterator())
+
+
+def _compliance(checked: DataFrame) -> Iterator[Section]:
+    scores = scores_of(checked)
+    overall = scores.agg(F.lit("overall").alias("standard"), F.count("*").alias("n"), F.floor(F.avg("score")).alias("score")).where("n > 0")
+    passed = F.format_string("%d/%d", "passed", "total")
+    yield "Compliance", ["Standard", "Score", "Checks passed"], _tuples(scores.select("standard", "score", passed.alias("checks")).unionByName(overall.select("standard", "score", F.lit("").alias("checks"))), F.col("standard") == "overall", "standard")
+    yield "Compliance checks", ["Check", "Passed", "Detail"], _tuples(checked.select("check", F.when(F.col("passed"), "yes").otherwise("no").alias("passed"), "detail"), "check")
+
+
+def _coverage() -> list[Column]:
+    """The rows of coverage of a profile as texts."""
+    return [fn.percent_text(F.col("total") - F.col("without_license") if c == "with_licenses" else F.col(c), F.col("total")).alias(c) for c in COVERAGE]
+
+
+def _overview(overview: DataFrame) -> Iterator[Section]:
+    """Both sides beside each other: totals and coverage."""
+    sides = {r.side: r for r in overview.select("side", F.col("total").cast("string").alias("total"), *_coverage()).toLocalIterator()}
+    value = lambda side, c: sides[side][c] if side in sides else "0"
+    yield "Overview", ["", "Before", "After"], ((label, value("before", c), value("after", c)) for c, label in ({"total": "Packages"} | COVERAGE).items())
+
+
+def _summary_sections(s: Summary) -> Iterator[Section]:
+    yield "Scan context", ["Field", "Value"], ((label, s.facts[k]) for k, label in CONTEXT.items() if s.facts.get(k))
+    yield "Key findings", ["Finding"], ((r.message,) for r in s.findings.orderBy("finding_ordinal").toLocalIterator())
+    stats = s.stats.select("total", *_coverage()).first()
+    yield "Statistics", ["Measure", "Value"], ((label, stats[c]) for c, label in ({"total": "Components"} | COVERAGE).items())
+    yield "By package type", ["Type", "Count"], _tuples(s.types.select("key", "count"), "key")
+    kinds = s.licenses.count()
+    more = [("...and more", kinds - 15)] if kinds > 15 else []
+    yield "Top licenses", ["License", "Count"], chain(_tuples(top(s.licenses, 15).select("key", "count"), F.desc("count"), "key"), more)
+    yield "License categories", ["Category", "Count"], ((c, n) for r in s.stats.select(*[F.col(f"lic_{c}").alias(c) for c in ("permissive", "copyleft", "public_domain", "unknown")]).toLocalIterator() for c, n in r.asDict().items())
+    yield "Duplicates", ["Name", "Versions"], _tuples(s.duplicates.select("name", F.array_join("versions", ", ").alias("versions")), "name", "versions")
+    yield from _compliance(s.compliance)
+    yield "Warnings", ["Message"], ((w,) for w in s.warnings)
+
+
+def _sections(report: Report | Summary) -> Iterator[Section]:
     """Title, column heads and rows of the tables of a readable report."""
+    if isinstance(report, Summary):
+        yield from _summary_sections(report)
+        return
     d = report.diff
-    rows = lambda df, *order: (tuple(r) for r in df.orderBy(*order).toLocalIterator())
-    yield "Summary", ["Added", "Removed", "Changed", "Integrity"], rows(d.counts().select("added", "removed", "changed", "integrity"), "added")
+    if report.overview is not None:
+        yield from _overview(report.overview)
+    yield "Summary", ["Added", "Removed", "Changed", "Integrity"], _tuples(d.counts().select("added", "removed", "changed", "integrity"), "added")
+    yield "Drift", ["Version", "Integrity", "Metadata"], _tuples(d.drift_summary().select("version_drift", "integrity_drift", "metadata_drift"), "version_drift")
     if report.findings is not None:
         yield "Key findings", ["Finding"], ((r.message,) for r in report.findings.orderBy("finding_ordinal").toLocalIterator())
-    yield "Added", ["Name", "Version"], rows(d.added.select("name", "version"), "name", "version")
-    yield "Removed", ["Name", "Version"], rows(d.removed.select("name", "version"), "name", "version")
-    yield "Changed", ["Name", "Before", "After", "Drift"], rows(d.changed.select("name", F.col("b.version").alias("before"), F.col("a.version").alias("after"), "drift"), "name", "before")
+    for title, rows in (("Added", d.added), ("Removed", d.removed)):
+        yield f"{title} by type, first five of each", ["Type", "Total", "Id", "Rank"], _tuples(samples_by_type(rows).select("type", "total", "id", "rank"), "type", "rank")
+        yield title, ["Name", "Version"], _tuples(rows.select("name", "version"), "name", "version")
+    yield "Changed", ["Name", "Before", "After", "Drift"], _tuples(d.changed.select("name", F.col("b.version").alias("before"), F.col("a.version").alias("after"), "drift"), "name", "before")
     if report.violations is not None:
-        yield "Policy", ["Severity", "Rule", "Message"], rows(report.violations.select("severity", "rule", "message"), "rule", "message")
+        yield "Policy", ["Severity", "Rule", "Message"], _tuples(report.violations.select("severity", "rule", "message"), "rule", "message")
+    if report.compliance is not None:
+        yield from _compliance(report.compliance)
 
 
-def markdown_lines(report: Report) -> Iterator[str]:
+def markdown_lines(report: Report | Summary) -> Iterator[str]:
     cell = lambda v: str(v).replace("|", "\\|").replace("\n", " ")
     for title, heads, rows in _sections(report):
         yield f"## {title}\n\n| {' | '.join(heads)} |\n|{'---|' * len(heads)}\n"
@@ -149,8 +231,8 @@ def markdown_lines(report: Report) -> Iterator[str]:
         yield "\n"
 
 
-def html_lines(report: Report) -> Iterator[str]:
-    yield '<!DOCTYPE html><html><head><meta charset="utf-8"><title>Inventory diff</title></head><body>'
+def html_lines(report: Report | Summary) -> Iterator[str]:
+    yield '<!DOCTYPE html><html><head><meta charset="utf-8"><title>Inventory report</title></head><body>'
     for title, heads, rows in _sections(report):
         yield f"<h2>{title}</h2><table><tr>{''.join(f'<th>{h}</th>' for h in heads)}</tr>"
         for row in rows:
@@ -159,7 +241,7 @@ def html_lines(report: Report) -> Iterator[str]:
     yield "</body></html>"
 
 
-def text_lines(report: Report) -> Iterator[str]:
+def text_lines(report: Report | Summary) -> Iterator[str]:
     for title, heads, rows in _sections(report):
         yield f"{title} ({', '.join(heads).lower()})\n"
         for row in rows:
@@ -177,7 +259,9 @@ def patch_lines(report: Report) -> Iterator[str]:
 
 FORMATS = {"json": json_lines, "sarif": sarif_lines, "junit": junit_lines, "markdown": markdown_lines, "md": markdown_lines, "html": html_lines, "text": text_lines, "patch": patch_lines}
 
+SUMMARY_FORMATS = {"json": summary_json_lines, "markdown": markdown_lines, "md": markdown_lines, "html": html_lines, "text": text_lines}
+
 
-def write_report(report: Report, form: str, path: str) -> None:
+def write_report(report: Report | Summary, form: str, path: str) -> None:
     with open(path, "w", encoding="utf-8") as out:
-        out.writelines(FORMATS[form](report))
+        out.writelines((SUMMARY_FORMATS if isinstance(report, Summary) else FORMATS)[form](report))

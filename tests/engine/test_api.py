@@ -4,6 +4,7 @@ import pytest
 
 from bomspark import api
 from bomspark.__main__ import main
+from bomspark.sinks import reports
 from bomspark.streaming.monitor import monitor
 
 OLD = {"bomFormat": "CycloneDX", "components": [{"name": "a", "version": "1", "purl": "pkg:npm/a@1"}, {"name": "b", "version": "1"}]}
@@ -46,3 +47,25 @@ def test_monitor_compares_with_the_last_snapshot(spark, tmp_path):
         monitor(spark, str(landing), str(folder), once=True).awaitTermination()
     got = {(r.batch, r.inventory, r.id, r.status) for r in spark.read.parquet(f"{folder}/changes").collect()}
     assert got == {(0, "app", "pkg:npm/a", "added"), (0, "app", "b", "added"), (1, "app", "pkg:npm/a", "changed"), (1, "app", "b", "removed"), (1, "app", "c", "added")}
+
+
+def test_report_on_one_document(spark, paths):
+    doc = {"bomFormat": "CycloneDX", "metadata": {"tools": [{"name": "scan<er", "version": "1"}]}, "components": [*OLD["components"], {"name": "a", "version": "3", "purl": "pkg:npm/a@3", "licenses": [{"license": {"id": "MIT"}}]}]}
+    open(paths["old"], "w").write(json.dumps(doc))
+    open(paths["policy"], "w").write(json.dumps({"min_ntia_score": 100}))
+    assert main(["stats", paths["old"], "-f", "json", "-o", paths["out"], "--policy", paths["policy"]], spark) == 1
+    text = open(paths["out"]).read()
+    got = json.loads(text)
+    assert "<" not in text and got["info"]["tool_name"] == "scan<er" and got["stats"][0]["total"] == 3 and got["warnings"] == []
+    assert got["by_license"] == [{"key": "MIT", "count": 1}] and got["duplicates"][0]["versions"] == ["1", "3"]
+    checked = {c["check"]: (c["passed"], c["detail"]) for c in got["compliance"]}
+    assert checked["ntia-version"] == (True, "All 3 components") and checked["cisa-license"] == (False, "1/3 components") and checked["cisa-tool"] == (True, "present")
+    report = api.summary(api.load(spark, paths["old"]))
+    lines = "".join(reports.html_lines(report))
+    assert "<td>Tool</td><td>scan&lt;er</td>" in lines and "<td>License coverage</td><td>33.3%</td>" in lines and "<script" not in lines and "<td>overall</td>" in lines
+
+
+def test_diff_report_has_overview_and_compliance(spark, paths):
+    report = api.compare(api.load(spark, paths["old"]), api.load(spark, paths["new"]))
+    text = "".join(reports.markdown_lines(report))
+    assert "| Packages | 2 | 2 |" in text and "| PURL coverage | 50.0% | 50.0% |" in text and "| overall |" in text and "| cisa-hash | no | 0/2 components |" in text
