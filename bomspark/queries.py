@@ -375,3 +375,28 @@ scalar("fn_percent_text", lambda: fn.percent_text(C("ordinal") % 50, C("ordinal"
 scalar("fn_or_none", lambda: fn.or_none(C("language")), "CASE WHEN language = '' THEN '(none)' ELSE language END")
 scalar("fn_octal_mode", lambda: fn.octal_mode(C("ordinal") * 37), "to_base((ordinal * 37) & 4095, 8)")
 snap("topk_bars", "SELECT key, count, CAST(count AS DOUBLE) / max(count) OVER () AS share FROM (SELECT lic AS key, count(*) AS count FROM a WHERE lic <> '' GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 3)")(lambda s: profile.bars(profile.by_license(s.after), 3))
+
+# Operators on rows that they act upon: mixed types, CPEs, repeated ids, missing licences, raw fields.
+MIXED = "CASE ordinal % 7 WHEN 0 THEN 'file' WHEN 1 THEN 'operating-system' ELSE 'library' END"
+_mixed = lambda: F.when(C("ordinal") % 7 == 0, "file").when(C("ordinal") % 7 == 1, "operating-system").otherwise("library")
+_cpes = lambda: F.when(C("ordinal") % 3 == 0, F.array(F.concat(F.lit("cpe:2.3:a:v:"), "name"))).otherwise(F.array().cast("array<string>"))
+snap("flt_packages_mixed", f"SELECT side, ordinal, id FROM comp WHERE {MIXED} = 'library'")(lambda s: profile.packages(s.all.withColumn("type", _mixed())).select("side", "ordinal", "id"))
+snap("agg_profile_cpes", f"SELECT {PROFILE.replace('CAST(0 AS BIGINT) AS with_cpes', 'count(*) FILTER (ordinal % 3 = 0) AS with_cpes')} FROM a")(lambda s: profile.profile(s.after.withColumn("cpes", _cpes())))
+scalar("fn_has_lookup_id_cpes", lambda: fn.has_lookup_id(F.when(C("ordinal") % 2 == 0, C("purl")).otherwise(""), _cpes()), "ordinal % 2 = 0 OR ordinal % 3 = 0")
+scalar("fn_effective_type_mixed", lambda: fn.effective_type(F.when(C("ordinal") % 3 == 0, "pkg:gem/x@1").otherwise(""), F.when(C("ordinal") % 3 == 2, C("name")).otherwise(C("id"))), "CASE ordinal % 3 WHEN 0 THEN 'gem' WHEN 2 THEN 'unknown' ELSE ptype END")
+scalar("fn_stats_type_mixed", lambda: fn.stats_type(F.when(C("ordinal") % 2 == 0, C("purl")).otherwise(""), C("name"), _mixed()), f"CASE WHEN ordinal % 2 = 0 THEN ptype ELSE {MIXED} END")
+snap("prj_normalize_raw", "SELECT side, ordinal, name, version, CASE WHEN ordinal % 3 = 0 THEN '' ELSE 'MIT' END AS licenses FROM comp")(
+    lambda s: profile.normalize(s.all.withColumns({"name": F.concat(F.lit(" "), F.upper("name"), F.lit("\t")), "version": F.concat("version", F.lit("\n")), "licenses": F.array(F.when(C("ordinal") % 3 == 0, " None").otherwise("mit "))})).select("side", "ordinal", "name", "version", F.array_join("licenses", ",").alias("licenses"))
+)
+query("jn_first_wins_repeated", "SELECT id, arg_min(version, pos) AS version, arg_min(name, pos) AS name FROM (SELECT l_partkey || '/' || l_suppkey AS id, CAST(l_linenumber AS VARCHAR) AS version, l_returnflag AS name, l_orderkey * 8 + l_linenumber AS pos FROM lineitem) GROUP BY id", "")(
+    lambda spark, d: df_.first_wins(items(spark, d).withColumn("ordinal", C("ordinal") * 8 + C("version").cast("long"))).select("id", "version", "name")
+)
+snap("pol_require_licenses_missing", "SELECT 'require_licenses' AS rule, name || ': no license' AS message, 'error' AS severity FROM added WHERE ordinal % 3 = 0")(
+    lambda s: (lambda bare: rules.evaluate(rules.Policy(require_licenses=True), df_.diff(s.before, bare), bare).select("rule", "message", "severity"))(s.after.withColumn("licenses", F.when(C("ordinal") % 3 == 0, F.array().cast("array<string>")).otherwise(F.array(F.lit("MIT")))))
+)
+query("pol_deny_duplicates_repeated", "SELECT 'deny_duplicates' AS rule, count(*) || ' duplicates found' AS message, 'error' AS severity FROM d HAVING count(*) > 0", ITEMS)(
+    lambda spark, d: (lambda s: rules.evaluate(rules.Policy(deny_duplicates=True), s.diff, items(spark, d)).select("rule", "message", "severity"))(Snapshots(spark, d))
+)
+snap("prj_compliance_details", "SELECT * FROM (SELECT 'cisa-license' AS check, n = t AS passed, CASE WHEN n = t THEN 'All ' || t || ' components' ELSE n || '/' || t || ' components' END AS detail FROM (SELECT count(*) AS t, count(*) FILTER (lic <> '') AS n FROM a) UNION ALL SELECT 'cisa-version', true, 'All ' || (SELECT count(*) FROM a) || ' components' UNION ALL SELECT 'cisa-tool', true, 'present' UNION ALL SELECT 'cisa-author', false, 'missing')")(
+    lambda s: profile.compliance(s.after, s.edges_of("after"), INFO["after"]).where(C("check").isin("cisa-license", "cisa-version", "cisa-tool", "cisa-author")).select("check", "passed", "detail")
+)
