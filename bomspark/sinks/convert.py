@@ -1,18 +1,20 @@
 """Components and edges of one document as a CycloneDX, SPDX or Syft document.
 
-Every element is built as JSON text by Spark; ``element_rows`` keeps them distributed, and
-``write_document`` puts one document's elements into its envelope, in order, for a file.
+Every element and every dependency is a row of JSON text; Spark puts them in order into the
+envelope, the only part that the driver makes.
 """
 
 from __future__ import annotations
 
 import json
+import uuid
 from collections.abc import Callable, Iterator
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scalars as fn
+from .lines import Piece, Rows, document, quoted, rows, write
 
 ALIASES = {"cyclonedx": "cyclonedx", "cdx": "cyclonedx", "spdx": "spdx", "syft": "syft"}
 
@@ -83,55 +85,65 @@ def element_rows(comps: DataFrame, target: str) -> DataFrame:
 
 
 def relation_rows(comps: DataFrame, edges: DataFrame, target: str) -> DataFrame:
-    """src_ref, dst_refs: dependencies between elements, in adjacency order; ends that the
+    """src_ref, adj_ordinal, dst_ref: dependencies between elements, a row each; ends that the
     document lacks go."""
     first = element_rows(comps, target).groupBy("id").agg(F.min_by("ref", "ordinal").alias("ref"))
     ends = edges.join(first.select(F.col("id").alias("src_id"), F.col("ref").alias("src_ref")), "src_id").join(first.select(F.col("id").alias("dst_id"), F.col("ref").alias("dst_ref")), "dst_id")
-    pairs = F.array_sort(F.collect_set(F.struct("adj_ordinal", "dst_ref")))
-    return ends.groupBy("src_ref").agg(F.transform(pairs, lambda p: p["dst_ref"]).alias("dst_refs"))
+    return ends.select("src_ref", "adj_ordinal", "dst_ref").distinct()
 
 
-def _lines(comps: DataFrame, edges: DataFrame, target: str, info: dict, namespace: str) -> Iterator[str]:
-    name, q = ALIASES[target], json.dumps
-    elements = (r.element for r in element_rows(comps, name).orderBy("ordinal").select("element").toLocalIterator())
-    relations = relation_rows(comps, edges, name).orderBy("src_ref").toLocalIterator()
+def _depends_on(relations: DataFrame) -> Rows:
+    """One object per source, written a row per dependency: the first row of a source opens the
+    object, the last one closes it, so that no list of targets is ever gathered."""
+    at = F.struct("adj_ordinal", "dst_ref")
+    ends = relations.groupBy("src_ref").agg(F.min(at).alias("first"), F.max(at).alias("last"))
+    opening = F.when(at.eqNullSafe(F.col("first")), F.concat(F.lit('{"ref":'), quoted(F.col("src_ref")), F.lit(',"dependsOn":['))).otherwise("")
+    closing = F.when(at.eqNullSafe(F.col("last")), "]}").otherwise("")
+    return rows(relations.join(ends, "src_ref"), F.concat(opening, quoted(F.col("dst_ref")), closing), "src_ref", "adj_ordinal", "dst_ref", separator=",")
+
 
-    def joined(parts: Iterator[str]) -> Iterator[str]:
-        for i, part in enumerate(parts):
-            yield ("," if i else "") + part
+def _spdx_relations(elements: DataFrame, relations: DataFrame) -> Rows:
+    """What the document describes, in the order of elements, then the dependencies."""
+    described = elements.select(F.lit(0).alias("part"), F.col("ordinal").alias("at"), F.lit("SPDXRef-DOCUMENT").alias("src_ref"), F.col("ref").alias("dst_ref"), F.lit("DESCRIBES").alias("kind"))
+    depends = relations.select(F.lit(1).alias("part"), F.col("adj_ordinal").alias("at"), "src_ref", "dst_ref", F.lit("DEPENDS_ON").alias("kind"))
+    line = F.to_json(F.struct(F.col("src_ref").alias("spdxElementId"), F.col("dst_ref").alias("relatedSpdxElement"), F.col("kind").alias("relationshipType")))
+    return rows(described.unionByName(depends), line, "part", "src_ref", "at", "dst_ref", separator=",")
 
+
+def _pieces(comps: DataFrame, edges: DataFrame, target: str, info: dict, namespace: str) -> Iterator[Piece]:
+    name, q = ALIASES[target], json.dumps
+    made, relations = element_rows(comps, name), relation_rows(comps, edges, name)
+    elements = rows(made, F.col("element"), "ordinal", separator=",")
     tool = {"name": info.get("tool_name") or "bomspark", "version": info.get("tool_version") or ""}
     stamp = info.get("sbom_timestamp") or ""
     if name == "cyclonedx":
         meta = {"timestamp": stamp, "tools": {"components": [{"type": "application", **tool}]}} | ({"component": {"type": "operating-system", "name": info["os_name"], "version": info.get("os_version") or ""}} if info.get("os_name") else {})
-        yield f'{{"bomFormat":"CycloneDX","specVersion":"1.6","version":1,"metadata":{q(meta)},"components":['
-        yield from joined(elements)
+        yield f'{{"bomFormat":"CycloneDX","specVersion":"1.6","serialNumber":{q(namespace)},"version":1,"metadata":{q(meta)},"components":['
+        yield elements
         yield '],"dependencies":['
-        yield from joined(q({"ref": r.src_ref, "dependsOn": r.dst_refs}) for r in relations)
+        yield _depends_on(relations)
+        yield "]}"
     elif name == "spdx":
         head = {"spdxVersion": "SPDX-2.3", "dataLicense": "CC0-1.0", "SPDXID": "SPDXRef-DOCUMENT", "name": info.get("source_name") or info.get("os_name") or "document", "documentNamespace": namespace, "creationInfo": {"created": stamp, "creators": [f"Tool: {tool['name']}-{tool['version']}".rstrip("-")]}}
         yield q(head)[:-1] + ',"packages":['
-        yield from joined(elements)
+        yield elements
         yield '],"relationships":['
-        row = lambda a, b, kind: q({"spdxElementId": a, "relatedSpdxElement": b, "relationshipType": kind})
-        described = (row("SPDXRef-DOCUMENT", r.ref, "DESCRIBES") for r in element_rows(comps, name).orderBy("ordinal").select("ref").toLocalIterator())
-        depends = (row(r.src_ref, d, "DEPENDS_ON") for r in relations for d in r.dst_refs)
-        yield from joined(x for part in (described, depends) for x in part)
+        yield _spdx_relations(made, relations)
+        yield "]}"
     else:
         yield '{"artifacts":['
-        yield from joined(elements)
+        yield elements
         yield '],"artifactRelationships":['
-        yield from joined(q({"parent": r.src_ref, "child": d, "type": "dependency-of"}) for r in relations for d in r.dst_refs)
+        line = F.to_json(F.struct(F.col("src_ref").alias("parent"), F.col("dst_ref").alias("child"), F.lit("dependency-of").alias("type")))
+        yield rows(relations, line, "src_ref", "adj_ordinal", "dst_ref", separator=",")
         tail = {"source": {"id": info.get("source_id") or "", "name": info.get("source_name") or "", "type": info.get("source_type") or ""}, "distro": {"name": info.get("os_name") or "", "version": info.get("os_version") or "", "prettyName": info.get("os_pretty_name") or ""}, "descriptor": tool, "schema": {"version": info.get("schema_version") or ""}}
         yield "]," + q(tail)[1:]
-        return
-    yield "]}"
 
 
-def write_document(comps: DataFrame, edges: DataFrame, target: str, path: str, info: dict | None = None, namespace: str = "urn:document") -> None:
-    """One document as a file, its elements streamed one partition at a time."""
-    with open(path, "w", encoding="utf-8") as out:
-        out.writelines(_lines(comps, edges, target, info or {}, namespace))
+def write_document(comps: DataFrame, edges: DataFrame, target: str, path: str, info: dict | None = None, namespace: str | None = None) -> None:
+    """One document as a local file, or as a folder of part files written by the executors if
+    ``path`` ends with a slash. ``namespace``: its serial number, a new UUID unless given."""
+    write(document(comps.sparkSession, list(_pieces(comps, edges, target, info or {}, namespace or f"urn:uuid:{uuid.uuid4()}"))), path)
 
 
 def export_component(comps: DataFrame, id_: str) -> str:

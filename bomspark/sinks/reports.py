@@ -1,25 +1,25 @@
 """Reports of a diff: result rows as frames, and their JSON, SARIF, JUnit, Markdown, HTML, text forms.
 
-What grows with the inventory (SARIF results, patch operations) is a frame first. The rendered
-forms read such frames through ``toLocalIterator``, one partition at a time.
+Every form is a list of pieces (``lines``): what grows with the inventory is a frame, rendered,
+sorted and written by Spark; only heads and tables of fixed length are made by the driver.
 """
 
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import reduce
 from html import escape as html_escape
-from itertools import chain
 from xml.sax.saxutils import quoteattr
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scalars as fn
 from ..operators.diff import DiffResult, samples_by_type
 from ..operators.profile import scores_of, top
+from .lines import Piece, Rows, document, quoted, rows, texts, write
 
 # Fixed: rule ids and levels of the SARIF form.
 RULES = {"integrity-drift": "error", "deep-dependency": "warning", "component-added": "note", "component-removed": "note", "version-change": "note", "policy-violation": "error"}
@@ -54,6 +54,7 @@ class Summary:
 
 # Fixed: facts named in the scan context, and labels of the coverage rows.
 CONTEXT = {"tool_name": "Tool", "schema_version": "Schema", "search_scope": "Scan scope", "source_type": "Source type", "source_name": "Source", "os_pretty_name": "OS"}
+CATEGORIES, LICENSES = ("permissive", "copyleft", "public_domain", "unknown"), 15
 COVERAGE = {"with_purl": "PURL coverage", "with_licenses": "License coverage", "with_hashes": "Hash coverage", "with_cpes": "CPE coverage"}
 
 
@@ -66,20 +67,20 @@ def result_rows(report: Report) -> DataFrame:
     """ordinal, rule, level, identity, message, fingerprint: one row per SARIF result."""
     d = report.diff
 
-    def rows(df: DataFrame, ordinal: int, rule: str, identity: Column, message: Column, level: Column | None = None) -> DataFrame:
+    def results(df: DataFrame, ordinal: int, rule: str, identity: Column, message: Column, level: Column | None = None) -> DataFrame:
         level = F.lit(RULES[rule]) if level is None else level
         return df.select(F.lit(ordinal).alias("ordinal"), F.lit(rule).alias("rule"), level.alias("level"), identity.alias("identity"), message.alias("message"), fingerprint(rule, identity).alias("fingerprint"))
 
     version = lambda c: F.when(fn.text(c) != "", F.concat(F.lit(" "), c)).otherwise("")
     id_ = F.col("id")
-    out = [rows(d.changed.where("drift = 'integrity'"), 1, "integrity-drift", id_, F.concat("name", F.lit(": hash changed without version change")))]
+    out = [results(d.changed.where("drift = 'integrity'"), 1, "integrity-drift", id_, F.concat("name", F.lit(": hash changed without version change")))]
     if report.transitive is not None:
-        out.append(rows(report.transitive.where(F.col("depth") >= DEEP), 2, "deep-dependency", F.col("target"), F.concat(F.lit("New transitive dependency "), "target", F.lit(" at depth "), F.col("depth").cast("string"))))
-    out.append(rows(d.added, 3, "component-added", id_, F.concat(F.lit("Added "), "name", version(F.col("version")))))
-    out.append(rows(d.removed, 4, "component-removed", id_, F.concat(F.lit("Removed "), "name", version(F.col("version")))))
-    out.append(rows(d.changed.where("b.version <> a.version"), 5, "version-change", id_, F.concat("name", F.lit(": "), "b.version", F.lit(" -> "), "a.version")))
+        out.append(results(report.transitive.where(F.col("depth") >= DEEP), 2, "deep-dependency", F.col("target"), F.concat(F.lit("New transitive dependency "), "target", F.lit(" at depth "), F.col("depth").cast("string"))))
+    out.append(results(d.added, 3, "component-added", id_, F.concat(F.lit("Added "), "name", version(F.col("version")))))
+    out.append(results(d.removed, 4, "component-removed", id_, F.concat(F.lit("Removed "), "name", version(F.col("version")))))
+    out.append(results(d.changed.where("b.version <> a.version"), 5, "version-change", id_, F.concat("name", F.lit(": "), "b.version", F.lit(" -> "), "a.version")))
     if report.violations is not None:
-        out.append(rows(report.violations, 6, "policy-violation", F.concat_ws("|", "rule", "message"), F.col("message"), F.col("severity")))
+        out.append(results(report.violations, 6, "policy-violation", F.concat_ws("|", "rule", "message"), F.col("message"), F.col("severity")))
     return reduce(DataFrame.unionByName, out)
 
 
@@ -89,60 +90,64 @@ def patch_rows(diff: DiffResult) -> DataFrame:
     add = diff.added.select(F.lit("add").alias("op"), F.concat(F.lit(base), F.col("ordinal").cast("string")).alias("path"), F.to_json(F.struct("id", "name", "version", "purl", "licenses", "hashes")).alias("value"))
     remove = diff.removed.select(F.lit("remove").alias("op"), F.concat(F.lit(base), "id").alias("path"), F.lit(None).cast("string").alias("value"))
     text = lambda c: F.get_json_object(F.to_json(F.struct(c.alias("v"))), "$.v")
-    quoted = F.regexp_replace(F.to_json(F.array("a.version")), r"(?s)^\[|\]$", "")
-    parts = [("version", F.col("b.version") != F.col("a.version"), quoted), ("licenses", F.col("b.licenses") != F.col("a.licenses"), text(F.col("a.licenses"))), ("hashes", F.array_sort(F.map_entries("b.hashes")) != F.array_sort(F.map_entries("a.hashes")), text(F.col("a.hashes")))]
+    parts = [("version", F.col("b.version") != F.col("a.version"), quoted(F.col("a.version"))), ("licenses", F.col("b.licenses") != F.col("a.licenses"), text(F.col("a.licenses"))), ("hashes", F.array_sort(F.map_entries("b.hashes")) != F.array_sort(F.map_entries("a.hashes")), text(F.col("a.hashes")))]
     each = F.array_compact(F.array(*[F.when(cond, F.struct(F.lit(name).alias("name"), value.alias("value"))) for name, cond, value in parts]))
     replace = diff.changed.select("id", F.explode(each).alias("r")).select(F.lit("replace").alias("op"), F.concat(F.lit(base), "id", F.lit("/"), "r.name").alias("path"), F.col("r.value").alias("value"))
     return add.unionByName(remove).unionByName(replace)
 
 
-def _escaped(text: str) -> str:
-    """JSON that can stand inside HTML."""
-    return text.replace("&", "\\u0026").replace("<", "\\u003c").replace(">", "\\u003e")
+def _replaced(c: Column, signs: dict[str, str]) -> Column:
+    return reduce(lambda x, s: F.replace(x, F.lit(s), F.lit(signs[s])), signs, c)
+
 
+# Fixed: signs that JSON inside HTML, HTML and attributes of XML write otherwise.
+JSON_SIGNS = {"&": "\\u0026", "<": "\\u003c", ">": "\\u003e"}
+HTML_SIGNS = {"&": "&amp;", "<": "&lt;", ">": "&gt;", '"': "&quot;", "'": "&#x27;"}
+ATTRIBUTE_SIGNS = {"&": "&amp;", "<": "&lt;", ">": "&gt;", '"': "&quot;", "\n": "&#10;", "\r": "&#13;", "\t": "&#9;"}
 
-def _list(parts: Iterator[str]) -> Iterator[str]:
-    for i, part in enumerate(parts):
-        yield ("," if i else "") + part
 
+def _escaped(text: str) -> str:
+    """JSON that can stand inside HTML."""
+    return reduce(lambda x, s: x.replace(s, JSON_SIGNS[s]), JSON_SIGNS, text)
 
-def _json_rows(df: DataFrame, *order: str) -> Iterator[str]:
-    ordered = df.orderBy(*order) if order else df
-    return _list(r.j for r in ordered.select(F.to_json(F.struct(*[c for c in df.columns if c != "raw"])).alias("j")).toLocalIterator())
 
+def _objects(name: str, df: DataFrame, *order: str) -> list[Piece]:
+    """The rows of ``df`` as the member ``name`` of an object."""
+    made = F.to_json(F.struct(*[c for c in df.columns if c != "raw"]))
+    return [f'"{name}":[', rows(df, _replaced(made, JSON_SIGNS), *order, separator=","), "]"]
 
-def summary_json_lines(summary: Summary) -> Iterator[str]:
+
+def summary_json(summary: Summary) -> Iterator[Piece]:
     """Facts, findings, statistics, compliance and warnings of one document as one JSON object."""
     yield _escaped('{"info":' + json.dumps(summary.facts))
     for name, frame, order in (("findings", summary.findings, ("finding_ordinal",)), ("stats", summary.stats, ()), ("by_type", summary.types, ("key",)), ("by_license", summary.licenses, ("key",)), ("duplicates", summary.duplicates, ("id",)), ("compliance", summary.compliance, ("standard", "check"))):
-        yield f',"{name}":['
-        yield from map(_escaped, _json_rows(frame, *order))
-        yield "]"
+        yield ","
+        yield from _objects(name, frame, *order)
     yield _escaped(f',"warnings":{json.dumps(summary.warnings)}}}')
 
 
-def json_lines(report: Report) -> Iterator[str]:
+def report_json(report: Report) -> Iterator[Piece]:
     """Overview, findings, diff and violations as one JSON object."""
     d = report.diff
     changed = d.changed.select("id", "name", "drift", F.col("b.version").alias("before"), F.col("a.version").alias("after"), fn.change_strings(*[F.col(f"{s}.{c}") for c in ("version", "licenses", "hashes") for s in ("b", "a")]).alias("changes"))
     parts = [(name, frame, order) for name, frame, order in (("overview", report.overview, ()), ("findings", report.findings, ("finding_ordinal",)), ("added", d.added, ("id",)), ("removed", d.removed, ("id",)), ("changed", changed, ("id",)), ("violations", report.violations, ("rule_ordinal", "message")), ("compliance", report.compliance, ("standard", "check"))) if frame is not None]
     yield "{"
     for i, (name, frame, order) in enumerate(parts):
-        yield ("," if i else "") + f'"{name}":['
-        yield from map(_escaped, _json_rows(frame, *order))
-        yield "]"
+        if i:
+            yield ","
+        yield from _objects(name, frame, *order)
     yield "}"
 
 
-def sarif_lines(report: Report, tool: str = "bomspark") -> Iterator[str]:
+def sarif(report: Report, tool: str = "bomspark") -> Iterator[Piece]:
     rules = [{"id": r, "defaultConfiguration": {"level": level}} for r, level in RULES.items()]
     yield '{"version":"2.1.0","runs":[{"tool":{"driver":' + json.dumps({"name": tool, "rules": rules}) + '},"results":['
-    ordered = result_rows(report).orderBy("ordinal", "identity", "message")
-    yield from _list(json.dumps({"ruleId": r.rule, "level": r.level, "message": {"text": r.message}, "partialFingerprints": {"primary": r.fingerprint}}) for r in ordered.toLocalIterator())
+    result = F.struct(F.col("rule").alias("ruleId"), "level", F.struct(F.col("message").alias("text")).alias("message"), F.struct(F.col("fingerprint").alias("primary")).alias("partialFingerprints"))
+    yield rows(result_rows(report), F.to_json(result), "ordinal", "identity", "message", separator=",")
     yield "]}]}"
 
 
-def junit_lines(report: Report) -> Iterator[str]:
+def junit(report: Report) -> Iterator[Piece]:
     """Tests for integrity, deep dependencies, each violation, and a summary."""
     counts = report.diff.counts().first()
     deep = report.transitive.where(F.col("depth") >= DEEP).count() if report.transitive is not None else 0
@@ -153,24 +158,43 @@ def junit_lines(report: Report) -> Iterator[str]:
     yield case("integrity", f"{counts.integrity} components changed hash without version change" if counts.integrity else "")
     yield case("deep dependencies", f"{deep} new dependencies at depth {DEEP} or more" if deep else "")
     if report.violations is not None:
-        for r in report.violations.orderBy("rule_ordinal", "message").toLocalIterator():
-            yield case(f"policy: {r.rule}: {r.message}", r.message if r.severity == "error" else "")
+        message = _replaced(F.col("message"), ATTRIBUTE_SIGNS)
+        failure = F.when(F.col("severity") == "error", F.concat(F.lit('<failure message="'), message, F.lit('"/>'))).otherwise("")
+        yield rows(report.violations, F.concat(F.lit('<testcase name="policy: '), "rule", F.lit(": "), message, F.lit('" time="0">'), failure, F.lit("</testcase>")), "rule_ordinal", "message")
     yield case(f"summary: {counts.added} added, {counts.removed} removed, {counts.changed} changed", "") + "</testsuite>"
 
 
-Section = tuple[str, list[str], Iterator[tuple]]
+def patch(report: Report) -> Iterator[Piece]:
+    """Operations in the order add, remove, replace, each by path."""
+    value = F.coalesce(F.concat(F.lit(',"value":'), "value"), F.lit(""))
+    made = F.concat(F.regexp_replace(F.to_json(F.struct("op", "path")), r"\}$", ""), value, F.lit("}"))
+    yield "["
+    yield rows(patch_rows(report.diff), _replaced(made, JSON_SIGNS), "op", "path", separator=",")
+    yield "]"
+
+
+@dataclass(frozen=True)
+class Section:
+    """A table of a readable report: the first columns of ``frame``, as many as heads, in order."""
+
+    title: str
+    heads: list[str]
+    frame: DataFrame
+    order: tuple[str, ...]
 
 
-def _tuples(df: DataFrame, *order: str | Column) -> Iterator[tuple]:
-    return (tuple(r) for r in df.orderBy(*order).toLocalIterator())
+def _small(spark: SparkSession, title: str, heads: list[str], values: list[tuple]) -> Section:
+    """A table of fixed length, made by the driver, in the order given."""
+    names = [f"c{i}" for i in range(len(heads))]
+    made = [(*[str(v) for v in row], i) for i, row in enumerate(values)]
+    return Section(title, heads, spark.createDataFrame(made, ", ".join([f"{c} string" for c in names] + ["position long"])).coalesce(1), ("position",))
 
 
 def _compliance(checked: DataFrame) -> Iterator[Section]:
-    scores = scores_of(checked)
-    overall = scores.agg(F.lit("overall").alias("standard"), F.count("*").alias("n"), F.floor(F.avg("score")).alias("score")).where("n > 0")
-    passed = F.format_string("%d/%d", "passed", "total")
-    yield "Compliance", ["Standard", "Score", "Checks passed"], _tuples(scores.select("standard", "score", passed.alias("checks")).unionByName(overall.select("standard", "score", F.lit("").alias("checks"))), F.col("standard") == "overall", "standard")
-    yield "Compliance checks", ["Check", "Passed", "Detail"], _tuples(checked.select("check", F.when(F.col("passed"), "yes").otherwise("no").alias("passed"), "detail"), "check")
+    scores = scores_of(checked).select("standard", "score", F.format_string("%d/%d", "passed", "total").alias("checks")).orderBy("standard").collect()  # a row a standard
+    overall = [("overall", sum(r.score for r in scores) // len(scores), "")] if scores else []
+    yield _small(checked.sparkSession, "Compliance", ["Standard", "Score", "Checks passed"], [*map(tuple, scores), *overall])
+    yield Section("Compliance checks", ["Check", "Passed", "Detail"], checked.select("check", F.when(F.col("passed"), "yes").otherwise("no").alias("passed"), "detail"), ("check",))
 
 
 def _coverage() -> list[Column]:
@@ -178,90 +202,115 @@ def _coverage() -> list[Column]:
     return [fn.percent_text(F.col("total") - F.col("without_license") if c == "with_licenses" else F.col(c), F.col("total")).alias(c) for c in COVERAGE]
 
 
-def _overview(overview: DataFrame) -> Iterator[Section]:
+def _overview(overview: DataFrame) -> Section:
     """Both sides beside each other: totals and coverage."""
-    sides = {r.side: r for r in overview.select("side", F.col("total").cast("string").alias("total"), *_coverage()).toLocalIterator()}
+    sides = {r.side: r for r in overview.select("side", F.col("total").cast("string").alias("total"), *_coverage()).collect()}  # two rows
     value = lambda side, c: sides[side][c] if side in sides else "0"
-    yield "Overview", ["", "Before", "After"], ((label, value("before", c), value("after", c)) for c, label in ({"total": "Packages"} | COVERAGE).items())
+    return _small(overview.sparkSession, "Overview", ["", "Before", "After"], [(label, value("before", c), value("after", c)) for c, label in ({"total": "Packages"} | COVERAGE).items()])
 
 
 def _summary_sections(s: Summary) -> Iterator[Section]:
-    yield "Scan context", ["Field", "Value"], ((label, s.facts[k]) for k, label in CONTEXT.items() if s.facts.get(k))
-    yield "Key findings", ["Finding"], ((r.message,) for r in s.findings.orderBy("finding_ordinal").toLocalIterator())
-    stats = s.stats.select("total", *_coverage()).first()
-    yield "Statistics", ["Measure", "Value"], ((label, stats[c]) for c, label in ({"total": "Components"} | COVERAGE).items())
-    yield "By package type", ["Type", "Count"], _tuples(s.types.select("key", "count"), "key")
+    spark = s.stats.sparkSession
+    yield _small(spark, "Scan context", ["Field", "Value"], [(label, s.facts[k]) for k, label in CONTEXT.items() if s.facts.get(k)])
+    yield Section("Key findings", ["Finding"], s.findings.select("message", "finding_ordinal"), ("finding_ordinal",))
+    stats = s.stats.select("total", *_coverage(), *[f"lic_{c}" for c in CATEGORIES]).first()
+    yield _small(spark, "Statistics", ["Measure", "Value"], [(label, stats[c]) for c, label in ({"total": "Components"} | COVERAGE).items()])
+    yield Section("By package type", ["Type", "Count"], s.types.select("key", "count"), ("key",))
     kinds = s.licenses.count()
-    more = [("...and more", kinds - 15)] if kinds > 15 else []
-    yield "Top licenses", ["License", "Count"], chain(_tuples(top(s.licenses, 15).select("key", "count"), F.desc("count"), "key"), more)
-    yield "License categories", ["Category", "Count"], ((c, n) for r in s.stats.select(*[F.col(f"lic_{c}").alias(c) for c in ("permissive", "copyleft", "public_domain", "unknown")]).toLocalIterator() for c, n in r.asDict().items())
-    yield "Duplicates", ["Name", "Versions"], _tuples(s.duplicates.select("name", F.array_join("versions", ", ").alias("versions")), "name", "versions")
+    first = top(s.licenses, LICENSES).select("key", "count").orderBy(F.desc("count"), "key").collect()  # LICENSES rows at most
+    more = [("...and more", kinds - LICENSES)] if kinds > LICENSES else []
+    yield _small(spark, "Top licenses", ["License", "Count"], [*map(tuple, first), *more])
+    yield _small(spark, "License categories", ["Category", "Count"], [(c, stats[f"lic_{c}"]) for c in CATEGORIES])
+    yield Section("Duplicates", ["Name", "Versions"], s.duplicates.select("name", F.array_join("versions", ", ").alias("versions")), ("name", "versions"))
     yield from _compliance(s.compliance)
-    yield "Warnings", ["Message"], ((w,) for w in s.warnings)
+    yield _small(spark, "Warnings", ["Message"], [(w,) for w in s.warnings])
 
 
 def _sections(report: Report | Summary) -> Iterator[Section]:
-    """Title, column heads and rows of the tables of a readable report."""
+    """The tables of a readable report."""
     if isinstance(report, Summary):
         yield from _summary_sections(report)
         return
     d = report.diff
     if report.overview is not None:
-        yield from _overview(report.overview)
-    yield "Summary", ["Added", "Removed", "Changed", "Integrity"], _tuples(d.counts().select("added", "removed", "changed", "integrity"), "added")
-    yield "Drift", ["Version", "Integrity", "Metadata"], _tuples(d.drift_summary().select("version_drift", "integrity_drift", "metadata_drift"), "version_drift")
+        yield _overview(report.overview)
+    yield Section("Summary", ["Added", "Removed", "Changed", "Integrity"], d.counts().select("added", "removed", "changed", "integrity"), ())
+    yield Section("Drift", ["Version", "Integrity", "Metadata"], d.drift_summary().select("version_drift", "integrity_drift", "metadata_drift"), ())
     if report.findings is not None:
-        yield "Key findings", ["Finding"], ((r.message,) for r in report.findings.orderBy("finding_ordinal").toLocalIterator())
-    for title, rows in (("Added", d.added), ("Removed", d.removed)):
-        yield f"{title} by type, first five of each", ["Type", "Total", "Id", "Rank"], _tuples(samples_by_type(rows).select("type", "total", "id", "rank"), "type", "rank")
-        yield title, ["Name", "Version"], _tuples(rows.select("name", "version"), "name", "version")
-    yield "Changed", ["Name", "Before", "After", "Drift"], _tuples(d.changed.select("name", F.col("b.version").alias("before"), F.col("a.version").alias("after"), "drift"), "name", "before")
+        yield Section("Key findings", ["Finding"], report.findings.select("message", "finding_ordinal"), ("finding_ordinal",))
+    for title, side in (("Added", d.added), ("Removed", d.removed)):
+        yield Section(f"{title} by type, first five of each", ["Type", "Total", "Id", "Rank"], samples_by_type(side).select("type", "total", "id", "rank"), ("type", "rank"))
+        yield Section(title, ["Name", "Version"], side.select("name", "version"), ("name", "version"))
+    yield Section("Changed", ["Name", "Before", "After", "Drift"], d.changed.select("name", F.col("b.version").alias("before"), F.col("a.version").alias("after"), "drift"), ("name", "before"))
     if report.violations is not None:
-        yield "Policy", ["Severity", "Rule", "Message"], _tuples(report.violations.select("severity", "rule", "message"), "rule", "message")
+        yield Section("Policy", ["Severity", "Rule", "Message"], report.violations.select("severity", "rule", "message"), ("rule", "message"))
     if report.compliance is not None:
         yield from _compliance(report.compliance)
 
 
-def markdown_lines(report: Report | Summary) -> Iterator[str]:
-    cell = lambda v: str(v).replace("|", "\\|").replace("\n", " ")
-    for title, heads, rows in _sections(report):
-        yield f"## {title}\n\n| {' | '.join(heads)} |\n|{'---|' * len(heads)}\n"
-        for row in rows:
-            yield f"| {' | '.join(map(cell, row))} |\n"
-        yield "\n"
+def _table(s: Section, cell: Callable[[Column], Column], begin: str, between: str, end: str) -> Rows:
+    """Each row as one line of cells."""
+    cells = [cell(F.coalesce(F.col(c).cast("string"), F.lit(""))) for c in s.frame.columns[: len(s.heads)]]
+    return rows(s.frame, F.concat(F.lit(begin), F.concat_ws(between, *cells), F.lit(end)), *s.order)
 
 
-def html_lines(report: Report | Summary) -> Iterator[str]:
+def markdown(report: Report | Summary) -> Iterator[Piece]:
+    for s in _sections(report):
+        yield f"## {s.title}\n\n| {' | '.join(s.heads)} |\n|{'---|' * len(s.heads)}"
+        yield _table(s, lambda c: _replaced(c, {"|": "\\|", "\n": " "}), "| ", " | ", " |")
+        yield ""
+
+
+def html(report: Report | Summary) -> Iterator[Piece]:
     yield '<!DOCTYPE html><html><head><meta charset="utf-8"><title>Inventory report</title></head><body>'
-    for title, heads, rows in _sections(report):
-        yield f"<h2>{title}</h2><table><tr>{''.join(f'<th>{h}</th>' for h in heads)}</tr>"
-        for row in rows:
-            yield f"<tr>{''.join(f'<td>{html_escape(str(v))}</td>' for v in row)}</tr>"
+    for s in _sections(report):
+        yield f"<h2>{html_escape(s.title)}</h2><table><tr>{''.join(f'<th>{h}</th>' for h in s.heads)}</tr>"
+        yield _table(s, lambda c: _replaced(c, HTML_SIGNS), "<tr><td>", "</td><td>", "</td></tr>")
         yield "</table>"
     yield "</body></html>"
 
 
-def text_lines(report: Report | Summary) -> Iterator[str]:
-    for title, heads, rows in _sections(report):
-        yield f"{title} ({', '.join(heads).lower()})\n"
-        for row in rows:
-            yield f"  {'  '.join(map(str, row))}\n"
+def text(report: Report | Summary) -> Iterator[Piece]:
+    for s in _sections(report):
+        yield f"{s.title} ({', '.join(s.heads).lower()})"
+        yield _table(s, lambda c: c, "  ", "  ", "")
+
+
+FORMATS = {"json": report_json, "sarif": sarif, "junit": junit, "markdown": markdown, "md": markdown, "html": html, "text": text, "patch": patch}
+
+SUMMARY_FORMATS = {"json": summary_json, "markdown": markdown, "md": markdown, "html": html, "text": text}
+
+
+def report_frame(report: Report | Summary, form: str) -> DataFrame:
+    """line: the report in a form, sorted."""
+    spark = (report.stats if isinstance(report, Summary) else report.diff.rows).sparkSession
+    return document(spark, list((SUMMARY_FORMATS if isinstance(report, Summary) else FORMATS)[form](report)))
+
+
+def json_lines(report: Report | Summary) -> Iterator[str]:
+    return texts(report_frame(report, "json"))
+
+
+def sarif_lines(report: Report) -> Iterator[str]:
+    return texts(report_frame(report, "sarif"))
+
+
+def junit_lines(report: Report) -> Iterator[str]:
+    return texts(report_frame(report, "junit"))
 
 
 def patch_lines(report: Report) -> Iterator[str]:
-    """Operations in the order add, remove, replace, each by path."""
-    rows = patch_rows(report.diff).orderBy("op", "path").toLocalIterator()
-    made = (json.dumps({"op": r.op, "path": r.path} | ({"value": json.loads(r.value)} if r.value is not None else {})) for r in rows)
-    yield "["
-    yield from map(_escaped, _list(made))
-    yield "]"
+    return texts(report_frame(report, "patch"))
+
 
+def markdown_lines(report: Report | Summary) -> Iterator[str]:
+    return texts(report_frame(report, "markdown"))
 
-FORMATS = {"json": json_lines, "sarif": sarif_lines, "junit": junit_lines, "markdown": markdown_lines, "md": markdown_lines, "html": html_lines, "text": text_lines, "patch": patch_lines}
 
-SUMMARY_FORMATS = {"json": summary_json_lines, "markdown": markdown_lines, "md": markdown_lines, "html": html_lines, "text": text_lines}
+def html_lines(report: Report | Summary) -> Iterator[str]:
+    return texts(report_frame(report, "html"))
 
 
 def write_report(report: Report | Summary, form: str, path: str) -> None:
-    with open(path, "w", encoding="utf-8") as out:
-        out.writelines((SUMMARY_FORMATS if isinstance(report, Summary) else FORMATS)[form](report))
+    """To one local file, or to a folder of part files if ``path`` ends with a slash."""
+    write(report_frame(report, form), path)

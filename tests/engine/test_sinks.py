@@ -77,3 +77,40 @@ def test_converted_documents_read_back(spark, docs, tmp_path, target):
 def test_export_one_component(docs):
     comps = components(docs)
     assert json.loads(convert.export_component(comps, "ref:s"))["name"] == "same" and convert.export_component(comps, "none") == ""
+
+
+def _parts(folder):
+    return "".join(p.read_text() for p in sorted(folder.glob("part-*")))
+
+
+def test_part_files_in_order_are_the_document(spark, tmp_path):
+    """Hubs, ties and many partitions: parts by name, one after the other, are one document."""
+    n = 500
+    doc = {"bomFormat": "CycloneDX", "components": [{"name": f"c{i}", "version": "1", "bom-ref": f"r{i}"} for i in range(n)] + [{"name": "c1", "version": "1", "bom-ref": "r1"}], "dependencies": [{"ref": "r0", "dependsOn": [f"r{i}" for i in range(n - 1, 0, -1)]}, {"ref": "r7", "dependsOn": ["r8", "gone"]}]}
+    one = spark.createDataFrame([("x", json.dumps(doc))], "sbom_id string, text string")
+    comps, edges = components(one).repartition(16), info.edges(one)
+    convert.write_document(comps, edges, "cdx", f"{tmp_path}/cdx/")
+    assert len(list((tmp_path / "cdx").glob("part-*"))) >= 1
+    got = json.loads(_parts(tmp_path / "cdx"))
+    assert [c["name"] for c in got["components"]] == [c["name"] for c in doc["components"]] and got["serialNumber"].startswith("urn:uuid:")
+    assert got["dependencies"] == [{"ref": "r0", "dependsOn": [f"r{i}" for i in range(n - 1, 0, -1)]}, {"ref": "r7", "dependsOn": ["r8"]}]
+    convert.write_document(comps, edges, "spdx", f"{tmp_path}/spdx/")
+    relations = json.loads(_parts(tmp_path / "spdx"))["relationships"]
+    assert [r["relationshipType"] for r in relations] == ["DESCRIBES"] * (n + 1) + ["DEPENDS_ON"] * n
+
+
+def test_documents_without_components(spark, tmp_path):
+    none = spark.createDataFrame([("x", json.dumps({"bomFormat": "CycloneDX"}))], "sbom_id string, text string")
+    for target in ("cdx", "spdx", "syft"):
+        convert.write_document(components(none), info.edges(none), target, str(tmp_path / target))
+        assert {type(v) for k, v in json.loads((tmp_path / target).read_text()).items() if k in ("components", "dependencies", "packages", "relationships", "artifacts")} == {list}
+    empty = reports.Report(diff(components(none), components(none)))
+    assert json.loads("".join(reports.json_lines(empty))) == {"added": [], "removed": [], "changed": []} and json.loads("".join(reports.patch_lines(empty))) == []
+
+
+def test_report_parts_and_escapes(spark, report, tmp_path):
+    reports.write_report(report, "html", f"{tmp_path}/html/")
+    assert _parts(tmp_path / "html") == "".join(reports.html_lines(report))
+    odd = spark.createDataFrame([("error", "r", 'a"<&\n\'b', 1)], "severity string, rule string, message string, rule_ordinal int")
+    suite = ET.fromstring("".join(reports.junit_lines(reports.Report(report.diff, odd))))
+    assert suite.find("testcase/failure[@message]") is not None and [c.get("name") for c in suite.iter("testcase")][2] == 'policy: r: a"<&\n\'b'
