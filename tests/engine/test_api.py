@@ -69,3 +69,14 @@ def test_diff_report_has_overview_and_compliance(spark, paths):
     report = api.compare(api.load(spark, paths["old"]), api.load(spark, paths["new"]))
     text = "".join(reports.markdown_lines(report))
     assert "| Packages | 2 | 2 |" in text and "| PURL coverage | 50.0% | 50.0% |" in text and "| overall |" in text and "| cisa-hash | no | 0/2 components |" in text
+
+
+def test_monitor_keeps_snapshots_of_untouched_inventories(spark, tmp_path):
+    landing, folder = tmp_path / "in", tmp_path / "state"
+    landing.mkdir()
+    for name, doc in (("app@1.json", OLD), ("other@1.json", OLD), ("app@2.json", NEW)):
+        (landing / name).write_text(json.dumps(doc))
+        monitor(spark, str(landing), str(folder), once=True).awaitTermination()
+    got = {(r.batch, r.inventory, r.id, r.status) for r in spark.read.parquet(f"{folder}/changes").where("batch > 0").collect()}
+    assert got == {(1, "other", "pkg:npm/a", "added"), (1, "other", "b", "added"), (2, "app", "pkg:npm/a", "changed"), (2, "app", "b", "removed"), (2, "app", "c", "added")}
+    assert {(r.batch, r.sbom_id) for r in spark.read.parquet(f"{folder}/versions").collect()} == {(0, "app"), (1, "other"), (2, "app")}
