@@ -31,8 +31,7 @@ def reachable(starts: DataFrame, edges: DataFrame, most: int = 1000) -> DataFram
     levels = [level]
     for depth in range(1, most + 1):
         step = level.join(adjacency, F.col("node") == F.col("src_id")).select("root", F.col("dst_id").alias("node"), F.lit(depth).alias("depth"), F.concat("path", F.array("dst_id")).alias("path"), F.concat("ord", F.array("adj_ordinal")).alias("ord"))
-        for seen in levels:
-            step = step.join(seen.select("root", "node"), ["root", "node"], "left_anti")
+        step = step.join(_union(levels).select("root", "node"), ["root", "node"], "left_anti")
         level = settle(step.groupBy("root", "node").agg(F.min(F.struct("ord", "depth", "path")).alias("m")).select("root", "node", "m.depth", "m.path", "m.ord"), "level")
         if level.isEmpty():
             break
