@@ -1,6 +1,6 @@
 """File catalogue: catalogued and location-only files, owners, layers and statistics.
 
-``files`` has path, layer, size, file_type, mime; ``relations`` has ordinal (of a component),
+``files`` has path, layer, size, file_type, mime and may have digests; ``relations`` has ordinal (of a component),
 path and relation (contains or evident-by).
 """
 
@@ -24,7 +24,8 @@ def catalogue(files: DataFrame, comps: DataFrame) -> DataFrame:
     """Files with a path, and each location that is not among them once."""
     known = files.where(fn.text(F.col("path")) != "")
     more = locations(comps).select("path").distinct().join(known.select("path"), "path", "left_anti")
-    return known.unionByName(more, allowMissingColumns=True).na.fill("").na.fill(0)
+    out = known.unionByName(more, allowMissingColumns=True).na.fill("").na.fill(0)
+    return out.withColumn("digests", F.coalesce("digests", F.array())) if "digests" in out.columns else out
 
 
 def owners(files: DataFrame, comps: DataFrame, relations: DataFrame) -> DataFrame:

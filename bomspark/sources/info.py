@@ -148,7 +148,8 @@ def relationship_counts(documents: DataFrame) -> DataFrame:
 
 
 def files(documents: DataFrame) -> DataFrame:
-    """sbom_id, path, layer, size, file_type, mime of the file lists of Syft documents."""
-    listed = F.from_json("text", "files array<struct<location:struct<path:string,layerID:string>,metadata:struct<type:string,mimeType:string,size:bigint>>>")["files"]
+    """sbom_id, path, layer, size, file_type, mime, digests (algorithm, value; those with a value)
+    of the file lists of Syft documents."""
+    listed = F.from_json("text", "files array<struct<location:struct<path:string,layerID:string>,metadata:struct<type:string,mimeType:string,size:bigint>,digests:array<struct<algorithm:string,value:string>>>>")["files"]
     rows = detected(documents).where("dialect = 'syft'").select("sbom_id", F.explode(listed).alias("f")).where("f.location.path <> ''")
-    return rows.select("sbom_id", F.col("f.location.path").alias("path"), fn.text(F.col("f.location.layerID")).alias("layer"), F.coalesce("f.metadata.size", F.lit(0)).alias("size"), fn.text(F.col("f.metadata.type")).alias("file_type"), fn.text(F.col("f.metadata.mimeType")).alias("mime"))
+    return rows.select("sbom_id", F.col("f.location.path").alias("path"), fn.text(F.col("f.location.layerID")).alias("layer"), F.coalesce("f.metadata.size", F.lit(0)).alias("size"), fn.text(F.col("f.metadata.type")).alias("file_type"), fn.text(F.col("f.metadata.mimeType")).alias("mime"), F.coalesce(F.filter("f.digests", lambda x: fn.text(x["value"]) != ""), F.array()).alias("digests"))

@@ -1,5 +1,6 @@
 import json
 
+from bomspark.operators import files
 from bomspark.operators.diff import diff
 from bomspark.sources import info
 from bomspark.sources.documents import components, parse_warnings, read_documents
@@ -57,7 +58,7 @@ def test_syft_hashes_skips_edges_and_facts(spark):
     doc = {
         "artifacts": [art("j", "java-archive", {"digest": [{"algorithm": "sha1", "value": "a"}, {"algorithm": "md5", "value": "b"}]}), "junk", {"id": "n", "name": 5}, art("l", "javascript-npm-package-lock-entry", {"integrity": "sha512-x-y"}), art("r", "rpm-db-entry", {"files": [{"digest": {}}, {"digest": {"algorithm": "sha256", "value": "c"}}, {"digest": {"algorithm": "md5", "value": "d"}}], "maintainer": " M "})],
         "artifactRelationships": [{"parent": "j", "child": "l", "type": "dependency-of"}, {"parent": "j", "child": "f", "type": "contains"}],
-        "files": [{"location": {"path": "/a", "layerID": "L"}, "metadata": {"size": 3, "type": "RegularFile"}}, {"location": {"path": ""}}],
+        "files": [{"location": {"path": "/a", "layerID": "L"}, "metadata": {"size": 3, "type": "RegularFile"}, "digests": [{"algorithm": "sha256", "value": "d"}, {"algorithm": "md5", "value": ""}, None]}, {"location": {"path": ""}}],
         "source": {"id": "s", "type": "image", "target": {"userInput": "alpine"}}, "distro": [{"id": "alpine", "prettyName": "A"}], "descriptor": {"name": "scan", "version": "2", "configuration": {"search": {"scope": "Squashed"}}}, "schema": {"version": "16"},
     }
     docs = frame(spark, s=doc)
@@ -69,6 +70,8 @@ def test_syft_hashes_skips_edges_and_facts(spark):
     assert (f.os_name, f.os_pretty_name, f.source_name, f.search_scope, f.schema_version, f.files_count) == ("alpine", "A", "alpine", "Squashed", "16", 2)
     assert {r.key: r["count"] for r in info.relationship_counts(docs).collect()} == {"dependency-of": 1, "contains": 1}
     assert [(r.path, r.layer, r.size) for r in info.files(docs).collect()] == [("/a", "L", 3)]
+    listed = {r.path: [tuple(d) for d in r.digests] for r in files.catalogue(info.files(docs), components(docs)).collect()}
+    assert listed["/a"] == [("sha256", "d")] and all(not d for path, d in listed.items() if path != "/a")
 
 
 def test_json_facts_and_edges(spark):
