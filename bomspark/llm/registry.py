@@ -7,13 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .centroids import clusters_with_inertia
 from .chunk_dedup import repeated_spans
 from .common import table
+from .decontaminate import contamination
 from .html_text import extract_pages
 from .jaccard_join import similar_components
 from .mixing import mix, taken_words
+from .oracles import CENTROIDS, DECONTAMINATE, SPELLING
 from .packing import pack_documents
 from .quality import fold, quality_score, train
+from .spelling import spelling_variants
 from .stream_dedup import exact_duplicates
 from .topk import exact_top_k
 from .url_filter import filter_urls
@@ -75,6 +79,18 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))
 
 
+def op11_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clusters_with_inertia(table(spark, sf_dir, "embeddings", "vec_id", "embedding"))
+
+
+def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_variants(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
+def op13_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contamination(table(spark, sf_dir, "documents", "doc_id", "text"), table(spark, sf_dir, "benchmark", "item_id", "text"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -82,11 +98,14 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_url_filter, op2_exact_top_k, op3_substring_dedup, op4_packing, op5_html_text, op6_mixing, op7_warc, op8_jaccard_join, op9_exact_dedup, op10_quality, pipeline)
+    f.__name__: f for f in (op1_url_filter, op2_exact_top_k, op3_substring_dedup, op4_packing, op5_html_text, op6_mixing, op7_warc, op8_jaccard_join, op9_exact_dedup, op10_quality, op11_centroids, op12_spelling, op13_decontaminate, pipeline)
 }
 
 #: The others are iterative, learnt, tokenised or byte-level; tests hold them against brute force.
 ORACLES: dict[str, str] = {
+    "op11_centroids": CENTROIDS,
+    "op12_spelling": SPELLING,
+    "op13_decontaminate": DECONTAMINATE,
     "op2_exact_top_k": """
 WITH v AS (
   SELECT CAST(vec_id AS BIGINT) AS vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS DOUBLE)) AS e
