@@ -12,7 +12,7 @@ followed by joining the links with themselves, which doubles the distance seen i
 Defined results: null texts hold no words; a null id is written as an empty string before the colon;
 repeated rows count each time; an empty table gives an empty result; extra columns are ignored. Ties
 of frequency go to the word that is smallest in code-point order. Words of any length take part: keys
-are hashes, so a long word sends 8 bytes a key, not copies of itself without one letter.
+are hashes, and with those of long words go digests, not copies of the word.
 """
 
 from __future__ import annotations
@@ -32,6 +32,8 @@ from .common import materialize
 RUN = re.compile(rb"(?:[a-z]|\xc3[\x80-\xbf])+")
 #: Different words that a task counts before it hands them on.
 FLUSH = 1 << 17
+#: Code points up to which a word itself goes with each of its keys.
+SHORT = 64
 
 
 def typo(run: bytes, crc: int, every: int = 31) -> bytes:
@@ -81,16 +83,31 @@ def _without(word: Column, at: Column) -> Column:
     return F.when(at == 0, word).otherwise(F.concat(F.substring(word, F.lit(1), at - 1), F.substring(word, at + 1, F.length(word))))
 
 
-def near_pairs(words: DataFrame) -> DataFrame:
-    """a, a_n, b, b_n: each pair of words (a < b) at distance one, once."""
+def _meeting(words: DataFrame, name: Column) -> DataFrame:
+    """Pairs that share a key: a, a_n, a_at and b, b_n, b_at, with a < b, their names."""
     letter = lambda word, at: F.substring(word, at, F.lit(1))
     # of equal letters in a row, deleting the first stands for deleting any
     places = F.filter(F.sequence(F.lit(0), F.length("word")), lambda i: (i < 2) | (letter(F.col("word"), i) != letter(F.col("word"), i - 1)))
-    keys = words.select("word", "n", F.explode(places).alias("at")).select(F.xxhash64(_without(F.col("word"), F.col("at"))).alias("key"), "word", "n", "at")
-    a, b = (keys.select("key", *(F.col(c).alias(f"{side}_{c}") for c in ("word", "n", "at"))) for side in "ab")
-    shared = (F.col("a_word") < F.col("b_word")) & (_without(F.col("a_word"), F.col("a_at")) == _without(F.col("b_word"), F.col("b_at")))
-    pairs = a.join(b, "key").where(shared & (F.levenshtein("a_word", "b_word", 1) == 1))
-    return pairs.select(F.col("a_word").alias("a"), "a_n", F.col("b_word").alias("b"), "b_n")
+    keys = words.select("word", "n", F.explode(places).alias("at")).select(F.xxhash64(_without(F.col("word"), F.col("at"))).alias("key"), name.alias("name"), "n", "at")
+    a, b = (keys.select("key", F.col("name").alias(side), F.col("n").alias(f"{side}_n"), F.col("at").alias(f"{side}_at")) for side in "ab")
+    return a.join(b, "key").where(F.col("a") < F.col("b")).drop("key")
+
+
+def _near(pairs: DataFrame, a: str, b: str) -> DataFrame:
+    """Pairs whose shared key is the same string, not a clash of hashes, and whose distance is one."""
+    same = _without(F.col(a), F.col("a_at")) == _without(F.col(b), F.col("b_at"))
+    return pairs.where(same & (F.levenshtein(a, b, 1) == 1)).select(F.col(a).alias("a"), "a_n", F.col(b).alias("b"), "b_n")
+
+
+def near_pairs(words: DataFrame) -> DataFrame:
+    """a, a_n, b, b_n: each pair of words at distance one, once. Words of more than ``SHORT`` code
+    points go through the join by digest."""
+    short, rest = words.where(F.length("word") <= SHORT), words.where(F.length("word") >= SHORT)
+    met = _meeting(rest, F.sha2("word", 256))
+    for side in "ab":
+        met = met.join(rest.select(F.sha2("word", 256).alias(side), F.col("word").alias(f"{side}_word")), side)
+    met = met.where(F.greatest(F.length("a_word"), F.length("b_word")) > SHORT)
+    return _near(_meeting(short, F.col("word")), "a", "b").unionByName(_near(met, "a_word", "b_word"))
 
 
 def forms(words: DataFrame, times: int = 10) -> DataFrame:
