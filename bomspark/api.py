@@ -18,12 +18,14 @@ from .tables import settle
 
 @dataclass(frozen=True)
 class Document:
-    """One inventory document: its components, edges, facts and parse warnings."""
+    """One inventory document: its components, edges, facts, parse warnings, listed files and their relations."""
 
     components: DataFrame
     edges: DataFrame
     facts: dict
     warnings: list[str]
+    files: DataFrame | None = None
+    relations: DataFrame | None = None
 
 
 def load(spark: SparkSession, path: str, strict: bool = False) -> Document:
@@ -35,9 +37,11 @@ def load(spark: SparkSession, path: str, strict: bool = False) -> Document:
     if strict and warnings:
         raise ValueError("; ".join(warnings))
     facts = info.document_info(raw).first()
-    comps = settle(info.with_declared(documents.components(raw), raw), "components")
+    comps = settle(profile.normalize(info.with_declared(documents.components(raw), raw)), "components")
     known = facts.asDict() | {"relationship_counts": {r["key"]: r["count"] for r in info.relationship_counts(raw).toLocalIterator()}} if facts else {}
-    return Document(comps, settle(info.edges(raw), "edges"), known, warnings)
+    listed = settle(info.files(raw), "files")
+    related = settle(info.relations(raw, comps, listed), "relations")
+    return Document(comps, settle(info.edges(raw, comps), "edges"), known, warnings, listed, related)
 
 
 def compare(before: Document, after: Document, policy: rules.Policy | None = None) -> Report:

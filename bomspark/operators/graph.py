@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..tables import settle
+from .bundle import Bundle
 
 
 def roots(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -14,40 +15,17 @@ def roots(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return nodes.select("id") if found.isEmpty() else found
 
 
-def adjacency(comps: DataFrame, edges: DataFrame) -> DataFrame:
+def adjacency(comps: DataFrame, edges: DataFrame, *by: str) -> DataFrame:
     """``edges`` (src_id, src_ordinal, dst_id) of the last component of each id alone: it
     replaces the dependencies of those before it, also where it has none."""
-    last = comps.groupBy("id").agg(F.max("ordinal").alias("src_ordinal")).withColumnRenamed("id", "src_id")
-    return edges.join(last, ["src_id", "src_ordinal"], "left_semi")
+    last = comps.groupBy(*by, F.col("id").alias("src_id")).agg(F.max("ordinal").alias("src_ordinal"))
+    return edges.join(last, [*by, "src_id", "src_ordinal"], "left_semi")
 
 
 def reachable(starts: DataFrame, edges: DataFrame, most: int = 1000) -> DataFrame:
-    """root, node, depth, path: shortest paths, first found in adjacency order.
-
-    One level per round for all starts at once; visited pairs are joined away, and each level
-    is a table in the shared folder. Paths longer than ``most`` are an error."""
-    adjacency = settle(edges.select("src_id", "dst_id", "adj_ordinal"), "adjacency")
-    level = settle(starts.select(F.col("id").alias("root"), F.col("id").alias("node"), F.lit(0).alias("depth"), F.array("id").alias("path"), F.array().cast("array<bigint>").alias("ord")), "level")
-    levels = [level]
-    for depth in range(1, most + 1):
-        step = level.join(adjacency, F.col("node") == F.col("src_id")).select("root", F.col("dst_id").alias("node"), F.lit(depth).alias("depth"), F.concat("path", F.array("dst_id")).alias("path"), F.concat("ord", F.array("adj_ordinal")).alias("ord"))
-        step = step.join(_union(levels).select("root", "node"), ["root", "node"], "left_anti")
-        level = settle(step.groupBy("root", "node").agg(F.min(F.struct("ord", "depth", "path")).alias("m")).select("root", "node", "m.depth", "m.path", "m.ord"), "level")
-        if level.isEmpty():
-            break
-        levels.append(level)
-        if len(levels) > 8:  # keep the plan short
-            levels = [settle(_union(levels), "visited")]
-    else:
-        raise RuntimeError(f"paths are longer than {most}")
-    return _union(levels).where("depth > 0").select("root", "node", "depth", "path")
-
-
-def _union(frames: list[DataFrame]) -> DataFrame:
-    out = frames[0]
-    for f in frames[1:]:
-        out = out.unionByName(f)
-    return out
+    """root, node, depth, path: shortest paths, first found in adjacency order. Paths longer than ``most`` are an error."""
+    bundle = Bundle.build({"": (starts.select("id").unionByName(edges.select(F.col("src_id").alias("id"))), edges)})
+    return bundle.named(bundle.with_paths("", bundle.reach("", bundle.encoded(starts), most, parents=True))).select("root", "node", "depth", "path")
 
 
 def edge_diff(before: DataFrame, after: DataFrame) -> DataFrame:
@@ -60,11 +38,7 @@ def transitive_changes(nodes: DataFrame, edges: DataFrame, other_nodes: DataFram
     """root, target, depth, path: targets that a root of this side reaches below its direct
     dependencies, and that the same root does not reach on the other side; each target once,
     from its first such root."""
-    here_roots = settle(roots(nodes, edges), "roots")
-    here = reachable(here_roots, edges)
-    there = reachable(here_roots.join(other_nodes.select("id").distinct(), "id", "left_semi"), other_edges)
-    new = here.join(there.select("root", "node"), ["root", "node"], "left_anti").where("depth > 1")
-    return new.groupBy("node").agg(F.min(F.struct("root", "depth", "path")).alias("m")).select("m.root", F.col("node").alias("target"), "m.depth", "m.path")
+    return Bundle.build({"here": (nodes, edges), "there": (other_nodes, other_edges)}).transitive("here", "there")
 
 
 def depth_summary(transitive: DataFrame) -> DataFrame:

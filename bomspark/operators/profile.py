@@ -15,7 +15,7 @@ def packages(comps: DataFrame) -> DataFrame:
 
 def normalize(comps: DataFrame) -> DataFrame:
     """Trimmed fields, lower-case name, cleaned licences; an id once set is kept."""
-    plain = {c: fn.trim(F.col(c)) for c in ("version", "purl", "supplier") if c in comps.columns}
+    plain = {c: fn.trim(F.col(c)) for c in ("version", "purl", "supplier", "bom_ref", "spdxid", "namespace") if c in comps.columns}
     return comps.withColumns(plain | {"name": fn.normalize_name(F.col("name")), "licenses": fn.normalize_licenses(F.col("licenses"))})
 
 

@@ -11,6 +11,7 @@ from .functions import scalars as fn
 from .functions.licenses import valid_expression, valid_spdx
 from .operators import diff as df_
 from .operators import explore, files, findings, graph, headlines, profile, rules
+from .operators.bundle import Bundle
 from .plans.adaptor import FILES, INFO, REACH, SQL, components, edges
 from .plans.adaptor import files as file_tables
 from .tables import read, settle
@@ -161,13 +162,21 @@ query("topk_extensions", "SELECT regexp_extract(url, '(\\.[^./]*)$', 1) AS key,
 snap("gr_edges", "SELECT side, src_id, dst_id FROM edge")(lambda s: s.edges.select("side", "src_id", "dst_id").distinct())
 snap("gr_roots", "SELECT id FROM roots WHERE side = 'after'")(lambda s: graph.roots(s.after, s.edges_of("after")))
 snap("jn_edge_diff", "SELECT src_id, CASE side WHEN 'after' THEN 'added' ELSE 'removed' END AS change, string_agg(dst_id, ',' ORDER BY dst_id) AS targets FROM edge e WHERE NOT EXISTS (SELECT 1 FROM edge o WHERE o.side <> e.side AND o.src_id = e.src_id AND o.dst_id = e.dst_id) GROUP BY ALL")(lambda s: graph.edge_diff(s.edges_of("before"), s.edges_of("after")).select("src_id", "change", F.array_join("targets", ",").alias("targets")))
-query("gr_reachable", SQL + REACH + " SELECT root, node FROM far WHERE side = 'after'", "")(lambda spark, d: (lambda s: graph.reachable(graph.roots(s.after, s.edges_of("after")), s.edges_of("after")).select("root", "node"))(Snapshots(spark, d)))
-query("gr_shortest_path", SQL + REACH + " SELECT root, node, depth, CAST(depth + 1 AS INTEGER) AS path_nodes FROM far WHERE side = 'before'", "")(lambda spark, d: (lambda s: graph.reachable(graph.roots(s.before, s.edges_of("before")), s.edges_of("before")).select("root", "node", "depth", F.size("path").alias("path_nodes")))(Snapshots(spark, d)))
+def bundle_of(s: Snapshots) -> Bundle:
+    return Bundle.build({side: (getattr(s, side), s.edges_of(side)) for side in ("before", "after")})
+
+
+def reached(s: Snapshots, side: str) -> DataFrame:
+    b = Bundle.build({side: (getattr(s, side), s.edges_of(side))})
+    return b.named(b.reach(side, b.roots(side)))
+
+
+query("gr_reachable", SQL + REACH + " SELECT root, node FROM far WHERE side = 'after'", "")(lambda spark, d: reached(Snapshots(spark, d), "after").select("root", "node"))
+query("gr_shortest_path", SQL + REACH + " SELECT root, node, depth, CAST(depth + 1 AS INTEGER) AS path_nodes FROM far WHERE side = 'before'", "")(lambda spark, d: reached(Snapshots(spark, d), "before").select("root", "node", "depth", (F.col("depth") + 1).alias("path_nodes")))
 
 
 def transitive(s: Snapshots, side: str) -> DataFrame:
-    other = "before" if side == "after" else "after"
-    return graph.transitive_changes(getattr(s, side), s.edges_of(side), getattr(s, other), s.edges_of(other))
+    return bundle_of(s).transitive(side, "before" if side == "after" else "after", paths=False)
 
 
 def _transitive_sql(side: str) -> str:

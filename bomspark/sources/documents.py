@@ -2,8 +2,9 @@
 
 One row per document in, one row per component out, in one scan for all dialects: dialect by
 ordered detection, elements as JSON text, typed ``from_json`` per element, position kept as
-ordinal, identity computed from the row. ``raw`` is the element's own JSON text, empty for XML
-and SPDX. Elements that are no objects are skipped. Documents of no dialect and malformed ones
+ordinal, identity computed from the row. Fields are as they are written
+(``profile.normalize`` cleans them); ``ref`` is the name by which the document refers to a component. ``raw`` is the element's own
+JSON text, empty for XML and SPDX. Elements that are no objects are skipped. Documents of no dialect and malformed ones
 go to ``parse_warnings``.
 """
 
@@ -108,7 +109,7 @@ def _elements(kind: Column, text: Column) -> Column:
 
 
 def components(documents: DataFrame) -> DataFrame:
-    """sbom_id, ordinal, the fields and the raw JSON text of every component of every document."""
+    """sbom_id, ordinal, id, ref, the fields and the raw JSON text of every component of every document."""
     kind, raw = F.col("dialect"), F.col("raw")
     rows = detected(documents).select("sbom_id", "dialect", F.posexplode(_elements(kind, F.col("text"))).alias("ordinal", "raw")).where(raw.startswith("{"))
     rows = rows.where(F.when(kind == "syft", _syft_valid(raw)).otherwise(F.lit(True)))
@@ -117,7 +118,9 @@ def components(documents: DataFrame) -> DataFrame:
     cdx, spdx, syft = _cyclonedx(F.col("cyclonedx")), _spdx(F.col("spdx")), _syft(F.col("syft"))
     fields = [F.when(kind == "spdx", spdx[k]).when(kind == "syft", syft[k]).otherwise(cdx[k]).alias(k) for k in FIELDS]
     rows = rows.select("sbom_id", F.col("ordinal").cast("long").alias("ordinal"), *fields, "raw")
-    return rows.withColumn("id", fn.compute_id(*map(F.col, ("purl", "cpes", "bom_ref", "spdxid", "namespace", "name"))))
+    ref = F.coalesce(*[F.nullif(F.col(c), F.lit("")) for c in ("bom_ref", "spdxid", "syft_id")], F.lit(""))
+    rows = rows.withColumn("id", fn.compute_id(*map(F.col, ("purl", "cpes", "bom_ref", "spdxid", "namespace", "name"))))
+    return rows.withColumn("ref", ref)
 
 
 def parse_warnings(documents: DataFrame) -> DataFrame:

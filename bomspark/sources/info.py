@@ -10,7 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scalars as fn
-from ..operators.graph import resolve_refs
+from ..operators.graph import adjacency
+from ..operators.files import artifact_key
 from . import xml
 from .documents import components, detected
 
@@ -121,8 +122,7 @@ def declared(documents: DataFrame) -> DataFrame:
 
 def with_declared(comps: DataFrame, documents: DataFrame) -> DataFrame:
     """``comps`` with deps_declared; of components that share a reference the last is meant."""
-    ref = F.coalesce(*[F.nullif(c, F.lit("")) for c in (F.col("bom_ref"), F.col("spdxid"))])
-    meant = comps.select("sbom_id", ref.alias("ref"), "ordinal").where("ref IS NOT NULL").groupBy("sbom_id", "ref").agg(F.max("ordinal").alias("ordinal"))
+    meant = comps.where("ref <> ''").groupBy("sbom_id", "ref").agg(F.max("ordinal").alias("ordinal"))
     flags = meant.join(declared(documents), ["sbom_id", "ref"], "left_semi").select("sbom_id", "ordinal", F.lit(True).alias("deps_declared")).distinct()
     return comps.join(flags, ["sbom_id", "ordinal"], "left").withColumn("deps_declared", F.coalesce("deps_declared", F.lit(False))).select(*comps.columns, "deps_declared")
 
@@ -131,14 +131,16 @@ def syft_relations() -> Column:
     return F.from_json("text", "artifactRelationships array<struct<parent:string,child:string,type:string>>")["artifactRelationships"]
 
 
-def edges(documents: DataFrame) -> DataFrame:
-    """sbom_id, src_id, dst_id, adj_ordinal: dependencies between components of one document."""
-    key = lambda ref: F.concat_ws("\x01", "sbom_id", ref)
-    comps = components(documents)
-    ref = F.coalesce(*[F.nullif(c, F.lit("")) for c in (F.col("bom_ref"), F.col("spdxid"), F.col("syft_id"))])
-    nodes = comps.where(ref.isNotNull()).select(key(ref).alias("ref"), F.struct("sbom_id", "id").alias("id"), "ordinal")
-    found = resolve_refs(nodes, _refs(documents).select(key(F.col("src_ref")).alias("src_ref"), key(F.col("dst_ref")).alias("dst_ref"), "adj_ordinal"))
-    return found.select("src_id.sbom_id", F.col("src_id.id").alias("src_id"), F.col("dst_id.id").alias("dst_id"), "adj_ordinal")
+def edges(documents: DataFrame, comps: DataFrame | None = None) -> DataFrame:
+    """sbom_id, src_id, dst_id, adj_ordinal: dependencies between components of one document.
+
+    A reference means the last component that has it, and of components with one id the last alone
+    has dependencies. ``comps``: the components, where they are at hand."""
+    comps = components(documents) if comps is None else comps
+    meant = comps.where("ref <> ''").groupBy("sbom_id", "ref").agg(F.max(F.struct("ordinal", "id")).alias("c"))
+    end = lambda side: meant.select("sbom_id", F.col("ref").alias(f"{side}_ref"), F.col("c.id").alias(f"{side}_id"), F.col("c.ordinal").alias(f"{side}_ordinal"))
+    found = _refs(documents).join(end("src"), ["sbom_id", "src_ref"]).join(end("dst").drop("dst_ordinal"), ["sbom_id", "dst_ref"])
+    return adjacency(comps, found, "sbom_id").select("sbom_id", "src_id", "dst_id", "adj_ordinal")
 
 
 def relationship_counts(documents: DataFrame) -> DataFrame:
@@ -148,8 +150,31 @@ def relationship_counts(documents: DataFrame) -> DataFrame:
 
 
 def files(documents: DataFrame) -> DataFrame:
-    """sbom_id, path, layer, size, file_type, mime, digests (algorithm, value; those with a value)
-    of the file lists of Syft documents."""
-    listed = F.from_json("text", "files array<struct<location:struct<path:string,layerID:string>,metadata:struct<type:string,mimeType:string,size:bigint>,digests:array<struct<algorithm:string,value:string>>>>")["files"]
-    rows = detected(documents).where("dialect = 'syft'").select("sbom_id", F.explode(listed).alias("f")).where("f.location.path <> ''")
-    return rows.select("sbom_id", F.col("f.location.path").alias("path"), fn.text(F.col("f.location.layerID")).alias("layer"), F.coalesce("f.metadata.size", F.lit(0)).alias("size"), fn.text(F.col("f.metadata.type")).alias("file_type"), fn.text(F.col("f.metadata.mimeType")).alias("mime"), F.coalesce(F.filter("f.digests", lambda x: fn.text(x["value"]) != ""), F.array()).alias("digests"))
+    """sbom_id, file_id, path, layer, size, file_type, mime, mode, user_id, group_id, digests (algorithm,
+    value; those with a value) of the file lists of Syft documents; list_ordinal is the place in the list."""
+    listed = F.from_json("text", "files array<struct<id:string,location:struct<path:string,layerID:string>,metadata:struct<mode:bigint,type:string,mimeType:string,userID:bigint,groupID:bigint,size:bigint>,digests:array<struct<algorithm:string,value:string>>>>")["files"]
+    rows = detected(documents).where("dialect = 'syft'").select("sbom_id", F.posexplode(listed).alias("list_ordinal", "f")).where("f.location.path <> ''")
+    m = F.col("f.metadata")
+    number = lambda k: F.coalesce(m[k], F.lit(0)).alias({"userID": "user_id", "groupID": "group_id"}.get(k, k))
+    return rows.select(
+        "sbom_id", "list_ordinal", fn.text(F.col("f.id")).alias("file_id"), F.col("f.location.path").alias("path"), fn.text(F.col("f.location.layerID")).alias("layer"), number("size"), fn.text(m["type"]).alias("file_type"), fn.text(m["mimeType"]).alias("mime"), number("mode"), number("userID"), number("groupID"),
+        F.coalesce(F.filter("f.digests", lambda x: fn.text(x["value"]) != ""), F.array()).alias("digests"),
+    )
+
+
+def relations(documents: DataFrame, comps: DataFrame, listed: DataFrame) -> DataFrame:
+    """sbom_id, ordinal, path, relation: which component contains, or is evident by, which file.
+
+    Syft documents relate ids of artifacts to ids of files in one list with all other relations. An
+    artifact stands for the first component with its purl, else its name and version; of artifacts, or
+    of listed files (``files``), with one id the last counts. Relations with unknown ends go."""
+    syft = detected(documents).where("dialect = 'syft'")
+    related = syft.select("sbom_id", F.explode(syft_relations()).alias("r")).where(F.col("r.type").isin("contains", "evident-by"))
+    related = related.select("sbom_id", F.col("r.parent").alias("artifact"), F.col("r.child").alias("file_id"), F.col("r.type").alias("relation")).distinct()
+    artifacts = syft.select("sbom_id", F.posexplode(F.from_json("text", "artifacts array<struct<id:string,name:string,version:string,purl:string>>")["artifacts"]).alias("at", "a"))
+    key = lambda at: artifact_key(*(F.col(f"{at}{c}") for c in ("name", "version", "purl"))).alias("key")
+    artifacts = artifacts.where("a.id <> ''").select("sbom_id", F.col("a.id").alias("artifact"), "at", key("a."))
+    first = comps.groupBy("sbom_id", key("")).agg(F.min("ordinal").alias("ordinal"))
+    known = artifacts.join(first, ["sbom_id", "key"]).groupBy("sbom_id", "artifact").agg(F.max_by("ordinal", "at").alias("ordinal"))
+    place = listed.groupBy("sbom_id", "file_id").agg(F.max_by("path", "list_ordinal").alias("path"))
+    return related.join(known, ["sbom_id", "artifact"]).join(place, ["sbom_id", "file_id"]).select("sbom_id", "ordinal", "path", "relation").distinct()
