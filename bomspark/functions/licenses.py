@@ -1,13 +1,15 @@
 """Validity of licence expressions, as JVM-side column expressions.
 
-The known ids are a parameter; the default covers the families below and common single ids.
+Known ids and exceptions are parameters. By default they are the whole public list as the ``packaging``
+library carries it; without it, pass a list, or the families below (``known_ids``), on purpose.
 """
 
 from __future__ import annotations
 
 from collections.abc import Collection
+from functools import cache
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Public licence identifiers, by family and version.
@@ -39,12 +41,23 @@ def known_ids() -> list[str]:
     return [*gnu, *cc, *(f"{name}-{v}" for name, versions in VERSIONED.items() for v in versions), *SINGLE]
 
 
-def valid_expression(c: Column, ids: Collection[str] | None = None, exceptions: Collection[str] = EXCEPTIONS) -> Column:
+@cache
+def public_list() -> tuple[tuple[str, ...], tuple[str, ...]]:
+    """All public licence ids and exceptions; an error where the list isn't installed."""
+    try:
+        from packaging.licenses import _spdx
+    except ImportError as error:
+        raise RuntimeError("no public licence list: install packaging 24.2 or later, or pass ids and exceptions") from error
+    return tuple(x["id"] for x in _spdx.LICENSES.values()), tuple(x["id"] for x in _spdx.EXCEPTIONS.values())
+
+
+def valid_expression(c: Column, ids: Collection[str] | None = None, exceptions: Collection[str] | None = None) -> Column:
     """Known ids (any case, a final + allowed) or LicenseRefs, with exceptions, joined by AND and OR, in balanced brackets.
 
     Each word becomes one letter; brackets around a joined list are then replaced by one licence,
     as often as there are brackets, until nothing but a joined list may be left."""
-    ids = known_ids() if ids is None else ids
+    ids = public_list()[0] if ids is None else ids
+    exceptions = public_list()[1] if exceptions is None else exceptions
     words = F.filter(F.split(F.regexp_replace(c, r"([()])", " $1 "), r"\s+"), lambda w: w != "")
     known = lambda w: F.lower(F.regexp_replace(w, r"\+$", "")).isin(*[i.lower() for i in ids]) | F.regexp_like(w, F.lit(r"^(?:DocumentRef-[A-Za-z0-9.\-]+:)?LicenseRef-[A-Za-z0-9.\-]+$"))
     letter = lambda w: F.when(w.isin("(", ")"), w).when(w.isin("AND", "OR"), "A").when(w == "WITH", "W").when(known(w), "L").when(F.lower(w).isin(*[e.lower() for e in exceptions]), "E").otherwise("?")
@@ -57,3 +70,15 @@ def valid_expression(c: Column, ids: Collection[str] | None = None, exceptions:
 def valid_spdx(licenses: Column, ids: Collection[str] | None = None) -> Column:
     """At least one licence, and each a valid expression."""
     return (F.size(licenses) > 0) & F.forall(licenses, lambda x: valid_expression(x, ids))
+
+
+def dictionary(comps: DataFrame, *by: str, ids: Collection[str] | None = None) -> DataFrame:
+    """license, count, valid: every different licence text with its number of uses, validated once."""
+    texts = comps.select(*by, F.explode("licenses").alias("license")).groupBy(*by, "license").agg(F.count("*").alias("count"))
+    return texts.withColumn("valid", valid_expression(F.col("license"), ids))
+
+
+def valid_components(comps: DataFrame, *by: str, ids: Collection[str] | None = None) -> DataFrame:
+    """spdx: how many components have licences that are all valid; each different list is validated once."""
+    lists = comps.groupBy(*by, "licenses").agg(F.count("*").alias("n")).where(valid_spdx(F.col("licenses"), ids))
+    return lists.groupBy(*by).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("spdx"))

@@ -261,15 +261,40 @@ def fmt_count(n: Column) -> Column:
     return F.format_number(n, 0)
 
 
+def fixed(x: Column) -> Column:
+    """A double with one decimal place, rounded half to even on its exact binary value.
+
+    The fraction, times 2**59, is a whole number (but for bits far below a tenth); ten times that is
+    tenths above the 59th bit and what is cut off below it, which integers compare with a half. Whole
+    parts of 2**53 and more are split in two, so that they are exact up to 2**116."""
+    size, one = F.abs(x), 1 << 59
+    big = size >= F.lit(float(1 << 53))
+    low = F.when(big, 0.0).otherwise(size)
+    part = F.floor((low - F.floor(low).cast("double")) * F.lit(float(one))) * 10
+    tenths, rest = F.shiftright(part, 59), part.bitwiseAND(F.lit(one - 1))
+    up = (rest > one >> 1) | ((rest == one >> 1) & (tenths % 2 == 1))
+    tenths = tenths + F.when(up, 1).otherwise(0)
+    high = F.floor(F.when(big, size).otherwise(0.0) / F.lit(float(1 << 53)))
+    split = high.cast("decimal(20,0)") * F.lit(1 << 53).cast("decimal(16,0)") + F.floor(size - high.cast("double") * F.lit(float(1 << 53))).cast("decimal(20,0)")
+    whole = F.when(big, split.cast("string")).otherwise((F.floor(low) + F.when(tenths == 10, 1).otherwise(0)).cast("string"))
+    text = F.concat(F.when(x < 0, "-").otherwise(""), whole, F.lit("."), (tenths % 10).cast("string"))
+    return F.when(F.isnan(x), "NaN").when(x == float("inf"), "+Inf").when(x == float("-inf"), "-Inf").when(x.isNotNull(), text)
+
+
+def percent_of(count: Column, total: Column) -> Column:
+    """count of total in percent with one decimal place: the quotient of doubles times 100, as the messages have it."""
+    return fixed(F.try_divide(count.cast("double"), total.cast("double")) * 100.0)
+
+
 def percent_text(count: Column, total: Column) -> Column:
-    """``count`` of ``total`` with one decimal, ``0.0%`` of nothing."""
-    return F.when(total == 0, "0.0%").otherwise(F.format_string("%.1f%%", F.bround(F.try_divide(count * 100.0, total), 1)))
+    """``percent_of`` with its sign, 0.0% of nothing."""
+    return F.when(total == 0, "0.0%").otherwise(F.concat(percent_of(count, total), F.lit("%")))
 
 
 def file_size(n: Column) -> Column:
-    """Bytes in steps of 1024: whole up to MB, one decimal from GB on."""
-    whole = lambda step, unit: F.format_string(f"%d {unit}", F.rint(n / step).cast("bigint"))
-    return F.when(n >= 1 << 30, F.format_string("%.1f GB", F.bround(n / (1 << 30), 1))).when(n >= 1 << 20, whole(1 << 20, "MB")).when(n >= 1 << 10, whole(1 << 10, "KB")).otherwise(F.format_string("%d B", n.cast("bigint")))
+    """GB with one digit, MB and KB whole, else bytes; steps of 1,024, rounded half to even."""
+    whole = lambda unit, name: F.format_string(f"%.0f {name}", F.bround(n / unit, 0))
+    return F.when(n >= 1 << 30, F.concat(fixed(n.cast("double") / float(1 << 30)), F.lit(" GB"))).when(n >= 1 << 20, whole(1 << 20, "MB")).when(n >= 1 << 10, whole(1 << 10, "KB")).otherwise(F.format_string("%d B", n.cast("bigint")))
 
 
 def or_none(c: Column) -> Column:

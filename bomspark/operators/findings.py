@@ -1,7 +1,7 @@
 """Key findings as rows of (finding_ordinal, message).
 
 Document facts (``info``) are one small mapping per document; everything counted stays a frame.
-Percentages are rounded half to even on their decimal form.
+Percentages are quotients of doubles times 100, rounded half to even on their exact binary value.
 
 The wording of the messages consists of fixed values.
 """
@@ -26,7 +26,7 @@ def _finding(df: DataFrame, ordinal: int, message: Column) -> DataFrame:
 
 
 def percent(part: Column, whole: Column) -> Column:
-    return F.format_string("%.1f", F.bround(part * 100 / whole, 1))
+    return fn.percent_of(part, whole)
 
 
 def os_name(info: dict) -> str:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as fn
-from ..functions.licenses import valid_spdx
+from ..functions.licenses import valid_components
 
 
 def packages(comps: DataFrame) -> DataFrame:
@@ -88,9 +88,9 @@ def compliance_counts(comps: DataFrame, edges: DataFrame) -> DataFrame:
     covered = graph_coverage(pk.select("id", *[c for c in ("deps_declared",) if c in pk.columns]), edges).agg(F.count("*").alias("deps"))
     counts = pk.agg(
         F.count("*").alias("total"), *[F.count_if(F.col(c) != "").alias(c) for c in ("name", "version", "supplier")], F.count_if(fn.has_lookup_id(F.col("purl"), F.col("cpes"))).alias("uid"), F.count_if(F.size("licenses") > 0).alias("license"), F.count_if(F.size("hashes") > 0).alias("hash"),
-        F.count_if(fn.has_contact(F.col("supplier"))).alias("contact"), F.count_if(F.map_contains_key("hashes", F.lit("SHA-512")) | F.map_contains_key("hashes", F.lit("SHA512"))).alias("sha512"), F.count_if(valid_spdx(F.col("licenses"))).alias("spdx"),
+        F.count_if(fn.has_contact(F.col("supplier"))).alias("contact"), F.count_if(F.map_contains_key("hashes", F.lit("SHA-512")) | F.map_contains_key("hashes", F.lit("SHA512"))).alias("sha512"),
     )
-    return counts.crossJoin(covered)  # one row each
+    return counts.crossJoin(covered).crossJoin(valid_components(pk))  # one row each
 
 
 def _made(info: dict, standard: str) -> list[Column]:

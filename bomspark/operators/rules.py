@@ -77,15 +77,22 @@ def evaluate_scores(policy: Policy, scores: DataFrame) -> DataFrame:
     return _all(_score_rows(policy, scores), scores)
 
 
+# The frameworks' names in messages. The wording of all messages here is fixed too.
+FRAMEWORKS = {"ntia": "NTIA", "cisa": "CISA", "bsi": "BSI TR-03183"}
+
+
 def _score_rows(policy: Policy, scores: DataFrame) -> list[DataFrame]:
+    """From standard, passed, total, score; a framework without a row wasn't evaluated and counts as 0."""
     out: list[DataFrame] = []
     for i, (name, least) in enumerate((("ntia", policy.min_ntia_score), ("cisa", policy.min_cisa_score), ("bsi", policy.min_bsi_score)), 11):
         if least > 0:
-            got = scores.where(F.col("standard") == name).agg(F.coalesce(F.max("score"), F.lit(0)).alias("score"))  # absent counts as 0
-            out.append(_row(got.where(F.col("score") < least), i, f"min_{name}_score", F.format_string(f"{name} score %d < min {least}", F.col("score").cast("long"))))
+            got = scores.where(F.col("standard") == name).agg(*[F.max(c).cast("long").alias(c) for c in ("score", "passed", "total")])
+            text = F.format_string(f"{FRAMEWORKS[name]} compliance score %d < minimum {least} (%d/%d checks passed)", "score", "passed", "total")
+            text = F.when(F.col("score").isNull(), f"{FRAMEWORKS[name]} compliance not evaluated (score 0) < minimum {least}").otherwise(text)
+            out.append(_row(got.where(F.coalesce("score", F.lit(0)) < least), i, f"min_{name}_score", text))
     if policy.min_overall_compliance > 0:
         got = scores.agg(F.floor(F.coalesce(F.avg("score"), F.lit(0.0))).alias("score"))
-        out.append(_row(got.where(F.col("score") < policy.min_overall_compliance), 14, "min_overall_compliance", F.format_string(f"overall score %d < min {policy.min_overall_compliance}", F.col("score").cast("long"))))
+        out.append(_row(got.where(F.col("score") < policy.min_overall_compliance), 14, "min_overall_compliance", F.format_string(f"overall compliance score %d < minimum {policy.min_overall_compliance}", F.col("score").cast("long"))))
     return out
 
 

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .functions import licenses
 from .functions import scalars as fn
 from .functions.licenses import valid_expression, valid_spdx
 from .operators import diff as df_
@@ -214,11 +215,18 @@ snap("cmp_overall", _scores)(lambda s: profile.framework_scores(s.after, s.edges
 VIOLATION = "SELECT '{rule}' AS rule, {message} AS message, '{severity}' AS severity FROM {rows}"
 
 
+def brief(rule, message):
+    """The short form of a message on a score."""
+    name = F.regexp_extract(rule, "^min_([a-z]+)_", 1)
+    return F.regexp_replace(F.concat(name, F.regexp_replace(message, "^.*? compliance", "")), r"minimum (\d+).*$", "min $1")
+
+
 def policy(key: str, knobs: dict, rule: str, message: str, rows: str, severity: str = "error", graph_needed: bool = False, scores: bool = False) -> None:
     def run(s: Snapshots) -> DataFrame:
         new = settle(transitive(s, "after"), "transitive") if graph_needed else None
         found = profile.framework_scores(s.after, s.edges_of("after"), INFO["after"]) if scores else None
-        return rules.evaluate(rules.Policy(**knobs), s.diff, s.after, new, found).select("rule", "message", "severity")
+        broken = rules.evaluate(rules.Policy(**knobs), s.diff, s.after, new, found).select("rule", "message", "severity")
+        return broken.withColumn("message", brief(C("rule"), C("message"))) if scores else broken
 
     sql = VIOLATION.format(rule=rule, message=message, severity=severity, rows=rows)
     query(key, sql, "" if graph_needed else SQL)(lambda spark, d: run(Snapshots(spark, d)))
@@ -409,3 +417,29 @@ query("pol_deny_duplicates_repeated", "SELECT 'deny_duplicates' AS rule, count(*
 snap("prj_compliance_details", "SELECT * FROM (SELECT 'cisa-license' AS check, n = t AS passed, CASE WHEN n = t THEN 'All ' || t || ' components' ELSE n || '/' || t || ' components' END AS detail FROM (SELECT count(*) AS t, count(*) FILTER (lic <> '') AS n FROM a) UNION ALL SELECT 'cisa-version', true, 'All ' || (SELECT count(*) FROM a) || ' components' UNION ALL SELECT 'cisa-tool', true, 'present' UNION ALL SELECT 'cisa-author', false, 'missing')")(
     lambda s: profile.compliance(s.after, s.edges_of("after"), INFO["after"]).where(C("check").isin("cisa-license", "cisa-version", "cisa-tool", "cisa-author")).select("check", "passed", "detail")
 )
+
+
+# Messages on scores in full, exact rounding, the whole licence list.
+LABELS = {"ntia": "NTIA", "cisa": "CISA", "bsi": "BSI TR-03183"}
+
+
+def scored(key: str, knobs: dict, rule: str, sql: str, empty: bool = False) -> None:
+    def run(s: Snapshots) -> DataFrame:
+        rows = s.after.where("false") if empty else s.after
+        found = profile.framework_scores(rows, s.edges_of("after"), INFO["after"])
+        return rules.evaluate_scores(rules.Policy(**knobs), found).select("rule", "message", "severity")
+
+    query(key, f"SELECT '{rule}' AS rule, {sql}")(lambda spark, d: run(Snapshots(spark, d)))
+
+
+for _n, _label in LABELS.items():
+    scored(f"pol_score_{_n}", {f"min_{_n}_score": 100}, f"min_{_n}_score", f"'{_label} compliance score ' || score || ' < minimum 100 (' || passed || '/' || total || ' checks passed)' AS message, 'error' AS severity FROM ({_scores}) WHERE standard = '{_n}' AND score < 100")
+    scored(f"pol_unscored_{_n}", {f"min_{_n}_score": 60}, f"min_{_n}_score", f"'{_label} compliance not evaluated (score 0) < minimum 60' AS message, 'error' AS severity FROM (SELECT count(*) AS n FROM a WHERE false) WHERE n = 0", empty=True)
+scored("pol_score_overall", {"min_overall_compliance": 100}, "min_overall_compliance", f"'overall compliance score ' || CAST(floor(avg(score)) AS BIGINT) || ' < minimum 100' AS message, 'error' AS severity FROM ({_scores}) HAVING avg(score) < 100")
+query("fn_percent_exact", "SELECT l_orderkey, l_linenumber, CASE WHEN l_suppkey = 0 THEN '0.0%' ELSE printf('%.1f%%', CAST(l_partkey % 2000 AS DOUBLE) / CAST(l_suppkey * 80 AS DOUBLE) * 100) END AS out FROM lineitem", "")(
+    lambda spark, d: read(spark, d, "lineitem").select("l_orderkey", "l_linenumber", fn.percent_text(C("l_partkey") % 2000, C("l_suppkey") * 80).alias("out"))
+)
+LISTED = "CASE ordinal % 6 WHEN 0 THEN 'Elastic-2.0' WHEN 1 THEN 'cc-pddc' WHEN 2 THEN 'PolyForm-Noncommercial-1.0.0 OR MIT' WHEN 3 THEN 'GPL-2.0-only WITH Autoconf-exception-macro' WHEN 4 THEN 'Elastic-9.9' ELSE coalesce(nullif(lic, ''), 'free text') END"
+_listed = lambda s: s.all.withColumn("licenses", F.array(F.when(C("ordinal") % 6 == 0, "Elastic-2.0").when(C("ordinal") % 6 == 1, "cc-pddc").when(C("ordinal") % 6 == 2, "PolyForm-Noncommercial-1.0.0 OR MIT").when(C("ordinal") % 6 == 3, "GPL-2.0-only WITH Autoconf-exception-macro").when(C("ordinal") % 6 == 4, "Elastic-9.9").otherwise(F.coalesce(F.get("licenses", F.lit(0)), F.lit("free text")))))
+snap("agg_license_dictionary", f"SELECT license, count(*) AS count, license NOT IN ('Elastic-9.9', 'free text') AS valid FROM (SELECT {LISTED} AS license FROM comp) GROUP BY 1")(lambda s: licenses.dictionary(_listed(s)))
+snap("cmp_valid_licenses", f"SELECT side, CAST(count(*) AS BIGINT) AS spdx FROM (SELECT side, {LISTED} AS license FROM comp) WHERE license NOT IN ('Elastic-9.9', 'free text') GROUP BY side")(lambda s: licenses.valid_components(_listed(s), "side"))
