@@ -18,12 +18,14 @@ from .tables import settle
 
 @dataclass(frozen=True)
 class Document:
-    """One inventory document: its components, edges, facts, parse warnings, listed files and their relations."""
+    """One inventory document: its components, edges (the graph of ids), facts, parse warnings,
+    dependencies of every component, listed files and their relations."""
 
     components: DataFrame
     edges: DataFrame
     facts: dict
     warnings: list[str]
+    dependencies: DataFrame | None = None
     files: DataFrame | None = None
     relations: DataFrame | None = None
 
@@ -41,7 +43,8 @@ def load(spark: SparkSession, path: str, strict: bool = False) -> Document:
     known = facts.asDict() | {"relationship_counts": {r["key"]: r["count"] for r in info.relationship_counts(raw).toLocalIterator()}} if facts else {}
     listed = settle(info.files(raw), "files")
     related = settle(info.relations(raw, comps, listed), "relations")
-    return Document(comps, settle(info.edges(raw, comps), "edges"), known, warnings, listed, related)
+    depends = settle(info.dependencies(raw, comps), "dependencies")
+    return Document(comps, settle(graph.adjacency(comps, depends, "sbom_id").drop("src_ordinal"), "edges"), known, warnings, depends, listed, related)
 
 
 def compare(before: Document, after: Document, policy: rules.Policy | None = None) -> Report:

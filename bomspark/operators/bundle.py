@@ -16,6 +16,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import scalars as fn
 from ..tables import numbered, settle, shared_folder
 
 PIECE = 4096
@@ -129,6 +130,34 @@ class Bundle:
             new = self.with_paths(here, settle(new, "transitive"), reached)
         return self.named(new).withColumnRenamed("node", "target").select("root", "target", "depth", *(["path"] if paths else []))
 
+    def tree(self, side: str, comps: DataFrame) -> DataFrame:
+        """root_at, page, total_children, tree: two levels below every root that is a component, as nested structs of id,
+        name, version, type, has_children, children_ids and children (none at the last level).
+
+        Built from the bottom: a node's own struct, then lists of its children's structs in adjacency
+        order, then of those. Dependencies without a component are in children_ids alone. A hub comes in
+        pages of at most ``PIECE`` children, each a row of its own."""
+        last = comps.groupBy("id").agg(F.max_by(F.struct("name", "version", fn.pkg_type(F.col("purl")).alias("type")), "ordinal").alias("c"))
+        lists = self.lists.where(F.col("side") == side)
+        ids = self.named(lists.select("node", "piece", F.posexplode("targets").alias("at", "dst")), "dst")
+        ids = ids.groupBy("node", "piece").agg(F.array_sort(F.collect_list(F.struct("at", "dst"))).alias("t")).select("node", "piece", F.col("t.dst").alias("ids"))
+        all_ids = ids.groupBy("node").agg(F.array_sort(F.collect_list(F.struct("piece", "ids"))).alias("p")).select("node", F.flatten("p.ids").alias("children_ids"))
+        listed = F.coalesce("children_ids", F.array().cast("array<string>"))
+        own = settle(self.nodes.join(last, "id").join(all_ids, "node", "left").select("node", F.struct("id", "c.*", (F.size(listed) > 0).alias("has_children"), listed.alias("children_ids")).alias("own")), "tree")
+        steps = settle(self.edges(side).join(own.select(F.col("node").alias("dst"), "own"), "dst").select("src", "dst", "piece", "at", "own"), "tree")
+
+        def gathered(rows: DataFrame, *by: str) -> DataFrame:
+            return rows.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("order", "child"))).alias("k")).select(*by, F.col("k.child").alias("children"))
+
+        place = F.struct("piece", "at").alias("order")
+        leaves = gathered(steps.select(F.col("src").alias("dst"), place, F.col("own").alias("child")), "dst")
+        none = F.array().cast(leaves.schema["children"].dataType)
+        middle = steps.join(leaves, "dst", "left").select("src", "piece", place, F.struct("own.*", F.coalesce("children", none).alias("children")).alias("child"))
+        pages = gathered(middle, "src", "piece")
+        roots = self.roots(side).join(own, "node").join(pages.withColumnRenamed("src", "node"), "node", "left")
+        none = F.array().cast(pages.schema["children"].dataType)
+        return roots.select(F.col("node").alias("root_at"), F.coalesce("piece", F.lit(0).cast("long")).alias("page"), F.size("own.children_ids").alias("total_children"), F.struct("own.*", F.coalesce("children", none).alias("children")).alias("tree"))
+
     def edge_diff(self, here: str, there: str) -> DataFrame:
         """src_id, targets: dependencies that a node has on ``here`` alone, sorted, repeated ones kept."""
         other = self.edges(there).select("src", "dst").distinct()

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scalars as fn
+from ..tables import numbered
 from .profile import top
 
 # Fixed order: of several relations of one component and file the first counts.
@@ -70,3 +71,29 @@ def statistics(files: DataFrame, comps: DataFrame, relations: DataFrame, most: i
     for metric, column in (("mime", F.col("mime")), ("extension", fn.extension(F.col("path")))):
         out = out.unionByName(one(top(by(column), most), metric, F.col("key"), F.col("count")))
     return out
+
+
+def directory_index(files: DataFrame) -> DataFrame:
+    """folder, name, path, is_dir, children, position: the entries of every folder, the root included.
+
+    Every file gives one entry in its folder and one for each folder above it, which are combined
+    before they are shuffled. Directories come first, then names; position counts from 0 within a
+    folder. A name that is both a file and a folder is a folder. ``children`` counts the entries of a
+    directory, and is 0 for a file. The positions come from one sort of all entries, so no task holds a folder."""
+    steps = F.split("path", "/")
+    prefix = lambda k: F.array_join(F.slice(steps, 1, k), "/")
+    above = F.filter(F.transform(F.sequence(F.lit(0), F.size(steps) - 1), prefix), lambda d: d != "")
+    entries = files.where(fn.text(F.col("path")) != "").select(F.explode(F.array_union(above, F.array("path"))).alias("entry"), "path")
+    entries = entries.groupBy("entry").agg((F.count_if(F.col("entry") != F.col("path")) > 0).alias("is_dir"))
+    folder = F.regexp_replace("entry", "/[^/]*$", "")
+    top = ~F.contains(F.col("entry"), F.lit("/")) | (folder == "")
+    entries = entries.select(F.when(top, "/").otherwise(folder).alias("folder"), F.substring_index("entry", "/", -1).alias("name"), F.col("entry").alias("path"), "is_dir").where("name <> ''")
+    placed = numbered(entries, "at", "folder", F.desc("is_dir"), "name", "path")
+    folders = placed.groupBy("folder").agg(F.min("at").alias("first"), F.count("*").alias("n"))
+    placed = placed.join(folders.select("folder", "first"), "folder").join(folders.select(F.col("folder").alias("path"), F.col("n").alias("children")), "path", "left")
+    return placed.select("folder", "name", "path", "is_dir", F.when(F.col("is_dir"), F.coalesce("children", F.lit(0))).otherwise(0).alias("children"), (F.col("at") - F.col("first")).alias("position"))
+
+
+def directory_page(index: DataFrame, folder: str = "/", offset: int = 0, limit: int = 100) -> DataFrame:
+    """The entries of one folder from ``offset`` on, by their positions."""
+    return index.where((F.col("folder") == folder) & F.col("position").between(offset, offset + limit - 1))

@@ -66,8 +66,9 @@ def graph_coverage(comps: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def dependency_counts(edges: DataFrame, *by: str) -> DataFrame:
-    """with_dependencies, total_dependencies: components that have dependencies, and all of these."""
-    return edges.groupBy(*by).agg(F.count_distinct("src_id").alias("with_dependencies"), F.count("*").alias("total_dependencies"))
+    """with_dependencies, total_dependencies: components that have dependencies (rows, where ``edges`` tells
+    those of one id apart by src_ordinal), and all of these."""
+    return edges.groupBy(*by).agg(F.count_distinct("src_ordinal" if "src_ordinal" in edges.columns else "src_id").alias("with_dependencies"), F.count("*").alias("total_dependencies"))
 
 
 def bars(counts: DataFrame, n: int) -> DataFrame:

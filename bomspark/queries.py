@@ -11,10 +11,12 @@ from .functions import licenses
 from .functions import scalars as fn
 from .functions.licenses import valid_expression, valid_spdx
 from .operators import diff as df_
-from .operators import explore, files, findings, graph, headlines, profile, rules
+from .operators import explore, files, findings, graph, headlines, listing, profile, rules
 from .operators.bundle import Bundle
+from .operators.search_index import SearchIndex
 from .plans.adaptor import FILES, INFO, REACH, SQL, components, edges
 from .plans.adaptor import files as file_tables
+from .sinks import lines
 from .tables import read, settle
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -443,3 +445,34 @@ LISTED = "CASE ordinal % 6 WHEN 0 THEN 'Elastic-2.0' WHEN 1 THEN 'cc-pddc' WHEN
 _listed = lambda s: s.all.withColumn("licenses", F.array(F.when(C("ordinal") % 6 == 0, "Elastic-2.0").when(C("ordinal") % 6 == 1, "cc-pddc").when(C("ordinal") % 6 == 2, "PolyForm-Noncommercial-1.0.0 OR MIT").when(C("ordinal") % 6 == 3, "GPL-2.0-only WITH Autoconf-exception-macro").when(C("ordinal") % 6 == 4, "Elastic-9.9").otherwise(F.coalesce(F.get("licenses", F.lit(0)), F.lit("free text")))))
 snap("agg_license_dictionary", f"SELECT license, count(*) AS count, license NOT IN ('Elastic-9.9', 'free text') AS valid FROM (SELECT {LISTED} AS license FROM comp) GROUP BY 1")(lambda s: licenses.dictionary(_listed(s)))
 snap("cmp_valid_licenses", f"SELECT side, CAST(count(*) AS BIGINT) AS spdx FROM (SELECT side, {LISTED} AS license FROM comp) WHERE license NOT IN ('Elastic-9.9', 'free text') GROUP BY side")(lambda s: licenses.valid_components(_listed(s), "side"))
+
+# Folders, stored indexes, nested trees, the list filter, bundles and bounded texts.
+PATHS = """WITH RECURSIVE f AS (SELECT DISTINCT split_part(split_part(split_part(url, '://', 2), '?', 1), '#', 1) AS path FROM pages),
+x AS (SELECT path, array_to_string(s[1:k], '/') AS entry FROM (SELECT path, s, unnest(range(1, len(s) + 1)) AS k FROM (SELECT path, string_split(path, '/') AS s FROM f WHERE path <> ''))),
+d AS (SELECT entry AS path, bool_or(entry <> path) AS is_dir, regexp_extract(entry, '[^/]*$') AS name, CASE WHEN contains(entry, '/') THEN regexp_replace(entry, '/[^/]*$', '') ELSE '/' END AS folder FROM x WHERE entry <> '' GROUP BY entry),
+k AS (SELECT folder, count(*) AS n FROM d WHERE name <> '' GROUP BY 1)"""
+_page_files = lambda spark, d: read(spark, d, "pages").select(F.substring_index(F.substring_index(F.regexp_replace("url", "^[^:]*://", ""), "?", 1), "#", 1).alias("path"))
+query("page_directory_index", "SELECT d.folder, name, path, is_dir, CASE WHEN is_dir THEN coalesce(k.n, 0) ELSE 0 END AS children, row_number() OVER (PARTITION BY d.folder ORDER BY is_dir DESC, name, path) - 1 AS position FROM d LEFT JOIN k ON k.folder = d.path WHERE name <> ''", PATHS)(lambda spark, d: files.directory_index(_page_files(spark, d)))
+query("page_directory_root", "SELECT name, is_dir, k.n AS children FROM d JOIN k ON k.folder = d.path WHERE d.folder = '/' AND is_dir ORDER BY name LIMIT 20 OFFSET 10", PATHS)(lambda spark, d: files.directory_page(files.directory_index(_page_files(spark, d)), "/", 10, 20).select("name", "is_dir", "children"))
+TEXT = "lower(name || ' ' || version || ' ' || purl || ' ' || id || ' ' || supplier || '  ' || lic)"
+for _name, _query in (("flt_search_index", "gpl-3.0"), ("flt_search_gram", "77"), ("flt_search_letter", "z")):
+    snap(_name, f"SELECT ordinal FROM a WHERE contains({TEXT}, '{_query}')")(lambda s, q=_query: SearchIndex.build(s.after).search(s.after.sparkSession, q).select("ordinal"))
+snap("flt_lookup_index", "SELECT id, name, version FROM b WHERE id = (SELECT id FROM b WHERE ordinal = 12)")(lambda s: SearchIndex.build(s.before).lookup(s.before.sparkSession, s.before.where("ordinal = 12").first()["id"]).select("id", "name", "version"))
+snap("page_index", "SELECT ordinal, id FROM b ORDER BY ordinal LIMIT 20 OFFSET 40")(lambda s: SearchIndex.build(s.before).page(s.before.sparkSession, 40, 20).select("ordinal", "id"))
+NESTED = """, g AS (SELECT src_id, string_agg(dst_id, ',' ORDER BY nr) AS t, count(*) AS n FROM (SELECT e.src_id, e.dst_id, c.ordinal - 3 * p.ordinal AS nr FROM edge e JOIN a p ON p.id = e.src_id JOIN a c ON c.id = e.dst_id WHERE e.side = 'after') GROUP BY 1),
+m AS (SELECT e.src_id, string_agg(e.dst_id || '(' || coalesce(g.t, '') || ')', ';' ORDER BY c.ordinal - 3 * p.ordinal) AS t FROM edge e JOIN a p ON p.id = e.src_id JOIN a c ON c.id = e.dst_id LEFT JOIN g ON g.src_id = e.dst_id WHERE e.side = 'after' GROUP BY 1)"""
+# the fourth dependency, k + 5, of a snapshot's every 50th component comes last whatever its distance
+NESTED = NESTED.replace("c.ordinal - 3 * p.ordinal AS nr", "CASE WHEN c.ordinal - 3 * p.ordinal BETWEEN 1 AND 3 THEN c.ordinal - 3 * p.ordinal ELSE 4 END AS nr").replace("ORDER BY c.ordinal - 3 * p.ordinal)", "ORDER BY CASE WHEN c.ordinal - 3 * p.ordinal BETWEEN 1 AND 3 THEN c.ordinal - 3 * p.ordinal ELSE 4 END)")
+query("gr_tree_nested", SQL + NESTED + " SELECT r.id AS root, coalesce(g.n, 0) AS children, g.n IS NOT NULL AS has_children, coalesce(m.t, '') AS tree FROM roots r LEFT JOIN g ON g.src_id = r.id LEFT JOIN m ON m.src_id = r.id WHERE r.side = 'after'", "")(
+    lambda spark, d: (lambda s: Bundle.build({"after": (s.after, s.edges_of("after"))}).tree("after", s.after))(Snapshots(spark, d)).select(
+        C("tree.id").alias("root"), C("total_children").cast("long").alias("children"), C("tree.has_children").alias("has_children"), F.array_join(F.transform("tree.children", lambda c: F.concat(c["id"], F.lit("("), F.array_join(F.transform(c["children"], lambda g: g["id"]), ","), F.lit(")"))), ";").alias("tree")
+    )
+)
+query("gr_bundle", f"SELECT (SELECT count(*) FROM edge e WHERE side = 'after' AND NOT EXISTS (SELECT 1 FROM edge o WHERE o.side = 'before' AND o.src_id = e.src_id AND o.dst_id = e.dst_id)) AS added, (SELECT count(*) FROM edge e WHERE side = 'before' AND NOT EXISTS (SELECT 1 FROM edge o WHERE o.side = 'after' AND o.src_id = e.src_id AND o.dst_id = e.dst_id)) AS removed")(
+    lambda spark, d: (lambda b: b.edge_diff("after", "before").agg(F.coalesce(F.sum(F.size("targets")), F.lit(0)).alias("added")).crossJoin(b.edge_diff("before", "after").agg(F.coalesce(F.sum(F.size("targets")), F.lit(0)).alias("removed"))))(bundle_of(Snapshots(spark, d)))  # one row each
+)
+query("flt_list_ranked", None)(lambda spark, d: listing.ranked(Snapshots(spark, d).after, "npmit"))
+snap("prj_list_rows", "SELECT ordinal, name || ' ' || version AS title, 'Type: ' || ptype AS description FROM a")(lambda s: s.after.select("ordinal", listing.title(C("name"), C("version")).alias("title"), listing.description(C("purl"), C("licenses"), F.lit(0)).alias("description")))
+_lines = lambda s: lines.document(s.after.sparkSession, [lines.rows(s.after, F.concat_ws(" ", "name", "version"), "ordinal")])
+BOUND = 5000
+snap("snk_bounded", f"SELECT CASE WHEN start + n <= {BOUND} THEN line ELSE substr(line, 1, CAST({BOUND} - start AS BIGINT)) END AS line FROM (SELECT line, length(line) + 1 AS n, sum(length(line) + 1) OVER (ORDER BY ordinal) - length(line) - 1 AS start FROM (SELECT ordinal, name || ' ' || version AS line FROM a)) WHERE start < {BOUND} UNION ALL SELECT CASE i WHEN 0 THEN '' WHEN 1 THEN '_' || (SELECT count(*) FILTER (upto - 1 > {BOUND}) FROM (SELECT sum(length(name || ' ' || version) + 1) OVER (ORDER BY ordinal) AS upto FROM a)) || ' lines are cut or left out._' ELSE '{lines.CUT}' END FROM range(3) t(i) WHERE (SELECT sum(length(name || ' ' || version) + 1) - 1 FROM a) > {BOUND}")(lambda s: lines.bounded(_lines(s), BOUND))

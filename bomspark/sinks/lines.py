@@ -10,10 +10,10 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..tables import settle
+from ..tables import numbered, settle
 
 WHOLE = ("tinyint", "smallint", "int", "bigint")
 
@@ -70,3 +70,32 @@ def write(made: DataFrame, path: str) -> None:
         return
     with open(path, "w", encoding="utf-8") as out:
         out.writelines(texts(made))
+
+
+# What stands after a text that was cut, and how long a summary and a comment may be.
+CUT = "_Report truncated; use the report-markdown output for the complete report._"
+SUMMARY_MOST, COMMENT_MOST = 900_000, 60_000
+CHUNK = 1000
+
+
+def bounded(made: DataFrame, most: int = SUMMARY_MOST) -> DataFrame:
+    """The first ``most`` characters of a document, line ends included, with a closing note if more was cut.
+
+    Lengths run up in two levels: sums of ``CHUNK`` lines each, one row a chunk, then within the one
+    chunk in which the limit lies. The line in which it lies is cut there. The note says how many lines
+    were left out or cut."""
+    lines = numbered(made.withColumn("n", F.length("line") + 1).withColumn("order", F.monotonically_increasing_id()), "at", "order").drop("order")
+    chunk = F.floor(F.col("at") / CHUNK)
+    chunks = lines.groupBy(chunk.alias("chunk")).agg(F.sum("n").alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # a row for 1,000 lines
+    chunks = settle(chunks.withColumn("before", before), "chunks")
+    inside = F.sum("n").over(Window.partitionBy("chunk").orderBy("at").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("n")
+    near = lines.withColumn("chunk", chunk).join(chunks.where(F.col("before") < most).select("chunk", "before"), "chunk")
+    kept = near.withColumn("start", F.col("before") + inside).where(F.col("start") < most)
+    whole = F.col("start") + F.col("n") <= most
+    kept = settle(kept.select("at", F.when(whole, F.col("line")).otherwise(F.substring("line", F.lit(1), (F.lit(most) - F.col("start")).cast("int"))).alias("line"), (~whole & (F.length("line") > most - F.col("start"))).alias("cut")), "bounded")
+    total, n, cut = made.count(), *kept.agg(F.count("*"), F.count_if("cut")).first()
+    if total == n and not cut:
+        return kept.orderBy("at").select("line")
+    note = made.sparkSession.createDataFrame([(n + i, t) for i, t in enumerate(("", f"_{total - n + cut} lines are cut or left out._", CUT))], "at long, line string")
+    return kept.select("at", "line").unionByName(note).orderBy("at").select("line")

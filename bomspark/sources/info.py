@@ -131,16 +131,19 @@ def syft_relations() -> Column:
     return F.from_json("text", "artifactRelationships array<struct<parent:string,child:string,type:string>>")["artifactRelationships"]
 
 
-def edges(documents: DataFrame, comps: DataFrame | None = None) -> DataFrame:
-    """sbom_id, src_id, dst_id, adj_ordinal: dependencies between components of one document.
-
-    A reference means the last component that has it, and of components with one id the last alone
-    has dependencies. ``comps``: the components, where they are at hand."""
-    comps = components(documents) if comps is None else comps
+def dependencies(documents: DataFrame, comps: DataFrame) -> DataFrame:
+    """sbom_id, src_id, src_ordinal, dst_id, adj_ordinal: the dependencies of every component of one
+    document. A reference means the last component that has it; references without one go."""
     meant = comps.where("ref <> ''").groupBy("sbom_id", "ref").agg(F.max(F.struct("ordinal", "id")).alias("c"))
     end = lambda side: meant.select("sbom_id", F.col("ref").alias(f"{side}_ref"), F.col("c.id").alias(f"{side}_id"), F.col("c.ordinal").alias(f"{side}_ordinal"))
-    found = _refs(documents).join(end("src"), ["sbom_id", "src_ref"]).join(end("dst").drop("dst_ordinal"), ["sbom_id", "dst_ref"])
-    return adjacency(comps, found, "sbom_id").select("sbom_id", "src_id", "dst_id", "adj_ordinal")
+    found = _refs(documents).join(end("src"), ["sbom_id", "src_ref"]).join(end("dst"), ["sbom_id", "dst_ref"])
+    return found.select("sbom_id", "src_id", "src_ordinal", "dst_id", "adj_ordinal")
+
+
+def edges(documents: DataFrame) -> DataFrame:
+    """sbom_id, src_id, dst_id, adj_ordinal: the graph, in which the last component of an id replaces those before it."""
+    comps = components(documents)
+    return adjacency(comps, dependencies(documents, comps), "sbom_id").drop("src_ordinal")
 
 
 def relationship_counts(documents: DataFrame) -> DataFrame:

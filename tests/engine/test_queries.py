@@ -18,7 +18,7 @@ def oracle():
     return con
 
 
-@pytest.mark.parametrize("key", sorted(QUERIES))
+@pytest.mark.parametrize("key", sorted(ORACLES))
 def test_query(spark, oracle, key):
     rows = QUERIES[key](spark, SF)
     cursor = oracle.execute(ORACLES[key])
