@@ -13,7 +13,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..functions import scalars as fn
@@ -100,8 +100,9 @@ class Bundle:
                 step = step.orderBy("m.seq", "m.piece", "m.at").select("root", "node", "m.parent", F.monotonically_increasing_id().alias("seq"))
             if depth > most and not step.isEmpty():
                 raise RuntimeError(f"paths are longer than {most}")
-            step.write.parquet(f"{folder}/depth={depth}")
-            if spark.read.schema(kept).parquet(f"{folder}/depth={depth}").isEmpty():
+            seen = Observation()
+            step.observe(seen, F.count(F.lit(1)).alias("n")).write.parquet(f"{folder}/depth={depth}")
+            if not seen.get["n"]:
                 break
         return spark.read.schema(f"{kept}, depth int").parquet(folder).where("depth > 0").drop("seq")
 
