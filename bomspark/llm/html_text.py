@@ -1,11 +1,13 @@
 """Main-text extraction by composite text density.
 
 Each page's html becomes a tree of elements. Elements that never hold article text (scripts,
-hidden parts) are cut off first. Elements that seldom do, by their tag or by a whole word of
-class, id or role, are cut unless they hold the main element or nearly all of the page's text
-outside links. Where only a part of a hyphenated word says so, or for a form, the element is
-cut if it is mostly links and holds neither an article nor most of that text. A header within
-an article stays if it has a heading. For every node the density is its characters per tag, adjusted for link
+hidden parts) are cut off first, then those that doubtful names or tags speak against, unless
+what they hold speaks for them (``_cut``): adverts, comments and notices by a word of class, id or
+role, or by a part of one where the element holds less than half of the page's text outside
+links; menus, headers, sidebars and such by their tag or a word, unless nearly all of that text is
+theirs in paragraphs; forms with no article and at most half of it; and what a part of a word
+calls a menu or the like, if it is mostly links. No rule looks at lengths, only at shares.
+A header within an article stays if it has a heading. For every node the density is its characters per tag, adjusted for link
 characters; a node's density sum adds up its children's densities. From the body down, a
 node above the threshold (the least density on the path from the body to the node of
 maximum density sum) yields its maximum-sum subtree as content, and so does every child
@@ -26,6 +28,7 @@ import html as entities
 import math
 import re
 from collections.abc import Iterable, Iterator
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -35,6 +38,8 @@ TAG = re.compile(r"<(?P<end>/?)(?P<name>[a-zA-Z][^\s/>]*)")
 ATTRS = re.compile(r"""(?>[^>"']+|"[^"]*"|'[^']*'|["'])*+(?=>)""")
 MARK = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 HIDDEN = re.compile(r"""\s(?:hidden(?=[\s=/]|$)|aria-hidden\s*=\s*["']?true|style\s*=\s*["'][^"']*display\s*:\s*none)""", re.I)
+#: Borders within a name: other signs, and where an upper-case letter follows a lower-case one.
+PARTS = re.compile(r"[^a-zA-Z0-9]+|(?<=[a-z0-9])(?=[A-Z])")
 RAW = frozenset({"script", "style", "textarea", "title", "iframe", "noembed", "noframes", "xmp"})
 VOID = frozenset({"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"})
 DROPPED = frozenset({"script", "style", "title", "head", "iframe", "textarea", "noscript", "template", "button", "select", "svg", "canvas", "object", "noembed", "noframes", "xmp", "audio", "video", "datalist"})
@@ -46,8 +51,15 @@ HEADINGS = frozenset({"h1", "h2", "h3", "h4", "h5", "h6"})
 BOILERPLATE = frozenset(
     "ad ads adv advert adverts advertisement advertising adsense sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices alert comment comments commentlist disqus reply replies respond sidebar sidebars widget widgets related recommended share sharing social menu menus nav navbar navigation breadcrumb breadcrumbs pagination pager footer header masthead topbar newsletter subscribe subscription signup login popup modal overlay paywall toolbar search contentinfo complementary form".split()
 )
-#: Characters outside links that an element needs to stay for its share of the page's text.
-LEAST = 200
+#: Those of them that name adverts, reader comments and notices, and no part of a layout.
+STRONG = frozenset("ad ads adv advert adverts advertisement advertising adsense sponsor sponsored cookie cookies consent gdpr notice notices comment comments commentlist disqus reply replies respond newsletter subscribe subscription popup paywall".split())
+#: Parts that turn a name into a statement on the page, as in no-sidebar.
+FLAGS = frozenset("no not without with has have enabled disabled open closed on off".split())
+#: Words that name an article's wrapper: names beside them are no more than a hint.
+CONTENT = frozenset("article post entry content story main text body hentry".split())
+#: How much speaks against an element: by a part of a name, by a part that names an advert or the
+#: like, by its tag or a whole word, by such a word that names an advert or the like.
+HINT, PART, WORD, CERTAIN = 1, 2, 3, 4
 #: An open element of the key ends where an element of the value starts.
 CLOSES = {"p": BLOCK - {"td", "th", "tr", "tbody", "thead", "tfoot", "caption"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "tbody", "tfoot"}, "td": {"td", "th", "tr"}, "th": {"td", "th", "tr"}, "option": {"option"}, "h1": {"h2", "p"}, "h2": {"h1", "h2", "h3", "p"}, "h3": {"h2", "h3", "h4", "p"}}
 SCOPES = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"table"}, "th": {"table"}, "p": {"td", "th", "li", "div", "article", "section", "blockquote", "body", "main"}, "option": {"select"}}
@@ -64,19 +76,31 @@ class Node:
         self.kids: list[Node] = []
 
 
+@lru_cache(maxsize=1 << 14)
+def _named(marks: str) -> int:
+    """How much an element's names speak against it."""
+    doubt, words = 0, marks.split()
+    for word in words:
+        if word.lower() in BOILERPLATE - {"form"}:
+            doubt = max(doubt, CERTAIN if word.lower() in STRONG else WORD)
+            continue
+        parts = set(PARTS.sub("-", word).lower().split("-"))
+        if parts.isdisjoint(FLAGS) and not parts.isdisjoint(BOILERPLATE):
+            doubt = max(doubt, HINT if parts.isdisjoint(STRONG) else PART)
+    return HINT if doubt and not CONTENT.isdisjoint(w.lower() for w in words) else doubt
+
+
 def _signs(name: str, attrs: str) -> tuple[bool, int]:
-    """Whether an element is off whatever it holds, and how much speaks against it: 2 its tag or a whole word, 1 a part of one."""
+    """Whether an element is off whatever it holds, and how much speaks against it."""
     if name in DROPPED:
         return True, 0
-    doubt = 2 if name in SELDOM else name == "form"
-    if not attrs or name in ("html", "body", "main", "article"):
+    doubt = WORD if name in SELDOM else PART if name == "form" else 0
+    if not attrs or name in ("html", "body", "main"):
         return False, doubt
-    words = {w for m in MARK.finditer(attrs) for w in (m[1] or m[2] or m[3] or "").lower().split()}
-    if not words.isdisjoint(BOILERPLATE - {"form"}):
-        doubt = 2
-    elif not doubt:
-        doubt = any(not BOILERPLATE.isdisjoint(re.split(r"[^a-z0-9]+", w)) for w in words)
-    return HIDDEN.search(attrs) is not None, int(doubt)
+    named = _named(" ".join(m[1] or m[2] or m[3] or "" for m in MARK.finditer(attrs)))
+    if name == "article":
+        return False, named if named == CERTAIN else 0
+    return HIDDEN.search(attrs) is not None, max(doubt, named)
 
 
 class _Open:
@@ -176,7 +200,7 @@ def _cut(root: Node) -> None:
     order = _count(root)
     inside: dict[Node, set[str]] = {}
     for node in reversed(order):  # which of these names stand below
-        names = {n for k in node.kids for n in (k.name, *inside.get(k, ())) if n in HEADINGS or n in ("main", "article")}
+        names = {n for k in node.kids for n in (k.name, *inside.get(k, ())) if n in HEADINGS or n in ("main", "article", "p")}
         if names:
             inside[node] = names
     page = root.chars - root.link_chars
@@ -188,9 +212,14 @@ def _cut(root: Node) -> None:
         text, names = node.chars - node.link_chars, inside.get(node, set())
         if node.name == "header" and above and text > 0 and not names.isdisjoint(HEADINGS):
             continue
-        share = text / page if page and text >= LEAST else 0.0
-        if node.doubt > 1:
-            node.off = "main" not in names and share < 0.8
+        share = text / page if page else 0.0
+        if node.doubt == CERTAIN:
+            node.off = "main" not in names
+        elif node.doubt == WORD:
+            node.off = "main" not in names and (share < 0.8 or names.isdisjoint({"p", "article", *HEADINGS}))
+        elif node.doubt == PART:
+            held = {"main", "article"} if node.name == "form" else {"main"}
+            node.off = names.isdisjoint(held) and share <= 0.5
         else:
             node.off = 2 * node.link_chars > node.chars and names.isdisjoint({"main", "article"}) and share <= 0.5
 

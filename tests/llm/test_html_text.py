@@ -116,3 +116,41 @@ def test_time_grows_with_the_page_alone(part):
     extract(page)
     extract(page + ">")
     assert time.perf_counter() - began < 8
+
+
+#: Blocks that stand inside an article but are none of its text.
+INNER = {
+    "newsletter form": "<form><label>Mail</label><p>Get our letter every week.</p><input></form>",
+    "reply form": "<form><fieldset><legend>Reply</legend><p>Write what you think.</p></fieldset></form>",
+    "comments-area": "<div id='comments-area'><p>A reader says something.</p></div>",
+    "user-comments": "<div class='user-comments'><p>I like it very much.</p></div>",
+    "comment-list": "<ol class='comment-list'><li><article class='comment'>So do I.</article></li></ol>",
+    "commentBox": "<div class='userCommentBox'>Me too.</div>",
+    "ad-box": "<div class='ad-box'>Buy it.</div>",
+    "ad_slot": "<div class='ad_slot'><p>Buy two of them.</p></div>",
+    "cookie-banner": "<div class='cookie-banner'><p>We use cookies on this page.</p></div>",
+    "newsletter-box": "<section class='newsletter-box'><h3>News</h3><p>Every week.</p></section>",
+    "site-notice": "<div class='site-notice'><p>The site is down tonight.</p></div>",
+    "aside": "<aside><p>Beside the point.</p></aside>",
+    "share": "<div class='share'><span>Tell a friend</span></div>",
+    "menu": "<ul class='article-menu'><li><a href=a>one</a></li><li><a href=b>two</a></li></ul>",
+}
+OUTER = {"article": ("<article>", "</article>"), "post": ("<div class='post'>", "</div>"), "main": ("<main><div id=content>", "</div></main>"), "post share": ("<div class='post share'>", "</div>"), "comments-enabled": ("<div class='layout comments-open'>", "</div>")}
+
+
+@pytest.mark.parametrize("inner", INNER)
+@pytest.mark.parametrize("outer", OUTER)
+def test_blocks_that_are_no_article_text(outer, inner):
+    texts = paragraphs("t", 4, 120)
+    body = [f"<p>{t}</p>" for t in texts]
+    head, tail = OUTER[outer]
+    assert extract(f"<body>{head}{''.join(body[:2])}{INNER[inner]}{''.join(body[2:])}{tail}</body>") == "\n".join(texts)
+
+
+@pytest.mark.parametrize("chars", [5, 60, 150, 190, 200, 210, 400, 5000])
+def test_short_pages_are_treated_as_long_ones(chars):
+    text = "word ".ljust(chars + 1, "x")
+    for name in ("post share", "sidebar", "layout no-comments", "page header"):
+        assert extract(f"<body><nav><a href=a>Home</a></nav><div class='{name}'><p>{text}</p></div></body>") == text
+    for name in ("ad", "comments", "cookie notice"):
+        assert extract(f"<body><div class='{name}'><p>{text}</p></div></body>") == ""
