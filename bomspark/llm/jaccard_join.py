@@ -12,7 +12,11 @@ Frequencies are counted in packed form: tasks deal their shingles out over bucke
 a bucket's task counts its shingles and deals those of several sets out over parts by set,
 and a part's task selects the prefixes. A bucket holds about ``unit`` shingles whatever the
 size of the corpus; the unit grows with its square root, so that what one task sends to one
-bucket stays worth a row. Exact copies count once there.
+bucket stays worth a row. Exact copies count once there. A shingle of many sets would fill a bucket with an entry
+for each of them. So shingles that are frequent within a chunk of a task are found while sets are made;
+they are broadcast with their counts (a bounded number), and go past the buckets to their set's part.
+Their frequency class comes from those counts. Any order of shingles that is the same for all sets
+gives the same links, so that this changes no result.
 
 Equal sets are one node from the start. Candidates of an index entry are met in rounds: all
 against one leader first, again against another leader for what is still in different
@@ -53,6 +57,11 @@ ODD = np.random.default_rng(7).integers(0, 1 << 62, 64, dtype=np.uint64) * np.ui
 PACKED = "grp int, bucket int, nodes binary, sizes binary, runs binary, tokens binary, classes binary"
 #: Frequency class (eighths of a power of two) from which shingles are frequent: 32 sets.
 FREQUENT = 40
+#: Shingles of more than LEAST_HEAVY sets of a chunk, and of more than one set in HEAVY, are heavy; a
+#: chunk has about CHUNK shingles.
+HEAVY, LEAST_HEAVY, CHUNK = 256, 32, 1 << 21
+#: The bucket number that stands for heavy shingles.
+ASIDE = (1 << 24) - 1
 
 
 def _scatter(x: np.ndarray) -> np.ndarray:
@@ -78,21 +87,70 @@ def digest(tokens: np.ndarray) -> bytes:
     return hashlib.blake2b(tokens.tobytes(), digest_size=16).digest()
 
 
+def _heavy(sets: list[np.ndarray]) -> bytes | None:
+    """The shingles that are heavy in these different sets, and their numbers of sets."""
+    tokens, counts = np.unique(np.concatenate(sets), return_counts=True)
+    heavy = counts > max(LEAST_HEAVY, len(sets) // HEAVY)
+    return np.stack([tokens[heavy].view(np.int64), counts[heavy]]).tobytes() if heavy.any() else None
+
+
 def profiles(docs: DataFrame, words: int) -> DataFrame:
-    """doc_id, key, digest and size of every row's set."""
+    """doc_id, key, digest and size of every row's set; rows without a size hold the heavy shingles of a chunk."""
 
     def profile(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        chunk: dict[bytes, np.ndarray] = {}
+        size = 0
+        none = pd.DataFrame({"doc_id": pd.Series(dtype=object), "key": pd.Series(dtype="int64"), "node": pd.Series(dtype=object), "n": pd.Series(dtype="int32"), "heavy": pd.Series(dtype=object)})
+
+        def found() -> pd.DataFrame:
+            tokens = _heavy(list(chunk.values())) if chunk else None
+            chunk.clear()
+            return pd.DataFrame({"doc_id": [None], "key": [0], "node": [None], "n": [-1], "heavy": [tokens]}) if tokens else none
+
         for batch in batches:
             sets = [shingle_set(t, words) for t in batch["text"]]
             out = pd.DataFrame({"doc_id": batch["doc_id"], "key": batch["key"]})
-            out["node"], out["n"] = [digest(s) for s in sets], [len(s) for s in sets]
+            out["node"], out["n"], out["heavy"] = [digest(s) for s in sets], [len(s) for s in sets], None
             yield out
+            for node, tokens in zip(out["node"], sets, strict=True):
+                if len(tokens) and node not in chunk:
+                    chunk[node], size = tokens, size + len(tokens)
+                if size >= CHUNK:
+                    yield found()
+                    size = 0
+        yield found()
 
     # ids go through pandas as strings: longs beside nulls would become floats
-    found = docs.withColumn("doc_id", F.col("doc_id").cast("string")).mapInPandas(profile, "doc_id string, key long, node binary, n int")
+    found = docs.withColumn("doc_id", F.col("doc_id").cast("string")).mapInPandas(profile, "doc_id string, key long, node binary, n int, heavy binary")
     return found.withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
+def heavy_shingles(profile: DataFrame, most: int = 1 << 20) -> tuple[np.ndarray, np.ndarray]:
+    """The heavy shingles of all chunks, sorted, and their frequency classes; of more than ``most`` the most frequent."""
+
+    def apart(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for packed in batch["heavy"]:
+                tokens, counts = np.frombuffer(packed, np.int64).reshape(2, -1)
+                yield pd.DataFrame({"token": tokens, "n": counts})
+
+    tokens = profile.where("n < 0").select("heavy").mapInPandas(apart, "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
+    rows = tokens.orderBy(F.desc("n"), "token").limit(most).toPandas()  # 16 MB at most
+    found = rows["token"].to_numpy(np.int64).view(np.uint64)
+    order = np.argsort(found)
+    return found[order], np.minimum(8 * np.log2(rows["n"].to_numpy(float)[order]), 255).astype(np.uint8)
+
+
+def _places(tokens: np.ndarray, heavy: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which shingles are heavy, and their places among the heavy ones."""
+    if not len(heavy):
+        return np.zeros(len(tokens), bool), np.empty(0, np.uint64)
+    at = np.searchsorted(heavy, tokens)
+    at[at == len(heavy)] = 0
+    held = heavy[at] == tokens
+    return held, at[held].astype(np.uint64)
+
+
 # Packed rows: nodes holds 16 bytes a set, sizes and runs 4 (its size, its shingles here),
 # tokens 5 bytes a shingle, set after set, and classes 1.
 
@@ -128,15 +186,45 @@ def _frame(rows: list[tuple]) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=["grp", "bucket", "nodes", "sizes", "runs", "tokens", "classes"])
 
 
-def _bucketed(sets: dict[bytes, np.ndarray], buckets: int) -> pd.DataFrame:
-    """Shingles of different sets dealt out over buckets."""
-    tokens, lengths = np.concatenate(list(sets.values())), np.array([len(s) for s in sets.values()])
+def _bucketed(sets: dict[bytes, np.ndarray], buckets: int, heavy: np.ndarray = np.empty(0, np.uint64)) -> pd.DataFrame:  # noqa: B008
+    """Shingles of different sets, but for heavy ones, dealt out over buckets."""
+    whole = np.array([len(s) for s in sets.values()])
+    tokens, owners = np.concatenate(list(sets.values())), np.repeat(np.arange(len(sets)), whole)
+    if len(heavy):
+        held, _ = _places(tokens, heavy)
+        tokens, owners = tokens[~held], owners[~held]
+    if not len(tokens):
+        return _frame([])
     bucket = ((tokens >> np.uint64(LOW)) * np.uint64(buckets) >> np.uint64(64 - LOW)).astype(np.uint16 if buckets < 1 << 16 else np.uint32)
     order = np.argsort(bucket, kind="stable")
-    bucket, owner = bucket[order], np.repeat(np.arange(len(sets)), lengths)[order]
+    bucket, owner = bucket[order], owners[order]
     first = np.flatnonzero(np.concatenate(([True], (bucket[1:] != bucket[:-1]) | (owner[1:] != owner[:-1]))))
     nodes = np.frombuffer(b"".join(sets), "<u8").reshape(-1, 2)[owner[first]]
-    return _frame(_dealt(bucket[first], nodes, lengths[owner[first]], np.diff(np.append(first, len(tokens))), (tokens & np.uint64((1 << LOW) - 1))[order], None, 0))
+    return _frame(_dealt(bucket[first], nodes, whole[owner[first]], np.diff(np.append(first, len(tokens))), (tokens & np.uint64((1 << LOW) - 1))[order], None, 0))
+
+
+def _aside(sets: dict[bytes, np.ndarray], buckets: int, parts: int, heavy: np.ndarray, classes: np.ndarray) -> pd.DataFrame:
+    """The heavy shingles of different sets, as places in ``heavy``, on the way to the sets' parts."""
+    sizes = np.array([len(t) for t in sets.values()])
+    held, places = _places(np.concatenate(list(sets.values())), heavy)
+    owner = np.repeat(np.arange(len(sets)), sizes)[held]
+    nodes = np.frombuffer(b"".join(sets), "<u8").reshape(-1, 2)
+    part = (nodes[:, 0] % np.uint64(parts)).astype(np.int64)
+    order, runs = np.lexsort((owner, part[owner])), np.bincount(owner, minlength=len(sets))
+    chosen = np.argsort(part, kind="stable")
+    chosen = chosen[runs[chosen] > 0]
+    return _frame(_dealt(buckets + part[chosen], nodes[chosen], sizes[chosen], runs[chosen], places[order], classes[places[order].astype(np.int64)], ASIDE) if len(chosen) else [])
+
+
+def _passed(rows: pd.DataFrame, part: int) -> pd.DataFrame:
+    """The heavy shingles of a part's sets, once for each set."""
+    nodes, sizes, runs, tokens = _unpacked(rows)
+    classes = np.frombuffer(b"".join(rows["classes"]), np.uint8)
+    order = np.lexsort((nodes[:, 1], nodes[:, 0]))
+    copy = np.zeros(len(nodes), bool)  # sets that several tasks sent
+    copy[order[1:]] = (nodes[order[1:]] == nodes[order[:-1]]).all(axis=1)
+    kept = np.repeat(~copy, runs)
+    return _frame(_dealt(np.full((~copy).sum(), part), nodes[~copy], sizes[~copy], runs[~copy], tokens[kept], classes[kept], ASIDE))
 
 
 def _shared(rows: pd.DataFrame, bucket: int, parts: int) -> pd.DataFrame:
@@ -202,12 +290,20 @@ def _selected(rows: pd.DataFrame, num: int, den: int) -> pd.DataFrame:
     return pd.DataFrame(found, columns=["node", "n", "rare", "sigs"])
 
 
-def prefixes(docs: DataFrame, total: int, words: int, num: int, den: int, least_unit: int = 3 << 20, least_buckets: int = 32) -> DataFrame:
+def prefixes(docs: DataFrame, total: int, words: int, num: int, den: int, heavy: tuple[np.ndarray, np.ndarray] = (np.empty(0, np.uint64), np.empty(0, np.uint8)), least_unit: int = 3 << 20, least_buckets: int = 32) -> DataFrame:  # noqa: B008
     """node, n, rare, sigs of every set that can have a partner; ``total`` counts all shingles."""
     unit = max(least_unit, isqrt(8 * total))
     buckets = max(least_buckets, -(-total // unit))
     parts = max(least_buckets // 2, buckets // 4)
 
+    shared_heavy = docs.sparkSession.sparkContext.broadcast(heavy)  # bounded, see heavy_shingles
+
+    def sent(sets: dict[bytes, np.ndarray]) -> Iterator[pd.DataFrame]:
+        tokens, classes = shared_heavy.value
+        yield _bucketed(sets, buckets, tokens)
+        if len(tokens):
+            yield _aside(sets, buckets, parts, tokens, classes)
+
     def spread(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         sets, size = {}, 0
         for batch in batches:
@@ -217,13 +313,17 @@ def prefixes(docs: DataFrame, total: int, words: int, num: int, den: int, least_
                 if len(tokens) and node not in sets:
                     sets[node], size = tokens, size + len(tokens)
                 if size >= unit:
-                    yield _bucketed(sets, buckets)
+                    yield from sent(sets)
                     sets, size = {}, 0
         if sets:
-            yield _bucketed(sets, buckets)
+            yield from sent(sets)
+
+    def counted(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        group = int(key[0])
+        return _shared(rows, group, parts) if group < buckets else _passed(rows, group - buckets)
 
     dealt = docs.select("text").mapInPandas(spread, PACKED)
-    shared = dealt.groupBy("grp").applyInPandas(lambda key, rows: _shared(rows, int(key[0]), parts), PACKED)
+    shared = dealt.groupBy("grp").applyInPandas(counted, PACKED)
     return shared.groupBy("grp").applyInPandas(lambda rows: _selected(rows, num, den), "node binary, n int, rare int, sigs array<long>")
 
 
@@ -308,11 +408,12 @@ def similar_components(docs: DataFrame, words: int = 3, threshold: tuple[int, in
     """doc_id, n_shingles, component_id of every row; threshold is a fraction (numerator, denominator)."""
     num, den = threshold
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).alias("text")).withColumn("key", F.xxhash64("doc_id", "text"))
-    profile = materialize(profiles(docs, words), "profiles")
+    measured = materialize(profiles(docs, words), "profiles")
+    profile = measured.where("n >= 0").drop("heavy")
     nodes = materialize(profile.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("least_doc"), F.min("key").alias("key"), F.first("n").alias("n")).withColumn("nid", F.monotonically_increasing_id()), "nodes")
     total = nodes.agg(F.sum(F.col("n").cast("long"))).first()[0] or 0
 
-    able = materialize(prefixes(docs, total, words, num, den).join(nodes.select("node", "nid", "key"), "node"), "prefixes")
+    able = materialize(prefixes(docs, total, words, num, den, heavy_shingles(measured)).join(nodes.select("node", "nid", "key"), "node"), "prefixes")
     sets = full_sets(docs, able.select("nid", "node", "key"), words)
     light = sets.select("nid", "n", *BITMAP)
     entries = able.select(F.explode("sigs").alias("sig"), "nid", "n", "rare")

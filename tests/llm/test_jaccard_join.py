@@ -4,6 +4,7 @@ from fractions import Fraction
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from bomspark.llm.jaccard_join import _bucketed, _selected, _shared, components, digest, prefix_length, signatures, similar_components
 
@@ -83,6 +84,54 @@ def test_buckets_and_parts_give_each_set_its_shared_shingles():
     assert digest(sets[-1]) not in got and got
 
 
+def largest_group(sets, heavy, classes):
+    """Entries of the largest group of a bucket, and of the largest of a part."""
+    from bomspark.llm.jaccard_join import _aside, _unpacked
+
+    sent = {digest(s): s for s in sets}
+    light = _bucketed(sent, 32, heavy)
+    aside = _aside(sent, 32, 16, heavy, classes) if len(heavy) else light.iloc[:0]
+    count = lambda rows: max((len(_unpacked(g)[3]) for _, g in rows.groupby("grp")), default=0)
+    return count(light), count(aside)
+
+
+def test_a_shingle_of_every_set_does_not_fill_a_bucket(spark, monkeypatch):
+    from bomspark.llm import jaccard_join as jj
+
+    monkeypatch.setattr(jj, "CHUNK", 6000)
+    rng = np.random.default_rng(9)
+    common = np.uint64(12345)
+    made = lambda n: [np.unique(np.append(rng.integers(0, 1 << 63, 30).astype(np.uint64), common)) for _ in range(n)]
+    few, many = made(2000), made(20000)
+    packed = jj._heavy(many[:200])
+    heavy, counts = np.frombuffer(packed, np.int64).reshape(2, -1)
+    assert heavy.tolist() == [12345] and counts.tolist() == [200]
+    heavy, classes = heavy.view(np.uint64), np.array([200], np.uint8)
+    per_set = lambda sets: [x / len(sets) for x in largest_group(sets, heavy, classes)]
+    none = np.empty(0, np.uint64)
+    assert largest_group(many, none, none)[0] > 20_000  # without: an entry of each set
+    assert largest_group(many, heavy, classes)[0] < 1.5 * 20000 * 30 / 16  # with: an even share of the half of the buckets that these hashes meet
+    assert per_set(many)[1] < 1.5 / 16 and per_set(few)[1] < 1.5 / 16
+
+
+@pytest.mark.parametrize("chunk", [3000, 1 << 21])
+def test_heavy_shingles_change_no_component(spark, monkeypatch, chunk):
+    from bomspark.llm import jaccard_join as jj
+
+    monkeypatch.setattr(jj, "CHUNK", chunk)
+    monkeypatch.setattr(jj, "LEAST_HEAVY", 3)
+    rng = np.random.default_rng(5)
+    line = " ".join(f"licence{i}" for i in range(25))
+    rows = [*near_copies(rng, 1000, 120, 70, 4), *near_copies(rng, 2000, 60, 40, 2)]
+    rows = [(i, f"{t} {line}") for i, t in rows] + [(i, f"{line} " + " ".join(f"w{v}" for v in rng.integers(0, 900, rng.integers(1, 60)))) for i in range(150)] + [(5000 + i, line) for i in range(3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    measured = jj.profiles(docs.withColumn("key", F.xxhash64("text")), 3)
+    tokens, classes = jj.heavy_shingles(measured)
+    assert len(tokens) >= 23 and (np.diff(tokens.astype(object)) > 0).all() and classes.max() > 40
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in similar_components(docs).collect()}
+    assert got == brute(rows, 3, Fraction(90, 100))
+
+
 def test_components_of_a_long_chain_and_a_limit(spark):
     chain = spark.range(300).selectExpr("id AS a", "id + 1 AS b")
     assert {r.comp for r in components(chain).collect()} == {0}
