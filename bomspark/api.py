@@ -10,8 +10,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .operators import findings, graph, headlines, profile, rules
-from .operators.diff import diff, duplicates
-from .sinks.reports import Report, Summary
+from .operators.bundle import Bundle
+from .operators.diff import collision_report, diff, duplicate_version_diff, duplicates
+from .sinks.reports import Body, Report, Summary
 from .sources import documents, info
 from .tables import settle
 
@@ -52,16 +53,25 @@ def compare(before: Document, after: Document, policy: rules.Policy | None = Non
     b, a, spark = before.components, after.components, after.components.sparkSession
     result = diff(b, a)
     result = replace(result, rows=settle(result.rows, "diff"))
-    new = settle(graph.transitive_changes(a, after.edges, b, before.edges), "transitive")
+    depends = Bundle.build({"before": (b, before.edges), "after": (a, after.edges)}).diff()
+    new = depends.transitive_new
     checked = settle(profile.compliance(a, after.edges, after.facts), "checks")
     scores = profile.scores_of(checked)
     sides = b.withColumn("side", F.lit("before")).unionByName(a.withColumn("side", F.lit("after")))
     found = [findings.context(spark, before.facts, after.facts), headlines.surface(sides, before.facts, after.facts), headlines.ecosystems(b, a), findings.os_change(spark, before.facts, after.facts), headlines.version_changes(b, result), headlines.integrity(result)]
     found += [findings.dominant_path(rows, direction) for rows, direction in ((result.removed, "removed"), (result.added, "added"))]
     found += [headlines.change_hotspots(result), headlines.stable_types(b, a), headlines.license_shift(sides), headlines.cataloger_gaps(b, a)]
-    overview = profile.profile(sides, "side")
+    overview = settle(_with_dependencies(profile.profile(sides, "side"), before, after), "overview")
+    groups = [settle(duplicates(c).select("id", "name", "count", "versions"), "duplicates") for c in (b, a)]
+    body = Body(*groups, settle(duplicate_version_diff(b, a), "versions"), settle(collision_report(b, a), "collisions"), depends, {"before": before.facts, "after": after.facts}, [*before.warnings, *after.warnings])
     violations = rules.evaluate(policy, result, a, new, scores) if policy else None
-    return Report(result, violations, new, reduce(DataFrame.unionByName, found), overview, checked)
+    return Report(result, violations, new, reduce(DataFrame.unionByName, found), overview, checked, body)
+
+
+def _with_dependencies(overview: DataFrame, before: Document, after: Document) -> DataFrame:
+    """The overview of both sides with with_dependencies and total_dependencies."""
+    every = before.dependencies.withColumn("side", F.lit("before")).unionByName(after.dependencies.withColumn("side", F.lit("after")))
+    return overview.join(profile.dependency_counts(every, "side"), "side", "left").na.fill(0)  # two rows
 
 
 def failed(report: Report) -> bool:
@@ -86,4 +96,4 @@ def summary(document: Document) -> Summary:
     stats, found, _ = summarize(document)
     c = document.components
     checked = settle(profile.compliance(c, document.edges, document.facts), "checks")
-    return Summary(document.facts, settle(found, "findings"), settle(stats, "stats"), profile.by_type(c), settle(profile.by_license(c), "licenses"), duplicates(c), checked, document.warnings)
+    return Summary(document.facts, settle(found, "findings"), settle(stats.crossJoin(profile.dependency_counts(document.dependencies)), "stats"), profile.by_type(c), settle(profile.by_license(c), "licenses"), duplicates(c), checked, document.warnings)

@@ -16,11 +16,6 @@ def first_wins(comps: DataFrame, key: str = "id") -> DataFrame:
     return comps.groupBy(key).agg(F.min_by(F.struct(*rest), "ordinal").alias("_r")).select(key, "_r.*").select(*comps.columns)
 
 
-def last_wins(comps: DataFrame, key: str = "id") -> DataFrame:
-    rest = [c for c in comps.columns if c != key]
-    return comps.groupBy(key).agg(F.max_by(F.struct(*rest), "ordinal").alias("_r")).select(key, "_r.*").select(*comps.columns)
-
-
 def full_diff(before: DataFrame, after: DataFrame) -> DataFrame:
     """One row per id: status, drift, b and a (the first component of each side as a struct)."""
     side = lambda df, name: first_wins(df).select("id", F.struct(*[c for c in df.columns if c != "id"]).alias(name))
@@ -104,6 +99,13 @@ def both_collisions(before: DataFrame, after: DataFrame) -> DataFrame:
     return collisions(before).unionByName(collisions(after)).distinct()
 
 
+def collision_report(before: DataFrame, after: DataFrame) -> DataFrame:
+    """id, reason, components: collisions of either side with the different names and versions of their components."""
+    rows = before.select("id", "name", "version").unionByName(after.select("id", "name", "version")).distinct()
+    named = F.sort_array(F.collect_list(F.concat_ws(" ", "name", "version")))
+    return both_collisions(before, after).join(rows, "id").groupBy("id", "reason").agg(named.alias("components"))
+
+
 def samples_by_type(comps: DataFrame, most: int = 5) -> DataFrame:
     """type, total and the first ``most`` ids, in id order."""
     t = comps.select(fn.effective_type(F.col("purl"), F.col("id")).alias("type"), "id")

@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scalars as fn
+from ..operators.bundle import DependencyDiff
 from ..operators.diff import DiffResult, samples_by_type
 from ..operators.profile import scores_of, top
 from .lines import Piece, Rows, document, quoted, rows, texts, write
@@ -26,6 +27,19 @@ RULES = {"integrity-drift": "error", "deep-dependency": "warning", "component-ad
 DEEP = 3
 
 
+@dataclass(frozen=True)
+class Body:
+    """What a diff of two documents says beside added, removed and changed components."""
+
+    duplicates_before: DataFrame
+    duplicates_after: DataFrame
+    duplicate_versions: DataFrame
+    collisions: DataFrame
+    dependencies: DependencyDiff
+    facts: dict[str, dict]
+    warnings: list[str]
+
+
 @dataclass(frozen=True)
 class Report:
     """All frames that a rendering needs; graph and policy parts may be missing."""
@@ -36,6 +50,7 @@ class Report:
     findings: DataFrame | None = None
     overview: DataFrame | None = None
     compliance: DataFrame | None = None
+    body: Body | None = None
 
 
 @dataclass(frozen=True)
@@ -54,10 +69,15 @@ class Summary:
 
 # Fixed: facts named in the scan context, and labels of the coverage rows.
 CONTEXT = {"tool_name": "Tool", "schema_version": "Schema", "search_scope": "Scan scope", "source_type": "Source type", "source_name": "Source", "os_pretty_name": "OS"}
-CATEGORIES, LICENSES = ("permissive", "copyleft", "public_domain", "unknown"), 15
+CATEGORIES = ("permissive", "copyleft", "public_domain", "unknown")
+# Fixed: how many licences a report lists, fewer in plain text.
+LICENSES, TEXT_LICENSES = 15, 10
 COVERAGE = {"with_purl": "PURL coverage", "with_licenses": "License coverage", "with_hashes": "Hash coverage", "with_cpes": "CPE coverage"}
 
 
+DEPENDENCIES = {"with_dependencies": "With dependencies", "total_dependencies": "Dependencies"}
+
+
 def fingerprint(kind: str, identity: Column) -> Column:
     digest = F.sha2(F.concat(F.lit(kind), F.char(F.lit(0)), identity), 256)
     return F.concat(F.substring(digest, 1, 32), F.lit(":1"))
@@ -72,13 +92,14 @@ def result_rows(report: Report) -> DataFrame:
         return df.select(F.lit(ordinal).alias("ordinal"), F.lit(rule).alias("rule"), level.alias("level"), identity.alias("identity"), message.alias("message"), fingerprint(rule, identity).alias("fingerprint"))
 
     version = lambda c: F.when(fn.text(c) != "", F.concat(F.lit(" "), c)).otherwise("")
-    id_ = F.col("id")
-    out = [results(d.changed.where("drift = 'integrity'"), 1, "integrity-drift", id_, F.concat("name", F.lit(": hash changed without version change")))]
+    named = lambda purl: F.coalesce(*[F.nullif(c, F.lit("")) for c in (F.col("id"), purl)], F.col("name"))
+    id_, changed_id = named(F.col("purl")), named(F.col("a.purl"))
+    out = [results(d.changed.where("drift = 'integrity'"), 1, "integrity-drift", changed_id, F.concat("name", F.lit(": hash changed without version change")))]
     if report.transitive is not None:
         out.append(results(report.transitive.where(F.col("depth") >= DEEP), 2, "deep-dependency", F.col("target"), F.concat(F.lit("New transitive dependency "), "target", F.lit(" at depth "), F.col("depth").cast("string"))))
     out.append(results(d.added, 3, "component-added", id_, F.concat(F.lit("Added "), "name", version(F.col("version")))))
     out.append(results(d.removed, 4, "component-removed", id_, F.concat(F.lit("Removed "), "name", version(F.col("version")))))
-    out.append(results(d.changed.where("b.version <> a.version"), 5, "version-change", id_, F.concat("name", F.lit(": "), "b.version", F.lit(" -> "), "a.version")))
+    out.append(results(d.changed.where("b.version <> a.version"), 5, "version-change", changed_id, F.concat("name", F.lit(": "), "b.version", F.lit(" -> "), "a.version")))
     if report.violations is not None:
         out.append(results(report.violations, 6, "policy-violation", F.concat_ws("|", "rule", "message"), F.col("message"), F.col("severity")))
     return reduce(DataFrame.unionByName, out)
@@ -117,6 +138,14 @@ def _objects(name: str, df: DataFrame, *order: str) -> list[Piece]:
     return [f'"{name}":[', rows(df, _replaced(made, JSON_SIGNS), *order, separator=","), "]"]
 
 
+def _objects_of(parts: list[tuple[str, DataFrame, tuple[str, ...]]], first: bool = False) -> Iterator[Piece]:
+    """Members one after the other; a comma stands before all but the ``first``."""
+    for i, (name, frame, order) in enumerate(parts):
+        if i or not first:
+            yield ","
+        yield from _objects(name, frame, *order)
+
+
 def summary_json(summary: Summary) -> Iterator[Piece]:
     """Facts, findings, statistics, compliance and warnings of one document as one JSON object."""
     yield _escaped('{"info":' + json.dumps(summary.facts))
@@ -127,7 +156,7 @@ def summary_json(summary: Summary) -> Iterator[Piece]:
 
 
 def report_json(report: Report) -> Iterator[Piece]:
-    """Overview, findings, diff and violations as one JSON object."""
+    """Overview, findings, diff with its body, violations, compliance and warnings as one JSON object."""
     d = report.diff
     changed = d.changed.select("id", "name", "drift", F.col("b.version").alias("before"), F.col("a.version").alias("after"), fn.change_strings(*[F.col(f"{s}.{c}") for c in ("version", "licenses", "hashes") for s in ("b", "a")]).alias("changes"))
     parts = [(name, frame, order) for name, frame, order in (("overview", report.overview, ()), ("findings", report.findings, ("finding_ordinal",)), ("added", d.added, ("id",)), ("removed", d.removed, ("id",)), ("changed", changed, ("id",)), ("violations", report.violations, ("rule_ordinal", "message")), ("compliance", report.compliance, ("standard", "check"))) if frame is not None]
@@ -136,6 +165,15 @@ def report_json(report: Report) -> Iterator[Piece]:
         if i:
             yield ","
         yield from _objects(name, frame, *order)
+    if report.body is not None:
+        b = report.body
+        yield from _objects_of([("drift_summary", d.drift_summary(), ()), ("added_by_type", samples_by_type(d.added), ("type", "rank")), ("removed_by_type", samples_by_type(d.removed), ("type", "rank"))])
+        yield ',"duplicates":{'
+        yield from _objects_of([("before", b.duplicates_before, ("id",)), ("after", b.duplicates_after, ("id",)), ("version_diff", b.duplicate_versions, ("id",)), ("collisions", b.collisions, ("id", "reason"))], first=True)
+        yield '},"dependencies":{'
+        n = b.dependencies
+        yield from _objects_of([("added_deps", n.added, ("src_id",)), ("removed_deps", n.removed, ("src_id",)), ("transitive_new", n.transitive_new, ("target",)), ("transitive_lost", n.transitive_lost, ("target",)), ("depth_summary", n.summary(), ())], first=True)
+        yield _escaped(f'}},"context":{json.dumps(b.facts)},"warnings":{json.dumps(b.warnings)}')
     yield "}"
 
 
@@ -204,21 +242,23 @@ def _coverage() -> list[Column]:
 
 def _overview(overview: DataFrame) -> Section:
     """Both sides beside each other: totals and coverage."""
-    sides = {r.side: r for r in overview.select("side", F.col("total").cast("string").alias("total"), *_coverage()).collect()}  # two rows
+    sides = {r.side: r for r in overview.select("side", F.col("total").cast("string").alias("total"), *_coverage(), *[F.col(c).cast("string").alias(c) for c in DEPENDENCIES if c in overview.columns]).collect()}  # two rows
     value = lambda side, c: sides[side][c] if side in sides else "0"
-    return _small(overview.sparkSession, "Overview", ["", "Before", "After"], [(label, value("before", c), value("after", c)) for c, label in ({"total": "Packages"} | COVERAGE).items()])
+    counted = {c: label for c, label in DEPENDENCIES.items() if c in overview.columns}
+    return _small(overview.sparkSession, "Overview", ["", "Before", "After"], [(label, value("before", c), value("after", c)) for c, label in ({"total": "Packages"} | COVERAGE | counted).items()])
 
 
-def _summary_sections(s: Summary) -> Iterator[Section]:
+def _summary_sections(s: Summary, licenses: int) -> Iterator[Section]:
     spark = s.stats.sparkSession
     yield _small(spark, "Scan context", ["Field", "Value"], [(label, s.facts[k]) for k, label in CONTEXT.items() if s.facts.get(k)])
     yield Section("Key findings", ["Finding"], s.findings.select("message", "finding_ordinal"), ("finding_ordinal",))
-    stats = s.stats.select("total", *_coverage(), *[f"lic_{c}" for c in CATEGORIES]).first()
-    yield _small(spark, "Statistics", ["Measure", "Value"], [(label, stats[c]) for c, label in ({"total": "Components"} | COVERAGE).items()])
+    counted = {c: label for c, label in DEPENDENCIES.items() if c in s.stats.columns}
+    stats = s.stats.select("total", *_coverage(), *counted, *[f"lic_{c}" for c in CATEGORIES]).first()
+    yield _small(spark, "Statistics", ["Measure", "Value"], [(label, stats[c]) for c, label in ({"total": "Components"} | COVERAGE | counted).items()])
     yield Section("By package type", ["Type", "Count"], s.types.select("key", "count"), ("key",))
     kinds = s.licenses.count()
-    first = top(s.licenses, LICENSES).select("key", "count").orderBy(F.desc("count"), "key").collect()  # LICENSES rows at most
-    more = [("...and more", kinds - LICENSES)] if kinds > LICENSES else []
+    first = top(s.licenses, licenses).select("key", "count").orderBy(F.desc("count"), "key").collect()  # few rows
+    more = [("...and more", kinds - licenses)] if kinds > licenses else []
     yield _small(spark, "Top licenses", ["License", "Count"], [*map(tuple, first), *more])
     yield _small(spark, "License categories", ["Category", "Count"], [(c, stats[f"lic_{c}"]) for c in CATEGORIES])
     yield Section("Duplicates", ["Name", "Versions"], s.duplicates.select("name", F.array_join("versions", ", ").alias("versions")), ("name", "versions"))
@@ -226,10 +266,30 @@ def _summary_sections(s: Summary) -> Iterator[Section]:
     yield _small(spark, "Warnings", ["Message"], [(w,) for w in s.warnings])
 
 
-def _sections(report: Report | Summary) -> Iterator[Section]:
+def _body_sections(d: DiffResult, b: Body) -> Iterator[Section]:
+    """Changes in full, duplicates, collisions, dependencies and warnings of a diff."""
+    listed = lambda c: F.array_join(c, ", ")
+    said = d.changed.select("name", F.posexplode(fn.change_strings(*[F.col(f"{s}.{c}") for c in ("version", "licenses", "hashes") for s in ("b", "a")])).alias("at", "change"), "id")
+    yield Section("Changes", ["Name", "Change"], said.select("name", "change", "id", "at"), ("name", "id", "at"))
+    for side, frame in (("first", b.duplicates_before), ("second", b.duplicates_after)):
+        yield Section(f"Duplicates in {side} document", ["Name", "Versions"], frame.select("name", listed("versions").alias("versions"), "id"), ("name", "id"))
+    yield Section("Duplicate groups that differ", ["Id", "Status", "Versions added", "Versions removed"], b.duplicate_versions.select("id", "status", listed("versions_added").alias("plus"), listed("versions_removed").alias("minus")), ("id",))
+    yield Section("Identity collisions", ["Reason", "Id", "Components"], b.collisions.select("reason", "id", listed("components").alias("components")), ("id", "reason"))
+    n = b.dependencies
+    for title, frame in (("Added dependencies", n.added), ("Removed dependencies", n.removed)):
+        yield Section(title, ["Component", "Dependencies"], frame.select("src_id", listed("targets").alias("targets")), ("src_id",))
+    yield Section("New transitive dependencies", ["Target", "Depth", "Via"], n.transitive_new.select("target", "depth", F.array_join("path", " > ").alias("via")), ("target",))
+    yield Section("Removed transitive dependencies", ["Target", "Depth"], n.transitive_lost.select("target", "depth"), ("target",))
+    yield Section("New dependencies by depth", ["1 (direct)", "2", "3+"], n.summary(), ())
+    spark, of = d.rows.sparkSession, lambda side, k: b.facts.get(side, {}).get(k) or "(none)"
+    yield _small(spark, "Scan context", ["Field", "Before", "After"], [(label, of("before", k), of("after", k)) for k, label in CONTEXT.items() if any(f.get(k) for f in b.facts.values())])
+    yield _small(spark, "Warnings", ["Message"], [(w,) for w in b.warnings])
+
+
+def _sections(report: Report | Summary, licenses: int = LICENSES) -> Iterator[Section]:
     """The tables of a readable report."""
     if isinstance(report, Summary):
-        yield from _summary_sections(report)
+        yield from _summary_sections(report, licenses)
         return
     d = report.diff
     if report.overview is not None:
@@ -242,6 +302,8 @@ def _sections(report: Report | Summary) -> Iterator[Section]:
         yield Section(f"{title} by type, first five of each", ["Type", "Total", "Id", "Rank"], samples_by_type(side).select("type", "total", "id", "rank"), ("type", "rank"))
         yield Section(title, ["Name", "Version"], side.select("name", "version"), ("name", "version"))
     yield Section("Changed", ["Name", "Before", "After", "Drift"], d.changed.select("name", F.col("b.version").alias("before"), F.col("a.version").alias("after"), "drift"), ("name", "before"))
+    if report.body is not None:
+        yield from _body_sections(d, report.body)
     if report.violations is not None:
         yield Section("Policy", ["Severity", "Rule", "Message"], report.violations.select("severity", "rule", "message"), ("rule", "message"))
     if report.compliance is not None:
@@ -271,7 +333,7 @@ def html(report: Report | Summary) -> Iterator[Piece]:
 
 
 def text(report: Report | Summary) -> Iterator[Piece]:
-    for s in _sections(report):
+    for s in _sections(report, TEXT_LICENSES):
         yield f"{s.title} ({', '.join(s.heads).lower()})"
         yield _table(s, lambda c: c, "  ", "  ", "")
 
