@@ -97,11 +97,11 @@ def mix(docs: DataFrame, weights: Sequence[int] = (5, 2, 1), share: float = 1.0,
     size = F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long")
     texts = materialize(docs.withColumn(ROW, F.monotonically_increasing_id()), "texts", "zstd") if with_texts else None
     row = F.monotonically_increasing_id() if texts is None else F.col(ROW)
-    slim = materialize((docs if texts is None else texts).select(F.col(id_col).cast("long").alias("doc_id"), src.alias("src"), size.alias("size"), row.alias("row")), "sizes")
+    slim = materialize((docs if texts is None else texts).select(F.col(id_col).cast("long").alias("doc_id"), src.alias("src"), size.alias("size"), row.alias("row"), F.xxhash64(text).alias("same")), "sizes")
     # Two levels of running sums: within buckets of about the square root of all rows, then over buckets.
     n = slim.count()
     buckets = max(1, round(n / max(512, n**0.5)))
-    slim = slim.withColumn("bucket", F.pmod(F.xxhash64("doc_id"), F.lit(buckets)))
+    slim = slim.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "size", "same"), F.lit(buckets)))  # also rows without id are spread
     per_bucket = slim.groupBy("src", "bucket").agg(F.sum("size").alias("words"))
     before = Window.partitionBy("src").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     per_bucket = per_bucket.withColumn("base", F.coalesce(F.sum("words").over(before), F.lit(0)))
@@ -118,8 +118,8 @@ def mix(docs: DataFrame, weights: Sequence[int] = (5, 2, 1), share: float = 1.0,
     past_short = F.col("need") > (F.col("short") + 1) * length - F.col("lacks")
     sources = materialize(sources.withColumn("slots", F.col("passes") * F.col("blocks") + F.coalesce(F.ceil((F.col("need") + F.when(past_short, F.col("lacks")).otherwise(0)) / length), F.lit(0))), "sources")
     placed = per_bucket.join(sources.select("src", "source_size", "target"), "src").select("src", "bucket", "base", "source_size", "target")
-    within = Window.partitionBy("src", "bucket").orderBy("doc_id", "size", "row").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    rows = materialize(slim.join(placed, ["src", "bucket"]).withColumn("begin", F.col("base") + F.sum("size").over(within) - F.col("size")).drop("base", "bucket"), "placed")
+    within = Window.partitionBy("src", "bucket").orderBy("doc_id", "size", "same", "row").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = materialize(slim.join(placed, ["src", "bucket"]).withColumn("begin", F.col("base") + F.sum("size").over(within) - F.col("size")).drop("base", "bucket", "same"), "placed")
 
     n_slots = sources.agg(F.sum("slots")).first()[0] or 0
     shards = materialize(shard_counts(sources, n_slots, max(shard_slots, isqrt(n_slots)), seed + 2), "shards")

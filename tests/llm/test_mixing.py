@@ -118,3 +118,15 @@ def test_shards_draw_multinomial_counts(spark):
     assert 2.5 < chi.mean() < 3.6  # three degrees of freedom
     again = shard_counts(sources.repartition(3), 100_000, 250, seed=3).collect()
     assert sorted(map(tuple, again)) == sorted(map(tuple, rows))
+
+
+def test_rows_without_id_are_spread_over_buckets(spark):
+    from pyspark.sql import functions as F
+
+    docs = spark.range(100_000).select(F.lit(None).cast("long").alias("doc_id"), F.concat_ws(" ", F.lit("w"), F.col("id").cast("string")).alias("text"), F.lit("one").alias("source"))
+    n, buckets = 100_000, round(100_000**0.5)
+    sizes = docs.groupBy(F.pmod(F.xxhash64("doc_id", F.lit(2).cast("long"), F.xxhash64("text")), F.lit(buckets))).count()
+    assert sizes.agg(F.max("count")).first()[0] < 3 * n / buckets
+    m = mix(docs, (5, 2, 1), with_texts=False)
+    got = taken_words(m).agg(F.sum("taken").alias("t"), F.count("*").alias("n"), F.max("taken").alias("most")).first()
+    assert (got.n, got.t) == (n, 2 * n) and got.most <= 6
