@@ -7,7 +7,7 @@ layout, which executors walk for whole batches at once in numpy.
 Defined results: null texts count as empty and get a score too. Labels that are null or of
 unknown documents are not learnt from; with no usable label every score is 0.5. A null id
 hashes as the empty string. Repeated rows score alike; of rows that share an id one text is
-learnt from, that of the least hash. Texts are measured whole, however long; scores that tie
+learnt from, that of the least hash, with the largest of its labels. Texts are measured whole, however long; scores that tie
 stay tied. Extra columns are ignored.
 """
 

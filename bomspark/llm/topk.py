@@ -15,7 +15,7 @@ How much is read depends on the data: a third of it where a few dimensions carry
 all of it where many even dimensions do, as they must be for an exact answer.
 
 Defined results: vectors that are null, or hold null, NaN or infinite components, take no
-part. Shorter vectors are padded with zeros. Repeated rows with one id are each a candidate,
+part, nor do rows without id. Shorter vectors are padded with zeros. Repeated rows with one id are each a candidate,
 but never for a query with that id; repeated query rows count once. An empty table gives an
 empty result. Components are floored as doubles; their scaled values must be below 2**26 in
 size, so that scores are exact (an error says so otherwise).
