@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
-from ..tables import settle
+from ..tables import settle, shared_folder
 from .bundle import Bundle
 
 
@@ -63,14 +63,16 @@ def resolve_refs(nodes: DataFrame, refs: DataFrame) -> DataFrame:
 
 
 def with_ancestors(matches: DataFrame, edges: DataFrame, most: int = 1000) -> DataFrame:
-    """The matching ids and everything above them, one level up per round; chains longer than ``most`` are an error."""
+    """The matching ids and everything above them, one level up per round, added to the folder of those
+    before it; chains longer than ``most`` are an error."""
+    spark, folder = matches.sparkSession, shared_folder(matches.sparkSession, "ancestors")
     up = settle(edges.select("src_id", "dst_id").distinct(), "up")
-    level = settle(matches.select("id").distinct(), "level")
-    found = level
-    for _ in range(most):
-        step = level.join(up, F.col("id") == F.col("dst_id")).select(F.col("src_id").alias("id")).distinct().join(found, "id", "left_anti")
-        level = settle(step, "level")
-        if level.isEmpty():
-            return found
-        found = settle(found.unionByName(level), "found")
+    matches.select("id").distinct().write.parquet(f"{folder}/level=0")
+    found = lambda part="": spark.read.schema("id string").parquet(folder + part).select("id")
+    for level in range(1, most + 1):
+        step = found(f"/level={level - 1}").join(up, F.col("id") == F.col("dst_id")).select(F.col("src_id").alias("id")).distinct().join(found(), "id", "left_anti")
+        seen = Observation()
+        step.observe(seen, F.count(F.lit(1)).alias("n")).write.parquet(f"{folder}/level={level}")
+        if not seen.get["n"]:
+            return found()
     raise RuntimeError(f"chains are longer than {most}")

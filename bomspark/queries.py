@@ -476,3 +476,23 @@ snap("prj_list_rows", "SELECT ordinal, name || ' ' || version AS title, 'Type: '
 _lines = lambda s: lines.document(s.after.sparkSession, [lines.rows(s.after, F.concat_ws(" ", "name", "version"), "ordinal")])
 BOUND = 5000
 snap("snk_bounded", f"SELECT CASE WHEN start + n <= {BOUND} THEN line ELSE substr(line, 1, CAST({BOUND} - start AS BIGINT)) END AS line FROM (SELECT line, length(line) + 1 AS n, sum(length(line) + 1) OVER (ORDER BY ordinal) - length(line) - 1 AS start FROM (SELECT ordinal, name || ' ' || version AS line FROM a)) WHERE start < {BOUND} UNION ALL SELECT CASE i WHEN 0 THEN '' WHEN 1 THEN '_' || (SELECT count(*) FILTER (upto - 1 > {BOUND}) FROM (SELECT sum(length(name || ' ' || version) + 1) OVER (ORDER BY ordinal) AS upto FROM a)) || ' lines are cut or left out._' ELSE '{lines.CUT}' END FROM range(3) t(i) WHERE (SELECT sum(length(name || ' ' || version) + 1) - 1 FROM a) > {BOUND}")(lambda s: lines.bounded(_lines(s), BOUND))
+
+
+# Findings over facts that come from the tables.
+def table_facts(spark: SparkSession, sf_dir: str, key: int) -> dict:
+    """The facts of one document: a nation's name and region, and how many line items there are."""
+    row = read(spark, sf_dir, "nation").where(C("n_nationkey") == key).join(read(spark, sf_dir, "region"), C("n_regionkey") == C("r_regionkey")).first()
+    lines_of = read(spark, sf_dir, "lineitem").where(C("l_suppkey") % 25 == key).count()
+    return {"os_name": row.n_name, "os_version": f"{row.n_nationkey}.{row.n_regionkey}", "search_scope": row.r_name, "schema_version": f"16.0.{key}", "files_count": lines_of}
+
+
+SYSTEM = "n_name || CASE WHEN contains(n_name, n_nationkey || '.' || n_regionkey) THEN '' ELSE ' ' || n_nationkey || '.' || n_regionkey END"
+query("fnd_os_table", f"SELECT 'OS/Distro: ' || {SYSTEM} AS message FROM nation WHERE n_nationkey = 3", "")(lambda spark, d: findings.operating_system(spark, table_facts(spark, d, 3)).select("message"))
+query("fnd_files_table", "SELECT format('{:,}', count(*)) || ' files tracked on filesystem' AS message FROM lineitem WHERE l_suppkey % 25 = 3 HAVING count(*) > 0", "")(lambda spark, d: findings.files(spark, table_facts(spark, d, 3)).select("message"))
+query("fnd_context_table", "SELECT 'Warning: scan scope changed (' || x.r_name || ' → ' || y.r_name || ') — diff may reflect scan depth, not system changes' AS message FROM (SELECT * FROM nation JOIN region ON n_regionkey = r_regionkey WHERE n_nationkey = 3) x, (SELECT * FROM nation JOIN region ON n_regionkey = r_regionkey WHERE n_nationkey = 6) y WHERE x.r_name <> y.r_name UNION ALL SELECT 'Warning: schema version changed (16.0.3 → 16.0.6) — PURL format may differ'", "")(
+    lambda spark, d: findings.context(spark, table_facts(spark, d, 3), table_facts(spark, d, 6)).select("message")
+)
+query("fnd_os_change_table", "SELECT 'OS changed: ' || x.n_name || ' → ' || y.n_name AS message FROM nation x, nation y WHERE x.n_nationkey = 3 AND y.n_nationkey = 6 AND x.n_name <> y.n_name", "")(lambda spark, d: findings.os_change(spark, table_facts(spark, d, 3), table_facts(spark, d, 6)).select("message"))
+snap("fnd_quality_all", "SELECT 'Low ' || what || ' coverage: ' || printf('%.1f', CAST(total - missing AS DOUBLE) / total * 100) || '% (' || missing || ' of ' || total || ' missing)' AS message FROM (SELECT unnest(['license', 'hash', 'PURL']) AS what, unnest([50, 50, 80]) AS least, unnest([lic, hash, purl]) AS missing, total FROM (SELECT count(*) AS total, count(*) FILTER (ordinal % 7 < 4 OR lic = '') AS lic, count(*) FILTER (hash = '') AS hash, count(*) FILTER (ordinal % 4 = 1) AS purl FROM a)) WHERE (total - missing) * 100.0 / total < least")(
+    lambda s: findings.quality(profile.profile(s.after.withColumn("licenses", F.when(C("ordinal") % 7 < 4, F.array().cast("array<string>")).otherwise(C("licenses"))).withColumn("purl", F.when(C("ordinal") % 4 == 1, "").otherwise(C("purl"))))).select("message")
+)
