@@ -52,6 +52,7 @@ class Bundle:
         """From components (id) and edges (src_id, dst_id, adj_ordinal) of each side."""
         known = reduce(DataFrame.unionByName, [c.select("id", F.lit(s).alias("side")) for s, (c, _) in sides.items()])
         edges = reduce(DataFrame.unionByName, [e.select(F.lit(s).alias("side"), "src_id", "dst_id", F.col("adj_ordinal").cast("long").alias("at")) for s, (_, e) in sides.items()])
+        edges = settle(edges, "edges")  # read for the nodes and again for the lists
         ends = edges.select(F.explode(F.array("src_id", "dst_id")).alias("id"), F.lit(None).cast("string").alias("side"))
         nodes = settle(numbered(known.unionByName(ends).groupBy("id").agg(F.collect_set("side").alias("sides")), "node", "id"), "nodes")
         number = lambda end: nodes.select(F.col("id").alias(f"{end}_id"), F.col("node").alias(end))
