@@ -76,14 +76,25 @@ def borders(data: np.ndarray, least: int = 10, bits: int = 4, most: int = 80) ->
     return np.array(out)
 
 
+#: Characters (80 bytes and the rest of a character at most), words in the chunk, in the one before, in the one after.
+SHAPE = {"length": 21, "words": 14, "before": 7, "after": 0}
+
+
 def _keyed(texts: DataFrame, id_col: str, text: str) -> DataFrame:
     doc = F.col(id_col).cast("long")
     return texts.select(doc.isNull().alias("no_id"), F.coalesce(doc, F.lit(0)).alias("doc_id"), F.xxhash64(text).alias("text_id"), F.col(text).alias("text"))
 
 
 def chunks(texts: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """Every chunk of every text: row, doc_id (0 if no_id), text_id, idx, digest, digest2, start and length in characters, words in it and in the chunks before and after."""
-    names = ("row", "no_id", "doc_id", "text_id", "idx", "digest", "digest2", "start", "length", "words", "before", "after")
+    """Every chunk of every text: row, doc_id (0 if no_id), digest, digest2, start in characters, shape, text_id (on a row's first chunk only).
+
+    ``shape`` holds four small numbers in one, as every chunk is shuffled twice: see SHAPE."""
+    names = ("row", "no_id", "doc_id", "digest", "digest2", "start", "shape", "text_id")
+
+    def frame(parts: list[tuple[np.ndarray, ...]]) -> pd.DataFrame:
+        out = pd.DataFrame(dict(zip(names, map(np.concatenate, zip(*parts, strict=True)), strict=True)))
+        out["text_id"] = out["text_id"].astype("Int64").where(out["start"] == 0)
+        return out
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -102,40 +113,64 @@ def chunks(texts: DataFrame, id_col: str = "doc_id", text: str = "text") -> Data
                 digest = np.frombuffer(b"".join([hashlib.blake2b(raw[a:b], digest_size=12).digest() for a, b in zip(begins.tolist(), ends.tolist(), strict=True)]), DIGEST)
                 n, words = len(ends), heads[ends] - heads[begins]
                 beside = np.concatenate(([0], words, [0]))
-                parts.append((np.full(n, row), np.full(n, no_id), np.full(n, doc), np.full(n, text_id), np.arange(n), digest["digest"], digest["digest2"], chars[begins], chars[ends] - chars[begins], words, beside[:-2], beside[2:]))
+                shape = ((chars[ends] - chars[begins]) << 21) | (words << 14) | (beside[:-2] << 7) | beside[2:]
+                parts.append((np.full(n, row), np.full(n, no_id), np.full(n, doc), digest["digest"], digest["digest2"], chars[begins], shape, np.full(n, text_id)))
                 size += n
                 if size > 100_000:
-                    yield pd.DataFrame(dict(zip(names, map(np.concatenate, zip(*parts, strict=True)), strict=True)))
+                    yield frame(parts)
                     parts, size = [], 0
             if parts:
-                yield pd.DataFrame(dict(zip(names, map(np.concatenate, zip(*parts, strict=True)), strict=True)))
+                yield frame(parts)
 
     keyed = _keyed(texts, id_col, text).withColumn("row", F.monotonically_increasing_id())
-    return keyed.mapInPandas(cut, "row long, no_id boolean, doc_id long, text_id long, idx int, digest long, digest2 int, start int, length int, words int, before int, after int")
+    return keyed.mapInPandas(cut, "row long, no_id boolean, doc_id long, digest long, digest2 int, start int, shape int, text_id long")
+
+
+def _written(df: DataFrame, name: str) -> DataFrame:
+    """A table in the shared folder; the shuffles that it took are removed as soon as it stands."""
+    conf, key = df.sparkSession.conf, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = conf.get(key, None)
+    conf.set(key, "true")
+    try:
+        return materialize(df, name)
+    finally:
+        conf.unset(key) if before is None else conf.set(key, before)
 
 
 def _islands(all_chunks: DataFrame) -> DataFrame:
     """Runs of neighbouring repeated chunks of a row, with the first occurrence's place for both ends."""
     key = ["digest", "digest2"]
-    place = F.struct("no_id", "doc_id", "row", "start", "text_id")
-    counted = all_chunks.groupBy(*key).agg(F.count("*").alias("n"), F.min(place).alias("one")).where("n > 1")
-    hits = all_chunks.join(materialize(counted.select(*key, "one"), "repeated"), key)
-    hits = hits.withColumn("island", F.col("idx") - F.row_number().over(Window.partitionBy("row").orderBy("idx")))
-    end = F.col("start") + F.col("length")
-    return hits.groupBy("row", "no_id", "doc_id", "text_id", "island").agg(
+    counted = all_chunks.groupBy(*key).agg(F.count("*").alias("n"), F.min(F.struct("no_id", "doc_id", "row", "start")).alias("one")).where("n > 1")
+    repeated = _written(counted.select(*key, "one"), "repeated")
+    shape = {name: F.shiftright("shape", at).bitwiseAND(127) for name, at in SHAPE.items()}
+    hits = all_chunks.select("row", "no_id", "doc_id", *key, "start", "shape").join(repeated, key).drop(*key).withColumns(shape)
+    end, order = F.col("start") + F.col("length"), Window.partitionBy("row").orderBy("start")
+    hits = hits.withColumn("opens", F.coalesce(F.lag(end).over(order) != F.col("start"), F.lit(True))).withColumn("island", F.count_if("opens").over(order))
+    return hits.groupBy("row", "no_id", "doc_id", "island").agg(
         F.min("start").alias("start"),
         F.max(end).alias("end"),
         F.sum("words").alias("words"),
         F.count("*").alias("n_chunks"),
         F.min((F.col("one.row") == F.col("row")) & (F.col("one.start") == F.col("start"))).alias("first"),
         F.min(F.when(~F.col("one.no_id"), F.col("one.doc_id"))).alias("first_doc_id"),
-        F.min_by(F.struct("one.no_id", "one.doc_id", "one.text_id", F.col("one.start").alias("at")), "idx").alias("left"),
-        F.max_by(F.struct("one.no_id", "one.doc_id", "one.text_id", (F.col("one.start") + F.col("length")).alias("at")), "idx").alias("right"),
-        F.min_by("before", "idx").alias("before"),
-        F.max_by("after", "idx").alias("after"),
+        F.min_by(F.struct("one.no_id", "one.doc_id", "one.row", F.col("one.start").alias("at")), "start").alias("left"),
+        F.max_by(F.struct("one.no_id", "one.doc_id", "one.row", (F.col("one.start") + F.col("length")).alias("at")), "start").alias("right"),
+        F.min_by("before", "start").alias("before"),
+        F.max_by("after", "start").alias("after"),
     ).drop("island")
 
 
+def _with_texts(spans: DataFrame, all_chunks: DataFrame) -> DataFrame:
+    """``spans`` with text_id, and with left and right as places in texts."""
+    texts = all_chunks.where("start = 0").select("row", "text_id")
+    out = spans.join(texts, "row")
+    for side in ("left", "right"):
+        other = texts.select(F.col("row").alias("other_row"), F.col("text_id").alias("other_text"))
+        place = F.struct(f"{side}.no_id", f"{side}.doc_id", F.col("other_text").alias("text_id"), f"{side}.at")
+        out = out.join(other, F.col(f"{side}.row") == F.col("other_row")).withColumn(side, place).drop("other_row", "other_text")
+    return out
+
+
 TEXT_KEY = ["no_id", "doc_id", "text_id"]
 PLACE = [*TEXT_KEY, "side", "at"]
 
@@ -181,7 +216,7 @@ def _growth(spans: DataFrame, docs: DataFrame, id_col: str, text: str) -> DataFr
     def places(of: str) -> DataFrame:
         return edges.select(*(f"{of}.{c}" for c in TEXT_KEY), "side", f"{of}.at")
 
-    contexts = materialize(_beside(places("own").union(places("other")), docs, id_col, text), "contexts")
+    contexts = _written(_beside(places("own").union(places("other")), docs, id_col, text), "contexts")
 
     def named(of: str) -> DataFrame:
         return contexts.select("side", F.struct(*TEXT_KEY, "at").alias(of), F.col("context").alias(f"{of}_context"))
@@ -222,8 +257,9 @@ def _joined(spans: DataFrame) -> DataFrame:
 
 def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text: str = "text", min_words: int = 12) -> DataFrame:
     """doc_id, start, length (characters), words, n_chunks, first, first_doc_id: spans that stand elsewhere too."""
-    spans = _islands(materialize(chunks(docs, id_col, text), "chunks"))
-    spans = materialize(spans.where(F.col("words") + F.col("before") + F.col("after") >= min_words), "spans")
+    all_chunks = _written(chunks(docs, id_col, text), "chunks")
+    spans = _islands(all_chunks).where(F.col("words") + F.col("before") + F.col("after") >= min_words)
+    spans = _written(_with_texts(_written(spans, "islands"), all_chunks), "spans")
     growth = _growth(spans, docs, id_col, text)
     for side, at, name in ((0, "start", "left_more"), (1, "end", "right_more")):
         mine = growth.where(F.col("side") == side).select(*TEXT_KEY, F.col("at").alias(at), F.col("more").alias(name))
