@@ -38,6 +38,9 @@ GEAR = np.random.default_rng(20240501).integers(0, 1 << 16, 256, dtype=np.uint16
 DIGEST = np.dtype([("digest", "<i8"), ("digest2", "<i4")])
 #: Characters that a span can grow by at each end: two of the longest chunks, after which borders agree again.
 REACH = 160
+#: What names a text, and a place in one.
+TEXT_KEY = ["no_id", "doc_id", "text_id"]
+PLACE = [*TEXT_KEY, "side", "at"]
 SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
 
 
@@ -141,40 +144,38 @@ def _islands(all_chunks: DataFrame) -> DataFrame:
     """Runs of neighbouring repeated chunks of a row, with the first occurrence's place for both ends."""
     key = ["digest", "digest2"]
     counted = all_chunks.groupBy(*key).agg(F.count("*").alias("n"), F.min(F.struct("no_id", "doc_id", "row", "start")).alias("one")).where("n > 1")
-    repeated = _written(counted.select(*key, "one"), "repeated")
+    one = [F.col("one.row").alias("one_row"), F.when(~F.col("one.no_id"), F.col("one.doc_id")).alias("one_doc"), F.col("one.start").alias("one_start")]
+    repeated = _written(counted.select(*key, *one), "repeated")
     shape = {name: F.shiftright("shape", at).bitwiseAND(127) for name, at in SHAPE.items()}
-    hits = all_chunks.select("row", "no_id", "doc_id", *key, "start", "shape").join(repeated, key).drop(*key).withColumns(shape)
+    hits = all_chunks.select("row", *key, "start", "shape").join(repeated, key).drop(*key)
     end, order = F.col("start") + F.col("length"), Window.partitionBy("row").orderBy("start")
+    hits = hits.repartition("row").withColumns(shape)  # sizes stay packed in the shuffle
     hits = hits.withColumn("opens", F.coalesce(F.lag(end).over(order) != F.col("start"), F.lit(True))).withColumn("island", F.count_if("opens").over(order))
-    return hits.groupBy("row", "no_id", "doc_id", "island").agg(
+    return hits.groupBy("row", "island").agg(
         F.min("start").alias("start"),
         F.max(end).alias("end"),
         F.sum("words").alias("words"),
         F.count("*").alias("n_chunks"),
-        F.min((F.col("one.row") == F.col("row")) & (F.col("one.start") == F.col("start"))).alias("first"),
-        F.min(F.when(~F.col("one.no_id"), F.col("one.doc_id"))).alias("first_doc_id"),
-        F.min_by(F.struct("one.no_id", "one.doc_id", "one.row", F.col("one.start").alias("at")), "start").alias("left"),
-        F.max_by(F.struct("one.no_id", "one.doc_id", "one.row", (F.col("one.start") + F.col("length")).alias("at")), "start").alias("right"),
+        F.min((F.col("one_row") == F.col("row")) & (F.col("one_start") == F.col("start"))).alias("first"),
+        F.min("one_doc").alias("first_doc_id"),
+        F.min_by(F.struct(F.col("one_row").alias("row"), F.col("one_start").alias("at")), "start").alias("left"),
+        F.max_by(F.struct(F.col("one_row").alias("row"), (F.col("one_start") + F.col("length")).alias("at")), "start").alias("right"),
         F.min_by("before", "start").alias("before"),
         F.max_by("after", "start").alias("after"),
     ).drop("island")
 
 
 def _with_texts(spans: DataFrame, all_chunks: DataFrame) -> DataFrame:
-    """``spans`` with text_id, and with left and right as places in texts."""
-    texts = all_chunks.where("start = 0").select("row", "text_id")
+    """``spans`` with their rows' ids and text_id, and with left and right as places in texts."""
+    texts = all_chunks.where("start = 0").select("row", *TEXT_KEY)
     out = spans.join(texts, "row")
     for side in ("left", "right"):
-        other = texts.select(F.col("row").alias("other_row"), F.col("text_id").alias("other_text"))
-        place = F.struct(f"{side}.no_id", f"{side}.doc_id", F.col("other_text").alias("text_id"), f"{side}.at")
-        out = out.join(other, F.col(f"{side}.row") == F.col("other_row")).withColumn(side, place).drop("other_row", "other_text")
+        other = texts.select(F.col("row").alias("other_row"), F.struct(*TEXT_KEY).alias("other"))
+        place = F.struct(*(f"other.{c}" for c in TEXT_KEY), f"{side}.at")
+        out = out.join(other, F.col(f"{side}.row") == F.col("other_row")).withColumn(side, place).drop("other_row", "other")
     return out
 
 
-TEXT_KEY = ["no_id", "doc_id", "text_id"]
-PLACE = [*TEXT_KEY, "side", "at"]
-
-
 def _beside(requests: DataFrame, docs: DataFrame, id_col: str, text: str) -> DataFrame:
     """PLACE, context: the characters on the outer side of each place, with one more that tells where a word begins."""
 
