@@ -234,7 +234,7 @@ def _growth(spans: DataFrame, docs: DataFrame, id_col: str, text: str) -> DataFr
                 yield out[out["n"] > 0]
 
     longest = flat.mapInPandas(compare, "no_id boolean, doc_id long, text_id long, side int, at int, n int, more string")
-    return longest.groupBy(*PLACE).agg(F.max(F.struct("n", "more")).alias("m")).select(*PLACE, F.col("m.more").alias("more"))
+    return _written(longest.groupBy(*PLACE).agg(F.max(F.struct("n", "more")).alias("m")).select(*PLACE, F.col("m.more").alias("more")), "growth")
 
 
 def _joined(spans: DataFrame) -> DataFrame:
