@@ -135,7 +135,7 @@ def _written(df: DataFrame, name: str) -> DataFrame:
     before = conf.get(key, None)
     conf.set(key, "true")
     try:
-        return materialize(df, name)
+        return materialize(df, name, "zstd")
     finally:
         conf.unset(key) if before is None else conf.set(key, before)
 
