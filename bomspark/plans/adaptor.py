@@ -18,6 +18,7 @@ def components(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Both snapshots with a ``side`` column; ordinal is the part key."""
     k, after = F.col("k"), F.col("side") == "after"
     p = read(spark, sf_dir, "part").select(F.col("p_partkey").alias("k"), "p_name", "p_brand", "p_type", "p_size")
+    p = p.repartition("k")  # a small file of many rows comes in few tasks
     p = p.withColumn("side", F.explode(F.when(k % 10 == 3, F.array(F.lit("after"))).when(k % 10 == 7, F.array(F.lit("before"))).otherwise(F.array(F.lit("before"), F.lit("after")))))
     kind = F.element_at(F.array(*map(F.lit, ("npm", "rpm/amzn", "pypi", "maven/org", "golang"))), (k % 5 + 1).cast("int"))
     major = F.col("p_size") + 1 - F.when(after & (k % 11 == 0), 1).otherwise(0)

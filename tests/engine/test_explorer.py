@@ -234,3 +234,15 @@ def test_the_newest_run_with_the_artifact(spark):
     assert pick(runs) == [(5, 5)] and pick(runs, "logs") == [(6, 4)] and pick(runs, "none") == []
     with pytest.raises(Exception, match="several artifacts"):
         pick(runs.where("run_id = 4"))
+
+
+def test_the_list_filter_takes_a_text_apart_once(spark):
+    df = spark.createDataFrame([("lib/" * 400 + "npm it",)], "t string")
+    plan = df.select(listing.subsequence_score(F.col("t"), "npmit").alias("s"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("split(") == 1
+    odd = ["n\np\nm i\tt", "NPMIT", "npmi", "tnpmi", "nppmmiitt", "%n_p.m]i[t", "npKit", "nİpmit", "", "ΣnpmitΣ", "n" * 50 + "pmit"]
+    df = spark.createDataFrame(list(enumerate(odd)), "ordinal int, name string").withColumns({"purl": F.lit(""), "licenses": F.array().cast("array<string>")})
+    for pattern in ("npmit", "k", "]", "^i", "%", "σn", "it"):
+        want = {i: brute_score(t + "  ", pattern) for i, t in enumerate(odd) if "İ" not in t}  # lower-cased to two characters by Python
+        got = {r.ordinal: r.score for r in listing.ranked(df, pattern).collect() if r.ordinal in want}
+        assert got == {i: s for i, s in want.items() if s is not None}, pattern
