@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scalars as fn
-from ..tables import read
+from ..tables import growing, read
 
 INFO = {
     "before": {"os_name": "alpine", "os_version": "3.18", "os_pretty_name": "Alpine Linux v3.18", "search_scope": "Squashed", "schema_version": "16.0.1", "tool_name": "scanner", "sbom_author": "ci@example.org", "sbom_timestamp": "2024-01-01T00:00:00Z", "files_count": 1200},
@@ -46,7 +46,7 @@ def edges(comps: DataFrame) -> DataFrame:
     targets = F.when((F.col("side") == "after") & (k % 50 == 0), F.array(3 * k + 1, 3 * k + 2, 3 * k + 3, k + 5)).otherwise(F.array(3 * k + 1, 3 * k + 2, 3 * k + 3))
     wanted = comps.select("side", F.col("id").alias("src_id"), F.posexplode(targets).alias("adj_ordinal", "target"))
     known = comps.select(F.col("side").alias("side2"), F.col("ordinal").alias("target2"), F.col("id").alias("dst_id"))
-    return wanted.join(known, (F.col("side") == F.col("side2")) & (F.col("target") == F.col("target2"))).select("side", "src_id", "dst_id", F.col("adj_ordinal").cast("long").alias("adj_ordinal"))
+    return wanted.join(growing(known), (F.col("side") == F.col("side2")) & (F.col("target") == F.col("target2"))).select("side", "src_id", "dst_id", F.col("adj_ordinal").cast("long").alias("adj_ordinal"))
 
 
 def files(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:

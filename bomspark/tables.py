@@ -32,6 +32,13 @@ def settle(df: DataFrame, name: str = "step") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def growing(df: DataFrame) -> DataFrame:
+    """``df`` as a side of a join whose sides both grow with the input, so that neither is sent to the driver and broadcast.
+
+    Sizes of files mislead here: a few MB of Parquet can hold millions of rows."""
+    return df.hint("merge")
+
+
 def numbered(df: DataFrame, column: str, *order: str | Column) -> DataFrame:
     """``df`` with ``column``, the dense place (from 0) of each row in ``order``.
 
