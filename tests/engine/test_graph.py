@@ -1,6 +1,9 @@
 import pytest
 
-from bomspark.operators.graph import adjacency, reachable, roots, transitive_changes, with_ancestors
+from bomspark.operators.graph import adjacency, edge_diff, reachable, roots, transitive_changes, with_ancestors
+from bomspark.queries import QUERIES
+
+SF = "/root/testdata/sf0.001"
 
 
 def frames(spark, adjacency):
@@ -37,3 +40,22 @@ def test_a_limit_on_levels_is_an_error_and_no_silent_cut(spark):
     with pytest.raises(RuntimeError):
         with_ancestors(spark.createDataFrame([("n6",)], "id string"), edges, most=3)
     assert reachable(start, edges, most=7).count() == 6
+
+
+@pytest.mark.parametrize("key", ["jn_edge_diff", "gr_edges", "gr_tree", "gr_reachable", "gr_shortest_path", "gr_transitive_new", "gr_transitive_lost"])
+def test_tables_that_grow_are_not_broadcast(spark, key):
+    store = spark._jsparkSession.sharedState().statusStore()
+    bus = spark.sparkContext._jsc.sc().listenerBus()
+    bus.waitUntilEmpty(30_000)
+    last = max([-1, *(store.executionsList().apply(i).executionId() for i in range(store.executionsList().size()))])
+    QUERIES[key](spark, SF).collect()
+    bus.waitUntilEmpty(30_000)
+    runs = store.executionsList()
+    plans = [runs.apply(i).physicalPlanDescription() for i in range(runs.size()) if runs.apply(i).executionId() > last]
+    assert plans and not [p for p in plans if "BroadcastHashJoin" in p and "__first" not in p]  # that table has a row for each partition
+
+
+def test_edge_diff_keeps_copies_and_reads_both_sides(spark):
+    rows = lambda *e: spark.createDataFrame(e, "src_id string, dst_id string")
+    got = edge_diff(rows(("a", "b"), ("a", "c"), ("a", "c"), ("d", "x")), rows(("a", "b"), ("a", "b"), ("a", "z"), ("a", "y"), ("a", "y")))
+    assert sorted((r.src_id, r.change, r.targets) for r in got.collect()) == [("a", "added", ["y", "y", "z"]), ("a", "removed", ["c", "c"]), ("d", "removed", ["x"])]
