@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..functions import scalars as fn
-from ..tables import numbered, settle, shared_folder
+from ..tables import growing, numbered, settle, shared_folder
 
 PIECE = 4096
 
@@ -56,17 +56,17 @@ class Bundle:
         ends = edges.select(F.explode(F.array("src_id", "dst_id")).alias("id"), F.lit(None).cast("string").alias("side"))
         nodes = settle(numbered(known.unionByName(ends).groupBy("id").agg(F.collect_set("side").alias("sides")), "node", "id"), "nodes")
         number = lambda end: nodes.select(F.col("id").alias(f"{end}_id"), F.col("node").alias(end))
-        coded = edges.join(number("src"), "src_id").join(number("dst"), "dst_id")
+        coded = edges.join(growing(number("src")), "src_id").join(growing(number("dst")), "dst_id")
         lists = coded.groupBy("side", F.col("src").alias("node"), F.floor(F.col("at") / PIECE).alias("piece")).agg(F.array_sort(F.collect_list(F.struct("at", "dst"))).alias("t"))
         return cls(nodes, settle(lists.select("side", "node", "piece", F.col("t.dst").alias("targets")), "lists"))
 
     def encoded(self, ids: DataFrame) -> DataFrame:
-        return self.nodes.join(ids.select("id").distinct(), "id", "left_semi").select("node")
+        return self.nodes.join(growing(ids.select("id").distinct()), "id", "left_semi").select("node")
 
     def named(self, pairs: DataFrame, *columns: str) -> DataFrame:
         """``pairs`` with ids for the numbers in ``columns``."""
         for c in columns or ("root", "node"):
-            pairs = pairs.join(self.nodes.select(F.col("node").alias(c), F.col("id").alias("__id")), c).drop(c).withColumnRenamed("__id", c)
+            pairs = pairs.join(growing(self.nodes.select(F.col("node").alias(c), F.col("id").alias("__id"))), c).drop(c).withColumnRenamed("__id", c)
         return pairs
 
     def edges(self, side: str) -> DataFrame:
@@ -78,7 +78,7 @@ class Bundle:
 
     def roots(self, side: str) -> DataFrame:
         """Components that nobody depends on, all of them when there is none: node."""
-        found = self.members(side).join(self.edges(side).select(F.col("dst").alias("node")), "node", "left_anti")
+        found = self.members(side).join(growing(self.edges(side).select(F.col("dst").alias("node"))), "node", "left_anti")
         return self.members(side) if found.isEmpty() else found
 
     def reach(self, side: str, starts: DataFrame, most: int = 1000, parents: bool = False) -> DataFrame:
@@ -90,13 +90,13 @@ class Bundle:
         starts.select(F.col("node").alias("root"), "node", *nothing).write.parquet(f"{folder}/depth=0")
         for depth in range(1, most + 2):
             level = spark.read.schema(kept).parquet(f"{folder}/depth={depth - 1}")
-            step = level.join(lists, F.col("node") == F.col("at_node"))
+            step = level.join(growing(lists), F.col("node") == F.col("at_node"))
             if parents:
                 step = step.select("root", F.col("node").alias("parent"), "seq", "piece", F.posexplode("targets").alias("at", "node"))
                 step = step.groupBy("root", "node").agg(F.min(F.struct("seq", "piece", "at", "parent")).alias("m"))
             else:
                 step = step.select("root", F.explode("targets").alias("node")).distinct()
-            step = step.join(spark.read.schema("root long, node long").parquet(folder), ["root", "node"], "left_anti")
+            step = step.join(growing(spark.read.schema("root long, node long").parquet(folder)), ["root", "node"], "left_anti")
             if parents:  # the order in which the pairs of a level are found decides between parents of the next
                 step = step.orderBy("m.seq", "m.piece", "m.at").select("root", "node", "m.parent", F.monotonically_increasing_id().alias("seq"))
             if depth > most and not step.isEmpty():
@@ -113,19 +113,19 @@ class Bundle:
         up = reached.select("root", F.col("node").alias("parent"), F.col("parent").alias("above"))
         rows, longest = pairs.withColumn("way", F.array("node")), pairs.agg(F.max("depth")).first()[0] or 0
         for _ in range(longest - 1):
-            rows = rows.join(up, ["root", "parent"], "left").withColumn("way", F.when(F.col("above").isNull(), F.col("way")).otherwise(F.concat(F.array("parent"), "way"))).withColumn("parent", F.coalesce("above", "parent")).drop("above")
+            rows = rows.join(growing(up), ["root", "parent"], "left").withColumn("way", F.when(F.col("above").isNull(), F.col("way")).otherwise(F.concat(F.array("parent"), "way"))).withColumn("parent", F.coalesce("above", "parent")).drop("above")
             rows = settle(rows, "paths")
         steps = rows.select("root", "node", F.posexplode(F.concat(F.array("root"), "way")).alias("at", "step"))
         paths = self.named(steps, "step").groupBy("root", "node").agg(F.array_sort(F.collect_list(F.struct("at", "step"))).alias("p"))
-        return pairs.join(paths.select("root", "node", F.col("p.step").alias("path")), ["root", "node"]).drop("parent")
+        return pairs.join(growing(paths.select("root", "node", F.col("p.step").alias("path"))), ["root", "node"]).drop("parent")
 
     def transitive(self, here: str, there: str, paths: bool = True) -> DataFrame:
         """root, target, depth and path: what a root of ``here`` reaches below its direct dependencies and
         does not reach on the other side; each target once, from its first such root in id order."""
         starts = settle(self.roots(here), "roots")
         reached = self.reach(here, starts, parents=paths)
-        before = self.reach(there, starts.join(self.members(there), "node", "left_semi"))
-        new = reached.where("depth > 1").join(before, ["root", "node"], "left_anti")
+        before = self.reach(there, starts.join(growing(self.members(there)), "node", "left_semi"))
+        new = reached.where("depth > 1").join(growing(before), ["root", "node"], "left_anti")
         keep = ["root", "depth", *(["parent"] if paths else [])]
         new = new.groupBy("node").agg(F.min(F.struct(*keep)).alias("m")).select("node", *(f"m.{c}" for c in keep))
         if paths:
@@ -145,8 +145,8 @@ class Bundle:
         ids = ids.groupBy("node", "piece").agg(F.array_sort(F.collect_list(F.struct("at", "dst"))).alias("t")).select("node", "piece", F.col("t.dst").alias("ids"))
         all_ids = ids.groupBy("node").agg(F.array_sort(F.collect_list(F.struct("piece", "ids"))).alias("p")).select("node", F.flatten("p.ids").alias("children_ids"))
         listed = F.coalesce("children_ids", F.array().cast("array<string>"))
-        own = settle(self.nodes.join(last, "id").join(all_ids, "node", "left").select("node", F.struct("id", "c.*", (F.size(listed) > 0).alias("has_children"), listed.alias("children_ids")).alias("own")), "tree")
-        steps = settle(self.edges(side).join(own.select(F.col("node").alias("dst"), "own"), "dst").select("src", "dst", "piece", "at", "own"), "tree")
+        own = settle(self.nodes.join(growing(last), "id").join(growing(all_ids), "node", "left").select("node", F.struct("id", "c.*", (F.size(listed) > 0).alias("has_children"), listed.alias("children_ids")).alias("own")), "tree")
+        steps = settle(self.edges(side).join(growing(own.select(F.col("node").alias("dst"), "own")), "dst").select("src", "dst", "piece", "at", "own"), "tree")
 
         def gathered(rows: DataFrame, *by: str) -> DataFrame:
             return rows.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("order", "child"))).alias("k")).select(*by, F.col("k.child").alias("children"))
@@ -154,16 +154,16 @@ class Bundle:
         place = F.struct("piece", "at").alias("order")
         leaves = gathered(steps.select(F.col("src").alias("dst"), place, F.col("own").alias("child")), "dst")
         none = F.array().cast(leaves.schema["children"].dataType)
-        middle = steps.join(leaves, "dst", "left").select("src", "piece", place, F.struct("own.*", F.coalesce("children", none).alias("children")).alias("child"))
+        middle = steps.join(growing(leaves), "dst", "left").select("src", "piece", place, F.struct("own.*", F.coalesce("children", none).alias("children")).alias("child"))
         pages = gathered(middle, "src", "piece")
-        roots = self.roots(side).join(own, "node").join(pages.withColumnRenamed("src", "node"), "node", "left")
+        roots = self.roots(side).join(growing(own), "node").join(growing(pages.withColumnRenamed("src", "node")), "node", "left")
         none = F.array().cast(pages.schema["children"].dataType)
         return roots.select(F.col("node").alias("root_at"), F.coalesce("piece", F.lit(0).cast("long")).alias("page"), F.size("own.children_ids").alias("total_children"), F.struct("own.*", F.coalesce("children", none).alias("children")).alias("tree"))
 
     def edge_diff(self, here: str, there: str) -> DataFrame:
         """src_id, targets: dependencies that a node has on ``here`` alone, sorted, repeated ones kept."""
         other = self.edges(there).select("src", "dst").distinct()
-        only = self.edges(here).select("src", "dst").join(other, ["src", "dst"], "left_anti")
+        only = self.edges(here).select("src", "dst").join(growing(other), ["src", "dst"], "left_anti")
         rows = self.named(only, "dst").groupBy("src").agg(F.sort_array(F.collect_list("dst")).alias("targets"))
         return self.named(rows, "src").select(F.col("src").alias("src_id"), "targets")
 
