@@ -246,3 +246,13 @@ def test_the_list_filter_takes_a_text_apart_once(spark):
         want = {i: brute_score(t + "  ", pattern) for i, t in enumerate(odd) if "İ" not in t}  # lower-cased to two characters by Python
         got = {r.ordinal: r.score for r in listing.ranked(df, pattern).collect() if r.ordinal in want}
         assert got == {i: s for i, s in want.items() if s is not None}, pattern
+
+
+def test_postings_are_lists_and_whole(spark):
+    s = Snapshots(spark, SF)
+    index = SearchIndex.build(s.after.unionByName(s.after.limit(1).withColumns({"name": F.lit("Straße 😀"), "ordinal": F.lit(10**6)})))
+    want = {(t[i : i + n], r.position) for r in spark.read.parquet(f"{index.folder}/rows").collect() for t in [r.search_text] for n in (1, 2, 3) for i in range(len(t) - n + 1)}
+    rows = spark.read.parquet(f"{index.folder}/postings").collect()
+    got = [(r.gram, p) for r in rows for p in r.position]
+    assert len(got) == len(want) and set(got) == want and len(rows) < len(want) / 10
+    assert [r.ordinal for r in index.search(spark, "😀").collect()] == [10**6] == [r.ordinal for r in index.search(spark, "ße 😀").collect()]
