@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as fn
+from ..tables import growing
 
 
 def first_wins(comps: DataFrame, key: str = "id") -> DataFrame:
@@ -89,9 +90,11 @@ def duplicate_version_diff(before: DataFrame, after: DataFrame) -> DataFrame:
 
 def collisions(comps: DataFrame) -> DataFrame:
     """(id, reason): one id with several names, else one id and version with several hashes."""
-    names = comps.groupBy("id").agg(F.count_distinct("name").alias("n")).where("n > 1").select("id", F.lit("name_mismatch").alias("reason"))
-    hashes = comps.select("id", "version", F.explode("hashes").alias("alg", "value")).groupBy("id", "version", "alg").agg(F.count_distinct("value").alias("n")).where("n > 1").select("id").distinct()
-    return names.unionByName(hashes.join(names, "id", "left_anti").withColumn("reason", F.lit("hash_mismatch")))
+    # ids hardly repeat within a task: rows go to their id's task first, as tables made before that would hold a task's whole input
+    differ = lambda c: (F.min(c) != F.max(c)).alias("differ")
+    names = comps.select("id", "name").repartition("id").groupBy("id").agg(differ("name")).where("differ").select("id", F.lit("name_mismatch").alias("reason"))
+    hashes = comps.select("id", "version", F.explode("hashes").alias("alg", "value")).repartition("id").groupBy("id", "version", "alg").agg(differ("value")).where("differ").select("id").distinct()
+    return names.unionByName(hashes.join(growing(names), "id", "left_anti").withColumn("reason", F.lit("hash_mismatch")))
 
 
 def both_collisions(before: DataFrame, after: DataFrame) -> DataFrame:
