@@ -20,7 +20,9 @@ gives the same links, so that this changes no result.
 
 Equal sets are one node from the start. Candidates of an index entry are met in rounds: all
 against one leader first, again against another leader for what is still in different
-components, and last every remaining pair of different components. Each candidate is
+components, and last every remaining pair of different components. There only what is outside
+an entry's largest component is met with the others, and two sets that share many entries
+pass the screen at the least of these keys alone. Each candidate is
 screened by size and by a parity bitmap, whose differing bits are at most the differing
 shingles, and then verified on the full sets. No pair that could join two components is
 left out, and pairs within one component need no test.
@@ -60,6 +62,8 @@ FREQUENT = 40
 #: Shingles of more than LEAST_HEAVY sets of a chunk, and of more than one set in HEAVY, are heavy; a
 #: chunk has about CHUNK shingles.
 HEAVY, LEAST_HEAVY, CHUNK = 256, 32, 1 << 21
+#: So many least keys of a set tell in the last round where two sets meet first.
+LEAST_KEYS = 16
 #: The bucket number that stands for heavy shingles.
 ASIDE = (1 << 24) - 1
 
@@ -368,6 +372,24 @@ def _possible(a: str, b: str, num: int, den: int) -> Column:
     return (small * den >= large * num) & (_differing(a, b) * (den + num) <= (small + large) * (den - num))
 
 
+def _met_first(a: str, b: str) -> Column:
+    """No smaller key than ``sig`` is among the least keys of both sets. It holds at the least key that
+    they share, and at no other one unless their least keys have none in common."""
+    return F.coalesce(F.array_min(F.array_intersect(f"{a}.least", f"{b}.least")) >= F.col("sig"), F.lit(True))
+
+
+def meetings(entries: DataFrame, light: DataFrame, num: int, den: int) -> DataFrame:
+    """(a, b) of all sets of different components that share a key of ``entries`` (sig, nid, comp) and pass the screen."""
+    # of two components at least one is not the entry's largest: that side alone is met with all
+    main = entries.groupBy("sig", "comp").agg(F.count("*").alias("c")).groupBy("sig").agg(F.max_by("comp", F.struct("c", "comp")).alias("main"))
+    least = entries.groupBy("nid").agg(F.slice(F.sort_array(F.collect_list("sig")), 1, LEAST_KEYS).alias("least"))
+    rest = materialize(entries.join(main, "sig").withColumn("minor", F.col("comp") != F.col("main")).drop("main").join(light.join(least, "nid"), "nid"), "rest")
+    x, y = (rest.select("sig", F.struct("nid", "comp", "minor", "least", "n", *BITMAP).alias(k)) for k in ("x", "y"))
+    apart = (F.col("x.comp") < F.col("y.comp")) | (~F.col("y.minor") & (F.col("x.comp") != F.col("y.comp")))
+    pairs = x.where("x.minor").join(y, "sig").where(apart & _possible("x", "y", num, den) & _met_first("x", "y"))
+    return pairs.select(F.least("x.nid", "y.nid").alias("a"), F.greatest("x.nid", "y.nid").alias("b"))
+
+
 def verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
     """The pairs whose full sets reach the threshold."""
     a, b = (sets.select(F.col("nid").alias(k), F.col("tokens").alias(f"{k}t")) for k in ("a", "b"))
@@ -435,10 +457,8 @@ def similar_components(docs: DataFrame, words: int = 3, threshold: tuple[int, in
             # one leader for each follower: later rounds and the last one see to the others
             found = verified(met.groupBy("a").agg(F.min_by("b", F.xxhash64(F.lit(turn), "b")).alias("b")), sets, num, den)
         else:
-            rest = materialize(here.join(lists.select("sig"), "sig").select("sig", "nid", "comp").join(light, "nid"), "rest")
-            a, b = (rest.select("sig", F.struct("nid", "comp", "n", *BITMAP).alias(k)) for k in ("x", "y"))
-            pairs = a.join(b, "sig").where((F.col("x.comp") < F.col("y.comp")) & _possible("x", "y", num, den))
-            found = verified(pairs.select(F.col("x.nid").alias("a"), F.col("y.nid").alias("b")).distinct(), sets, num, den)
+            pairs = meetings(materialize(here.join(lists.select("sig"), "sig").select("sig", "nid", "comp"), "open"), light, num, den)
+            found = verified(pairs.distinct(), sets, num, den)
         links = found if links is None else links.unionByName(found)
     named = nodes.select("nid", "node", "least_doc").join(components(links), "nid", "left").withColumn("comp", F.coalesce("comp", "nid"))
     least = named.groupBy("comp").agg(F.min("least_doc").alias("component_id"))

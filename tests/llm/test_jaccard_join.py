@@ -132,6 +132,21 @@ def test_heavy_shingles_change_no_component(spark, monkeypatch, chunk):
     assert got == brute(rows, 3, Fraction(90, 100))
 
 
+def test_sets_of_many_shared_keys_meet_once(spark):
+    from bomspark.llm import jaccard_join as jj
+
+    rng = np.random.default_rng(11)
+    keys = {nid: set(rng.choice(400, 250, replace=False).tolist()) for nid in range(40)}
+    keys |= {40: {1000}, 41: {1000, *range(2000, 2020)}, 42: {1001}}  # few keys, beyond the least ones of 41
+    comp = {nid: 0 if nid < 30 else nid for nid in keys}
+    entries = spark.createDataFrame([(s if s < 2000 else s - 4000, nid, comp[nid]) for nid in keys for s in keys[nid]], "sig long, nid long, comp long")
+    light = spark.createDataFrame([(nid, 100, *[0] * jj.LONGS) for nid in keys], "nid long, n int, " + ", ".join(f"{b} long" for b in jj.BITMAP))
+    got = [(r.a, r.b) for r in jj.meetings(entries, light, 90, 100).collect()]
+    wanted = {(a, b) for a in keys for b in keys if a < b and comp[a] != comp[b] and keys[a] & keys[b]}
+    assert set(got) == wanted and (40, 41) in wanted
+    assert len(got) < 1.1 * len(wanted)  # one row for each shared key before: about 150 a pair
+
+
 def test_components_of_a_long_chain_and_a_limit(spark):
     chain = spark.range(300).selectExpr("id AS a", "id + 1 AS b")
     assert {r.comp for r in components(chain).collect()} == {0}
