@@ -62,6 +62,9 @@ FREQUENT = 40
 #: Shingles of more than LEAST_HEAVY sets of a chunk, and of more than one set in HEAVY, are heavy; a
 #: chunk has about CHUNK shingles.
 HEAVY, LEAST_HEAVY, CHUNK = 256, 32, 1 << 21
+#: A task deals out this share of a bucket's shingles at a time: sorting them takes several times their size,
+#: which Python workers keep.
+DEALT = 3
 #: So many least keys of a set tell in the last round where two sets meet first.
 LEAST_KEYS = 16
 #: The bucket number that stands for heavy shingles.
@@ -294,6 +297,21 @@ def _selected(rows: pd.DataFrame, num: int, den: int) -> pd.DataFrame:
     return pd.DataFrame(found, columns=["node", "n", "rare", "sigs"])
 
 
+def set_batches(texts: Iterator[str | None], words: int, most: int) -> Iterator[dict[bytes, np.ndarray]]:
+    """The different sets of some texts by digest; a batch ends with the set that brings it to ``most`` shingles."""
+    sets, size = {}, 0
+    for text in texts:
+        tokens = shingle_set(text, words)
+        node = digest(tokens)
+        if len(tokens) and node not in sets:
+            sets[node], size = tokens, size + len(tokens)
+        if size >= most:
+            yield sets
+            sets, size = {}, 0
+    if sets:
+        yield sets
+
+
 def prefixes(docs: DataFrame, total: int, words: int, num: int, den: int, heavy: tuple[np.ndarray, np.ndarray] = (np.empty(0, np.uint64), np.empty(0, np.uint8)), least_unit: int = 3 << 20, least_buckets: int = 32) -> DataFrame:  # noqa: B008
     """node, n, rare, sigs of every set that can have a partner; ``total`` counts all shingles."""
     unit = max(least_unit, isqrt(8 * total))
@@ -309,17 +327,7 @@ def prefixes(docs: DataFrame, total: int, words: int, num: int, den: int, heavy:
             yield _aside(sets, buckets, parts, tokens, classes)
 
     def spread(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        sets, size = {}, 0
-        for batch in batches:
-            for text in batch["text"]:
-                tokens = shingle_set(text, words)
-                node = digest(tokens)
-                if len(tokens) and node not in sets:
-                    sets[node], size = tokens, size + len(tokens)
-                if size >= unit:
-                    yield from sent(sets)
-                    sets, size = {}, 0
-        if sets:
+        for sets in set_batches((text for batch in batches for text in batch["text"]), words, unit // DEALT):
             yield from sent(sets)
 
     def counted(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:

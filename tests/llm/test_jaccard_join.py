@@ -147,6 +147,25 @@ def test_sets_of_many_shared_keys_meet_once(spark):
     assert len(got) < 1.1 * len(wanted)  # one row for each shared key before: about 150 a pair
 
 
+def test_sets_are_dealt_out_in_small_batches():
+    import tracemalloc
+
+    from bomspark.llm import jaccard_join as jj
+
+    texts = [" ".join(f"w{v}" for v in np.random.default_rng(i % 90).integers(0, 500, 60)) for i in range(100)]
+    batches = list(jj.set_batches(iter(texts), 3, 500))
+    assert all(sum(map(len, b.values())) < 500 + 58 for b in batches) and len(batches) > 8
+    assert {k for b in batches for k in b} == {digest(jj.shingle_set(t, 3)) for t in texts}
+    unit = 3 << 20
+    rng = np.random.default_rng(1)
+    sets = {digest(s): s for s in (np.unique(rng.integers(0, 1 << 63, 1000).astype(np.uint64)) for _ in range(unit // jj.DEALT // 1000))}
+    tracemalloc.start()
+    jj._bucketed(sets, 32)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 70e6  # a whole unit at once, as before: three times as much
+
+
 def test_components_of_a_long_chain_and_a_limit(spark):
     chain = spark.range(300).selectExpr("id AS a", "id + 1 AS b")
     assert {r.comp for r in components(chain).collect()} == {0}
